@@ -8,10 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_trie, lang_parse, mixture_fit, ring_shards, simhash_gray
+from . import bpe_trie, lang_parse, mixture_fit, quality_pairs, ring_shards, simhash_gray, vector_cells
 from .common import held_out, table
 
 
+def op1_quality_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = quality_pairs.score_quality(docs, quality_pairs.fit(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op3_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_gray.simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "fingerprint", "component_id")
@@ -27,6 +33,10 @@ def op9_mixture_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op6_vector_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_cells.near_vectors(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
+
+
 def op8_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe_trie.digests(bpe_trie.bpe_encode(docs, public_tokenizers.path("byte_bpe_50k.json")))
@@ -38,5 +48,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_simhash_gray, op4_ring_shards, op8_bpe_trie, op9_mixture_fit, op10_language_id)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_pairs, op3_simhash_gray, op4_ring_shards, op6_vector_cells, op8_bpe_trie, op9_mixture_fit, op10_language_id)}
 ORACLES: dict[str, str] = {}
