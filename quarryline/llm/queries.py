@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_trie, lang_parse, mixture_fit, quality_pairs, ring_shards, simhash_gray, vector_cells
+from . import bm25_wand, bpe_trie, lang_parse, mixture_fit, quality_pairs, ring_shards, simhash_gray, vector_cells
 from .common import held_out, table
 
 
@@ -33,6 +33,11 @@ def op9_mixture_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op5_bm25_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return bm25_wand.search_like(docs, docs.where(F.col("doc_id") % 50 == 0))
+
+
 def op6_vector_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_cells.near_vectors(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
 
@@ -48,5 +53,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_pairs, op3_simhash_gray, op4_ring_shards, op6_vector_cells, op8_bpe_trie, op9_mixture_fit, op10_language_id)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_pairs, op3_simhash_gray, op4_ring_shards, op5_bm25_wand, op6_vector_cells, op8_bpe_trie, op9_mixture_fit, op10_language_id)}
 ORACLES: dict[str, str] = {}
