@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bm25_wand, bpe_trie, lang_parse, mixture_fit, quality_pairs, ring_shards, simhash_gray, vector_cells
+from . import bm25_wand, bpe_trie, lang_parse, mixture_fit, pii_surrogates, quality_pairs, ring_shards, simhash_gray, vector_cells
 from .common import held_out, table
 
 
@@ -18,6 +18,10 @@ def op1_quality_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_surrogates.replace_entities(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities")
+
+
 def op3_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_gray.simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "fingerprint", "component_id")
@@ -53,5 +57,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_pairs, op3_simhash_gray, op4_ring_shards, op5_bm25_wand, op6_vector_cells, op8_bpe_trie, op9_mixture_fit, op10_language_id)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_pairs, op2_pii_surrogates, op3_simhash_gray, op4_ring_shards, op5_bm25_wand, op6_vector_cells, op8_bpe_trie, op9_mixture_fit, op10_language_id)}
 ORACLES: dict[str, str] = {}
