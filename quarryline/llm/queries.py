@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bm25_wand, bpe_trie, lang_parse, mixture_fit, pii_surrogates, quality_pairs, ring_shards, simhash_gray, vector_cells
+from . import bm25_wand, bpe_trie, lang_parse, mixture_fit, pii_surrogates, quality_pairs, ring_shards, simhash_gray, suffix_spans, vector_cells
 from .common import held_out, table
 
 
@@ -46,6 +46,10 @@ def op6_vector_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_cells.near_vectors(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
 
 
+def op7_suffix_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_spans.kept_digest(suffix_spans.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op8_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe_trie.digests(bpe_trie.bpe_encode(docs, public_tokenizers.path("byte_bpe_50k.json")))
@@ -57,5 +61,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_pairs, op2_pii_surrogates, op3_simhash_gray, op4_ring_shards, op5_bm25_wand, op6_vector_cells, op8_bpe_trie, op9_mixture_fit, op10_language_id)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_pairs, op2_pii_surrogates, op3_simhash_gray, op4_ring_shards, op5_bm25_wand, op6_vector_cells, op7_suffix_spans, op8_bpe_trie, op9_mixture_fit, op10_language_id)}
 ORACLES: dict[str, str] = {}
