@@ -30,22 +30,30 @@ SHINGLES = 65_536
 PAIRS = 1_000_000
 
 
-def fingerprint(text: str | None, words: int) -> int:
-    """The 64-bit fingerprint of a text; 0 if it has no word."""
+def fingerprint(text: str | None, words: int, wide: int = 1) -> bytes:
+    """The fingerprint of a text, of `wide` times 64 bits; 0 if it has no word. The first 64 are those of the shingles'
+    hashes, further ones those of the hashes mixed again."""
     tokens = (text or "").encode().lower().split()
     if not tokens:
-        return 0
+        return bytes(8 * wide)
     joined = b" ".join(tokens)
     ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
     width = min(words, len(tokens))
     last = ends[width - 1 :].tolist()
     first = [0, *(ends[: len(last) - 1] + 1).tolist()]
     digest = xxhash.xxh64_digest
-    ones = np.zeros(64, np.int64)
+    ones = np.zeros(64 * wide, np.int64)
     for k in range(0, len(last), SHINGLES):
-        hashes = b"".join([digest(joined[a:b], 42) for a, b in zip(first[k : k + SHINGLES], last[k : k + SHINGLES], strict=True)])
-        ones += np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(last)).tobytes(), "big")
+        shingles = b"".join([digest(joined[a:b], 42) for a, b in zip(first[k : k + SHINGLES], last[k : k + SHINGLES], strict=True)])
+        hashes = np.frombuffer(shingles, ">u8").astype(np.uint64)
+        for n in range(wide):
+            ones[64 * n : 64 * n + 64] += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+            if n + 1 < wide:
+                hashes = (hashes + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+                hashes ^= hashes >> np.uint64(31)
+                hashes *= np.uint64(0x94D049BB133111EB)
+                hashes ^= hashes >> np.uint64(29)
+    return np.packbits(2 * ones > len(last)).tobytes()
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -59,7 +67,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in in_blocks(batch, 4_000_000):
-                found = np.array([fingerprint(t, words) for t in block.column(1).to_pylist()], np.uint64).view(np.int64)
+                found = np.frombuffer(b"".join([fingerprint(t, words) for t in block.column(1).to_pylist()]), ">i8").astype(np.int64)
                 yield pa.RecordBatch.from_arrays([block.column(0), pa.array(found)], ["doc_id", "fp"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
@@ -80,12 +88,12 @@ def gray_rank(fp: Column) -> Column:
 def links(codes: np.ndarray, groups: np.ndarray, limit: int) -> np.ndarray:
     """The smallest place in `codes` that each place reaches within its group by steps of at most `limit` bits.
 
-    codes are in Gray order within groups; groups stand side by side.
+    codes are in Gray order within groups, a row of 64-bit words each; groups stand side by side.
     """
     n = len(codes)
     root = np.arange(n)
-    # nodes by level from the members up: pattern, mask, first child, child count, last member
-    levels = [(codes, np.full(n, ~np.uint64(0)), np.arange(n), np.ones(n, np.int64), np.arange(n), groups)]
+    # nodes by level from the members up: pattern, mask, first child, child count, last member, group
+    levels = [(codes, np.full_like(codes, ~np.uint64(0)), np.arange(n), np.ones(n, np.int64), np.arange(n), groups)]
     while True:
         pattern, mask, _, _, last, group = levels[-1]
         starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
@@ -100,11 +108,12 @@ def links(codes: np.ndarray, groups: np.ndarray, limit: int) -> np.ndarray:
         levels.append((ones, ones | zeros, first, count, last[first + count - 1], group[first]))
     top = levels[-1]
     node_of = np.searchsorted(top[5], groups)  # a group has one node on the top level
-    for a in range(0, n, 4096):
-        query = np.arange(a, min(n, a + 4096))
+    # a group of one has no pairs
+    busy = np.flatnonzero(top[4][node_of] > np.arange(n))
+    for a in range(0, len(busy), 4096):
+        query = busy[a : a + 4096]
         node = node_of[query]
-        off = np.bitwise_count((codes[query] ^ top[0][node]) & top[1][node]).astype(np.int64)
-        frontier = [(len(levels) - 1, query, node, off)]
+        frontier = [(len(levels) - 1, query, node, differing((codes[query] ^ top[0][node]) & top[1][node]))]
         while frontier:
             depth, query, node, off = frontier.pop()
             keep = (off <= limit) & (levels[depth][4][node] > query)
@@ -115,17 +124,22 @@ def links(codes: np.ndarray, groups: np.ndarray, limit: int) -> np.ndarray:
                 hook(root, query, node)
                 continue
             _, mask, first, count, _, _ = levels[depth]
-            for b in range(0, len(query), PAIRS // FAN):
-                q, x, d = query[b : b + PAIRS // FAN], node[b : b + PAIRS // FAN], off[b : b + PAIRS // FAN]
+            most = PAIRS // FAN // codes.shape[1]
+            for b in range(0, len(query), most):
+                q, x, d = query[b : b + most], node[b : b + most], off[b : b + most]
                 times = count[x]
                 child = np.repeat(first[x], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                more = levels[depth - 1][1][child] & ~np.repeat(mask[x], times)
+                more = levels[depth - 1][1][child] & ~np.repeat(mask[x], times, axis=0)
                 q = np.repeat(q, times)
-                d = np.repeat(d, times) + np.bitwise_count((codes[q] ^ levels[depth - 1][0][child]) & more)
+                d = np.repeat(d, times) + differing((codes[q] ^ levels[depth - 1][0][child]) & more)
                 frontier.append((depth - 1, q, child, d))
     return settled(root)
 
 
+def differing(words: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(words).sum(axis=1, dtype=np.int64)
+
+
 def settled(root: np.ndarray) -> np.ndarray:
     while not np.array_equal(root, up := root[root]):
         root = up
@@ -162,28 +176,30 @@ def near_fingerprints(distinct: DataFrame, limit: int = 3) -> DataFrame:
     dealt = parts.withColumn("grp", lead + F.col("part") * F.lit(1 << 16)).repartition("grp").sortWithinPartitions("grp", gray_rank(F.col("code"))).select("grp", "code", "fp")
 
     def edges(grp: np.ndarray, code: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        root = links(code.view(np.uint64), grp, limit) if len(grp) else np.arange(0)
+        root = links(code.view(np.uint64)[:, None], grp, limit) if len(grp) else np.arange(0)
         joined = root != np.arange(len(root))
         return pa.RecordBatch.from_arrays([pa.array(fp[joined]), pa.array(fp[root[joined]])], ["src", "dst"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        for batch in batches:
-            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if not batch.num_rows:
-                continue
-            # the last group may go on in the next batch
-            cut = int(np.searchsorted(columns[0], columns[0][-1]))
-            if cut or not held or held[0][0][0] != columns[0][0]:
-                held.append([c[:cut] for c in columns])
-                yield edges(*[np.concatenate(c) for c in zip(*held, strict=True)])
-                held = [[c[cut:] for c in columns]]
-            else:
-                held.append(columns)
-        if held:
-            yield edges(*[np.concatenate(c) for c in zip(*held, strict=True)])
+    return dealt.mapInArrow(lambda batches: whole_groups(batches, edges), "src long, dst long").distinct()
+
 
-    return dealt.mapInArrow(run, "src long, dst long").distinct()
+def whole_groups(batches: Iterator[pa.RecordBatch], make) -> Iterator[pa.RecordBatch]:
+    """Apply `make` to the columns of runs of whole groups (equal values of the first column, side by side)."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if not batch.num_rows:
+            continue
+        # the last group may go on in the next batch
+        cut = int(np.searchsorted(columns[0], columns[0][-1]))
+        if cut or not held or held[0][0][0] != columns[0][0]:
+            held.append([c[:cut] for c in columns])
+            yield make(*[np.concatenate(c) for c in zip(*held, strict=True)])
+            held = [[c[cut:] for c in columns]]
+        else:
+            held.append(columns)
+    if held:
+        yield make(*[np.concatenate(c) for c in zip(*held, strict=True)])
 
 
 def simhash_components(docs: DataFrame, words: int = 3, limit: int = 3) -> DataFrame:
@@ -201,3 +217,53 @@ def simhash_components(docs: DataFrame, words: int = 3, limit: int = 3) -> DataF
     # one row for each distinct fingerprint; a fingerprint that many documents have is split by adaptive skew handling
     of = roots.join(least, "root").select("fp", "component_id")
     return marked.join(of, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: Words of a wide fingerprint, and the bits of each table's key.
+WIDE, KEY_BITS = 8, 16
+
+
+def similar_groups(docs: DataFrame, words: int = 5, limit: int = 90, tables: int = 48) -> DataFrame:
+    """Add component_id, the smallest doc_id of each document's group of near copies, to (doc_id, text).
+
+    Fingerprints have 512 bits here: texts with 0.8 of all their shingles in common differ in 78 of them on average, with
+    a deviation of 8, so `limit` takes in more than nine in ten of those and nearly all that are more alike; texts
+    without common shingles differ in 256. Each of the tables deals the fingerprints by KEY_BITS of their bits, picked by a fixed draw;
+    two fingerprints meet if one table's bits agree. In a table the Gray-order index compares them. Null texts and those
+    without words are one group. Rows stay one for one.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    names = [f"w{n}" for n in range(WIDE)]
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in in_blocks(batch, 4_000_000):
+                found = np.frombuffer(b"".join([fingerprint(t, words, WIDE) for t in block.column(1).to_pylist()]), ">i8").astype(np.int64).reshape(-1, WIDE)
+                yield pa.RecordBatch.from_arrays([block.column(0), *[pa.array(np.ascontiguousarray(c)) for c in found.T]], ["doc_id", *names])
+
+    marked = materialize(docs.select("doc_id", "text").mapInArrow(mark, f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names)))
+    distinct = materialize(marked.groupBy(*names).agg(F.min("doc_id").alias("least")).withColumn("uid", F.monotonically_increasing_id()))
+    draw = np.random.default_rng(17)
+    picks = [draw.choice(64 * WIDE, KEY_BITS, replace=False) for _ in range(tables)]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(k, 4096) for k in range(0, batch.num_rows, 4096)):
+                columns = [c.to_numpy() for c in part.columns]
+                bits = np.unpackbits(np.column_stack(columns[1:]).astype(">i8").view(np.uint8).reshape(part.num_rows, -1), axis=1)
+                for n, pick in enumerate(picks):
+                    key = np.packbits(bits[:, pick], axis=1).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(n << KEY_BITS | key[:, 0] << 8 | key[:, 1], pa.int32()), *part.columns], ["grp", "uid", *names])
+
+    dealt = distinct.select("uid", *names).mapInArrow(deal, "grp int, uid long, " + ", ".join(f"{n} long" for n in names))
+    dealt = dealt.repartition("grp").sortWithinPartitions("grp", gray_rank(F.col("w0")))
+
+    def edges(grp: np.ndarray, uid: np.ndarray, *codes: np.ndarray) -> pa.RecordBatch:
+        root = links(np.column_stack(codes).view(np.uint64), grp, limit) if len(grp) else np.arange(0)
+        joined = root != np.arange(len(root))
+        return pa.RecordBatch.from_arrays([pa.array(uid[joined]), pa.array(uid[root[joined]])], ["src", "dst"])
+
+    parts = connected_components(dealt.mapInArrow(lambda batches: whole_groups(batches, edges), "src long, dst long").distinct())
+    roots = distinct.join(parts, distinct.uid == parts.node, "left").select(*names, "least", F.coalesce("component", "uid").alias("root"))
+    least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
+    return marked.join(roots.join(least, "root").select(*names, "component_id"), names).select("doc_id", "component_id")
