@@ -26,7 +26,7 @@ WINDOW, GRAM = 50, 26
 #: Bytes of text in a block of documents, and of those that are hashed at once.
 BLOCK_BYTES, HASHED_BYTES = 4_000_000, 250_000
 #: Anchors of a group in the first exchange.
-GROUP = 1_000_000
+GROUP = 250_000
 #: Bits of a hash by which anchors are first compared.
 BITS = 48
 _BASE = 0x9E3779B97F4A7C15
@@ -362,9 +362,13 @@ def repeated(hashes: np.ndarray, doc: np.ndarray, offset: np.ndarray, windows: n
         order = suffixes.sort(group)
         x, y = order[:-1], order[1:]
         same = (group[x] == group[y]) & (suffixes.common(x, y) == WINDOW)
-        bytes_at = lambda s: text[item[s][:, None], start[s][:, None] + np.arange(WINDOW)]
         checked = np.flatnonzero(same)
-        wrong = checked[(bytes_at(x[checked]) != bytes_at(y[checked])).any(axis=1)] if len(checked) else checked
+        equal = np.ones(len(checked), bool)
+        for k in range(0, len(checked), 20_000):
+            u, v = x[checked[k : k + 20_000]], y[checked[k : k + 20_000]]
+            along = np.arange(WINDOW)
+            equal[k : k + 20_000] = (text[item[u][:, None], start[u][:, None] + along] == text[item[v][:, None], start[v][:, None] + along]).all(axis=1)
+        wrong = checked[~equal]
         classes = np.cumsum(np.r_[True, ~same]) - 1
         if len(wrong):  # two strings of one hash: the groups concerned are told apart by their bytes
             bad = np.isin(group[order], group[x[wrong]])
