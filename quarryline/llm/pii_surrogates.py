@@ -174,7 +174,8 @@ def entities(docs: DataFrame) -> DataFrame:
 def redraws(docs: DataFrame, key: str, most_rounds: int = 20) -> DataFrame:
     """The entities whose first replacement is another's too, or is an entity itself, with the attempt that has given
     each its own: (kind, entity, attempt)."""
-    known = materialize(entities(docs).withColumn("attempt", F.lit(0)))
+    # dealt out, as a row is small but its replacement takes long
+    known = materialize(entities(docs).withColumn("attempt", F.lit(0)).repartition(F.col("entity")))
     names = known.select(F.col("kind").alias("k"), F.col("entity").alias("e"))
     now = known
     for _ in range(most_rounds):
