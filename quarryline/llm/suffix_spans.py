@@ -24,9 +24,11 @@ from .common import materialize
 
 WINDOW, GRAM = 50, 26
 #: Bytes of text in a block of documents, and of those that are hashed at once.
-BLOCK_BYTES, HASHED_BYTES = 4_000_000, 250_000
+BLOCK_BYTES, HASHED_BYTES = 2_000_000, 250_000
 #: Anchors of a group in the first exchange.
 GROUP = 250_000
+#: Anchors whose windows are sorted at once.
+SORTED = 16_384
 #: Bits of a hash by which anchors are first compared.
 BITS = 48
 _BASE = 0x9E3779B97F4A7C15
@@ -207,8 +209,7 @@ def contexts(packed_docs: DataFrame, masks: DataFrame, groups: int) -> DataFrame
             doc = ids[owners(place, ends)]
             length = high - low + WINDOW
             # equal surroundings of the block: the first by document stands for all
-            sums = np.r_[np.uint64(0), np.cumsum(_BYTE[data] * powers(len(data)), dtype=np.uint64)]
-            text = (sums[low + length] - sums[low]) * inverse_powers(len(data))[low]
+            text = text_hashes(data, low, length)
             order = np.lexsort((low, doc, place - low, length, text, hashes))
             same = np.zeros(len(order), bool)
             if len(order) > 1:
@@ -245,25 +246,19 @@ def contexts(packed_docs: DataFrame, masks: DataFrame, groups: int) -> DataFrame
     return joined.mapInArrow(send, "grp int, block long, anchors binary, bytes binary, local binary")
 
 
-_POWERS: dict[str, np.ndarray] = {}
+POWERS = np.array([pow(_BASE, k, 1 << 64) for k in range(2 * WINDOW)], np.uint64)
 
 
-def powers(n: int) -> np.ndarray:
-    return _power_table("up", _BASE, n)
-
-
-def inverse_powers(n: int) -> np.ndarray:
-    return _power_table("down", pow(_BASE, -1, 1 << 64), n)
-
-
-def _power_table(name: str, base: int, n: int) -> np.ndarray:
-    """base ** i for i < n, made by doubling; kept for the next block."""
-    table = _POWERS.get(name, np.ones(1, np.uint64))
-    while len(table) < n + 1:
-        table = np.r_[table, table * np.uint64(pow(base, len(table), 1 << 64))]
-    if len(table) <= 4 * BLOCK_BYTES:
-        _POWERS[name] = table
-    return table[:n]
+def text_hashes(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The polynomial hash of each stretch of bytes."""
+    out = np.zeros(len(start), np.uint64)
+    along = np.arange(2 * WINDOW - GRAM)
+    for k in range(0, len(start), 8192):
+        at = start[k : k + 8192, None] + along
+        inside = along < length[k : k + 8192, None]
+        values = _BYTE[data[np.minimum(at, len(data) - 1)]] * POWERS[: len(along)]
+        out[k : k + 8192] = np.where(inside, values, np.uint64(0)).sum(axis=1, dtype=np.uint64)
+    return out
 
 
 class Suffixes:
@@ -273,8 +268,8 @@ class Suffixes:
         n, wide = text.shape
         self.text, self.row, self.start = text, row, start
         self.sums = np.zeros((n, wide + 1), np.uint64)
-        np.cumsum(_BYTE[text] * powers(wide), axis=1, dtype=np.uint64, out=self.sums[:, 1:])
-        self.up = powers(wide + 1)
+        np.cumsum(_BYTE[text] * POWERS[:wide], axis=1, dtype=np.uint64, out=self.sums[:, 1:])
+        self.up = POWERS
 
     def common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """The common extension of suffixes x and y, up to a window, by binary search over prefix hashes."""
@@ -352,35 +347,48 @@ def repeated(hashes: np.ndarray, doc: np.ndarray, offset: np.ndarray, windows: n
     plain = ~mixed[kind] & (doc > smallest[kind])
     masks[plain] = (np.int64(1) << windows[plain]) - 1
     who = np.flatnonzero(mixed[kind])
-    if len(who):
-        item = np.repeat(who, windows[who])
-        start = np.arange(len(item)) - np.repeat(np.cumsum(windows[who]) - windows[who], windows[who])
-        group = kind[item] * wide + (offset[item] - start)
-        by = np.argsort(group, kind="stable")
-        item, start, group = item[by], start[by], group[by]
-        suffixes = Suffixes(text, item, start)
-        order = suffixes.sort(group)
-        x, y = order[:-1], order[1:]
-        same = (group[x] == group[y]) & (suffixes.common(x, y) == WINDOW)
-        checked = np.flatnonzero(same)
-        equal = np.ones(len(checked), bool)
-        for k in range(0, len(checked), 20_000):
-            u, v = x[checked[k : k + 20_000]], y[checked[k : k + 20_000]]
-            along = np.arange(WINDOW)
-            equal[k : k + 20_000] = (text[item[u][:, None], start[u][:, None] + along] == text[item[v][:, None], start[v][:, None] + along]).all(axis=1)
-        wrong = checked[~equal]
-        classes = np.cumsum(np.r_[True, ~same]) - 1
-        if len(wrong):  # two strings of one hash: the groups concerned are told apart by their bytes
-            bad = np.isin(group[order], group[x[wrong]])
-            names: dict[tuple[int, bytes], int] = {}
-            for k in np.flatnonzero(bad):
-                s = order[k]
-                classes[k] = len(order) + names.setdefault((int(group[s]), text[item[s], start[s] : start[s] + WINDOW].tobytes()), len(names))
-        _, classes = np.unique(classes, return_inverse=True)
-        least = np.full(classes.max() + 1, _NO_ID)
-        np.minimum.at(least, classes, doc[item[order]])
-        gone = least[classes] < doc[item[order]]
-        np.bitwise_or.at(masks, item[order][gone], np.int64(1) << start[order][gone])
+    who = who[np.argsort(kind[who], kind="stable")]
+    at = 0
+    while at < len(who):
+        end = min(len(who), at + SORTED)
+        end = int(np.searchsorted(kind[who], kind[who[end - 1]], "right"))  # a kind stays together
+        part = who[at:end]
+        masks[part] = sorted_repeats(text[part], kind[part], doc[part], offset[part], windows[part])
+        at = end
+    return masks
+
+
+def sorted_repeats(text: np.ndarray, kind: np.ndarray, doc: np.ndarray, offset: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """As repeated(), by sorting the suffixes that start at the windows: those of one kind of anchor at one place."""
+    masks = np.zeros(len(text), np.int64)
+    item = np.repeat(np.arange(len(text)), windows)
+    start = np.arange(len(item)) - np.repeat(np.cumsum(windows) - windows, windows)
+    group = kind[item] * text.shape[1] + (offset[item] - start)
+    by = np.argsort(group, kind="stable")
+    item, start, group = item[by], start[by], group[by]
+    suffixes = Suffixes(text, item, start)
+    order = suffixes.sort(group)
+    x, y = order[:-1], order[1:]
+    same = (group[x] == group[y]) & (suffixes.common(x, y) == WINDOW)
+    checked = np.flatnonzero(same)
+    equal = np.ones(len(checked), bool)
+    along = np.arange(WINDOW)
+    for k in range(0, len(checked), 20_000):
+        u, v = x[checked[k : k + 20_000]], y[checked[k : k + 20_000]]
+        equal[k : k + 20_000] = (text[item[u][:, None], start[u][:, None] + along] == text[item[v][:, None], start[v][:, None] + along]).all(axis=1)
+    wrong = checked[~equal]
+    classes = np.cumsum(np.r_[True, ~same]) - 1
+    if len(wrong):  # two strings of one hash: the groups concerned are told apart by their bytes
+        bad = np.isin(group[order], group[x[wrong]])
+        names: dict[tuple[int, bytes], int] = {}
+        for k in np.flatnonzero(bad):
+            s = order[k]
+            classes[k] = len(order) + names.setdefault((int(group[s]), text[item[s], start[s] : start[s] + WINDOW].tobytes()), len(names))
+    _, classes = np.unique(classes, return_inverse=True)
+    least = np.full(classes.max() + 1, _NO_ID)
+    np.minimum.at(least, classes, doc[item[order]])
+    gone = least[classes] < doc[item[order]]
+    np.bitwise_or.at(masks, item[order][gone], np.int64(1) << start[order][gone])
     return masks
 
 
