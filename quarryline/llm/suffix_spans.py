@@ -10,6 +10,8 @@ order in a logarithmic number of steps. Neighbours that share a whole window are
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -124,9 +126,15 @@ def group_of(values: np.ndarray, groups: int) -> np.ndarray:
 
 
 def opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The bytes, ends and ids of a block."""
+    """The bytes, ends and ids of a block's documents, without those that are copies of another."""
     data = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["texts"]), np.uint8)
     ends, ids = unpacked(row["docs"], 2)
+    copies = row.get("copies")
+    if copies:
+        stays = np.ones(len(ids), bool)
+        stays[copies] = False
+        sizes = np.diff(np.r_[0, ends])
+        data, ids, ends = data[np.repeat(stays, sizes)], ids[stays], np.cumsum(sizes[stays])
     return data, ends, ids
 
 
@@ -137,7 +145,9 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 
 def blocks(docs: DataFrame) -> DataFrame:
-    """Documents in blocks of about BLOCK_BYTES: (block, docs, texts), both packed; in the shared folder."""
+    """Documents in blocks of about BLOCK_BYTES: (block, docs, texts), both packed. They are kept as a table bucketed by
+    block, as many buckets as shuffles have partitions, so that what is learned of a block later joins it where it lies."""
+    spark = docs.sparkSession
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,10 +155,29 @@ def blocks(docs: DataFrame) -> DataFrame:
                 texts = [(t or "").encode() for t in part.column(1).to_pylist()]
                 ids = np.array([_NO_ID if i is None else i for i in part.column(0).to_pylist()], np.int64)
                 ends = np.cumsum([len(t) for t in texts])
-                yield pa.RecordBatch.from_pydict({"docs": [packed(ends, ids)], "texts": [zstandard.ZstdCompressor(level=3).compress(b"".join(texts))]})
+                yield pa.RecordBatch.from_pydict({"docs": [packed(ends, ids)], "texts": [zstandard.ZstdCompressor(level=6).compress(b"".join(texts))]})
 
     packed_docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pack, "docs binary, texts binary")
-    return materialize(packed_docs.withColumn("block", F.monotonically_increasing_id()))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"blocks_{uuid.uuid4().hex}"
+    packed_docs.withColumn("block", F.monotonically_increasing_id()).repartition(buckets, "block").write.bucketBy(buckets, "block").option("compression", "none").saveAsTable(name)
+    return spark.table(name)
+
+
+def copies(packed_docs: DataFrame) -> DataFrame:
+    """(block, copies): the places in each block of documents that a document with a smaller id equals as a whole. They
+    take no part in the search, for it has the other; all of their bytes go if they hold a window."""
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            data, ends, ids = opened(row)
+            raw, starts = data.tobytes(), np.r_[0, ends[:-1]].tolist()
+            names = [hashlib.sha256(raw[a:b]).digest() for a, b in zip(starts, ends.tolist(), strict=True)]
+            yield pa.RecordBatch.from_pydict({"block": pa.array([row["block"]] * len(ids), pa.int64()), "place": pa.array(range(len(ids)), pa.int32()), "id": pa.array(ids), "digest": pa.array(names, pa.binary())})
+
+    named = materialize(packed_docs.mapInArrow(digests, "block long, place int, id long, digest binary"))
+    first = named.groupBy("digest").agg(F.min("id").alias("first"))
+    return named.join(first, "digest").where("id > first").groupBy("block").agg(F.collect_list("place").alias("copies"))
 
 
 def owners(places: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -242,7 +271,7 @@ def contexts(packed_docs: DataFrame, masks: DataFrame, groups: int) -> DataFrame
             for r in out:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0]], pa.int32()), pa.array([r[1]], pa.int64()), *[pa.array([x], pa.binary()) for x in r[2:]]], ["grp", "block", "anchors", "bytes", "local"])
 
-    joined = packed_docs.join(told, "block").select("block", "docs", "texts", "masks")
+    joined = packed_docs.join(told, "block").select("block", "docs", "texts", "copies", "masks")
     return joined.mapInArrow(send, "grp int, block long, anchors binary, bytes binary, local binary")
 
 
@@ -335,32 +364,44 @@ def repeated(hashes: np.ndarray, doc: np.ndarray, offset: np.ndarray, windows: n
     row = np.repeat(np.arange(n), size)
     text[row, np.arange(len(flat)) - at[row]] = flat
     _, kind = np.unique(hashes, return_inverse=True)
-    masks = np.zeros(n, np.int64)
-    # anchors whose surroundings are all alike need no sorting: the smallest document keeps them
-    order = np.lexsort((doc, kind))
-    smallest = np.full(kind.max() + 1, _NO_ID)
-    np.minimum.at(smallest, kind, doc)
-    lead = np.empty(kind.max() + 1, np.int64)
-    lead[kind[order[::-1]]] = order[::-1]
-    differs = (text != text[lead[kind]]).any(axis=1) | (offset != offset[lead[kind]]) | (windows != windows[lead[kind]])
-    mixed = np.bincount(kind, differs) > 0
-    plain = ~mixed[kind] & (doc > smallest[kind])
-    masks[plain] = (np.int64(1) << windows[plain]) - 1
-    who = np.flatnonzero(mixed[kind])
-    who = who[np.argsort(kind[who], kind="stable")]
+    # equal surroundings of one kind are one, with its smallest document; equality is of bytes, as hashes can collide
+    content = np.empty(n, np.uint64)
+    for k in range(0, n, 8192):
+        content[k : k + 8192] = (_BYTE[text[k : k + 8192]] * POWERS[:wide]).sum(axis=1, dtype=np.uint64)
+    order = np.lexsort((doc, windows, offset, content, kind))
+    x, y = order[:-1], order[1:]
+    same = (kind[x] == kind[y]) & (content[x] == content[y]) & (offset[x] == offset[y]) & (windows[x] == windows[y])
+    for k in range(0, n, 8192):
+        same[k : k + 8192] &= (text[x[k : k + 8192]] == text[y[k : k + 8192]]).all(axis=1)
+    first = np.r_[True, ~same]
+    lead = order[first]
+    leader = np.empty(n, np.int64)
+    leader[order] = np.cumsum(first) - 1
+    smallest = np.full(len(lead), _NO_ID)
+    np.minimum.at(smallest, leader, doc)
+    # of kinds with several surroundings the windows are compared, of the others not
+    least = np.repeat(smallest[:, None], WINDOW - GRAM + 1, axis=1)
+    kinds = kind[lead]
+    many = np.flatnonzero(np.bincount(kinds)[kinds] > 1)
     at = 0
-    while at < len(who):
-        end = min(len(who), at + SORTED)
-        end = int(np.searchsorted(kind[who], kind[who[end - 1]], "right"))  # a kind stays together
-        part = who[at:end]
-        masks[part] = sorted_repeats(text[part], kind[part], doc[part], offset[part], windows[part])
+    while at < len(many):
+        end = min(len(many), at + SORTED)
+        end = int(np.searchsorted(kinds[many], kinds[many[end - 1]], "right"))  # a kind stays together
+        part = many[at:end]
+        rows = lead[part]
+        least[part] = smallest_documents(text[rows], kind[rows], smallest[part], offset[rows], windows[rows])
         at = end
+    along = np.arange(WINDOW - GRAM + 1)
+    masks = np.zeros(n, np.int64)
+    for k in range(0, n, 8192):
+        gone = (least[leader[k : k + 8192]] < doc[k : k + 8192, None]) & (along < windows[k : k + 8192, None])
+        masks[k : k + 8192] = (gone * (np.int64(1) << along)).sum(axis=1)
     return masks
 
 
-def sorted_repeats(text: np.ndarray, kind: np.ndarray, doc: np.ndarray, offset: np.ndarray, windows: np.ndarray) -> np.ndarray:
-    """As repeated(), by sorting the suffixes that start at the windows: those of one kind of anchor at one place."""
-    masks = np.zeros(len(text), np.int64)
+def smallest_documents(text: np.ndarray, kind: np.ndarray, doc: np.ndarray, offset: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """The smallest document that has each window of each anchor, by sorting the suffixes that start at the windows:
+    those of one kind of anchor at one place."""
     item = np.repeat(np.arange(len(text)), windows)
     start = np.arange(len(item)) - np.repeat(np.cumsum(windows) - windows, windows)
     group = kind[item] * text.shape[1] + (offset[item] - start)
@@ -387,9 +428,9 @@ def sorted_repeats(text: np.ndarray, kind: np.ndarray, doc: np.ndarray, offset:
     _, classes = np.unique(classes, return_inverse=True)
     least = np.full(classes.max() + 1, _NO_ID)
     np.minimum.at(least, classes, doc[item[order]])
-    gone = least[classes] < doc[item[order]]
-    np.bitwise_or.at(masks, item[order][gone], np.int64(1) << start[order][gone])
-    return masks
+    out = np.repeat(doc[:, None], WINDOW - GRAM + 1, axis=1)
+    out[item[order], start[order]] = least[classes]
+    return out
 
 
 def repeated_windows(sent: DataFrame) -> DataFrame:
@@ -427,7 +468,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     packed_docs = blocks(docs)
     groups = max(1, -(-packed_docs.count() * BLOCK_BYTES // 12 // GROUP))
-    masks = shared_anchors(packed_docs, groups)
+    packed_docs = packed_docs.join(materialize(copies(packed_docs)), "block", "left")
+    masks = materialize(shared_anchors(packed_docs, groups))
     found = repeated_windows(contexts(packed_docs, masks, groups)).groupBy("block").agg(F.collect_list("found").alias("found"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -447,9 +489,20 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 removed = int(part.sum())
                 spans = int(part[0]) + int((part[1:] & ~part[:-1]).sum()) if removed else 0
                 out.append((None if i == _NO_ID else i, b - a, removed, spans, data[a:b][~part].tobytes() if removed else data[a:b].tobytes()))
+            if row["copies"]:
+                ends, ids = unpacked(row["docs"], 2)
+                sizes = np.diff(np.r_[0, ends])
+                for k in row["copies"]:
+                    n, i = int(sizes[k]), int(ids[k])
+                    whole = n >= WINDOW
+                    kept = b""
+                    if n and not whole:
+                        raw = zstandard.ZstdDecompressor().decompress(row["texts"])
+                        kept = raw[int(ends[k]) - n : int(ends[k])]
+                    out.append((None if i == _NO_ID else i, n, n if whole else 0, int(whole), kept))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    whole = packed_docs.join(found, "block", "left").select("docs", "texts", "found")
+    whole = packed_docs.join(found, "block", "left").select("docs", "texts", "copies", "found")
     return whole.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
