@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..operators import metrics as M
 from ..session import load
 
-FAILED = F.col("event_type") == "error"
 _ev = lambda s, d: load(s, d, "events")
 
 QUERIES = {
