@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters of text that are split into words at once.
 BLOCK_CHARS = 1_000_000
+#: Bytes of a prefix up to which its encoding is kept on the way down; of longer ones only the last token is.
+KEPT_DEPTH = 64
 #: Words whose encodings a Python worker keeps.
 KEPT_WORDS = 300_000
 
@@ -158,20 +160,27 @@ class TrieEncoder:
                     at = grown[key] = self._next(key >> 8, key & 255)
                 state.append(at)
                 for token, length in ends[at]:
-                    if length == end:
-                        last.append(token)
-                        encoded.append(token.to_bytes(4, "little"))
-                        break
-                    pair = last[end - length] << 32 | token
-                    fits = border.get(pair)
-                    if joins(pair) if fits is None else fits:
-                        last.append(token)
+                    if length < end:
+                        pair = last[end - length] << 32 | token
+                        fits = border.get(pair)
+                        if not (joins(pair) if fits is None else fits):
+                            continue
+                    last.append(token)
+                    if end <= KEPT_DEPTH:
                         encoded.append(encoded[end - length] + token.to_bytes(4, "little"))
-                        break
-            out[word] = encoded[-1]
+                    break
+            out[word] = encoded[-1] if len(raw) <= KEPT_DEPTH else self._walked_back(last, encoded)
             before = raw
         return out
 
+    def _walked_back(self, last: list[int], encoded: list[bytes]) -> bytes:
+        """The encoding of a long prefix, from its last token back to the part that is kept."""
+        end, tail = len(last) - 1, []
+        while end > KEPT_DEPTH:
+            tail.append(last[end])
+            end -= int(self.raw.sizes[last[end]])
+        return encoded[end] + np.array(tail[::-1], np.int32).tobytes()
+
     def pieces(self, text: str) -> list[str]:
         return [w for k, part in enumerate(self.special_split.split(text) if self.special_split else [text]) for w in ([part] if k % 2 else self.words.findall(part))]
 

@@ -67,17 +67,19 @@ class Parser:
         self.tables = [self._table(suffix_automaton(samples[x]), known) for x in self.langs]
 
     def _table(self, moves: list[dict[int, int]], known: list[int]) -> np.ndarray:
-        """For a state's row and a byte's class: the next row's start times two, plus one if a phrase ends."""
+        """For a state's row and a byte's class: the next row's start times four, plus the number of phrases that end: the
+        open one where it can't go on, and that of a byte in no sample, which is a phrase by itself."""
         at = {b: k + 1 for k, b in enumerate(known)}
-        fresh = np.ones(self.wide, np.int32)
+        fresh = np.full(self.wide, 2, np.int32)
         for b, to in moves[0].items():
-            fresh[at[b]] = 2 * to * self.wide + 1
+            fresh[at[b]] = 4 * to * self.wide + 1
         table = np.tile(fresh, (len(moves), 1))
         for s, out in enumerate(moves):
             for b, to in out.items():
-                table[s, at[b]] = 2 * to * self.wide
-        # at the start no phrase is open, so none ends there but the one of an unknown byte
-        table[:, -1] = 2 * np.arange(len(moves)) * self.wide
+                table[s, at[b]] = 4 * to * self.wide
+        # at the start no phrase is open
+        table[0] -= table[0] % 4 > 0
+        table[:, -1] = 4 * np.arange(len(moves)) * self.wide
         return table.ravel()
 
     def phrases(self, texts: list[bytes]) -> np.ndarray:
@@ -107,8 +109,8 @@ class Parser:
                 for row in grid:
                     at += row
                     found = table.take(at)
-                    count += found & 1
-                    at = found >> 1
+                    count += found & 3
+                    at = found >> 2
                 count += at > 0
                 out[:, n] += np.bincount(owner[part], count, len(texts)).astype(np.int64)
         return out

@@ -47,8 +47,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float
 
 
 def fit_lengths(lengths: list[int], counts: list[int], budget: int) -> list[int]:
-    """How many documents of each length to take, at most `counts`, so that the words come as near to `budget` from
-    below as they can: proportionally, then by the largest that fit, then exactly for the last FITTED words or so."""
+    """How many documents of each length to take, at most `counts`, so that the words come as near to `budget` as they
+    can: proportionally, then by the largest that fit, then exactly for the last FITTED words or so."""
     total = sum(n * c for n, c in zip(lengths, counts, strict=True))
     if total <= budget:
         return list(counts)
@@ -78,14 +78,19 @@ def fit_lengths(lengths: list[int], counts: list[int], budget: int) -> list[int]
         if not before >> made & 1:
             take[i] += n
             made -= n * lengths[i]
+    # where few documents are left to choose from, one more may come nearer than one too few
+    short = budget - sum(n * t for n, t in zip(lengths, take, strict=True))
+    spare = [i for i in reversed(order) if take[i] < counts[i] and lengths[i] > 0]
+    if spare and abs(lengths[spare[0]] - short) < short:
+        take[spare[0]] += 1
     return take
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 11) -> DataFrame:
     """How often each document is taken: doc_id, size, source, source_size, target, copies, taken (copies * size).
 
-    size is the number of words. A document is taken at most `most` times; a source's taken words are at its target or
-    below it by what its lengths can't make up. Rows stay one for one; repeats and null ids are rows like others, a null
+    size is the number of words. A document is taken at most `most` times; a source's taken words are at its target
+    but for what its lengths can't make up. Rows stay one for one; repeats and null ids are rows like others, a null
     source is a source; an empty table gives no rows; other columns aren't returned. Null or empty texts have size 0 and
     are taken as often as the source is taken whole. Reruns agree: the choice follows from a seeded hash of doc_id.
     """
