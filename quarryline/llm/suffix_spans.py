@@ -361,8 +361,11 @@ def repeated(hashes: np.ndarray, doc: np.ndarray, offset: np.ndarray, windows: n
     wide = 2 * WINDOW - GRAM
     text = np.zeros((n, wide), np.uint8)
     at = np.cumsum(size) - size
-    row = np.repeat(np.arange(n), size)
-    text[row, np.arange(len(flat)) - at[row]] = flat
+    for k in range(0, n, 8192):  # an index of all bytes at once would take many times their room
+        some = size[k : k + 8192]
+        row = np.repeat(np.arange(k, k + len(some)), some)
+        along = np.arange(at[k], at[k] + some.sum())
+        text[row, along - at[row]] = flat[along]
     _, kind = np.unique(hashes, return_inverse=True)
     # equal surroundings of one kind are one, with its smallest document; equality is of bytes, as hashes can collide
     content = np.empty(n, np.uint64)
