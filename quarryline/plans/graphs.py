@@ -9,7 +9,8 @@ from ..session import load
 
 
 def edges(s, d):
-    """Foreign keys as edges; lines join suppliers and parts, each pair once."""
+    """Foreign keys as edges over an id subset: customers of the first ten nations and suppliers of the first five, as in the
+    SQL of the queries below. `whole_edges` has all of them and the lines."""
     key = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
     out = load(s, d, "nation").select(key("nation", "n_nationkey").alias("src"), key("region", "n_regionkey").alias("dst"))
     out = out.unionByName(load(s, d, "customer").where("c_nationkey < 10").select(key("customer", "c_custkey").alias("src"), key("nation", "c_nationkey").alias("dst")))
@@ -21,6 +22,25 @@ def nodes(s, d):
     return one("region", "r_regionkey", "region").unionByName(one("nation", "n_nationkey", "nation")).unionByName(one("customer", "c_custkey", "customer")).unionByName(one("supplier", "s_suppkey", "supplier"))
 
 
+def whole_edges(s, d):
+    """All foreign keys as edges; lines join suppliers and parts, each pair once."""
+    key = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    out = load(s, d, "nation").select(key("nation", "n_nationkey").alias("src"), key("region", "n_regionkey").alias("dst"))
+    out = out.unionByName(load(s, d, "customer").select(key("customer", "c_custkey").alias("src"), key("nation", "c_nationkey").alias("dst")))
+    out = out.unionByName(load(s, d, "supplier").select(key("supplier", "s_suppkey").alias("src"), key("nation", "s_nationkey").alias("dst")))
+    lines = load(s, d, "lineitem").select(key("supplier", "l_suppkey").alias("src"), key("part", "l_partkey").alias("dst"))
+    return out.unionByName(lines.where("src IS NOT NULL AND dst IS NOT NULL").distinct()).where("src IS NOT NULL AND dst IS NOT NULL")
+
+
+def whole_nodes(s, d):
+    part = load(s, d, "part").select(F.concat(F.lit("part"), F.col("p_partkey").cast("string")).alias("node"), F.lit("part").alias("type"))
+    return nodes(s, d).unionByName(part)
+
+
+def whole_labels(s, d):
+    return G.components(whole_nodes(s, d), whole_edges(s, d))
+
+
 def labels(s, d):
     return G.components(nodes(s, d), edges(s, d))
 
@@ -55,6 +75,17 @@ QUERIES = {
     "graph_degree": lambda s, d: G.degree(edges(s, d)),
     "graph_relevance": lambda s, d: G.relevance(G.reports(labels(s, d), nodes(s, d), edges(s, d)), ["nation1", "customer", "region"], F.col("names"), F.col("size")).select("component", "relevance"),
 }
+# the same over all nodes and edges, without SQL: tests compare them with brute force
+QUERIES |= {
+    "graph_whole_components": whole_labels,
+    "graph_whole_communities": lambda s, d: G.communities(whole_labels(s, d)),
+    "graph_whole_type_counts": lambda s, d: G.type_counts(whole_labels(s, d), whole_nodes(s, d)),
+    "graph_whole_inner_edges": lambda s, d: G.inner_edges(whole_labels(s, d), whole_edges(s, d)),
+    "graph_whole_reports": lambda s, d: G.reports(whole_labels(s, d), whole_nodes(s, d), whole_edges(s, d)),
+    "graph_whole_k_hop": lambda s, d: G.k_hop(_start(s, d), whole_edges(s, d)),
+    "graph_whole_incident_edges": lambda s, d: G.incident_edges(whole_edges(s, d), _start(s, d)).select("src", "dst"),
+    "graph_whole_degree": lambda s, d: G.degree(whole_edges(s, d)),
+}
 
 _E = "e AS (SELECT 'nation' || n_nationkey AS src, 'region' || n_regionkey AS dst FROM nation UNION ALL SELECT 'customer' || c_custkey, 'nation' || c_nationkey FROM customer WHERE c_nationkey < 10 UNION ALL SELECT 'supplier' || s_suppkey, 'nation' || s_nationkey FROM supplier WHERE s_nationkey < 5), n AS (SELECT 'region' || r_regionkey AS node, 'region' AS type FROM region UNION ALL SELECT 'nation' || n_nationkey, 'nation' FROM nation UNION ALL SELECT 'customer' || c_custkey, 'customer' FROM customer UNION ALL SELECT 'supplier' || s_suppkey, 'supplier' FROM supplier)"
 # every edge of these tables leads towards a region, so a node's tree is the set of nodes with its root

@@ -16,6 +16,11 @@ def _asked(s, d):
     return load(s, d, "conversations").where("role = 'user'").withColumn("id", F.concat_ws("-", "conv_id", "turn"))
 
 
+def _whole_key():
+    """The whole normalised question (question_cache takes its first eight characters, as its SQL does)."""
+    return F.md5(F.lower(F.trim("text")))
+
+
 QUERIES = {
     "text_clean": lambda s, d: _doc(s, d).select("doc_id", F.md5(T.clean(F.col("text"))).alias("cleaned")),
     "text_statistics": lambda s, d: T.statistics(_doc(s, d), "doc_id", "text"),
@@ -39,6 +44,7 @@ QUERIES = {
     "question_patterns": lambda s, d: _asked(s, d).groupBy(Q.pattern_key(F.col("text")).alias("pattern")).agg(F.count("*").alias("n")),
     "question_top": lambda s, d: _asked(s, d).groupBy(F.substring(F.trim(F.lower("text")), 1, 100).alias("query")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "query").limit(10),
     "question_cache": lambda s, d: Q.cached(_asked(s, d).select("id", F.md5(F.substring("text", 1, 8)).alias("key"), (F.col("conv_id") * 10).alias("at")), load(s, d, "conversations").where("role = 'user'").select(F.md5(F.substring("text", 1, 8)).alias("key"), (F.col("conv_id") * 10 - 5).alias("cached_at"), F.md5("text").alias("answer")), 300),
+    "question_cache_whole": lambda s, d: Q.cached(_asked(s, d).select("id", _whole_key().alias("key"), (F.col("conv_id") * 10).alias("at")), load(s, d, "conversations").where("role = 'user'").select(_whole_key().alias("key"), (F.col("conv_id") * 10 - 5).alias("cached_at"), F.md5("text").alias("answer")), 300),
     "answer_confidence": lambda s, d: _asked(s, d).select("id", *[F.round(Q.answer_confidence(k, F.lit(0.6), F.least(F.length("text") / 500, F.lit(1.0)), F.col("turn")), 6).alias(k) for k in ("global", "entity", "relation")]),
     "response_quality": lambda s, d: _pairs(s, d),
 }
@@ -96,6 +102,7 @@ ORACLES = {
     "question_patterns": f"SELECT concat_ws('+', CASE WHEN length(text) < 50 THEN 'short' WHEN length(text) < 200 THEN 'medium' ELSE 'long' END, {', '.join(f'CASE WHEN contains(lower(text), {chr(39)}{w}{chr(39)}) THEN {chr(39)}{w}{chr(39)} END' for w in ('what', 'how', 'why', 'where'))}) AS pattern, count(*) AS n FROM {_ASKED} GROUP BY 1",
     "question_top": f"SELECT substring(trim(lower(text), ' '), 1, 100) AS query, count(*) AS n FROM {_ASKED} GROUP BY 1 ORDER BY n DESC, query LIMIT 10",
     "question_cache": f"SELECT q.id, arg_max(md5(c.text), c.conv_id * 10 - 5) AS answer FROM {_ASKED} q JOIN conversations c ON c.role = 'user' AND substring(c.text, 1, 8) = substring(q.text, 1, 8) AND c.conv_id * 10 - 5 <= q.conv_id * 10 AND c.conv_id * 10 - 5 > q.conv_id * 10 - 300 GROUP BY 1",
+    "question_cache_whole": f"SELECT q.id, arg_max(md5(c.text), c.conv_id * 10 - 5) AS answer FROM {_ASKED} q JOIN conversations c ON c.role = 'user' AND lower(trim(c.text, ' ')) = lower(trim(q.text, ' ')) AND c.conv_id * 10 - 5 <= q.conv_id * 10 AND c.conv_id * 10 - 5 > q.conv_id * 10 - 300 GROUP BY 1",
     "answer_confidence": f"SELECT id, round(least(1, 0.24::double + 0.3::double * z + least(turn / 5, 0.3::double)), 6) AS global, round(least(1, 0.3::double + 0.3::double * z + least(turn / 10, 0.2::double)), 6) AS entity, round(least(1, 0.36::double + least(turn / 10, 0.4::double)), 6) AS relation FROM (SELECT *, least(length(text) / 500, 1) AS z FROM {_ASKED})",
     "response_quality": "SELECT a.conv_id, a.turn, round(CASE WHEN trim(b.text) = '' THEN 0 ELSE 0.4::double * least(1, length(b.text) / greatest(1, 0.5::double * length(a.text))) + 0.6::double * least(1, len(regexp_extract_all(b.text, '[一-鿿]')) / greatest(1, 0.3::double * length(b.text))) END, 6) AS quality FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant'",
 }
