@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
+_LABEL = r"(?i:password|passwd|secret|api[_-]?key|token)[\"']?\h*+[=:]\h*+[\"']?"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 #: Type and pattern, in order of preference where several match at one place. All start where a word does, and runs give
 #: nothing back, so the time grows with the text.
@@ -22,7 +23,7 @@ TYPES = {
     "ssn": r"(?=\d)(?<!-)\d{3}-\d{2}-\d{4}(?![\w-])",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "phone": r"(?=[\d+(])(?<![+(])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,4}\)[ .-]?|\d{2,4}[ .-])\d{2,4}[ .-]?\d{2,4}(?:[ .-]?\d{2,4})?|\+\d{7,15})(?!\w)",
-    "secret": r"(?=[PpSsAaTt])(?i:password|passwd|secret|api[_-]?key|token)[=:] ?[\"']?[^\s\"']{6,}|AKIA[A-Z0-9]{16}(?!\w)|[0-9a-f]{32,64}(?!\w)",
+    "secret": rf"(?=[PpSsAaTt]){_LABEL}[^\s\"']{{6,}}|AKIA[A-Z0-9]{{16}}(?!\w)|[0-9A-Fa-f]{{32,64}}(?!\w)",
     "name": r"(?=[MDHFSГ])(?:Mr|Mrs|Ms|Miss|Dr|Herr|Frau|Señora|Señor|Sra|Sr|Monsieur|Madame|Mme|Господин|Госпожа)\.? \p{Lu}\p{L}++(?:[ -]\p{Lu}\p{L}++){0,2}",
 }
 PATTERN = r"(?<![\p{L}\w])(?:" + "|".join(TYPES.values()) + ")"
@@ -43,12 +44,13 @@ def kind_of(found: Column) -> Column:
 
 def canonical(found: Column, kind: Column) -> Column:
     """What is one entity: case and separators aside where the type has none that matter. Of a named secret the value
-    counts, of a titled name all but the title."""
+    counts, a hexadecimal one in either case, of a titled name all but the title."""
+    value = F.regexp_replace(found, f"^{_LABEL}", "")
     digits = F.regexp_replace(found, r"[^\p{L}\p{N}]", "")
     return (
         F.when(kind == "email", F.lower(found))
         .when(kind.isin("card", "ssn", "iban", "phone"), digits)
-        .when(kind == "secret", F.regexp_extract(found, r"([^\s\"'=:]+)$", 1))
+        .when(kind == "secret", F.when(value.rlike("^[0-9A-Fa-f]{32,}$"), F.lower(value)).otherwise(value))
         .when(kind == "name", F.regexp_replace(found, r"^\S+ ", ""))
         .otherwise(found)
     )
@@ -142,7 +144,11 @@ def surrogate(found: Column, kind: Column, entity: Column, attempt: Column, hexe
     country = F.length(F.regexp_extract(found, r"^(\+\d{1,3}(?=[ .(-]))?", 1))
     phone = F.concat(F.substr(found, F.lit(1), country), refilled(F.substr(found, country + 1), scrambled(F.substr(entity, F.greatest(F.lit(1), country)), hexes)))
     label = F.substr(found, F.lit(1), F.length(found) - F.length(entity))
-    secret = F.when(entity.rlike("^[0-9a-f]{32,}$"), F.substr(hexes, F.lit(1), F.length(entity))).when(entity.rlike("^AKIA"), scrambled(entity, hexes, 4)).otherwise(scrambled(entity, hexes))
+    value = F.substr(found, F.length(label) + 1)
+    filled = F.substr(hexes, F.lit(1), F.length(entity))
+    mixed = F.array_join(F.zip_with(F.split(value, ""), F.split(filled, ""), lambda v, h: F.when(v.rlike("[A-F]"), F.upper(h)).otherwise(h)), "")
+    hexadecimal = F.when(~value.rlike("[A-F]"), filled).when(~value.rlike("[a-f]"), F.upper(filled)).otherwise(mixed)
+    secret = F.when(entity.rlike("^[0-9a-f]{32,}$"), hexadecimal).when(entity.rlike("^AKIA"), scrambled(entity, hexes, 4)).otherwise(scrambled(entity, hexes))
     women, men = found.rlike(rf"^(?:{WOMEN})\b"), found.rlike(rf"^(?:{MEN})\b")
     title = F.regexp_extract(found, r"^(\S+ )", 1)
     bare = lambda p: F.regexp_replace(p, "[ -]$", "")

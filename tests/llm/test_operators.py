@@ -280,6 +280,20 @@ def test_surrogates(spark, docs, empty):
     assert pii_surrogates.replace_entities(docs).count() == len(rows()) and pii_surrogates.replace_entities(empty).count() == 0
 
 
+def test_surrogates_of_secrets_in_any_case_and_spacing(spark):
+    small, value = "9233a8ecf7c5b09f00112233445566778899aabb", "Zx9kQ2-wp"
+    big, mixed = small.upper(), small[:20].upper() + small[20:]
+    texts = [f'TOKEN = "{big}"', f"a {big} b", f"a {mixed} b", f"a {small} b", f"token = {value}", f"password : {value}", f"Secret:\t'{value}'", f"api_key={value}", f'"token": "{value}"', "password=abc:def=ghi==", "a token of thanks"]
+    out = {r.doc_id: r.text for r in pii_surrogates.replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    new = out[3].split()[1]
+    assert out[0] == f'TOKEN = "{new.upper()}"' and out[1] == f"a {new.upper()} b" and out[2].split()[1].lower() == new and out[2] != out[2].lower()
+    assert len(new) == 40 and new != small and set(new) <= set("0123456789abcdef")
+    labels = ["token = ", "password : ", "Secret:\t'", "api_key=", '"token": "']
+    assert all(out[4 + k].startswith(x) and value not in out[4 + k] for k, x in enumerate(labels))
+    assert len({out[4 + k].removeprefix(x).strip("\"'") for k, x in enumerate(labels)}) == 1
+    assert not any(x in out[9] for x in ("abc", "def", "ghi")) and out[10] == texts[10]
+
+
 def test_surrogates_stay_distinct(spark):
     # so many short numbers that some share their first replacement
     texts = [(i, f"call (0{i % 10}) {i // 10 % 100:02}-{i // 1000 % 100:02} now") for i in range(3000)]
