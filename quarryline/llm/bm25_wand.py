@@ -1,10 +1,11 @@
-"""Exact BM25 top-k search with block-max WAND pruning, shard by shard.
-
-A shard is a bounded run of documents. Its inverted index holds, for the terms that the queries name, the postings in
-document order, cut at fixed document ranges, and the largest contribution of each range. A query adds up the largest
-contributions by range: a range whose sum can't reach the k-th best score so far is skipped with all its documents; in
-the others the postings are added up in full. Document counts and lengths are those of the whole table, so the scores
-of all shards compare and their best are merged exactly.
+"""Exact BM25 top-k search with pruning by upper bounds, shard by shard.
+
+A shard is a bounded run of documents. Its inverted index holds, for the terms that the queries name, the postings by term
+and by document, and the largest contribution of each term. A query adds up the postings of its rarest terms first: what a
+document has so far bounds its score from below, so the k-th best of that is a floor, and the largest contributions of the
+terms to come bound it from above. Documents that can't reach the floor are dropped; once few are left, these alone are
+added up in full. Document counts and lengths are those of the whole table, so the scores of all shards compare and their
+best are merged exactly.
 """
 
 from __future__ import annotations
@@ -22,10 +23,10 @@ from .bpe_trie import in_blocks
 from .common import materialize
 
 K1, B = 1.2, 0.75
-#: Documents of a range of the index, and most documents and bytes of a shard.
-RANGE, SHARD_DOCS, SHARD_BYTES = 64, 8192, 32_000_000
-#: Queries that are sent to the tasks at once.
-QUERY_BLOCK = 8192
+#: Most documents and bytes of a shard.
+SHARD_DOCS, SHARD_BYTES = 8192, 32_000_000
+#: Queries, and terms of queries, that are sent to the tasks at once.
+QUERY_BLOCK, QUERY_TERMS = 8192, 2_000_000
 #: ASCII letters in lower case, digits and all bytes beyond ASCII are parts of terms; the rest separates them.
 _TERMS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
 
@@ -64,9 +65,9 @@ def corpus_statistics(docs: DataFrame) -> tuple[int, float, DataFrame]:
     return n, (total["length"] / n if n else 0.0), table.where("term IS NOT NULL").select("term", "df")
 
 
-def characteristic_terms(asking: DataFrame, n: int, df: DataFrame, most: int = 25, least_df: int = 2) -> DataFrame:
-    """A query for each document: the `most` terms of its whole text with the largest tf * idf that `least_df` documents
-    have at least: (query_id, terms array<struct<term, idf>>), rarest first. Documents without such terms have no query."""
+def characteristic_terms(asking: DataFrame, n: int, df: DataFrame, most: int | None = 25, least_df: int = 2) -> DataFrame:
+    """A query for each document: the `most` terms (None: all) of its whole text with the largest tf * idf that `least_df`
+    documents have at least: (query_id, terms array<struct<term, idf>>), rarest first. Documents without such terms have no query."""
     kind = asking.schema["doc_id"].dataType.simpleString()
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,7 +81,7 @@ def characteristic_terms(asking: DataFrame, n: int, df: DataFrame, most: int = 2
     idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = found.groupBy("query_id", "term").agg(F.max("tf").alias("tf")).join(df.where(F.col("df") >= least_df), "term").withColumn("idf", idf)
     best = W.partitionBy("query_id").orderBy((F.col("tf") * F.col("idf")).desc(), "term")
-    top = weighed.withColumn("place", F.row_number().over(best)).where(F.col("place") <= most)
+    top = weighed if most is None else weighed.withColumn("place", F.row_number().over(best)).where(F.col("place") <= most)
     return top.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("idf")).alias("order"), "term", "idf"))).alias("terms")).select("query_id", F.transform("terms", lambda t: F.struct(t["term"].alias("term"), t["idf"].alias("idf"))).alias("terms"))
 
 
@@ -93,40 +94,53 @@ class Shard:
         term, self.doc = np.divmod(pair, n)
         norm = K1 * (1 - B + B * np.array(lengths)[self.doc] / mean)
         self.impact = idf[term] * tf * (K1 + 1) / (tf + norm)
-        ranges = -(-n // RANGE)
-        cell = term * ranges + self.doc // RANGE
-        self.at = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, np.int64)
-        self.end = np.r_[self.at[1:], len(cell)] if len(cell) else self.at
-        self.top = np.maximum.reduceat(self.impact, self.at) if len(cell) else np.zeros(0)
-        self.range = cell[self.at] % ranges
-        self.cells = np.searchsorted(cell[self.at] // ranges, np.arange(len(idf) + 1))
-        self.ranges, self.n = ranges, n
+        self.at = np.searchsorted(term, np.arange(len(idf) + 1))
+        self.top = np.zeros(len(idf))
+        some = np.flatnonzero(np.diff(self.at))
+        self.top[some] = np.maximum.reduceat(self.impact, self.at[some]) if len(some) else 0.0
+        by_doc = np.argsort(self.doc, kind="stable")
+        self.doc_term, self.doc_impact = term[by_doc], self.impact[by_doc]
+        self.doc_at = np.searchsorted(self.doc[by_doc], np.arange(n + 1))
+        self.asked = np.zeros(len(idf), bool)
+        self.n = n
 
     def search(self, query: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
         """Places and scores of the documents that may be among the best k, of those that score `floor` at least."""
-        cells = np.concatenate([np.arange(self.cells[t], self.cells[t + 1]) for t in query]) if len(query) else np.zeros(0, np.int64)
-        bound = np.bincount(self.range[cells], self.top[cells], self.ranges) * (1 + 1e-9)
-        order = np.argsort(-bound, kind="stable")
-        docs, scores = np.zeros(0, np.int64), np.zeros(0)
-        step, at = 4, 0
-        while at < len(order) and bound[order[at]] > 0 and bound[order[at]] >= floor:
-            part = order[at : at + step]
-            part = part[(bound[part] > 0) & (bound[part] >= floor)]
-            at, step = at + step, step * 4
-            open_ = np.zeros(self.ranges, bool)
-            open_[part] = True
-            use = cells[open_[self.range[cells]]]
-            size = self.end[use] - self.at[use]
-            post = np.repeat(self.at[use] - np.cumsum(size) + size, size) + np.arange(size.sum())
-            total = np.bincount(self.doc[post], self.impact[post], self.n)
-            hit = np.flatnonzero(total)
-            docs, scores = np.r_[docs, hit], np.r_[scores, total[hit]]
-            if len(scores) > k:
-                least = np.partition(scores, -k)[-k]
-                keep = scores >= least
-                docs, scores, floor = docs[keep], scores[keep], max(floor, least)
-        keep = scores >= floor
-        return docs[keep], scores[keep]
+        sizes = self.at[query + 1] - self.at[query]
+        order = np.argsort(sizes, kind="stable")
+        order = order[sizes[order] > 0]
+        use, sizes = query[order], sizes[order]
+        upto = np.cumsum(sizes)
+        rest = np.r_[np.cumsum(self.top[use][::-1])[::-1], 0.0] * (1 + 1e-9)
+        part, found, at = np.zeros(self.n), np.arange(self.n), 0
+        bound = floor * (1 - 1e-9)
+        for share in (16, 8, 4, 2, 1):
+            end = int(np.searchsorted(upto, upto[-1] / share, side="right")) if len(use) else 0
+            if end > at:
+                post = spans(self.at[use[at:end]], sizes[at:end])
+                part += np.bincount(self.doc[post], self.impact[post], self.n)
+                at = end
+                if self.n > k:
+                    bound = max(bound, np.partition(part, self.n - k)[self.n - k] * (1 - 1e-9))
+            found = np.flatnonzero((part + rest[at] >= bound) & (part + rest[at] > 0))
+            if at == len(use) or (self.doc_at[found + 1] - self.doc_at[found]).sum() < upto[-1] - (upto[at - 1] if at else 0):
+                break
+        # those that are left in full, each in the order of terms, so that equal documents of all shards score the same
+        self.asked[query] = True
+        size = self.doc_at[found + 1] - self.doc_at[found]
+        post = spans(self.doc_at[found], size)
+        hit = self.asked[self.doc_term[post]]
+        scores = np.bincount(np.repeat(np.arange(len(found)), size)[hit], self.doc_impact[post[hit]], len(found))
+        self.asked[query] = False
+        if len(scores) > k:
+            floor = max(floor, np.partition(scores, -k)[-k])
+        keep = (scores > 0) & (scores >= floor)
+        return found[keep], scores[keep]
+
+
+def spans(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each first on, `size` of them, side by side."""
+    return np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
 
 
 def search(docs: DataFrame, queries: DataFrame, n: int, mean: float, k: int = 10) -> DataFrame:
@@ -138,23 +152,23 @@ def search(docs: DataFrame, queries: DataFrame, n: int, mean: float, k: int = 10
     """
     spark = docs.sparkSession
     queries = materialize(queries.withColumn("draw", F.pmod(F.xxhash64("query_id"), F.lit(1 << 40))))
-    asked = queries.count()
-    blocks = max(1, -(-asked // QUERY_BLOCK))
+    asked = queries.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("terms")).first()
+    blocks = max(1, -(-asked["n"] // QUERY_BLOCK), -(-asked["terms"] // QUERY_TERMS))
     kind = docs.schema["doc_id"].dataType.simpleString()
     query_kind = queries.schema["query_id"].dataType.simpleString()
     found = None
     for block in range(blocks):
-        rows = queries.where(F.col("draw") % blocks == block).select("query_id", "terms").collect()
-        place: dict[bytes, int] = {}
-        idf: list[float] = []
-        of: list[np.ndarray] = []
-        for r in rows:
-            for t in r["terms"]:
-                if t["term"].encode() not in place:
-                    place[t["term"].encode()] = len(idf)
-                    idf.append(t["idf"])
-            of.append(np.array([place[t["term"].encode()] for t in r["terms"]], np.int64))
-        sent = spark.sparkContext.broadcast(([r["query_id"] for r in rows], of, place, np.array(idf)))
+        rows = queries.where(F.col("draw") % blocks == block).select("query_id", "terms.term", "terms.idf").toArrow().combine_chunks()
+        ids, lists, idfs = (rows.column(c).combine_chunks() for c in range(3))
+        lists, idfs = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (lists, idfs))
+        coded = lists.flatten().dictionary_encode()
+        index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        idf = np.zeros(len(coded.dictionary))
+        idf[index] = idfs.flatten().to_numpy(zero_copy_only=False)
+        place = {t.encode(): i for i, t in enumerate(coded.dictionary.to_pylist())}
+        ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+        of = np.split(index, ends[:-1]) if len(ends) else []
+        sent = spark.sparkContext.broadcast((ids.to_pylist(), of, place, idf))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             names, of, place, idf = sent.value
@@ -195,8 +209,9 @@ def search(docs: DataFrame, queries: DataFrame, n: int, mean: float, k: int = 10
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
 
-def search_like(docs: DataFrame, asking: DataFrame, k: int = 10, most: int = 25) -> DataFrame:
-    """The documents most like each document of `asking`, by its characteristic terms (see there): the statistics and
-    the candidates are all of `docs`. A document is its own best hit as a rule."""
+def search_like(docs: DataFrame, asking: DataFrame, k: int = 10, most: int | None = 25, least_df: int = 2) -> DataFrame:
+    """The documents most like each document of `asking`, by its characteristic terms (see there; with most=None and
+    least_df=1 by all its terms): the statistics and the candidates are all of `docs`. A document is its own best hit as
+    a rule."""
     n, mean, df = corpus_statistics(docs)
-    return search(docs, characteristic_terms(asking, n, df, most), n, mean or 1.0, k)
+    return search(docs, characteristic_terms(asking, n, df, most, least_df), n, mean or 1.0, k)

@@ -39,7 +39,7 @@ def op9_mixture_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_bm25_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return bm25_wand.search_like(docs, docs.where(F.col("doc_id") % 50 == 0))
+    return bm25_wand.search_like(docs, docs.where(F.col("doc_id") % 50 == 0), most=None, least_df=1)
 
 
 def op6_vector_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
