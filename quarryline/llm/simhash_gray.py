@@ -9,6 +9,7 @@ leading part and drops a whole node once the differences that have accumulated o
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,30 +31,33 @@ SHINGLES = 65_536
 PAIRS = 1_000_000
 
 
-def fingerprint(text: str | None, words: int, wide: int = 1) -> bytes:
-    """The fingerprint of a text, of `wide` times 64 bits; 0 if it has no word. The first 64 are those of the shingles'
-    hashes, further ones those of the hashes mixed again."""
+def shingles_of(text: str | None, words: int) -> Iterator[np.ndarray]:
+    """The hashes of a text's shingles, repeats included, in blocks of at most SHINGLES; none if it has no word."""
     tokens = (text or "").encode().lower().split()
     if not tokens:
-        return bytes(8 * wide)
+        return
     joined = b" ".join(tokens)
     ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
     width = min(words, len(tokens))
     last = ends[width - 1 :].tolist()
     first = [0, *(ends[: len(last) - 1] + 1).tolist()]
     digest = xxhash.xxh64_digest
-    ones = np.zeros(64 * wide, np.int64)
     for k in range(0, len(last), SHINGLES):
-        shingles = b"".join([digest(joined[a:b], 42) for a, b in zip(first[k : k + SHINGLES], last[k : k + SHINGLES], strict=True)])
-        hashes = np.frombuffer(shingles, ">u8").astype(np.uint64)
-        for n in range(wide):
-            ones[64 * n : 64 * n + 64] += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-            if n + 1 < wide:
-                hashes = (hashes + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
-                hashes ^= hashes >> np.uint64(31)
-                hashes *= np.uint64(0x94D049BB133111EB)
-                hashes ^= hashes >> np.uint64(29)
-    return np.packbits(2 * ones > len(last)).tobytes()
+        found = b"".join([digest(joined[a:b], 42) for a, b in zip(first[k : k + SHINGLES], last[k : k + SHINGLES], strict=True)])
+        yield np.frombuffer(found, ">u8").astype(np.uint64)
+
+
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingles_of(text, words)])).view(np.int64)
+
+
+def fingerprint(text: str | None, words: int) -> bytes:
+    """The fingerprint of a text, 64 bits; 0 if it has no word."""
+    ones, n = np.zeros(64, np.int64), 0
+    for hashes in shingles_of(text, words):
+        n += len(hashes)
+        ones += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > n).tobytes() if n else bytes(8)
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -219,51 +223,109 @@ def simhash_components(docs: DataFrame, words: int = 3, limit: int = 3) -> DataF
     return marked.join(of, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Words of a wide fingerprint, and the bits of each table's key.
-WIDE, KEY_BITS = 8, 16
+#: Most of the frequent shingles that a task knows. They only order the shingles, which changes the time but no result.
+FREQUENT = 200_000
 
 
-def similar_groups(docs: DataFrame, words: int = 5, limit: int = 90, tables: int = 48) -> DataFrame:
+def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """Add component_id, the smallest doc_id of each document's group of near copies, to (doc_id, text).
 
-    Fingerprints have 512 bits here: texts with 0.8 of all their shingles in common differ in 78 of them on average, with
-    a deviation of 8, so `limit` takes in more than nine in ten of those and nearly all that are more alike; texts
-    without common shingles differ in 256. Each of the tables deals the fingerprints by KEY_BITS of their bits, picked by a fixed draw;
-    two fingerprints meet if one table's bits agree. In a table the Gray-order index compares them. Null texts and those
-    without words are one group. Rows stay one for one.
+    Texts are linked whose sets of shingles have a Jaccard similarity of `least` at the lowest; groups are what links
+    join. Exact: of the shingles in one order, rare ones first, two such texts have one in common among the first
+    n - ceil(least * n) + 1 of each (a prefix filter), and the similarity of every pair that could join two groups is
+    worked out from the whole texts. Texts of the same words count as one, so do null texts and those without words. Rows
+    stay one for one.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = [f"w{n}" for n in range(WIDE)]
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in in_blocks(batch, 4_000_000):
-                found = np.frombuffer(b"".join([fingerprint(t, words, WIDE) for t in block.column(1).to_pylist()]), ">i8").astype(np.int64).reshape(-1, WIDE)
-                yield pa.RecordBatch.from_arrays([block.column(0), *[pa.array(np.ascontiguousarray(c)) for c in found.T]], ["doc_id", *names])
+                keys = [xxhash.xxh3_128_digest(b" ".join((t or "").encode().lower().split())) for t in block.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([block.column(0), pa.array(keys, pa.binary()), block.column(1)], ["doc_id", "key", "text"])
 
-    marked = materialize(docs.select("doc_id", "text").mapInArrow(mark, f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names)))
-    distinct = materialize(marked.groupBy(*names).agg(F.min("doc_id").alias("least")).withColumn("uid", F.monotonically_increasing_id()))
-    draw = np.random.default_rng(17)
-    picks = [draw.choice(64 * WIDE, KEY_BITS, replace=False) for _ in range(tables)]
+    marked = docs.select("doc_id", "text").mapInArrow(mark, f"doc_id {kind}, key binary, text string")
+    distinct = materialize(marked.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("text").alias("text")).withColumn("uid", F.monotonically_increasing_id()))
+    texts = distinct.select("uid", "text")
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(k, 4096) for k in range(0, batch.num_rows, 4096)):
-                columns = [c.to_numpy() for c in part.columns]
-                bits = np.unpackbits(np.column_stack(columns[1:]).astype(">i8").view(np.uint8).reshape(part.num_rows, -1), axis=1)
-                for n, pick in enumerate(picks):
-                    key = np.packbits(bits[:, pick], axis=1).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(n << KEY_BITS | key[:, 0] << 8 | key[:, 1], pa.int32()), *part.columns], ["grp", "uid", *names])
-
-    dealt = distinct.select("uid", *names).mapInArrow(deal, "grp int, uid long, " + ", ".join(f"{n} long" for n in names))
-    dealt = dealt.repartition("grp").sortWithinPartitions("grp", gray_rank(F.col("w0")))
-
-    def edges(grp: np.ndarray, uid: np.ndarray, *codes: np.ndarray) -> pa.RecordBatch:
-        root = links(np.column_stack(codes).view(np.uint64), grp, limit) if len(grp) else np.arange(0)
-        joined = root != np.arange(len(root))
-        return pa.RecordBatch.from_arrays([pa.array(uid[joined]), pa.array(uid[root[joined]])], ["src", "dst"])
+            for t in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, words))], ["h"])
 
-    parts = connected_components(dealt.mapInArrow(lambda batches: whole_groups(batches, edges), "src long, dst long").distinct())
-    roots = distinct.join(parts, distinct.uid == parts.node, "left").select(*names, "least", F.coalesce("component", "uid").alias("root"))
-    least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked.join(roots.join(least, "root").select(*names, "component_id"), names).select("doc_id", "component_id")
+    sample = distinct.where(F.pmod(F.xxhash64("key"), F.lit(8)) == 0).select("text").mapInArrow(explode, "h long")
+    often = sample.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
+    known = np.array(sorted((r["h"], r["n"]) for r in often), np.int64).reshape(-1, 2)
+    sent = docs.sparkSession.sparkContext.broadcast(known)
+
+    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        for batch in batches:
+            for uid, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = shingle_set(t, words)
+                n = len(found)
+                if not n:
+                    continue
+                weight = np.zeros(n, np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known[:, 0], found), len(known) - 1)
+                    weight = np.where(known[at, 0] == found, known[at, 1], 0)
+                first = found[np.lexsort((found, weight))[: n - math.ceil(least * n - 1e-9) + 1]]
+                yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(np.full(len(first), uid)), pa.array(np.full(len(first), n))], ["h", "uid", "n"])
+
+    dealt = texts.mapInArrow(prefix, "h long, uid long, n long").repartition("h").sortWithinPartitions("h", "uid")
+
+    def meet(h: np.ndarray, uid: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        """Members of groups of two or more, each with the first of its group."""
+        starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+        sizes = np.diff(np.r_[starts, len(h)])
+        lead, some = np.repeat(starts, sizes), np.repeat(sizes, sizes) > 1
+        return pa.RecordBatch.from_arrays([pa.array(c[some]) for c in (h, uid, n, uid[lead], n[lead])], ["h", "uid", "n", "lead", "lead_n"])
+
+    members = materialize(dealt.mapInArrow(lambda batches: whole_groups(batches, meet), "h long, uid long, n long, lead long, lead_n long"))
+    alike = F.least("n", "lead_n") >= least * F.greatest("n", "lead_n") - 1e-9
+    stars = members.where(alike & (F.col("uid") != F.col("lead"))).select(F.col("lead").alias("src"), F.col("uid").alias("dst")).distinct()
+    links_ = verified(stars, texts, words, least)
+    # what the first members join needs no second look; in each group only pairs of different parts are left
+    parts = connected_components(links_)
+    rooted = members.join(parts, members.uid == parts.node, "left").select("h", F.coalesce("component", "uid").alias("root"), "uid", "n")
+
+    def across(h: np.ndarray, root: np.ndarray, uid: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+        for a, b in zip(starts, np.r_[starts[1:], len(h)], strict=True):
+            if (root[a:b] == root[a]).all():
+                continue
+            for i in range(a + 1, b):  # the first one, too: it may be too long or short for its group
+                j = a + np.flatnonzero((root[a:i] != root[i]) & (np.minimum(n[a:i], n[i]) >= least * np.maximum(n[a:i], n[i]) - 1e-9))
+                if len(j):
+                    yield pa.RecordBatch.from_arrays([pa.array(uid[j]), pa.array(np.full(len(j), uid[i]))], ["src", "dst"])
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in whole_groups(batches, across):
+            yield from found
+
+    # a pair that the first round has looked at isn't linked, or it would be in one part
+    pairs = rooted.repartition("h").sortWithinPartitions("h", "uid").mapInArrow(rest, "src long, dst long").distinct().join(stars, ["src", "dst"], "left_anti")
+    parts = connected_components(links_.unionByName(verified(pairs, texts, words, least)))
+    roots = distinct.join(parts, distinct.uid == parts.node, "left").select("key", "least", F.coalesce("component", "uid").alias("root"))
+    smallest = roots.groupBy("root").agg(F.min("least").alias("component_id"))
+    return marked.select("doc_id", "key").join(roots.join(smallest, "root").select("key", "component_id"), "key").select("doc_id", "component_id")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    """The pairs (src, dst) of uids whose texts' sets of shingles are alike by `least` or more."""
+    a, b = texts.select(F.col("uid").alias("src"), F.col("text").alias("a")), texts.select(F.col("uid").alias("dst"), F.col("text").alias("b"))
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, found = None, np.zeros(0, np.int64)
+        for batch in batches:
+            keep = []
+            for src, t, u in zip(*[batch.column(k).to_pylist() for k in (0, 2, 3)], strict=True):
+                if src != held:
+                    held, found = src, shingle_set(t, words)
+                other = shingle_set(u, words)
+                both = len(np.intersect1d(found, other, assume_unique=True))
+                keep.append(both >= least * (len(found) + len(other) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["src", "dst"]).filter(pa.array(keep, pa.bool_()))
+
+    return materialize(pairs.join(b, "dst").join(a, "src").select("src", "dst", "a", "b").mapInArrow(check, "src long, dst long"))
