@@ -27,15 +27,17 @@ from .common import materialize
 WINDOW, GRAM = 50, 26
 #: Bytes of text in a block of documents, and of those that are hashed at once.
 BLOCK_BYTES, HASHED_BYTES = 2_000_000, 250_000
-#: Anchors of a group in the first exchange.
+#: Anchors of a group in an exchange, on average.
 GROUP = 250_000
-#: Anchors whose windows are sorted at once.
+#: Anchors whose windows are sorted at once (those of one anchor string together).
 SORTED = 16_384
+#: Anchor strings of more places than this are hot: their windows are dealt by their own bytes, one by one.
+HOT = 8_192
 #: Bits of a hash by which anchors are first compared.
 BITS = 48
 _BASE = 0x9E3779B97F4A7C15
 _BYTE = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^ np.uint64(0xA0761D6478BD642F)
-#: A null id counts as larger than any other.
+#: A null id counts as the largest there is.
 _NO_ID = (1 << 63) - 1
 
 
@@ -73,10 +75,7 @@ def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
         longer = step.copy()
         longer[: len(step) - have] += step[have:] * np.uint64(pow(_BASE, have, 1 << 64))
         step, have = longer, have * 2
-    whole ^= whole >> np.uint64(32)
-    whole *= np.uint64(0xD6E8FEB86659FD93)
-    whole ^= whole >> np.uint64(29)
-    return whole
+    return mixed(whole)
 
 
 def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -117,6 +116,11 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def mixed(hashes: np.ndarray) -> np.ndarray:
+    hashes = (hashes ^ (hashes >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return hashes ^ (hashes >> np.uint64(29))
+
+
 def short(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - BITS)).astype(np.int64)
 
@@ -128,7 +132,7 @@ def group_of(values: np.ndarray, groups: int) -> np.ndarray:
 def opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The bytes, ends and ids of a block's documents, without those that are copies of another."""
     data = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["texts"]), np.uint8)
-    ends, ids = unpacked(row["docs"], 2)
+    ends, ids, _ = unpacked(row["docs"], 3)
     copies = row.get("copies")
     if copies:
         stays = np.ones(len(ids), bool)
@@ -144,22 +148,22 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
 
 
-def blocks(docs: DataFrame) -> DataFrame:
-    """Documents in blocks of about BLOCK_BYTES: (block, docs, texts), both packed. They are kept as a table bucketed by
-    block, as many buckets as shuffles have partitions, so that what is learned of a block later joins it where it lies."""
+def blocks(docs: DataFrame, name: str) -> DataFrame:
+    """Documents in blocks of about BLOCK_BYTES: (block, docs, texts), both packed. They are kept as a table `name` bucketed
+    by block, as many buckets as shuffles have partitions, so that what is learned of a block later joins it where it lies."""
     spark = docs.sparkSession
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in in_blocks(batch, BLOCK_BYTES):
                 texts = [(t or "").encode() for t in part.column(1).to_pylist()]
-                ids = np.array([_NO_ID if i is None else i for i in part.column(0).to_pylist()], np.int64)
+                given = part.column(0).to_pylist()
+                ids = np.array([_NO_ID if i is None else i for i in given], np.int64)
                 ends = np.cumsum([len(t) for t in texts])
-                yield pa.RecordBatch.from_pydict({"docs": [packed(ends, ids)], "texts": [zstandard.ZstdCompressor(level=6).compress(b"".join(texts))]})
+                yield pa.RecordBatch.from_pydict({"docs": [packed(ends, ids, np.array([i is not None for i in given]))], "texts": [zstandard.ZstdCompressor(level=6).compress(b"".join(texts))]})
 
     packed_docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pack, "docs binary, texts binary")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"blocks_{uuid.uuid4().hex}"
     packed_docs.withColumn("block", F.monotonically_increasing_id()).repartition(buckets, "block").write.bucketBy(buckets, "block").option("compression", "none").saveAsTable(name)
     return spark.table(name)
 
@@ -185,32 +189,36 @@ def owners(places: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def shared_anchors(packed_docs: DataFrame, groups: int) -> DataFrame:
-    """(block, grp, mask): which of the block's distinct anchor hashes of a group, in order, other documents have too."""
+    """(block, grp, mask): as bits, which of the block's distinct anchor hashes of a group, in order, other documents have
+    too, and then which of them are hot."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             data, ends, _ = opened(row)
             hashes, place, _, _ = anchors(data, ends)
+            if not len(hashes):  # no document of the block has a window
+                continue
             value, doc = short(hashes), owners(place, ends)
             order = np.lexsort((doc, value))
             value, doc = value[order], doc[order]
-            first = np.flatnonzero(np.r_[True, value[1:] != value[:-1]]) if len(value) else np.zeros(0, np.int64)
-            twice = doc[np.r_[first[1:], len(value)] - 1] != doc[first] if len(first) else np.zeros(0, bool)
+            first = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
+            last = np.r_[first[1:], len(value)]
+            twice, times = doc[last - 1] != doc[first], last - first
             value = value[first]
             grp = group_of(value, groups)
-            cut = np.flatnonzero(np.r_[True, grp[1:] != grp[:-1]]) if len(grp) else np.zeros(0, np.int64)
-            out = [(int(grp[a]), row["block"], packed(value[a:b], twice[a:b])) for a, b in zip(cut, np.r_[cut[1:], len(grp)], strict=True)]
+            cut = np.flatnonzero(np.r_[True, grp[1:] != grp[:-1]])
+            out = [(int(grp[a]), row["block"], packed(value[a:b], twice[a:b], times[a:b])) for a, b in zip(cut, np.r_[cut[1:], len(grp)], strict=True)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["grp", "block", "sent"])
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
-        got = [unpacked(b, 2) for b in group["sent"]]
-        value = np.concatenate([g[0] for g in got])
-        twice = np.concatenate([g[1] for g in got])
+        got = [unpacked(b, 3) for b in group["sent"]]
+        value, twice, times = (np.concatenate([g[k] for g in got]) for k in range(3))
         distinct, place, count = np.unique(value, return_inverse=True, return_counts=True)
         shared = ((count > 1) | (np.bincount(place, twice, len(distinct)) > 0))[place]
+        hot = (np.bincount(place, times, len(distinct)) > HOT)[place] & shared
         ends = np.cumsum([len(g[0]) for g in got])
-        masks = [np.packbits(shared[e - len(g[0]) : e]).tobytes() for g, e in zip(got, ends, strict=True)]
+        masks = [np.packbits(shared[e - len(g[0]) : e]).tobytes() + np.packbits(hot[e - len(g[0]) : e]).tobytes() for g, e in zip(got, ends, strict=True)]
         return pd.DataFrame({"block": group["block"], "grp": group["grp"], "mask": masks})
 
     sent = packed_docs.mapInArrow(send, "grp int, block long, sent binary")
@@ -229,16 +237,24 @@ def contexts(packed_docs: DataFrame, masks: DataFrame, groups: int) -> DataFrame
             value = short(hashes)
             distinct, where = np.unique(value, return_inverse=True)
             grp = group_of(distinct, groups)
-            bits = []
+            shared, hot = [], []
             for m in row["masks"]:
                 n = int(np.searchsorted(grp, m["grp"], "right") - np.searchsorted(grp, m["grp"]))
-                bits.append(np.unpackbits(np.frombuffer(m["mask"], np.uint8), count=n))
-            use = np.flatnonzero(np.concatenate(bits)[where] if bits else np.zeros(len(value)))
-            hashes, place, low, high, value = hashes[use], place[use], low[use], high[use], value[use]
+                bits = np.frombuffer(m["mask"], np.uint8)
+                shared.append(np.unpackbits(bits[: len(bits) // 2], count=n))
+                hot.append(np.unpackbits(bits[len(bits) // 2 :], count=n))
+            use = np.flatnonzero(np.concatenate(shared)[where])
+            hashes, place, low, high, value, hot = hashes[use], place[use], low[use], high[use], value[use], np.concatenate(hot)[where[use]] == 1
+            # a hot anchor's windows stand for themselves: each goes where its own bytes say, so no group has them all
+            times = np.where(hot, high - low + 1, 1)
+            of = np.repeat(np.arange(len(low)), times)
+            step = np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times)
+            hashes, place, value, hot, low, high = hashes[of], place[of], value[of], hot[of], low[of] + step, np.where(hot[of], low[of] + step, high[of])
             doc = ids[owners(place, ends)]
             length = high - low + WINDOW
             # equal surroundings of the block: the first by document stands for all
             text = text_hashes(data, low, length)
+            value = np.where(hot, short(mixed(text)), value)
             order = np.lexsort((low, doc, place - low, length, text, hashes))
             same = np.zeros(len(order), bool)
             if len(order) > 1:
@@ -355,17 +371,36 @@ class Suffixes:
 
 
 def repeated(hashes: np.ndarray, doc: np.ndarray, offset: np.ndarray, windows: np.ndarray, flat: np.ndarray) -> np.ndarray:
-    """For each anchor, as bits, which of its windows an anchor of a smaller document has too."""
-    n = len(hashes)
+    """For each anchor, as bits, which of its windows an anchor of a smaller document has too. Anchors are taken some
+    whole kinds (equal hashes) at a time, so what is laid out stays small."""
     size = windows + WINDOW - 1
-    wide = 2 * WINDOW - GRAM
-    text = np.zeros((n, wide), np.uint8)
     at = np.cumsum(size) - size
-    for k in range(0, n, 8192):  # an index of all bytes at once would take many times their room
+    order = np.argsort(hashes, kind="stable")
+    kinds = hashes[order]
+    masks = np.zeros(len(hashes), np.int64)
+    begin = 0
+    while begin < len(order):
+        end = min(len(order), begin + SORTED)
+        end = int(np.searchsorted(kinds, kinds[end - 1], "right"))  # a kind stays together
+        rows = order[begin:end]
+        masks[rows] = repeated_of_kinds(hashes[rows], doc[rows], offset[rows], windows[rows], laid_out(flat, at[rows], size[rows]))
+        begin = end
+    return masks
+
+
+def laid_out(flat: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Stretches of bytes as the rows of a matrix, filled up with zeros."""
+    text = np.zeros((len(at), 2 * WINDOW - GRAM), np.uint8)
+    for k in range(0, len(at), 8192):  # an index of all bytes at once would take many times their room
         some = size[k : k + 8192]
-        row = np.repeat(np.arange(k, k + len(some)), some)
-        along = np.arange(at[k], at[k] + some.sum())
-        text[row, along - at[row]] = flat[along]
+        row = np.repeat(np.arange(len(some)), some)
+        along = np.arange(some.sum()) - np.repeat(np.cumsum(some) - some, some)
+        text[row + k, along] = flat[np.repeat(at[k : k + 8192], some) + along]
+    return text
+
+
+def repeated_of_kinds(hashes: np.ndarray, doc: np.ndarray, offset: np.ndarray, windows: np.ndarray, text: np.ndarray) -> np.ndarray:
+    n, wide = text.shape
     _, kind = np.unique(hashes, return_inverse=True)
     # equal surroundings of one kind are one, with its smallest document; equality is of bytes, as hashes can collide
     content = np.empty(n, np.uint64)
@@ -384,22 +419,13 @@ def repeated(hashes: np.ndarray, doc: np.ndarray, offset: np.ndarray, windows: n
     np.minimum.at(smallest, leader, doc)
     # of kinds with several surroundings the windows are compared, of the others not
     least = np.repeat(smallest[:, None], WINDOW - GRAM + 1, axis=1)
-    kinds = kind[lead]
-    many = np.flatnonzero(np.bincount(kinds)[kinds] > 1)
-    at = 0
-    while at < len(many):
-        end = min(len(many), at + SORTED)
-        end = int(np.searchsorted(kinds[many], kinds[many[end - 1]], "right"))  # a kind stays together
-        part = many[at:end]
-        rows = lead[part]
-        least[part] = smallest_documents(text[rows], kind[rows], smallest[part], offset[rows], windows[rows])
-        at = end
+    many = np.flatnonzero(np.bincount(kind[lead])[kind[lead]] > 1)
+    if len(many):
+        rows = lead[many]
+        least[many] = smallest_documents(text[rows], kind[rows], smallest[many], offset[rows], windows[rows])
     along = np.arange(WINDOW - GRAM + 1)
-    masks = np.zeros(n, np.int64)
-    for k in range(0, n, 8192):
-        gone = (least[leader[k : k + 8192]] < doc[k : k + 8192, None]) & (along < windows[k : k + 8192, None])
-        masks[k : k + 8192] = (gone * (np.int64(1) << along)).sum(axis=1)
-    return masks
+    gone = (least[leader] < doc[:, None]) & (along < windows[:, None])
+    return (gone * (np.int64(1) << along)).sum(axis=1)
 
 
 def smallest_documents(text: np.ndarray, kind: np.ndarray, doc: np.ndarray, offset: np.ndarray, windows: np.ndarray) -> np.ndarray:
@@ -466,10 +492,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     n_bytes, n_removed, n_spans (maximal removed runs), kept (binary).
 
     Texts are UTF-8 bytes as given, null is empty; texts shorter than a window lose nothing. Documents of equal id (or
-    none; a null id counts as the largest) don't remove from each other. Rows stay one for one; other columns aren't
-    returned. doc_id is a long.
+    none; a null id counts as the largest long) don't remove from each other. Rows stay one for one; other columns aren't
+    returned. doc_id must be of an integer type (ValueError if not) and comes back as a long.
     """
-    packed_docs = blocks(docs)
+    if docs.schema["doc_id"].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise ValueError("doc_id must be an integer")
+    spark, name = docs.sparkSession, f"blocks_{uuid.uuid4().hex}"
+    packed_docs = blocks(docs, name)
     groups = max(1, -(-packed_docs.count() * BLOCK_BYTES // 12 // GROUP))
     packed_docs = packed_docs.join(materialize(copies(packed_docs)), "block", "left")
     masks = materialize(shared_anchors(packed_docs, groups))
@@ -477,7 +506,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
-            data, ends, ids = opened(row)
+            data, ends, _ = opened(row)
             starts = np.zeros(len(data) + WINDOW + 1, np.int32)
             for blob in row["found"] or []:
                 low, bits = unpacked(blob, 2)
@@ -487,26 +516,28 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             cover[WINDOW:] -= starts[:-WINDOW]
             gone = np.cumsum(cover)[: len(data)] > 0
             out = []
-            for a, b, i in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), ids.tolist(), strict=True):
+            all_ends, all_ids, valid = unpacked(row["docs"], 3)
+            copied = np.zeros(len(all_ids), bool)
+            copied[row["copies"] or []] = True
+            given = [i if v else None for i, v in zip(all_ids.tolist(), valid.tolist(), strict=True)]
+            names = (given[k] for k in np.flatnonzero(~copied))
+            for a, b, i in zip(np.r_[0, ends][: len(ends)].tolist(), ends.tolist(), names, strict=True):  # none, if all are copies
                 part = gone[a:b]
                 removed = int(part.sum())
                 spans = int(part[0]) + int((part[1:] & ~part[:-1]).sum()) if removed else 0
-                out.append((None if i == _NO_ID else i, b - a, removed, spans, data[a:b][~part].tobytes() if removed else data[a:b].tobytes()))
-            if row["copies"]:
-                ends, ids = unpacked(row["docs"], 2)
-                sizes = np.diff(np.r_[0, ends])
-                for k in row["copies"]:
-                    n, i = int(sizes[k]), int(ids[k])
+                out.append((i, b - a, removed, spans, data[a:b][~part].tobytes() if removed else data[a:b].tobytes()))
+            if copied.any():
+                raw = zstandard.ZstdDecompressor().decompress(row["texts"])
+                for k in np.flatnonzero(copied).tolist():
+                    end, n = int(all_ends[k]), int(all_ends[k] - (all_ends[k - 1] if k else 0))
                     whole = n >= WINDOW
-                    kept = b""
-                    if n and not whole:
-                        raw = zstandard.ZstdDecompressor().decompress(row["texts"])
-                        kept = raw[int(ends[k]) - n : int(ends[k])]
-                    out.append((None if i == _NO_ID else i, n, n if whole else 0, int(whole), kept))
+                    out.append((given[k], n, n if whole else 0, int(whole), b"" if whole else raw[end - n : end]))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     whole = packed_docs.join(found, "block", "left").select("docs", "texts", "copies", "found")
-    return whole.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    kept = materialize(whole.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"))
+    spark.sql(f"DROP TABLE {name}")
+    return kept
 
 
 def kept_digest(found: DataFrame) -> DataFrame:
