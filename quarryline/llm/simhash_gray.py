@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_trie import in_blocks
+from .common import materialize, small_batches
 from .components import connected_components
-from .common import materialize
 
 PARTS = 4
 #: Members of a node of the index.
@@ -29,6 +29,9 @@ FAN = 8
 SHINGLES = 65_536
 #: Pairs of a search and a node that are compared at once.
 PAIRS = 1_000_000
+#: Members of a group of equal leading bits that one task compares; larger groups are cut into blocks of about this size,
+#: and each pair of blocks is a task.
+BLOCK = 65_536
 
 
 def shingles_of(text: str | None, words: int) -> Iterator[np.ndarray]:
@@ -89,10 +92,11 @@ def gray_rank(fp: Column) -> Column:
     return fp.bitwiseXOR(F.lit(-(1 << 63)))
 
 
-def links(codes: np.ndarray, groups: np.ndarray, limit: int) -> np.ndarray:
+def links(codes: np.ndarray, groups: np.ndarray, limit: int, pairs: list | None = None) -> np.ndarray:
     """The smallest place in `codes` that each place reaches within its group by steps of at most `limit` bits.
 
-    codes are in Gray order within groups, a row of 64-bit words each; groups stand side by side.
+    codes are in Gray order within groups, a row of 64-bit words each; groups stand side by side. The pairs of places
+    that join the trees, the closest first, are appended to `pairs` if it is given.
     """
     n = len(codes)
     root = np.arange(n)
@@ -114,18 +118,24 @@ def links(codes: np.ndarray, groups: np.ndarray, limit: int) -> np.ndarray:
     node_of = np.searchsorted(top[5], groups)  # a group has one node on the top level
     # a group of one has no pairs
     busy = np.flatnonzero(top[4][node_of] > np.arange(n))
-    for a in range(0, len(busy), 4096):
-        query = busy[a : a + 4096]
+    for a in range(0, len(busy), 1024):
+        query = busy[a : a + 1024]
+        # nodes whose members are all of one tree have nothing to say to that tree
+        flat = settled(root)
+        tree = [flat]
+        for _, _, first, _, _, _ in levels[1:]:
+            low, high = np.minimum.reduceat(tree[-1], first), np.maximum.reduceat(tree[-1], first)
+            tree.append(np.where(low == high, low, -1))
         node = node_of[query]
         frontier = [(len(levels) - 1, query, node, differing((codes[query] ^ top[0][node]) & top[1][node]))]
         while frontier:
             depth, query, node, off = frontier.pop()
-            keep = (off <= limit) & (levels[depth][4][node] > query)
+            keep = (off <= limit) & (levels[depth][4][node] > query) & (tree[depth][node] != flat[query])
             query, node, off = query[keep], node[keep], off[keep]
             if not len(query):
                 continue
             if not depth:
-                hook(root, query, node)
+                hook(root, query, node, off, pairs)
                 continue
             _, mask, first, count, _, _ = levels[depth]
             most = PAIRS // FAN // codes.shape[1]
@@ -150,8 +160,9 @@ def settled(root: np.ndarray) -> np.ndarray:
     return root
 
 
-def hook(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Join the trees of the pairs' ends, in place; a tree's root is its smallest place."""
+def hook(root: np.ndarray, a: np.ndarray, b: np.ndarray, far: np.ndarray | None = None, pairs: list | None = None) -> None:
+    """Join the trees of the pairs' ends, in place, by each tree's closest pair first; a tree's root is its smallest
+    place. The pairs that join trees are appended to `pairs`."""
     while True:
         flat = settled(root)
         root[:] = flat
@@ -159,9 +170,17 @@ def hook(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         differ = x != y
         if not differ.any():
             return
-        a, b = a[differ], b[differ]
-        x, y = x[differ], y[differ]
-        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        a, b, x, y = a[differ], b[differ], x[differ], y[differ]
+        low, high = np.minimum(x, y), np.maximum(x, y)
+        if far is None:
+            np.minimum.at(root, high, low)
+            continue
+        far = far[differ]
+        order = np.lexsort((far, high))
+        order = order[np.r_[True, high[order][1:] != high[order][:-1]]]
+        root[high[order]] = low[order]
+        if pairs is not None:
+            pairs.append((a[order], b[order]))
 
 
 def near_fingerprints(distinct: DataFrame, limit: int = 3) -> DataFrame:
@@ -177,7 +196,7 @@ def near_fingerprints(distinct: DataFrame, limit: int = 3) -> DataFrame:
         one = distinct.select(F.lit(part).alias("part"), "fp", turned(F.col("fp"), part).alias("code"))
         parts = one if parts is None else parts.unionByName(one)
     lead = F.shiftrightunsigned("code", 64 - 64 // PARTS)
-    dealt = parts.withColumn("grp", lead + F.col("part") * F.lit(1 << 16)).repartition("grp").sortWithinPartitions("grp", gray_rank(F.col("code"))).select("grp", "code", "fp")
+    dealt = in_block_pairs(parts.withColumn("grp", lead + F.col("part") * F.lit(1 << 16)), F.col("fp"), gray_rank(F.col("code"))).select("grp", "code", "fp")
 
     def edges(grp: np.ndarray, code: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         root = links(code.view(np.uint64)[:, None], grp, limit) if len(grp) else np.arange(0)
@@ -187,6 +206,21 @@ def near_fingerprints(distinct: DataFrame, limit: int = 3) -> DataFrame:
     return dealt.mapInArrow(lambda batches: whole_groups(batches, edges), "src long, dst long").distinct()
 
 
+def in_block_pairs(members: DataFrame, name: Column, order: Column) -> DataFrame:
+    """Members dealt to tasks by grp, in order within it. A grp of more than BLOCK members is cut into blocks by a hash of
+    the member's name, and its members go to each pair of blocks theirs is in, so no task holds more than about two."""
+    members = materialize(members)
+    large = members.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("grp", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    if large.take(1):
+        dealt = members.join(large, "grp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        own = F.pmod(F.xxhash64(F.lit(1), name), F.col("blocks")).cast("int")
+        dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        # two groups of one hash would be compared as well, which adds no link
+        pair = F.xxhash64("grp", F.least("own", "other"), F.greatest("own", "other"))
+        members = dealt.withColumn("grp", F.when(F.col("blocks") > 1, pair).otherwise(F.col("grp").cast("long"))).select(*members.columns)
+    return members.repartition("grp").sortWithinPartitions("grp", order)
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], make) -> Iterator[pa.RecordBatch]:
     """Apply `make` to the columns of runs of whole groups (equal values of the first column, side by side)."""
     held: list[list[np.ndarray]] = []
@@ -223,109 +257,152 @@ def simhash_components(docs: DataFrame, words: int = 3, limit: int = 3) -> DataF
     return marked.join(of, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+#: Words of 64 bits of a wide fingerprint, tables of its sampled bits, bits of a table's key, and the differing bits up to
+#: which two texts are candidates: a pair of similarity 0.8 differs in 78 bits of 512 on average, with a deviation of 8.
+WIDE, TABLES, KEY_BITS, NEAR = 8, 24, 16, 110
 #: Most of the frequent shingles that a task knows. They only order the shingles, which changes the time but no result.
 FREQUENT = 200_000
+#: Most texts whose numbers are sent to all tasks to pick them; more are joined.
+PICKED = 1_000_000
+
 
+def wide_fingerprint(shingles: np.ndarray) -> np.ndarray:
+    """A fingerprint of WIDE words of a set of shingle hashes: the first of the hashes themselves, further ones of the
+    hashes mixed again."""
+    hashes, out = shingles.view(np.uint64), []
+    for _ in range(WIDE):
+        ones = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        out.append(np.packbits(2 * ones > len(hashes)))
+        hashes = (hashes + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+        hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        hashes ^= hashes >> np.uint64(29)
+    return np.concatenate(out).view(">i8").astype(np.int64)
 
-def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
+
+def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, row: str | None = None) -> DataFrame:
     """Add component_id, the smallest doc_id of each document's group of near copies, to (doc_id, text).
 
     Texts are linked whose sets of shingles have a Jaccard similarity of `least` at the lowest; groups are what links
-    join. Exact: of the shingles in one order, rare ones first, two such texts have one in common among the first
-    n - ceil(least * n) + 1 of each (a prefix filter), and the similarity of every pair that could join two groups is
-    worked out from the whole texts. Texts of the same words count as one, so do null texts and those without words. Rows
-    stay one for one.
+    join. Candidates come from wide SimHash fingerprints: two that agree in the sampled bits of a table meet there, the
+    Gray-order index finds those within NEAR bits, and the closest pairs that join them are verified on the whole texts.
+    What this can miss, as fingerprints are estimates, is made up exactly: of the shingles in one order, rare ones first,
+    two texts of that similarity have one in common among the first n - ceil(least * n) + 1 of each, and the pairs of
+    different groups that share such a one are verified, too.
+
+    Texts of the same words count as one, so do null texts and those without words. Rows stay one for one. `row` names a
+    column of distinct longs, if a table has one; other columns aren't returned.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block in in_blocks(batch, 4_000_000):
-                keys = [xxhash.xxh3_128_digest(b" ".join((t or "").encode().lower().split())) for t in block.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([block.column(0), pa.array(keys, pa.binary()), block.column(1)], ["doc_id", "key", "text"])
-
-    marked = docs.select("doc_id", "text").mapInArrow(mark, f"doc_id {kind}, key binary, text string")
-    distinct = materialize(marked.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("text").alias("text")).withColumn("uid", F.monotonically_increasing_id()))
-    texts = distinct.select("uid", "text")
+    spark = docs.sparkSession
+    if row is None:
+        docs, row = materialize(docs.select("doc_id", "text").withColumn("__row", F.monotonically_increasing_id())), "__row"
+    rows = docs.select(F.col(row).alias("row"), "doc_id", "text")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    names = [f"w{n}" for n in range(WIDE)]
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, words))], ["h"])
 
-    sample = distinct.where(F.pmod(F.xxhash64("key"), F.lit(8)) == 0).select("text").mapInArrow(explode, "h long")
+    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(8)) == 0).select("text").mapInArrow(explode, "h long")
     often = sample.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
-    known = np.array(sorted((r["h"], r["n"]) for r in often), np.int64).reshape(-1, 2)
-    sent = docs.sparkSession.sparkContext.broadcast(known)
+    sent = spark.sparkContext.broadcast(np.array(sorted((r["h"], r["n"]) for r in often), np.int64).reshape(-1, 2))
 
-    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
         for batch in batches:
-            for uid, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = shingle_set(t, words)
-                n = len(found)
-                if not n:
-                    continue
-                weight = np.zeros(n, np.int64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known[:, 0], found), len(known) - 1)
-                    weight = np.where(known[at, 0] == found, known[at, 1], 0)
-                first = found[np.lexsort((found, weight))[: n - math.ceil(least * n - 1e-9) + 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(np.full(len(first), uid)), pa.array(np.full(len(first), n))], ["h", "uid", "n"])
-
-    dealt = texts.mapInArrow(prefix, "h long, uid long, n long").repartition("h").sortWithinPartitions("h", "uid")
-
-    def meet(h: np.ndarray, uid: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        """Members of groups of two or more, each with the first of its group."""
-        starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
-        sizes = np.diff(np.r_[starts, len(h)])
-        lead, some = np.repeat(starts, sizes), np.repeat(sizes, sizes) > 1
-        return pa.RecordBatch.from_arrays([pa.array(c[some]) for c in (h, uid, n, uid[lead], n[lead])], ["h", "uid", "n", "lead", "lead_n"])
-
-    members = materialize(dealt.mapInArrow(lambda batches: whole_groups(batches, meet), "h long, uid long, n long, lead long, lead_n long"))
-    alike = F.least("n", "lead_n") >= least * F.greatest("n", "lead_n") - 1e-9
-    stars = members.where(alike & (F.col("uid") != F.col("lead"))).select(F.col("lead").alias("src"), F.col("uid").alias("dst")).distinct()
-    links_ = verified(stars, texts, words, least)
-    # what the first members join needs no second look; in each group only pairs of different parts are left
+            for block in in_blocks(batch.select(["row", "text", "doc_id"]), 4_000_000):
+                keys, sizes, codes, firsts = [], [], [], []
+                for t in block.column(1).to_pylist():
+                    keys.append(xxhash.xxh3_128_digest(b" ".join((t or "").encode().lower().split())))
+                    found = shingle_set(t, words)
+                    n = len(found)
+                    sizes.append(n)
+                    codes.append(wide_fingerprint(found) if n else np.zeros(WIDE, np.int64))
+                    weight = np.zeros(n, np.int64)
+                    if len(known) and n:
+                        at = np.minimum(np.searchsorted(known[:, 0], found), len(known) - 1)
+                        weight = np.where(known[at, 0] == found, known[at, 1], 0)
+                    firsts.append(found[np.lexsort((found, weight))[: n - math.ceil(least * n - 1e-9) + 1]])
+                prefix = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, firsts)]), pa.int32()), pa.array(np.concatenate(firsts)))
+                yield pa.RecordBatch.from_arrays([block.column(0), block.column(2), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), *[pa.array(np.ascontiguousarray(c)) for c in np.array(codes).T], prefix], ["row", "doc_id", "key", "n", *names, "prefix"])
+
+    made = ", ".join(f"{w} long" for w in names)
+    marked = materialize(rows.mapInArrow(mark, f"row long, doc_id {kind}, key binary, n long, {made}, prefix array<bigint>"))
+    distinct = materialize(marked.groupBy("key").agg(F.min("doc_id").alias("least"), F.min("row").alias("uid"), *[F.first(c).alias(c) for c in ("n", *names, "prefix")]))
+    texts = rows.select(F.col("row").alias("uid"), "text")
+    draw = np.random.default_rng(17)
+    picks = [draw.choice(64 * WIDE, KEY_BITS, replace=False) for _ in range(TABLES)]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(k, 4096) for k in range(0, batch.num_rows, 4096)):
+                columns = [c.to_numpy() for c in part.columns]
+                bits = np.unpackbits(np.column_stack(columns[1:]).astype(">i8").view(np.uint8).reshape(part.num_rows, -1), axis=1)
+                for n, pick in enumerate(picks):
+                    key = np.packbits(bits[:, pick], axis=1).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(n << KEY_BITS | key[:, 0] << 8 | key[:, 1], pa.int32()), *part.columns], ["grp", "uid", *names])
+
+    dealt = distinct.where("n > 0").select("uid", *names).mapInArrow(deal, f"grp int, uid long, {made}")
+    dealt = in_block_pairs(dealt, F.col("uid"), gray_rank(F.col("w0"))).select("grp", "uid", *names)
+
+    def edges(grp: np.ndarray, uid: np.ndarray, *codes: np.ndarray) -> pa.RecordBatch:
+        pairs = [(np.zeros(0, np.int64),) * 2]
+        if len(grp):
+            links(np.column_stack(codes).view(np.uint64), grp, NEAR, pairs)
+        a, b = (uid[np.concatenate(x)] for x in zip(*pairs, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["src", "dst"])
+
+    near = materialize(dealt.mapInArrow(lambda batches: whole_groups(batches, edges), "src long, dst long").distinct())
+    links_ = verified(near, texts, words, least)
     parts = connected_components(links_)
-    rooted = members.join(parts, members.uid == parts.node, "left").select("h", F.coalesce("component", "uid").alias("root"), "uid", "n")
+    shared = distinct.where("n > 0").select("uid", "n", F.explode("prefix").alias("h"))
+    rooted = shared.join(parts, shared.uid == parts.node, "left").select("h", F.coalesce("component", "uid").alias("root"), "uid", "n")
 
     def across(h: np.ndarray, root: np.ndarray, uid: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
-        for a, b in zip(starts, np.r_[starts[1:], len(h)], strict=True):
-            if (root[a:b] == root[a]).all():
-                continue
-            for i in range(a + 1, b):  # the first one, too: it may be too long or short for its group
+        ends = np.r_[starts[1:], len(h)]
+        several = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts) if len(h) else starts > 0
+        for a, b in zip(starts[several], ends[several], strict=True):
+            for i in range(a + 1, b):
                 j = a + np.flatnonzero((root[a:i] != root[i]) & (np.minimum(n[a:i], n[i]) >= least * np.maximum(n[a:i], n[i]) - 1e-9))
                 if len(j):
-                    yield pa.RecordBatch.from_arrays([pa.array(uid[j]), pa.array(np.full(len(j), uid[i]))], ["src", "dst"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(uid[j], uid[i])), pa.array(np.maximum(uid[j], uid[i]))], ["src", "dst"])
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found in whole_groups(batches, across):
             yield from found
 
-    # a pair that the first round has looked at isn't linked, or it would be in one part
-    pairs = rooted.repartition("h").sortWithinPartitions("h", "uid").mapInArrow(rest, "src long, dst long").distinct().join(stars, ["src", "dst"], "left_anti")
+    # a pair that has been looked at isn't linked, or it would be in one part
+    pairs = materialize(rooted.repartition("h").sortWithinPartitions("h", "uid").mapInArrow(rest, "src long, dst long").distinct().join(near, ["src", "dst"], "left_anti"))
     parts = connected_components(links_.unionByName(verified(pairs, texts, words, least)))
-    roots = distinct.join(parts, distinct.uid == parts.node, "left").select("key", "least", F.coalesce("component", "uid").alias("root"))
+    roots = distinct.select("key", "least", "uid").join(parts, distinct.uid == parts.node, "left").select("key", "least", F.coalesce("component", "uid").alias("root"))
     smallest = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     return marked.select("doc_id", "key").join(roots.join(smallest, "root").select("key", "component_id"), "key").select("doc_id", "component_id")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
     """The pairs (src, dst) of uids whose texts' sets of shingles are alike by `least` or more."""
-    a, b = texts.select(F.col("uid").alias("src"), F.col("text").alias("a")), texts.select(F.col("uid").alias("dst"), F.col("text").alias("b"))
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in in_blocks(batch, 1_000_000):
+                yield pa.RecordBatch.from_arrays([block.column(0), pa.array([shingle_set(t, words).tobytes() for t in block.column(1).to_pylist()], pa.binary())], ["uid", "h"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, found = None, np.zeros(0, np.int64)
         for batch in batches:
             keep = []
-            for src, t, u in zip(*[batch.column(k).to_pylist() for k in (0, 2, 3)], strict=True):
-                if src != held:
-                    held, found = src, shingle_set(t, words)
-                other = shingle_set(u, words)
-                both = len(np.intersect1d(found, other, assume_unique=True))
-                keep.append(both >= least * (len(found) + len(other) - both) - 1e-9)
+            for t, u in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(t.as_buffer(), np.uint64), np.frombuffer(u.as_buffer(), np.uint64)  # sorted as such
+                if len(x) > len(y):
+                    x, y = y, x
+                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
+                keep.append(both >= least * (len(x) + len(y) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["src", "dst"]).filter(pa.array(keep, pa.bool_()))
 
-    return materialize(pairs.join(b, "dst").join(a, "src").select("src", "dst", "a", "b").mapInArrow(check, "src long, dst long"))
+    named = materialize(pairs.select(F.col("src").alias("uid")).unionByName(pairs.select(F.col("dst").alias("uid"))).distinct())
+    few = named.count() <= PICKED
+    sets = materialize(texts.join(F.broadcast(named) if few else named, "uid", "left_semi").mapInArrow(shingled, "uid long, h binary"))
+    a, b = sets.select(F.col("uid").alias("src"), F.col("h").alias("a")), sets.select(F.col("uid").alias("dst"), F.col("h").alias("b"))
+    with small_batches(pairs.sparkSession):  # a row holds two whole texts' sets
+        return materialize(pairs.join(a, "src").join(b, "dst").select("src", "dst", "a", "b").mapInArrow(check, "src long, dst long"))
