@@ -32,7 +32,7 @@ GROUP = 250_000
 #: Anchors whose windows are sorted at once (those of one anchor string together).
 SORTED = 16_384
 #: Anchor strings of more places than this are hot: their windows are dealt by their own bytes, one by one.
-HOT = 8_192
+HOT = 4_096
 #: Bits of a hash by which anchors are first compared.
 BITS = 48
 _BASE = 0x9E3779B97F4A7C15
@@ -122,7 +122,8 @@ def mixed(hashes: np.ndarray) -> np.ndarray:
 
 
 def short(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - BITS)).astype(np.int64)
+    """BITS of hashes mixed once more: an anchor has the smallest hash of its window, so anchors' own hashes are uneven."""
+    return (mixed(hashes) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 def group_of(values: np.ndarray, groups: int) -> np.ndarray:
@@ -254,7 +255,7 @@ def contexts(packed_docs: DataFrame, masks: DataFrame, groups: int) -> DataFrame
             length = high - low + WINDOW
             # equal surroundings of the block: the first by document stands for all
             text = text_hashes(data, low, length)
-            value = np.where(hot, short(mixed(text)), value)
+            value = np.where(hot, short(text), value)
             order = np.lexsort((low, doc, place - low, length, text, hashes))
             same = np.zeros(len(order), bool)
             if len(order) > 1:

@@ -55,7 +55,7 @@ def test_largest_and_null_ids(spark):
     assert found(spark, rows) == brute(rows)
 
 
-@pytest.mark.parametrize("hot", [3, 8192])
+@pytest.mark.parametrize("hot", [3, 4096])
 def test_many_blocks_and_hot_anchors(spark, monkeypatch, hot):
     monkeypatch.setattr(suffix_spans, "BLOCK_BYTES", 4000)
     monkeypatch.setattr(suffix_spans, "GROUP", 300)
