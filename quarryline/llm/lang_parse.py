@@ -3,7 +3,9 @@
 For each language the suffix automaton of a bounded sample of labelled text is built. A text is parsed against it
 greedily: each phrase is the longest match that continues in the sample. The number of phrases, each priced at the
 base-2 logarithm of the sample's length, is the code length of the text; the language that needs fewest normalised
-phrases wins. The automaton with its restarts is laid out as a table, so many texts take their next byte at once.
+phrases wins. The automaton with its restarts is laid out as a table, so many texts take their next byte at once; a long
+text is cut into lanes that are parsed side by side from the start, and then each from the state in which the lane before
+it ends, as far as the two parses differ.
 """
 
 from __future__ import annotations
@@ -14,10 +16,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import learnable
 
-#: Bytes of one lane; a phrase doesn't go on over a lane's end, which adds at most a phrase each for every language.
+#: Bytes of one lane.
 LANE = 1024
 #: Lanes that are parsed side by side.
 WIDTH = 16384
@@ -91,9 +94,11 @@ class Parser:
         if not len(owner):
             return out
         data = self.classes[np.frombuffer(b"".join(texts), np.uint8)]
-        start = np.repeat(np.cumsum(sizes) - sizes, lanes) + LANE * (np.arange(len(owner)) - np.repeat(np.cumsum(lanes) - lanes, lanes))
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+        start = np.repeat(np.cumsum(sizes) - sizes, lanes) + LANE * place
         size = np.minimum(LANE, np.repeat(np.cumsum(sizes), lanes) - start)
         order = np.argsort(-size, kind="stable")
+        count, end = np.zeros((len(self.langs), len(owner)), np.int64), np.zeros((len(self.langs), len(owner)), np.int32)
         for k in range(0, len(order), WIDTH):
             part = order[k : k + WIDTH]
             longest = int(size[part[0]])
@@ -105,14 +110,26 @@ class Parser:
                 grid[: size[part[j]], j] = data[start[part[j]] : start[part[j]] + size[part[j]]]
             for n, table in enumerate(self.tables):
                 at = np.zeros(len(part), np.int32)
-                count = np.zeros(len(part), np.int32)
+                told = np.zeros(len(part), np.int32)
                 for row in grid:
                     at += row
                     found = table.take(at)
-                    count += found & 3
+                    told += found & 3
                     at = found >> 2
-                count += at > 0
-                out[:, n] += np.bincount(owner[part], count, len(texts)).astype(np.int64)
+                count[n, part], end[n, part] = told, at
+        last = np.cumsum(lanes)[sizes > 0] - 1
+        for n, table in enumerate(self.tables):
+            true_end, entry, more = end[n].copy(), np.zeros(len(owner), np.int32), np.zeros(len(owner), np.int64)
+            while True:
+                want = np.r_[np.int32(0), true_end[:-1]]
+                want[place == 0] = 0
+                again = np.flatnonzero(want != entry)
+                if not len(again):
+                    break
+                entry[again] = want[again]
+                more[again], true_end[again] = resumed(table, data, self.wide - 1, start[again], size[again], want[again], end[n, again])
+            out[:, n] = np.bincount(owner, count[n] + more, len(texts)).astype(np.int64)
+            out[owner[last], n] += true_end[last] > 0
         return out
 
     def predict(self, texts: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -126,29 +143,56 @@ class Parser:
         return [self.langs[b] for b in best], share, rate
 
 
+def resumed(table: np.ndarray, data: np.ndarray, filling: int, start: np.ndarray, size: np.ndarray, entry: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many phrases more end in each lane if it is entered in state `entry` instead of the start, and its last state,
+    which is `end` if both parses meet. They are followed side by side until they do."""
+    more, last = np.zeros(len(start), np.int64), end.copy()
+    live, a, b = np.arange(len(start)), np.zeros(len(start), np.int32), entry.copy()
+    for k in range(LANE):
+        if k % 8 == 0:
+            over = (a == b) | (size[live] <= k)
+            last[live[over]] = b[over]
+            last[live[over & (a == b)]] = end[live[over & (a == b)]]
+            live, a, b = live[~over], a[~over], b[~over]
+            if not len(live):
+                return more, last
+        byte = np.where(k < size[live], data[np.minimum(start[live] + k, len(data) - 1)], filling)
+        x, y = table.take(a + byte), table.take(b + byte)
+        more[live] += (y & 3).astype(np.int64) - (x & 3)
+        a, b = x >> 2, y >> 2
+    same = a == b
+    last[live] = np.where(same, end[live], b)
+    return more, last
+
+
 def letters(text: Column) -> Column:
     """Lower-cased letters; whatever stands between them is one space, for symbols tell languages nothing."""
     return F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}]+", " ")
 
 
 def fit_samples(docs: DataFrame, sample_bytes: int = 16_384, sample_rows: int = 64) -> dict[str, bytes]:
-    """At most `sample_bytes` of lower-cased labelled text of each language, from about `sample_rows` documents of the
-    learnable fold: the bound that lets the driver hold the sample, whatever the corpus. Documents are picked by a hash
-    of their id; those of fewer than 200 characters are taken only where there are no others. An unlabelled language
-    isn't learned."""
+    """Whole lower-cased labelled texts of each language from the learnable fold, at most `sample_rows` different ones and
+    `sample_bytes` together: the bound that lets the driver hold them, whatever the corpus. They are drawn by a hash of
+    their id; one that is longer than what is left of the bytes is passed over (the shortest drawn one is taken if none is
+    short enough). An unlabelled language isn't learned; rows with a null id, label or text, or without a letter, are left
+    out."""
     usable = docs.where(learnable(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    weight = F.when(F.length("text") >= 200, 1).otherwise(0)
-    counts = {(r["lang"], r["long"]): r["n"] for r in usable.groupBy("lang", weight.alias("long")).agg(F.count("*").alias("n")).collect()}
+    usable = usable.select("lang", F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 30)).alias("draw"), "doc_id", "text")
+    # one row for each language; then a few times the rows that are asked for, so that what is sorted is small
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n"))
+    few = usable.join(counts, "lang").where(F.col("draw") < F.lit(float(4 * sample_rows << 30)) / F.col("n")).select("lang", "draw", "doc_id", letters(F.col("text")).alias("text"))
+    place = F.row_number().over(W.partitionBy("lang").orderBy("draw", "doc_id", "text"))
     samples: dict[str, bytes] = {}
-    for lang in sorted({k[0] for k in counts}):
-        kind = 1 if counts.get((lang, 1)) else 0
-        part = usable.where((F.col("lang") == lang) & (weight == kind))
-        draw = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 30))
-        share = min(1.0, 4 * sample_rows / counts[lang, kind])
-        rows = part.where(draw < int(share * (1 << 30)) + 1).select(draw.alias("draw"), "doc_id", F.substring(letters(F.col("text")), 1, sample_bytes).alias("text")).orderBy("draw", "doc_id", "text").limit(sample_rows).collect()
-        each = max(1, sample_bytes // max(1, min(len(rows), 16)))
-        taken = b"\n".join(r["text"].encode()[:each] for r in rows)
-        samples[lang] = taken[:sample_bytes]
+    drawn: dict[str, list[bytes]] = {}
+    for r in few.withColumn("place", place).where(F.col("place") <= sample_rows).orderBy("lang", "place").select("lang", "text").collect():
+        drawn.setdefault(r["lang"], []).append(r["text"].encode())
+    for lang, texts in drawn.items():
+        taken, left = [], sample_bytes
+        for t in dict.fromkeys(texts):
+            if len(t) < left:
+                taken.append(t)
+                left -= len(t) + 1
+        samples[lang] = b"\n".join(taken or [min(texts, key=len)])
     return samples
 
 

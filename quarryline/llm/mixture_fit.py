@@ -16,6 +16,8 @@ from .common import WORD_PATTERN, materialize
 
 #: The part of the budget that the dynamic programme fits, in words.
 FITTED = 4096
+#: Documents that it can choose from at least, if there are so many.
+CHOICE = 64
 #: Ranges of a seeded hash by which the documents of one length are dealt out.
 DEALS = 256
 
@@ -48,41 +50,50 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float
 
 def fit_lengths(lengths: list[int], counts: list[int], budget: int) -> list[int]:
     """How many documents of each length to take, at most `counts`, so that the words come as near to `budget` as they
-    can: proportionally, then by the largest that fit, then exactly for the last FITTED words or so."""
+    can: proportionally, then by the largest that fit, then exactly for what remains, which is a few documents'
+    lengths. Sums above the budget count as well as those below; of two as near, the one below."""
     total = sum(n * c for n, c in zip(lengths, counts, strict=True))
     if total <= budget:
         return list(counts)
-    coarse = max(0, budget - FITTED)
+    order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
+    # what is left to the programme is enough for two of the CHOICE shortest documents
+    seen, kept = 0, FITTED
+    for i in reversed(order):
+        seen += counts[i] if lengths[i] > 0 else 0
+        kept = max(kept, 2 * lengths[i])
+        if seen >= CHOICE:
+            break
+    else:
+        kept = budget  # so few documents are all up to the programme
+    coarse = max(0, budget - kept)
     take = [c * coarse // total if total else 0 for c in counts]
     rest = budget - sum(n * t for n, t in zip(lengths, take, strict=True))
-    order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
     for i in order:
         if lengths[i] > 0:
-            more = min(counts[i] - take[i], max(0, rest - FITTED) // lengths[i])
+            more = min(counts[i] - take[i], max(0, rest - kept) // lengths[i])
             take[i] += more
             rest -= more * lengths[i]
-    # bounded knapsack: bit w of `sums` says that w words can be made; each bundle doubles, so few steps take many copies
-    sums, steps, window = 1, [], min(rest, 16 * FITTED)
-    full = (1 << (window + 1)) - 1
+    # bounded knapsack: bit w of `sums` says that w words can be made; each bundle doubles, so few steps take many copies.
+    # Nothing beyond twice the rest is nearer to it than no document at all.
+    sums, steps, full = 1, [], (1 << (2 * rest + 1)) - 1
     for i in reversed(order):
-        spare = counts[i] - take[i]
-        bundle = 1
-        while lengths[i] > 0 and spare > 0 and lengths[i] * bundle <= window and not sums >> window & 1:
+        spare, bundle = counts[i] - take[i], 1
+        while lengths[i] > 0 and spare > 0 and not sums >> rest & 1:
             n = min(bundle, spare)
+            if lengths[i] * n > 2 * rest:
+                break
             steps.append((i, n, sums))
             sums |= sums << lengths[i] * n & full
             spare -= n
             bundle *= 2
-    made = sums.bit_length() - 1
+    below = (sums & ((1 << (rest + 1)) - 1)).bit_length() - 1
+    above = sums >> (rest + 1)
+    over = (above & -above).bit_length()
+    made = rest + over if over and over < rest - below else below
     for i, n, before in reversed(steps):
         if not before >> made & 1:
             take[i] += n
             made -= n * lengths[i]
-    # where few documents are left to choose from, one more may come nearer than one too few
-    short = budget - sum(n * t for n, t in zip(lengths, take, strict=True))
-    spare = [i for i in reversed(order) if take[i] < counts[i] and lengths[i] > 0]
-    if spare and abs(lengths[spare[0]] - short) < short:
-        take[spare[0]] += 1
     return take
 
 
