@@ -1,8 +1,10 @@
 """Surrogates for personal data, by DataFrame functions only.
 
-Entities are found by one pattern. Each gets a replacement that a keyed hash of its type and canonical form gives: the
-same entity always the same one (coreference), of its type, script, letter case and format; names keep their gender.
-Replacements that two entities share, or that an entity of the corpus has itself, are drawn again until none are.
+Entities are found by one pattern. Each has a canonical form, whatever way it is written: an address in lower case, a
+number's digits, a secret's value, a name's parts with the gender that its title tells. A keyed hash of type and canonical
+form gives the canonical form of its replacement, which is then written as the entity is, in its spelling, letter case and
+format. So the same entity always gets the same replacement (coreference), and distinctness needs checking once for each
+entity: replacements that two share, or that an entity of the corpus is itself, are drawn again until none are.
 """
 
 from __future__ import annotations
@@ -14,6 +16,9 @@ from .common import materialize
 
 _LABEL = r"(?i:password|passwd|secret|api[_-]?key|token)[\"']?\h*+[=:]\h*+[\"']?"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+_FULL_NAME = r"\p{Lu}\p{L}++(?:[ -]\p{Lu}\p{L}++){1,2}"
+# What a full name without a title follows, in the languages of the titles.
+_INTRODUCED = "signed|Signed|sincerely|Sincerely|regards|Regards|my name is|My name is|mein Name ist|Mein Name ist|je m'appelle|Je m'appelle|me llamo|Me llamo|mi nombre es|Mi nombre es|меня зовут|Меня зовут|Name|name"
 #: Type and pattern, in order of preference where several match at one place. All start where a word does, and runs give
 #: nothing back, so the time grows with the text.
 TYPES = {
@@ -25,6 +30,7 @@ TYPES = {
     "phone": r"(?=[\d+(])(?<![+(])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,4}\)[ .-]?|\d{2,4}[ .-])\d{2,4}[ .-]?\d{2,4}(?:[ .-]?\d{2,4})?|\+\d{7,15})(?!\w)",
     "secret": rf"(?=[PpSsAaTt]){_LABEL}[^\s\"']{{6,}}|AKIA[A-Z0-9]{{16}}(?!\w)|[0-9A-Fa-f]{{32,64}}(?!\w)",
     "name": r"(?=[MDHFSГ])(?:Mr|Mrs|Ms|Miss|Dr|Herr|Frau|Señora|Señor|Sra|Sr|Monsieur|Madame|Mme|Господин|Госпожа)\.? \p{Lu}\p{L}++(?:[ -]\p{Lu}\p{L}++){0,2}",
+    "person": rf"(?=\p{{Lu}})(?:(?<=(?:{_INTRODUCED})[,:]?[ \n]){_FULL_NAME}|{_FULL_NAME}(?= <[\w.+-]{{1,64}}@))",
 }
 PATTERN = r"(?<![\p{L}\w])(?:" + "|".join(TYPES.values()) + ")"
 # Titles of women; names are made of syllables, with endings by gender.
@@ -35,25 +41,47 @@ ENDINGS = {("latin", "f"): "lia na rina sia".split(), ("latin", "m"): "ldo n rik
 DEFAULT_KEY = "surrogates"
 
 
+# Calling codes of one and two digits; all others have three.
+CODES = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
+#: What is kept of a phone number's canonical form: the plus sign and calling code, and a leading zero.
+_KEPT = rf"^(\+(?:{CODES})|\+\d{{3}}|0?)"
+
+
 def kind_of(found: Column) -> Column:
-    out = F.lit(None).cast("string")
+    out = F.when(found.rlike(rf"^{_FULL_NAME}$"), F.lit("name")).otherwise(F.lit("phone"))
     for name, pattern in reversed(TYPES.items()):
-        out = F.when(found.rlike(f"^(?:{pattern})$"), F.lit(name)).otherwise(out)
-    return F.coalesce(out, F.lit("phone"))
+        if name != "person":  # told by what stands around it
+            out = F.when(found.rlike(f"^(?:{pattern})$"), F.lit(name)).otherwise(out)
+    return out
+
+
+def value_of(found: Column) -> Column:
+    """A secret without its label."""
+    return F.regexp_replace(found, f"^{_LABEL}", "")
+
+
+def gender_of(found: Column) -> Column:
+    return F.when(found.rlike(rf"^(?:{WOMEN})\b"), "f").when(found.rlike(rf"^(?:{MEN})\b"), "m").otherwise("n")
 
 
-def canonical(found: Column, kind: Column) -> Column:
-    """What is one entity: case and separators aside where the type has none that matter. Of a named secret the value
-    counts, a hexadecimal one in either case, of a titled name all but the title."""
-    value = F.regexp_replace(found, f"^{_LABEL}", "")
+def title_of(found: Column) -> Column:
+    return F.regexp_extract(found, rf"^((?:{WOMEN}|{MEN}|Dr)\.? )", 1)
+
+
+def entities_of(found: Column, kind: Column) -> Column:
+    """The canonical forms of a match, an array: of a name its parts, each with the gender of its title, else one. Case and
+    separators are aside where the type has none that matter; a hexadecimal secret counts in either case."""
+    value = value_of(found)
     digits = F.regexp_replace(found, r"[^\p{L}\p{N}]", "")
-    return (
+    one = (
         F.when(kind == "email", F.lower(found))
-        .when(kind.isin("card", "ssn", "iban", "phone"), digits)
+        .when(kind.isin("card", "ssn", "iban"), digits)
+        .when(kind == "phone", F.concat(F.when(F.startswith(found, F.lit("+")), "+").otherwise(""), digits))
         .when(kind == "secret", F.when(value.rlike("^[0-9A-Fa-f]{32,}$"), F.lower(value)).otherwise(value))
-        .when(kind == "name", F.regexp_replace(found, r"^\S+ ", ""))
         .otherwise(found)
     )
+    parts = F.split(F.substr(found, F.length(title_of(found)) + 1), "[ -]")
+    return F.when(kind == "name", F.transform(parts, lambda p: F.concat(gender_of(found), F.lit("|"), F.initcap(F.lower(p))))).otherwise(F.array(one))
 
 
 def stream(key: str, kind: Column, entity: Column, attempt: Column) -> Column:
@@ -101,92 +129,137 @@ def luhn_valid(card: Column) -> Column:
     return F.concat(F.array_join(F.slice(digits, 1, size - 1), ""), (F.pmod(F.lit(10) - F.aggregate(body, F.lit(0), add) % 10, F.lit(10))).cast("string"))
 
 
-def refilled(shape: Column, filling: Column) -> Column:
-    """`shape` with its letters and digits replaced in turn by the characters of `filling`."""
-    tokens = F.split(shape, "")
-    marks = F.transform(tokens, lambda c: c.rlike(r"[\p{L}\p{N}]").cast("int"))
-    upto = F.transform(tokens, lambda c, i: F.aggregate(F.slice(marks, 1, i + 1), F.lit(0), lambda a, b: a + b))
-    return F.array_join(F.zip_with(tokens, upto, lambda c, n: F.when(c.rlike(r"[\p{L}\p{N}]"), F.substr(filling, n, F.lit(1))).otherwise(c)), "")
+def iban_valid(account: Column) -> Column:
+    """An account number whose two digits after the country are set so that the remainder by 97 is 1."""
+    country, rest = F.substr(account, F.lit(1), F.lit(2)), F.substr(account, F.lit(5))
+    values = F.transform(F.split(F.concat(rest, country, F.lit("00")), ""), lambda c: F.conv(c, 36, 10).cast("int"))
+    left = F.aggregate(values, F.lit(0), lambda r, v: F.when(v > 9, r * 100 + v).otherwise(r * 10 + v) % 97)
+    return F.concat(country, F.lpad((98 - left).cast("string"), 2, "0"), rest)
 
 
-def name_part(part: Column, hexes: Column, women: Column, men: Column) -> Column:
+def name_part(part: Column, gender: Column, hexes: Column) -> Column:
     def made(script: str) -> Column:
         syllables = F.lit(SYLLABLES[script])
         pick = lambda place: F.element_at(syllables, number(hexes, F.lit(place)) % len(SYLLABLES[script]) + 1)
         end = lambda g: F.element_at(F.lit(ENDINGS[script, g]), number(hexes, F.lit(9)) % 4 + 1)
-        return F.initcap(F.concat(*[pick(n) for n in range(4)], F.when(women, end("f")).when(men, end("m")).otherwise(F.lit(""))))
+        return F.initcap(F.concat(*[pick(n) for n in range(4)], F.when(gender == "f", end("f")).when(gender == "m", end("m")).otherwise(F.lit(""))))
 
     return F.when(part.rlike(r"\p{IsCyrillic}"), made("cyrillic")).when(part.rlike(r"^[\p{IsLatin}]+$"), made("latin")).otherwise(scrambled(part, hexes))
 
 
-def described(found: Column, key: str, attempts: Column | None = None) -> Column:
-    """An array of matches as structs of found, kind, entity and hexes; each step stands on the one before, so that
-    nothing is evaluated twice."""
-    first = F.transform(found, lambda m: F.struct(m.alias("found"), kind_of(m).alias("kind")))
-    second = F.transform(first, lambda m: F.struct(m["found"].alias("found"), m["kind"].alias("kind"), canonical(m["found"], m["kind"]).alias("entity")))
-
-    def keyed(m: Column) -> Column:
-        attempt = F.lit(0) if attempts is None else F.coalesce(F.element_at(attempts, m["found"]), F.lit(0))
-        return F.struct(m["found"].alias("found"), m["kind"].alias("kind"), m["entity"].alias("entity"), attempt.alias("attempt"), stream(key, m["kind"], m["entity"], attempt).alias("hexes"))
+def replacement(kind: Column, entity: Column, attempt: Column, key: str) -> Column:
+    """The canonical form of an entity's replacement."""
+    made = F.transform(F.array(stream(key, kind, entity, attempt)), lambda hexes: _replacement(kind, entity, hexes))
+    return F.element_at(made, 1)
 
-    return F.transform(second, keyed)
 
-
-def surrogates(found: Column, key: str, attempts: Column | None = None) -> Column:
-    """The replacements of an array of matches; attempts maps matches to their attempt where it isn't the first."""
-    return F.transform(described(found, key, attempts), lambda m: surrogate(m["found"], m["kind"], m["entity"], m["attempt"], m["hexes"], key))
-
-
-def surrogate(found: Column, kind: Column, entity: Column, attempt: Column, hexes: Column, key: str) -> Column:
-    octets = F.concat_ws(".", (number(hexes, F.lit(0)) % 223 + 1).cast("string"), *[(number(hexes, F.lit(n)) % 256).cast("string") for n in (1, 2, 3)])
-    domain_end = F.regexp_extract(found, r"(\.[A-Za-z0-9-]+)$", 1)
-    email = F.concat(scrambled(F.substr(F.lower(found), F.lit(1), F.length(found) - F.length(domain_end)), hexes), domain_end)
-    country = F.length(F.regexp_extract(found, r"^(\+\d{1,3}(?=[ .(-]))?", 1))
-    phone = F.concat(F.substr(found, F.lit(1), country), refilled(F.substr(found, country + 1), scrambled(F.substr(entity, F.greatest(F.lit(1), country)), hexes)))
-    label = F.substr(found, F.lit(1), F.length(found) - F.length(entity))
-    value = F.substr(found, F.length(label) + 1)
-    filled = F.substr(hexes, F.lit(1), F.length(entity))
-    mixed = F.array_join(F.zip_with(F.split(value, ""), F.split(filled, ""), lambda v, h: F.when(v.rlike("[A-F]"), F.upper(h)).otherwise(h)), "")
-    hexadecimal = F.when(~value.rlike("[A-F]"), filled).when(~value.rlike("[a-f]"), F.upper(filled)).otherwise(mixed)
-    secret = F.when(entity.rlike("^[0-9a-f]{32,}$"), hexadecimal).when(entity.rlike("^AKIA"), scrambled(entity, hexes, 4)).otherwise(scrambled(entity, hexes))
-    women, men = found.rlike(rf"^(?:{WOMEN})\b"), found.rlike(rf"^(?:{MEN})\b")
-    title = F.regexp_extract(found, r"^(\S+ )", 1)
-    bare = lambda p: F.regexp_replace(p, "[ -]$", "")
-    parts = F.split(F.substr(found, F.length(title) + 1), r"(?<=[ -])")
-    parts = F.transform(parts, lambda p: F.struct(bare(p).alias("part"), F.regexp_extract(p, "([ -])$", 1).alias("after"), stream(key, kind, bare(p), attempt).alias("hexes")))
-    renamed = F.transform(parts, lambda p: F.concat(name_part(p["part"], p["hexes"], women, men), p["after"]))
+def _replacement(kind: Column, entity: Column, hexes: Column) -> Column:
+    n = lambda place: number(hexes, F.lit(place))
+    octets = F.concat_ws(".", (n(0) % 223 + 1).cast("string"), *[(n(k) % 256).cast("string") for k in (1, 2, 3)])
+    ssn = F.concat(F.lpad((n(0) % 665 + 1).cast("string"), 3, "0"), F.lpad((n(1) % 99 + 1).cast("string"), 2, "0"), F.lpad((n(2) % 9999 + 1).cast("string"), 4, "0"))
+    end = F.regexp_extract(entity, r"(\.[a-z0-9-]+)$", 1)
+    email = F.concat(scrambled(F.substr(entity, F.lit(1), F.length(entity) - F.length(end)), hexes), end)
+    kept = F.regexp_extract(entity, _KEPT, 1)
+    phone = F.concat(kept, scrambled(F.substr(entity, F.length(kept) + 1), hexes))
+    secret = F.when(entity.rlike("^[0-9a-f]{32,}$"), F.substr(hexes, F.lit(1), F.length(entity))).when(entity.rlike("^AKIA"), scrambled(entity, hexes, 4)).otherwise(scrambled(entity, hexes))
+    gender, part = F.substr(entity, F.lit(1), F.lit(1)), F.substr(entity, F.lit(3))
     return (
         F.when(kind == "email", email)
         .when(kind == "ip", octets)
-        .when(kind == "card", refilled(found, luhn_valid(scrambled(entity, hexes, 1))))
-        .when(kind.isin("ssn", "iban"), refilled(found, scrambled(entity, hexes, 0)))
+        .when(kind == "card", luhn_valid(scrambled(entity, hexes, 1)))
+        .when(kind == "ssn", ssn)
+        .when(kind == "iban", iban_valid(scrambled(entity, hexes, 2)))
         .when(kind == "phone", phone)
+        .when(kind == "secret", secret)
+        .otherwise(F.concat(gender, F.lit("|"), name_part(part, gender, hexes)))
+    )
+
+
+def refilled(shape: Column, filling: Column) -> Column:
+    """`shape` with its letters and digits replaced in turn by the characters of `filling`."""
+    tokens = F.split(shape, "")
+    marks = F.transform(tokens, lambda c: c.rlike(r"[\p{L}\p{N}]").cast("int"))
+    upto = F.transform(tokens, lambda c, i: F.aggregate(F.slice(marks, 1, i + 1), F.lit(0), lambda a, b: a + b))
+    return F.array_join(F.zip_with(tokens, upto, lambda c, n: F.when(c.rlike(r"[\p{L}\p{N}]"), F.substr(filling, n, F.lit(1))).otherwise(c)), "")
+
+
+def cased(shape: Column, lower: Column) -> Column:
+    """`lower`, which is as long as `shape`, with capitals where `shape` has them. Where all letters of `shape` are
+    capitals all are, as letters and digits of hexadecimal text aren't at the same places."""
+    each = F.array_join(F.zip_with(F.split(shape, ""), F.split(lower, ""), lambda s, c: F.when(s.rlike(r"\p{Lu}"), F.upper(c)).otherwise(c)), "")
+    return F.when(~shape.rlike(r"\p{Lu}"), lower).when(~shape.rlike(r"\p{Ll}"), F.upper(lower)).otherwise(each)
+
+
+def written(found: Column, kind: Column, new: Column) -> Column:
+    """Replacements in the way that the match is written; `new` are their canonical forms."""
+    one = F.element_at(new, 1)
+    value = value_of(found)
+    label = F.substr(found, F.lit(1), F.length(found) - F.length(value))
+    secret = F.when(value.rlike("^[0-9A-Fa-f]{32,}$"), cased(value, one)).otherwise(one)
+    title = title_of(found)
+    bare = F.substr(found, F.length(title) + 1)
+    spaces = F.regexp_extract_all(bare, F.lit("[ -]"), F.lit(0))
+    parts = F.zip_with(F.split(bare, "[ -]"), new, lambda p, m: F.when((F.length(p) > 1) & ~p.rlike(r"\p{Ll}"), F.upper(F.substr(m, F.lit(3)))).otherwise(F.substr(m, F.lit(3))))
+    name = F.array_join(F.flatten(F.zip_with(parts, F.concat(spaces, F.array(F.lit(""))), lambda p, s: F.array(p, s))), "")
+    return (
+        F.when(kind == "email", cased(found, one))
+        .when(kind == "ip", one)
+        .when(kind.isin("card", "ssn", "iban"), refilled(found, one))
+        .when(kind == "phone", refilled(found, F.regexp_replace(one, r"^\+", "")))
         .when(kind == "secret", F.concat(label, secret))
-        .otherwise(F.concat(title, F.array_join(renamed, "")))
+        .otherwise(F.concat(title, name))
     )
 
 
+def surrogates(found: Column, key: str, attempts: Column | None = None) -> Column:
+    """The replacements of an array of matches; attempts maps "kind entity" to the attempt where it isn't the first. Each
+    step stands on the one before, so that nothing is evaluated twice."""
+    first = F.transform(found, lambda m: F.struct(m.alias("found"), kind_of(m).alias("kind")))
+    second = F.transform(first, lambda m: F.struct(m["found"].alias("found"), m["kind"].alias("kind"), entities_of(m["found"], m["kind"]).alias("entities")))
+
+    def attempt(kind: Column, entity: Column) -> Column:
+        return F.lit(0) if attempts is None else F.coalesce(F.element_at(attempts, F.concat_ws(" ", kind, entity)), F.lit(0))
+
+    third = F.transform(second, lambda m: F.struct(m["found"].alias("found"), m["kind"].alias("kind"), F.transform(m["entities"], lambda e: replacement(m["kind"], e, attempt(m["kind"], e), key)).alias("new")))
+    return F.transform(third, lambda m: written(m["found"], m["kind"], m["new"]))
+
+
 def matches(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
 
 
-def entities(docs: DataFrame) -> DataFrame:
-    """The distinct entities of all texts: (kind, entity, example), the example one way it is written."""
-    found = docs.select(F.explode(matches(F.col("text"))).alias("found")).groupBy("found").agg(F.lit(1).alias("one"))
-    typed = found.select(F.element_at(described(F.array("found"), ""), 1).alias("m"))
-    return typed.groupBy("m.kind", "m.entity").agg(F.min("m.found").alias("example"))
+#: Entities of a task that computes replacements.
+DEALT = 2_000
+
+
+def units(found: Column) -> Column:
+    """The kinds and canonical forms of an array of matches, flat."""
+    typed = F.transform(found, lambda m: F.struct(m.alias("found"), kind_of(m).alias("kind")))
+    return F.flatten(F.transform(typed, lambda m: F.transform(entities_of(m["found"], m["kind"]), lambda e: F.struct(m["kind"].alias("kind"), e.alias("entity")))))
+
+
+def holders(docs: DataFrame) -> DataFrame:
+    """(text_md5, units): the entities of each different text that has some."""
+    found = docs.select(F.md5("text").alias("text_md5"), matches(F.col("text")).alias("found")).where(F.size("found") > 0)
+    return found.dropDuplicates(["text_md5"]).select("text_md5", F.array_distinct(units(F.col("found"))).alias("units"))
+
+
+def redraws(docs: DataFrame, key: str) -> DataFrame:
+    """The attempts (see there) of the entities of all texts."""
+    return drawn_again(holders(docs).select(F.explode("units").alias("u")).select("u.kind", "u.entity"), key)
 
 
-def redraws(docs: DataFrame, key: str, most_rounds: int = 20) -> DataFrame:
-    """The entities whose first replacement is another's too, or is an entity itself, with the attempt that has given
-    each its own: (kind, entity, attempt)."""
-    # dealt out, as a row is small but its replacement takes long
-    known = materialize(entities(docs).withColumn("attempt", F.lit(0)).repartition(F.col("entity")))
+def drawn_again(known: DataFrame, key: str, most_rounds: int = 20) -> DataFrame:
+    """The entities (kind, entity) whose first replacement is another's too, or is an entity itself, with the attempt that
+    has given each its own: (kind, entity, attempt)."""
+    known = materialize(known.select("kind", "entity").distinct().withColumn("attempt", F.lit(0)))
+    # a row is small but its replacement takes long: dealt by number, after the reading, which would put all into few tasks
+    tasks = -(-known.count() // DEALT)
     names = known.select(F.col("kind").alias("k"), F.col("entity").alias("e"))
     now = known
     for _ in range(most_rounds):
-        given = surrogates(F.array("example"), key, F.create_map("example", "attempt"))
-        marked = materialize(now.withColumn("given", F.element_at(described(given, key), 1)["entity"]))
+        dealt = now.repartition(max(1, tasks), "entity")
+        marked = materialize(dealt.withColumn("given", replacement(F.col("kind"), F.col("entity"), F.col("attempt"), key)))
         # of those that share one the first keeps it, unless an entity is called so
         keeper = marked.groupBy("kind", "given").agg(F.min("entity").alias("keeper"), F.count("*").alias("n"))
         shared = marked.join(keeper.where("n > 1"), ["kind", "given"]).where(F.col("entity") != F.col("keeper")).select("kind", "entity")
@@ -201,18 +274,21 @@ def redraws(docs: DataFrame, key: str, most_rounds: int = 20) -> DataFrame:
 def replace_entities(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
     """Replace the personal data in `text`; adds n_entities, keeps the other columns and all rows.
 
-    E-mail and IP addresses, card, social security, bank account and phone numbers, secrets, and names after a title
-    get surrogates. Null texts stay null and empty ones empty, with 0 entities; equal entities get equal surrogates in
-    all rows and different entities of a type different ones. A column named n_entities in the input is replaced.
+    E-mail and IP addresses, card, social security, bank account and phone numbers, secrets, names after a title and full
+    names that are introduced or stand before an address get surrogates. Numbers keep their calling code, country or
+    first digit and hold their checksums; entities of one spelling or another, and the parts that names share, get the
+    same surrogates in all rows, different entities of a type (and titles' gender) different ones. Null texts stay null
+    and empty ones empty, with 0 entities. A column named n_entities in the input is replaced.
     """
-    attempts = materialize(redraws(docs, key))
+    held = materialize(holders(docs))
+    attempts = materialize(drawn_again(held.select(F.explode("units").alias("u")).select("u.kind", "u.entity"), key))
     has = docs.withColumn("__found", matches(F.col("text")))
     of = None
     if attempts.take(1):
         # the few entities that were drawn again, brought to the texts that hold them
-        occurs = docs.select(F.md5("text").alias("__text"), F.explode(F.array_distinct(matches(F.col("text")))).alias("found")).distinct()
-        occurs = occurs.select("__text", F.element_at(described(F.array("found"), ""), 1).alias("m")).select("__text", "m.found", "m.kind", "m.entity")
-        drawn = materialize(occurs.join(attempts, ["kind", "entity"]).groupBy("__text").agg(F.map_from_entries(F.collect_list(F.struct("found", "attempt"))).alias("__attempts")))
+        occurs = held.select(F.col("text_md5").alias("__text"), F.explode("units").alias("u")).select("__text", "u.kind", "u.entity")
+        named = F.struct(F.concat_ws(" ", "kind", "entity"), "attempt")
+        drawn = materialize(occurs.join(attempts, ["kind", "entity"]).groupBy("__text").agg(F.map_from_entries(F.collect_list(named)).alias("__attempts")))
         has = has.withColumn("__text", F.md5("text")).join(drawn, "__text", "left").drop("__text")
         of = F.coalesce(F.col("__attempts"), F.create_map().cast("map<string,int>"))
     new = surrogates(F.col("__found"), key, of)

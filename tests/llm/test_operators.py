@@ -269,7 +269,8 @@ def test_surrogates(spark, docs, empty):
     new = {r.doc_id: r.text for r in out}
     assert len(out) == len(data) and (new[5], new[6], new[7]) == ("", None, texts[7])
     a, b = new[1].removeprefix("mail ").removesuffix(".").split(" and ")
-    assert a == b and a.endswith(".com") and "@" in a and a != "ab.c9@mail8.example.com"
+    # one address in two letter cases: one replacement, each in its case
+    assert a[0].isupper() and a.lower() == b and a.endswith(".com") and "@" in a and b != "ab.c9@mail8.example.com"
     assert "555-7738" not in new[2] and "42.144.35.254" not in new[2] and "4041894974608795" not in new[2]
     x, y = new[2].split("card ")[1].rstrip(".").split(" / ")
     assert x == y.replace("-", "") and sum(sum(divmod(int(d) * (1 + k % 2), 10)) for k, d in enumerate(reversed(x))) % 10 == 0
