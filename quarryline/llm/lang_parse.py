@@ -178,9 +178,12 @@ def fit_samples(docs: DataFrame, sample_bytes: int = 16_384, sample_rows: int =
     out."""
     usable = docs.where(learnable(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     usable = usable.select("lang", F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 30)).alias("draw"), "doc_id", "text")
-    # one row for each language; then a few times the rows that are asked for, so that what is sorted is small
-    counts = usable.groupBy("lang").agg(F.count("*").alias("n"))
-    few = usable.join(counts, "lang").where(F.col("draw") < F.lit(float(4 * sample_rows << 30)) / F.col("n")).select("lang", "draw", "doc_id", letters(F.col("text")).alias("text"))
+    # a number for each language; then a few times the rows that are asked for, so that what is sorted is small
+    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return {}
+    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, (4 * sample_rows << 30) // n + 1)])
+    few = usable.where(F.col("draw") < F.element_at(share, F.col("lang"))).select("lang", "draw", "doc_id", letters(F.col("text")).alias("text"))
     place = F.row_number().over(W.partitionBy("lang").orderBy("draw", "doc_id", "text"))
     samples: dict[str, bytes] = {}
     drawn: dict[str, list[bytes]] = {}

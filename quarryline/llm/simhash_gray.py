@@ -209,7 +209,6 @@ def near_fingerprints(distinct: DataFrame, limit: int = 3) -> DataFrame:
 def in_block_pairs(members: DataFrame, name: Column, order: Column) -> DataFrame:
     """Members dealt to tasks by grp, in order within it. A grp of more than BLOCK members is cut into blocks by a hash of
     the member's name, and its members go to each pair of blocks theirs is in, so no task holds more than about two."""
-    members = materialize(members)
     large = members.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("grp", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     if large.take(1):
         dealt = members.join(large, "grp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
@@ -347,15 +346,26 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, row: str
     dealt = in_block_pairs(dealt, F.col("uid"), gray_rank(F.col("w0"))).select("grp", "uid", *names)
 
     def edges(grp: np.ndarray, uid: np.ndarray, *codes: np.ndarray) -> pa.RecordBatch:
-        pairs = [(np.zeros(0, np.int64),) * 2]
+        pairs, codes = [(np.zeros(0, np.int64),) * 2], np.column_stack(codes).view(np.uint64)
         if len(grp):
-            links(np.column_stack(codes).view(np.uint64), grp, NEAR, pairs)
-        a, b = (uid[np.concatenate(x)] for x in zip(*pairs, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["src", "dst"])
-
-    near = materialize(dealt.mapInArrow(lambda batches: whole_groups(batches, edges), "src long, dst long").distinct())
-    links_ = verified(near, texts, words, least)
+            links(codes, grp, NEAR, pairs)
+        a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        far = differing(codes[a] ^ codes[b])
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(uid[a], uid[b])), pa.array(np.maximum(uid[a], uid[b])), pa.array(far)], ["src", "dst", "far"])
+
+    near = materialize(dealt.mapInArrow(lambda batches: whole_groups(batches, edges), "src long, dst long, far long").distinct())
+    # first the closest pair of each text; then, of the pairs that would join two parts, the closest of each two
+    nearest = F.min_by("src", F.struct("far", "src")).alias("src")
+    first = materialize(near.groupBy("dst").agg(nearest).select("src", "dst"))
+    links_ = verified(first, texts, words, least)
+    parts = connected_components(links_)
+    ends = near.join(parts.select(F.col("node").alias("src"), F.col("component").alias("a")), "src", "left").join(parts.select(F.col("node").alias("dst"), F.col("component").alias("b")), "dst", "left")
+    ends = ends.select("src", "dst", "far", F.coalesce("a", "src").alias("a"), F.coalesce("b", "dst").alias("b")).where("a <> b")
+    second = ends.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min_by(F.struct("src", "dst"), F.struct("far", "src", "dst")).alias("pair")).select("pair.src", "pair.dst")
+    second = materialize(second.join(first, ["src", "dst"], "left_anti"))
+    links_ = links_.unionByName(verified(second, texts, words, least))
     parts = connected_components(links_)
+    tried = first.unionByName(second)
     shared = distinct.where("n > 0").select("uid", "n", F.explode("prefix").alias("h"))
     rooted = shared.join(parts, shared.uid == parts.node, "left").select("h", F.coalesce("component", "uid").alias("root"), "uid", "n")
 
@@ -374,7 +384,7 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, row: str
             yield from found
 
     # a pair that has been looked at isn't linked, or it would be in one part
-    pairs = materialize(rooted.repartition("h").sortWithinPartitions("h", "uid").mapInArrow(rest, "src long, dst long").distinct().join(near, ["src", "dst"], "left_anti"))
+    pairs = materialize(rooted.repartition("h").sortWithinPartitions("h", "uid").mapInArrow(rest, "src long, dst long").distinct().join(tried, ["src", "dst"], "left_anti"))
     parts = connected_components(links_.unionByName(verified(pairs, texts, words, least)))
     roots = distinct.select("key", "least", "uid").join(parts, distinct.uid == parts.node, "left").select("key", "least", F.coalesce("component", "uid").alias("root"))
     smallest = roots.groupBy("root").agg(F.min("least").alias("component_id"))
