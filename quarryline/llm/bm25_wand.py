@@ -1,11 +1,13 @@
-"""Exact BM25 top-k search with pruning by upper bounds, shard by shard.
+"""Exact BM25 top-k search with block-max pruning, shard by shard.
 
 A shard is a bounded run of documents. Its inverted index holds, for the terms that the queries name, the postings by term
-and by document, and the largest contribution of each term. A query adds up the postings of its rarest terms first: what a
-document has so far bounds its score from below, so the k-th best of that is a floor, and the largest contributions of the
-terms to come bound it from above. Documents that can't reach the floor are dropped; once few are left, these alone are
-added up in full. Document counts and lengths are those of the whole table, so the scores of all shards compare and their
-best are merged exactly.
+and by document; terms that many of its documents have are laid out as rows, with their largest contribution in each block
+of documents. A query adds up the postings of its rare terms: what a document has so far bounds its score from below, so
+the k-th best of that is a floor, as is the k-th best score of the shards before; with the block's largest contributions of
+the frequent terms it is bounded from above. Blocks that can't reach the floor are skipped, the others get the frequent
+terms' rows, for many queries at once. Those bounds are in single precision with room for its error; what may be among the
+best is then added up in double precision. Document counts and lengths are those of the whole table, so the scores of all
+shards compare and their best are merged exactly.
 """
 
 from __future__ import annotations
@@ -25,6 +27,10 @@ from .common import materialize
 K1, B = 1.2, 0.75
 #: Most documents and bytes of a shard.
 SHARD_DOCS, SHARD_BYTES = 8192, 32_000_000
+#: Documents of a block, queries that are searched side by side, and most terms that are laid out as rows.
+BLOCK_DOCS, SIDE, ROWS = 64, 256, 1024
+#: Room for the error of sums in single precision.
+ERROR = 1e-4
 #: Queries, and terms of queries, that are sent to the tasks at once.
 QUERY_BLOCK, QUERY_TERMS = 8192, 2_000_000
 #: ASCII letters in lower case, digits and all bytes beyond ASCII are parts of terms; the rest separates them.
@@ -89,43 +95,61 @@ class Shard:
     """The inverted index of a run of documents over the terms of a block of queries."""
 
     def __init__(self, ids: list, lengths: list[int], term_of: np.ndarray, doc_of: np.ndarray, idf: np.ndarray, mean: float):
-        self.ids, n = np.array(ids), len(ids)
+        self.ids, n = ids, len(ids)
         pair, tf = np.unique(term_of.astype(np.int64) * n + doc_of, return_counts=True)
         term, self.doc = np.divmod(pair, n)
         norm = K1 * (1 - B + B * np.array(lengths)[self.doc] / mean)
         self.impact = idf[term] * tf * (K1 + 1) / (tf + norm)
         self.at = np.searchsorted(term, np.arange(len(idf) + 1))
-        self.top = np.zeros(len(idf))
-        some = np.flatnonzero(np.diff(self.at))
-        self.top[some] = np.maximum.reduceat(self.impact, self.at[some]) if len(some) else 0.0
         by_doc = np.argsort(self.doc, kind="stable")
         self.doc_term, self.doc_impact = term[by_doc], self.impact[by_doc]
         self.doc_at = np.searchsorted(self.doc[by_doc], np.arange(n + 1))
         self.asked = np.zeros(len(idf), bool)
-        self.n = n
-
-    def search(self, query: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Places and scores of the documents that may be among the best k, of those that score `floor` at least."""
-        sizes = self.at[query + 1] - self.at[query]
-        order = np.argsort(sizes, kind="stable")
-        order = order[sizes[order] > 0]
-        use, sizes = query[order], sizes[order]
-        upto = np.cumsum(sizes)
-        rest = np.r_[np.cumsum(self.top[use][::-1])[::-1], 0.0] * (1 + 1e-9)
-        part, found, at = np.zeros(self.n), np.arange(self.n), 0
-        bound = floor * (1 - 1e-9)
-        for share in (16, 8, 4, 2, 1):
-            end = int(np.searchsorted(upto, upto[-1] / share, side="right")) if len(use) else 0
-            if end > at:
-                post = spans(self.at[use[at:end]], sizes[at:end])
-                part += np.bincount(self.doc[post], self.impact[post], self.n)
-                at = end
-                if self.n > k:
-                    bound = max(bound, np.partition(part, self.n - k)[self.n - k] * (1 - 1e-9))
-            found = np.flatnonzero((part + rest[at] >= bound) & (part + rest[at] > 0))
-            if at == len(use) or (self.doc_at[found + 1] - self.doc_at[found]).sum() < upto[-1] - (upto[at - 1] if at else 0):
-                break
-        # those that are left in full, each in the order of terms, so that equal documents of all shards score the same
+        self.n, self.wide = n, -(-n // BLOCK_DOCS) * BLOCK_DOCS
+        size = np.diff(self.at)
+        frequent = np.argsort(-size, kind="stable")[:ROWS]
+        frequent = frequent[size[frequent] >= max(BLOCK_DOCS, n // 16)]
+        self.row = np.full(len(idf), -1)
+        self.row[frequent] = np.arange(len(frequent))
+        self.rows = np.zeros((len(frequent), self.wide), np.float32)
+        post = spans(self.at[frequent], size[frequent])
+        self.rows[np.repeat(np.arange(len(frequent)), size[frequent]), self.doc[post]] = self.impact[post]
+        self.most = self.rows.reshape(len(frequent), self.wide // BLOCK_DOCS, BLOCK_DOCS).max(axis=2)
+
+    def search(self, queries: list[np.ndarray], k: int, floors: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the places and scores of the documents that may be among the best k, of those that score its
+        floor at least."""
+        out = []
+        for a in range(0, len(queries), SIDE):
+            out += self._side_by_side(queries[a : a + SIDE], k, floors[a : a + SIDE])
+        return out
+
+    def _side_by_side(self, queries: list[np.ndarray], k: int, floors: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        m = len(queries)
+        terms_, of = np.concatenate(queries), np.repeat(np.arange(m), [len(q) for q in queries])
+        row = self.row[terms_]
+        rare = row < 0
+        first, size = self.at[terms_[rare]], self.at[terms_[rare] + 1] - self.at[terms_[rare]]
+        post = spans(first, size)
+        score = np.bincount(np.repeat(of[rare], size) * self.wide + self.doc[post], self.impact[post], m * self.wide).astype(np.float32).reshape(m, self.wide)
+        named = np.zeros((m, len(self.rows)), np.float32)
+        named[of[~rare], row[~rare]] = 1
+        bound = score.reshape(m, -1, BLOCK_DOCS).max(axis=2) + named @ self.most
+        floor = floors.copy()
+        if self.n > k:
+            floor = np.maximum(floor, np.partition(score, -k, axis=1)[:, -k])
+        live = (bound >= floor[:, None] * (1 - ERROR)) & (bound > 0)
+        for b in np.flatnonzero(live.any(axis=0)).tolist():
+            who = np.flatnonzero(live[:, b])
+            docs = slice(b * BLOCK_DOCS, (b + 1) * BLOCK_DOCS)
+            score[who, docs] += named[who] @ self.rows[:, docs]
+        score.reshape(m, -1, BLOCK_DOCS)[~live] = 0
+        if self.n > k:
+            floor = np.maximum(floor, np.partition(score, -k, axis=1)[:, -k] * (1 - ERROR))
+        return [self._exact(q, np.flatnonzero((s >= f * (1 - ERROR)) & (s > 0)), k, g) for q, s, f, g in zip(queries, score, floor, floors, strict=True)]
+
+    def _exact(self, query: np.ndarray, found: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
+        """Scores in full, each in the order of terms, so that equal documents of all shards score the same."""
         self.asked[query] = True
         size = self.doc_at[found + 1] - self.doc_at[found]
         post = spans(self.doc_at[found], size)
@@ -147,7 +171,8 @@ def search(docs: DataFrame, queries: DataFrame, n: int, mean: float, k: int = 10
     """The `k` best documents of each query: query_id, rank (from 1), doc_id, score; ties go to the smaller doc_id.
 
     queries are (query_id, terms array<struct<term, idf>>); they are sent to the tasks in blocks of about QUERY_BLOCK,
-    each against all documents. Documents without a query's terms aren't found by it; null texts have no terms; rows
+    each against all documents. There are as many tasks as cores, whatever the table's size, each of which goes through its
+    shards one after the other with the floors so far and gives the best of each query once. Documents without a query's terms aren't found by it; null texts have no terms; rows
     that repeat are found as often; other columns aren't returned. Scores are those of BM25 with k1 1.2 and b 0.75.
     """
     spark = docs.sparkSession
@@ -176,14 +201,16 @@ def search(docs: DataFrame, queries: DataFrame, n: int, mean: float, k: int = 10
 
             def settle(ids, lengths, term_of, doc_of):
                 shard = Shard(ids, lengths, np.concatenate(term_of), np.concatenate(doc_of), idf, mean)
-                for q, query in enumerate(of):
-                    floor = best[q][-1][0] if len(best[q]) == k else 0.0
-                    docs_, scores = shard.search(query, k, floor)
-                    if len(docs_):
-                        best[q] = sorted([*best[q], *zip(scores.tolist(), shard.ids[docs_].tolist(), strict=True)], key=lambda x: (-x[0], x[1] is None, x[1] or 0))[:k]
+                floors = np.array([b[-1][0] if len(b) == k else 0.0 for b in best])
+                for q, (places, scores) in enumerate(shard.search(of, k, floors)):
+                    if len(places):
+                        new = [(s, ids[p]) for s, p in zip(scores.tolist(), places.tolist(), strict=True)]
+                        best[q] = sorted([*best[q], *new], key=lambda x: (-x[0], x[1] is None, 0 if x[1] is None else x[1]))[:k]
 
             ids, lengths, term_of, doc_of, held = [], [], [], [], 0
+            id_type = None
             for batch in batches:
+                id_type = batch.schema.field(0).type
                 for part in in_blocks(batch, 1_000_000):
                     for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                         words = terms(t)
@@ -201,9 +228,9 @@ def search(docs: DataFrame, queries: DataFrame, n: int, mean: float, k: int = 10
             flat = [(names[q], i, s) for q, b in enumerate(best) for s, i in b]
             for at in range(0, len(flat), 50_000):
                 q, i, s = zip(*flat[at : at + 50_000], strict=True)
-                yield pa.RecordBatch.from_pydict({"query_id": pa.array(q), "doc_id": pa.array(i, pa.int64()), "score": pa.array(s, pa.float64())})
+                yield pa.RecordBatch.from_pydict({"query_id": pa.array(q), "doc_id": pa.array(i, id_type), "score": pa.array(s, pa.float64())})
 
-        one = docs.select("doc_id", "text").mapInArrow(run, f"query_id {query_kind}, doc_id {kind}, score double")
+        one = docs.select("doc_id", "text").coalesce(spark.sparkContext.defaultParallelism).mapInArrow(run, f"query_id {query_kind}, doc_id {kind}, score double")
         found = one if found is None else found.unionByName(one)
     best = W.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
