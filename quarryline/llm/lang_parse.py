@@ -223,7 +223,7 @@ def identify(docs: DataFrame, samples: dict[str, bytes]) -> DataFrame:
     return docs.where(lettered).select("doc_id", letters(text).alias("text")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, rate double").unionByName(none)
 
 
-def blocks(batch: pa.RecordBatch, most_bytes: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def blocks(batch: pa.RecordBatch, most_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     import pyarrow.compute as pc
 
     start, held = 0, 0

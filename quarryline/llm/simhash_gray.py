@@ -257,8 +257,9 @@ def simhash_components(docs: DataFrame, words: int = 3, limit: int = 3) -> DataF
 
 
 #: Words of 64 bits of a wide fingerprint, tables of its sampled bits, bits of a table's key, and the differing bits up to
-#: which two texts are candidates: a pair of similarity 0.8 differs in 78 bits of 512 on average, with a deviation of 8.
-WIDE, TABLES, KEY_BITS, NEAR = 8, 24, 16, 110
+#: which two texts are candidates: a pair of similarity 0.8 differs in 78 bits of 512 on average (of very short texts in up
+#: to 100), with a deviation of 8 or 9. Beyond FAR bits a pair isn't one of 0.8 but for a chance of less than 1e-12.
+WIDE, TABLES, KEY_BITS, NEAR, FAR = 8, 12, 16, 110, 170
 #: Most of the frequent shingles that a task knows. They only order the shingles, which changes the time but no result.
 FREQUENT = 200_000
 #: Most texts whose numbers are sent to all tasks to pick them; more are joined.
@@ -310,7 +311,7 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, row: str
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
         for batch in batches:
-            for block in in_blocks(batch.select(["row", "text", "doc_id"]), 4_000_000):
+            for block in in_blocks(batch.select(["row", "text", "doc_id"]), 1_000_000):
                 keys, sizes, codes, firsts = [], [], [], []
                 for t in block.column(1).to_pylist():
                     keys.append(xxhash.xxh3_128_digest(b" ".join((t or "").encode().lower().split())))
@@ -383,8 +384,12 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, row: str
         for found in whole_groups(batches, across):
             yield from found
 
-    # a pair that has been looked at isn't linked, or it would be in one part
-    pairs = materialize(rooted.repartition("h").sortWithinPartitions("h", "uid").mapInArrow(rest, "src long, dst long").distinct().join(tried, ["src", "dst"], "left_anti"))
+    # a pair that has been looked at isn't linked, or it would be in one part; most others have a passage in common only,
+    # which their fingerprints tell
+    pairs = rooted.repartition("h").sortWithinPartitions("h", "uid").mapInArrow(rest, "src long, dst long").distinct().join(tried, ["src", "dst"], "left_anti")
+    a, b = (distinct.select(F.col("uid").alias(end), F.array(*names).alias(f)) for end, f in (("src", "a"), ("dst", "b")))
+    bits = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    pairs = materialize(pairs.join(a, "src").join(b, "dst").where(bits <= FAR).select("src", "dst"))
     parts = connected_components(links_.unionByName(verified(pairs, texts, words, least)))
     roots = distinct.select("key", "least", "uid").join(parts, distinct.uid == parts.node, "left").select("key", "least", F.coalesce("component", "uid").alias("root"))
     smallest = roots.groupBy("root").agg(F.min("least").alias("component_id"))
