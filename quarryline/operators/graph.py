@@ -5,7 +5,6 @@ Edges are (src, dst) with any number of further columns; nodes are strings.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame
@@ -13,14 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
-def _written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
     """The table written to the session's checkpoint folder and read back, so that a loop's plan stays short."""
     spark = df.sparkSession
     sc = spark.sparkContext
     top = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not top:
-        top = tempfile.mkdtemp(prefix="quarryline-")
-        sc.setCheckpointDir(top)
+    if not top:  # a session that names no folder gets one beside its tables
+        sc.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints")
+        top = sc.getCheckpointDir()
     path = f"{top}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -47,13 +46,13 @@ def dangling_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """The smallest node that each node reaches: (node, component). Labels spread over edges and then along themselves
     (a label takes on its own label), so the rounds grow with the logarithm of the longest path."""
-    links = _written(both_ways(known_edges(edges, nodes)))
-    now = _written(nodes.select("node", F.col("node").alias("component")).distinct())
+    links = written(both_ways(known_edges(edges, nodes)))
+    now = written(nodes.select("node", F.col("node").alias("component")).distinct())
     for _ in range(most_rounds):
         near = links.join(now, links.dst == now.node).groupBy("src").agg(F.min("component").alias("offer"))
         spread = now.join(near, now.node == near.src, "left").select("node", "component", F.least("component", F.coalesce("offer", "component")).alias("better"))
         up = spread.select(F.col("node").alias("label"), F.col("better").alias("of_label"))
-        jumped = _written(spread.join(up, spread.better == up.label, "left").select("node", "component", F.least("better", F.coalesce("of_label", "better")).alias("better")))
+        jumped = written(spread.join(up, spread.better == up.label, "left").select("node", "component", F.least("better", F.coalesce("of_label", "better")).alias("better")))
         changed = jumped.where("component <> better").limit(1).count()
         now = jumped.select("node", F.col("better").alias("component"))
         if not changed:
@@ -135,3 +134,94 @@ def relevance(found: DataFrame, keywords: list[str], text: Column, size: Column)
     for word in keywords:
         score = score + F.contains(F.lower(text), F.lit(word)).cast("int") * 0.3
     return found.withColumn("relevance", F.round(F.least(score, F.lit(1.0)), 6))
+
+
+def _first_of(rows: DataFrame, value: str, order: list, n: int, name: str) -> DataFrame:
+    """The first `n` values of each community, as an array in order; no group is collected whole."""
+    place = F.row_number().over(W.partitionBy("community").orderBy(*order))
+    first = rows.withColumn("__p", place).where(F.col("__p") <= n)
+    return first.groupBy("community").agg(F.transform(F.array_sort(F.collect_list(F.struct("__p", value))), lambda x: x[value]).alias(name))
+
+
+def summaries(members: DataFrame, relations: DataFrame) -> DataFrame:
+    """A sentence or two on each community: its first five names and its first three relationships, with their numbers.
+    members are (community, name, ord), relations (community, description, ord)."""
+    names = _first_of(members, "name", ["ord"], 5, "names").join(members.groupBy("community").agg(F.count("*").alias("n")), "community")
+    told = _first_of(relations, "description", ["ord"], 3, "told").join(relations.groupBy("community").agg(F.count("*").alias("m")), "community")
+    n, m = F.col("n").cast("string"), F.col("m").cast("string")
+    who = F.concat(F.lit("這個社群包含 "), n, F.lit(" 個實體："), F.array_join("names", ", "), F.when(F.col("n") > 5, F.concat(F.lit(" 等 "), n, F.lit(" 個實體"))).otherwise(""))
+    what = F.concat(F.lit("主要關係包括："), F.array_join("told", "; "), F.when(F.col("m") > 3, F.concat(F.lit(" 等 "), m, F.lit(" 個關係"))).otherwise(""))
+    rows = names.join(told, "community", "full_outer")
+    return rows.select("community", F.concat(F.concat_ws("。", who, what), F.lit("。")).alias("summary"))
+
+
+def detailed_summaries(communities: DataFrame, members: DataFrame, relations: DataFrame) -> DataFrame:
+    """The longer text of a report: title, numbers, the five highest ranked names, types by number, three relationships.
+    communities are (community, title), members (community, name, type, rank, ord)."""
+    types = members.groupBy("community", F.coalesce("type", F.lit("未知")).alias("type")).agg(F.count("*").alias("n"))
+    told_types = types.groupBy("community").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "type"))), lambda x: F.concat((-x["o"]).cast("string"), F.lit("個"), x["type"])), ", ").alias("types"), F.sum("n").alias("n"))
+    top = _first_of(members, "name", [F.desc("rank"), F.asc("ord")], 5, "names")
+    first = _first_of(relations, "description", ["ord"], 3, "told")
+    m = relations.groupBy("community").agg(F.count("*").alias("m"))
+    rows = communities.join(told_types, "community", "left").join(top, "community", "left").join(first, "community", "left").join(m, "community", "left")
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("string")
+    text = F.concat_ws(
+        "。",
+        F.concat(F.lit("這是一個名為「"), "title", F.lit("」的社群")),
+        F.concat(F.lit("包含 "), count("n"), F.lit(" 個實體和 "), count("m"), F.lit(" 個關係")),
+        F.concat(F.lit("主要實體包括："), F.array_join("names", ", ")),
+        F.concat(F.lit("實體類型分佈："), F.col("types")),
+        F.concat(F.lit("主要關係："), F.array_join("told", "; ")),
+    )
+    return rows.select("community", F.concat(text, F.lit("。")).alias("summary"))
+
+
+def community_keywords(members: DataFrame, relations: DataFrame, most: int = 20) -> DataFrame:
+    """Names of members and words of more than two characters of relationships: the first `most` by alphabet."""
+    words = relations.select("community", F.explode(F.split("description", r"\s+")).alias("keyword")).where(F.length("keyword") > 2)
+    every = members.select("community", F.col("name").alias("keyword")).where("keyword <> ''").unionByName(words).distinct()
+    place = F.row_number().over(W.partitionBy("community").orderBy("keyword"))
+    return every.withColumn("place", place).where(F.col("place") <= most).select("community", "keyword", "place")
+
+
+def relation_type_counts(relations: DataFrame) -> DataFrame:
+    return relations.groupBy("community", F.coalesce("type", F.lit("未知")).alias("type")).agg(F.count("*").alias("n"))
+
+
+def looked_up(communities: DataFrame, ids: str, table: DataFrame, key: str) -> DataFrame:
+    """The rows of `table` that the communities' arrays of ids name, in the array's order; unknown ids are dropped."""
+    named = communities.select("community", F.posexplode(ids).alias("pos", key))
+    return named.join(table, key)
+
+
+def first_seen_units(entities: DataFrame, units: DataFrame) -> DataFrame:
+    """Distinct known units of each community's entities (community, ord, units array), in the order in which the entities
+    name them: (community, unit_id, place)."""
+    named = entities.select("community", "ord", F.posexplode("units").alias("pos", "unit_id")).join(units.select("unit_id").distinct(), "unit_id")
+    first = named.groupBy("community", "unit_id").agg(F.min(F.struct("ord", "pos")).alias("at"))
+    return first.select("community", "unit_id", F.row_number().over(W.partitionBy("community").orderBy("at", "unit_id")).alias("place"))
+
+
+def with_reports(communities: DataFrame, found: DataFrame) -> DataFrame:
+    """Communities with what their report says, or the defaults if there is none."""
+    rows = communities.join(found.select("community", "title", "summary", "rank"), "community", "left")
+    return rows.select(*communities.columns, F.coalesce("title", F.concat(F.lit("社群 "), "community")).alias("title"), F.coalesce("summary", F.lit("")).alias("summary"), F.coalesce("rank", F.lit(0.0)).alias("rank"))
+
+
+def sized(communities: DataFrame, children: DataFrame) -> DataFrame:
+    """Communities (community, parent, n_entities, n_relationships) with size, is_root and is_leaf."""
+    parents = children.where("parent IS NOT NULL").select(F.col("parent").alias("community")).distinct().withColumn("__p", F.lit(True))
+    rows = communities.join(parents, "community", "left")
+    return rows.select("community", (F.col("n_entities") + F.col("n_relationships")).alias("size"), F.col("parent").isNull().alias("is_root"), F.col("__p").isNull().alias("is_leaf"))
+
+
+def size_statistics(communities: DataFrame) -> DataFrame:
+    """Number of communities and mean, largest and smallest size, over all and by level (null: all)."""
+    return communities.groupingSets([[], [F.col("level")]], F.col("level")).agg(F.count("*").alias("n"), F.round(F.avg("size"), 6).alias("mean"), F.max("size").alias("most"), F.min("size").alias("least"))
+
+
+def converted_entities(rows: DataFrame) -> DataFrame:
+    """Entities of another workflow's output (title or name, type, description, degree) in this library's columns."""
+    has = lambda c: F.col(c) if c in rows.columns else F.lit(None)
+    name = F.trim(F.coalesce(has("title").cast("string"), has("name").cast("string"), F.lit("")))
+    return rows.select(F.coalesce(has("id").cast("string"), F.md5(name)).alias("id"), name.alias("name"), F.upper(F.coalesce(has("type").cast("string"), F.lit("unknown"))).alias("type"), F.coalesce(has("description").cast("string"), F.lit("")).alias("description"), F.coalesce(has("degree").cast("double"), F.lit(0.0)).alias("rank"))

@@ -53,11 +53,8 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"[a-zA-Z0-9]+|[{CJK}]"), F.lit(0))
 
 
-def statistics(docs: DataFrame, id_: str, text: str) -> DataFrame:
-    """Counts of characters, words, sentences, paragraphs, Chinese characters, English words and punctuation."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    counted = docs.select(
-        id_,
+def _counts(t: Column) -> list[Column]:
+    return [
         F.length(t).alias("char_count"),
         F.regexp_count(t, F.lit(rf"[a-zA-Z0-9]+|[{CJK}]")).alias("word_count"),
         F.size(sentences(t)).alias("sentence_count"),
@@ -65,7 +62,12 @@ def statistics(docs: DataFrame, id_: str, text: str) -> DataFrame:
         F.regexp_count(t, F.lit(f"[{CJK}]")).alias("chinese_char_count"),
         F.regexp_count(t, F.lit("[a-zA-Z]+")).alias("english_word_count"),
         F.regexp_count(t, F.lit(CHINESE_PUNCTUATION)).alias("punctuation_count"),
-    )
+    ]
+
+
+def statistics(docs: DataFrame, id_: str, text: str) -> DataFrame:
+    """Counts of characters, words, sentences, paragraphs, Chinese characters, English words and punctuation."""
+    counted = docs.select(id_, *_counts(F.coalesce(F.col(text), F.lit(""))))
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     return counted.withColumns({"avg_sentence_length": F.round(ratio("char_count", "sentence_count"), 6), "avg_word_length": F.round(ratio("chinese_char_count", "word_count"), 6)})
 
@@ -74,14 +76,14 @@ def quality(docs: DataFrame, id_: str, text: str) -> DataFrame:
     """The weighted sum of seven scores of a text, and its level."""
     t = F.coalesce(F.col(text), F.lit(""))
     found = words(t)
-    extra = docs.select(
-        F.col(id_).alias("__id"),
+    s = docs.select(
+        id_,
+        *_counts(t),
         F.size(found).alias("n_words"),
         F.size(F.array_distinct(found)).alias("n_distinct"),
         F.regexp_count(t, F.lit("[^" + KEPT.replace("豈-﫿", "") + "]")).alias("n_special"),
         sum((F.contains(t, F.lit(w)).cast("int") for w in COHERENCE_WORDS), F.lit(0)).alias("n_links"),
     )
-    s = statistics(docs, id_, text).join(extra, F.col(id_) == F.col("__id"))
     n, k = F.col("char_count"), F.col("sentence_count")
     chinese = F.when(n > 0, F.col("chinese_char_count") / n).otherwise(0.0)
     marks = F.when(n > 0, F.col("punctuation_count") / n).otherwise(0.0)
