@@ -5,7 +5,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -166,28 +168,38 @@ def adaptive_batch(records: DataFrame, key: str, base: int, target: float, last:
 
 
 def down_sampled(records: DataFrame, key: str, interval: int) -> DataFrame:
-    """Each key's records, one kept only if `interval` seconds have passed since the last one kept. The rule looks back at its own
-    choices, so each key's times are walked in order; a key's times are two numbers a record."""
-
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["second", "event_id"])
-        kept, until = [], -1 << 62
-        for second in group["second"]:
-            take = second >= until
-            kept.append(take)
-            if take:
-                until = second + interval
-        return group[kept][[key, "event_id"]]
+    """Each key's records, one kept only if `interval` seconds have passed since the last one kept.
 
+    The rule looks back at its own choices, so each key's times are walked in order: a task walks its sorted rows as they
+    come, with the last kept time as all it remembers. Times within one key aren't split, but never held either.
+    """
     kind = records.schema[key].dataType.simpleString()
-    return records.select(key, "event_id", seconds("ts").alias("second")).groupBy(key).applyInPandas(walk, f"{key} {kind}, event_id long")
+    rows = records.select(key, "event_id", seconds("ts").alias("second"))
+    dealt = rows.repartition(key).sortWithinPartitions(key, "second", "event_id")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, until = object(), 0
+        for batch in batches:
+            names, at = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            keep = []
+            for name, second in zip(names, at, strict=True):
+                new = name != held
+                take = second is not None and (new or until is None or second >= until)
+                if new:
+                    held, until = name, None
+                if take:
+                    until = second + interval
+                keep.append(take)
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=[key, "event_id"]).filter(pa.array(keep, pa.bool_()))
+
+    return dealt.mapInArrow(walk, f"{key} {kind}, event_id long")
 
 
 def smoothed(records: DataFrame, key: str, old: float = 0.7) -> DataFrame:
     """The exponentially smoothed value of each key's daily means, in order of days."""
     days = records.groupBy(key, F.to_date("ts").alias("day")).agg(F.avg("value").alias("mean"))
     series = days.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("day", "mean"))).alias("x"))
-    out = F.aggregate(F.slice("x", 2, 1 << 20), F.element_at("x", 1)["mean"], lambda acc, d: old * acc + (1 - old) * d["mean"])
+    out = F.aggregate(F.slice("x", F.lit(2), F.greatest(F.size("x") - 1, F.lit(0))), F.element_at("x", 1)["mean"], lambda acc, d: old * acc + (1 - old) * d["mean"])
     return series.select(key, F.round(out, 6).alias("smoothed"))
 
 

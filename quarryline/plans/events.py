@@ -71,5 +71,8 @@ ORACLES = {
     "recent_usage": "SELECT event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-29 00:00:00' GROUP BY 1",
     "prop_labels": "SELECT json_extract(props, '$.k')::int AS k, count(*) AS n FROM events GROUP BY 1",
 }
+# the next record kept is the first one an interval after the last
+ORACLES["down_sampled"] = "WITH RECURSIVE e AS MATERIALIZED (SELECT user_id, event_id, floor(epoch(ts))::bigint AS s, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS p FROM events), j AS MATERIALIZED (SELECT a.user_id, a.p, min(b.p) AS nx FROM e a JOIN e b ON b.user_id = a.user_id AND b.s >= a.s + 21600 GROUP BY 1, 2), r AS (SELECT user_id, 1::bigint AS p FROM e WHERE p = 1 UNION ALL SELECT r.user_id, j.nx FROM r JOIN j ON j.user_id = r.user_id AND j.p = r.p) SELECT user_id, event_id FROM r JOIN e USING (user_id, p)"
+ORACLES["smoothed_values"] = "WITH RECURSIVE d AS MATERIALIZED (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY day) AS p, count(*) OVER (PARTITION BY event_type) AS n, m FROM (SELECT event_type, ts::date AS day, avg(value) AS m FROM events GROUP BY 1, 2)), r AS (SELECT event_type, p, n, m AS x FROM d WHERE p = 1 UNION ALL SELECT r.event_type, d.p, d.n, 0.7::double * x + 0.3::double * d.m FROM r JOIN d ON d.event_type = r.event_type AND d.p = r.p + 1) SELECT event_type, round(x, 6) AS smoothed FROM r WHERE p = n"
 for _name, _key, _tol in (("trend_classes", "user_id", 0.1), ("batch_trend_classes", "event_type", 0.05)):
     ORACLES[_name] = f"SELECT {_key}, round(a, 6) AS recent_mean, CASE WHEN n < 10 THEN 'unknown' WHEN a > b * {1 + _tol} THEN 'rising' WHEN a < b * {1 - _tol} THEN 'falling' ELSE 'stable' END AS trend FROM (SELECT {_key}, count(*) AS n, avg(value) FILTER (place <= 5) AS a, avg(value) FILTER (place > 5) AS b FROM (SELECT *, row_number() OVER (PARTITION BY {_key} ORDER BY ts DESC, event_id DESC) AS place FROM events) WHERE place <= 10 GROUP BY 1)"

@@ -70,6 +70,41 @@ class Collections:
         """Count and dimension; 0 for an empty collection."""
         return self.read(name).agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("vector")), F.lit(0)).alias("dimension"))
 
+    def exists(self, name: str) -> bool:
+        return bool(self._versions(name))
+
+    def schema(self, name: str) -> dict[str, str]:
+        """The metadata columns of a collection and their types."""
+        fixed = {"id", "vector", "created_at", "updated_at"}
+        return {f.name: f.dataType.simpleString() for f in self.read(name).schema if f.name not in fixed}
+
+    def statistics(self) -> DataFrame:
+        """Over all collections: their number, rows, and different dimensions above 0."""
+        rows = None
+        for name in self.names():
+            one = self.describe(name).select(F.lit(name).alias("name"), "n", "dimension")
+            rows = one if rows is None else rows.unionByName(one)
+        if rows is None:
+            rows = self.spark.createDataFrame([], "name string, n long, dimension int")
+        return rows.agg(F.count("*").alias("collections"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.array_sort(F.collect_set(F.when(F.col("dimension") > 0, F.col("dimension")))).alias("dimensions"))
+
+    def store(self, name: str, rows: DataFrame) -> int:
+        """Append rows (id, embedding, ...) that have an embedding, making the collection if there is none; returns how many
+        were taken."""
+        good = rows.where(F.col("embedding").isNotNull() & (F.trim("id") != "")).withColumnRenamed("embedding", "vector")
+        if not self.exists(name):
+            self.create(name, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in good.schema if f.name not in ("id", "vector")))
+        before = self.read(name).count()
+        self.insert(name, good)
+        return self.read(name).count() - before
+
+    def restore(self, name: str, from_: str) -> int:
+        """Make or replace a collection from a backup; returns the number of rows."""
+        rows = self.spark.read.parquet(from_)
+        version = (self._versions(name) or [-1])[-1] + 1
+        rows.write.parquet(f"{self.folder}/{name}/v{version}")
+        return self.read(name).count()
+
     def backup(self, name: str, to: str) -> int:
         """Copy a collection and return the number of rows, which both have."""
         rows = self.read(name)

@@ -34,6 +34,37 @@ def decoded(content: Column) -> Column:
     return F.coalesce(valid, other(F.when(valid.isNull(), content)))
 
 
+def detected_encoding(content: Column) -> Column:
+    """The first of ENCODINGS that a file's bytes fit, null for none: UTF-8 is told by Spark itself."""
+
+    @F.pandas_udf("string")
+    def other(raw: pd.Series) -> pd.Series:
+        def one(b: bytes | None) -> str | None:
+            for encoding in ENCODINGS[1:] if b is not None else ():
+                try:
+                    b.decode(encoding)
+                    return encoding
+                except UnicodeDecodeError:
+                    continue
+            return None
+
+        return raw.map(one)
+
+    valid = F.try_validate_utf8(content.cast("string")).isNotNull()
+    return F.when(valid, ENCODINGS[0]).otherwise(other(F.when(~valid, content)))
+
+
+def validated_files(files: DataFrame, most_bytes: int = 100_000_000, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
+    """Files with the first reason for which they can't be read: suffix, empty, too large, or encoding (null: none)."""
+    reason = F.when(~F.lower("suffix").isin(*suffixes), "suffix").when(F.col("size") == 0, "empty").when(F.col("size") > most_bytes, "too large").when(detected_encoding(F.col("content")).isNull(), "encoding")
+    return files.select("path", "size", reason.alias("reason"))
+
+
+def sorted_listing(files: DataFrame) -> DataFrame:
+    """Files in the order of their paths."""
+    return files.select("path", "name", "suffix", "size", "modified").orderBy("path")
+
+
 def scan_files(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = SUFFIXES, any_case: bool = False) -> DataFrame:
     """Files under a folder, with name, suffix, size, time and content; suffixes are told by case unless `any_case`."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
@@ -43,13 +74,13 @@ def scan_files(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = SUF
     return rows.where((F.lower("suffix") if any_case else F.col("suffix")).isin(*suffixes))
 
 
-def read_documents(spark: SparkSession, folder: str, **options) -> DataFrame:
-    """Documents of a folder: id (of the path), title, text, type, size. Markup is stripped from Markdown; files that
+def read_documents(spark: SparkSession, folder: str, language: str | None = None, **options) -> DataFrame:
+    """Documents of a folder: id (of the path), title, text, type, size, language (as given) and a map of metadata. Markup is stripped from Markdown; files that
     can't be decoded, and blank ones, have an error instead of a text; files of no bytes are skipped by the reader."""
     rows = scan_files(spark, folder, **options).withColumn("raw", decoded(F.col("content")))
     text = F.trim(F.when(F.col("suffix") == "md", strip_markup(F.col("raw"))).otherwise(F.col("raw")))
     error = F.when(F.col("raw").isNull(), "encoding").when(F.btrim(text, F.lit(" \n\r\t")) == "", "empty")
-    return rows.select(F.substring(F.sha2("path", 256), 1, 16).alias("id"), F.regexp_replace("name", r"\.[^.]+$", "").alias("title"), F.when(error.isNull(), text).alias("text"), F.col("suffix").alias("type"), "size", error.alias("error"), F.sha2("content", 256).alias("hash"))
+    return rows.select(F.substring(F.sha2("path", 256), 1, 16).alias("id"), F.regexp_replace("name", r"\.[^.]+$", "").alias("title"), F.when(error.isNull(), text).alias("text"), F.col("suffix").alias("type"), "size", error.alias("error"), F.sha2("content", 256).alias("hash"), F.lit(language).cast("string").alias("language"), F.create_map(F.lit("file_name"), F.col("name"), F.lit("file_path"), F.col("path"), F.lit("modified"), F.col("modified").cast("string")).alias("metadata"))
 
 
 def listing(files: DataFrame) -> DataFrame:
