@@ -99,13 +99,41 @@ def cache_key(text: Column, kind: Column, aim: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lower(F.trim(text)), kind, aim))
 
 
-def cached(queries: DataFrame, cache: DataFrame, ttl: int) -> DataFrame:
-    """Questions with the latest answer to the same text within `ttl` seconds before them: (id, at, answer)."""
+def composite_key(text: Column, kind: Column, aim: Column, names: Column, words: Column) -> Column:
+    """The key of a question with what was found in it: entities and keywords count in any order."""
+    joined = lambda x: F.array_join(F.array_sort(x), "_")
+    return F.concat_ws("|", F.lower(F.trim(text)), kind, aim, joined(names), joined(words))
+
+
+def cached(queries: DataFrame, cache: DataFrame, ttl: int, least: float | None = None) -> DataFrame:
+    """Questions with the latest answer to the same text within `ttl` seconds before them: (id, at, answer). Answers of less
+    confidence than `least` were never admitted."""
+    if least is not None:
+        cache = cache.where(F.col("confidence") >= least)
     hit = queries.join(cache, "key").where((F.col("cached_at") <= F.col("at")) & (F.col("cached_at") > F.col("at") - ttl))
     return hit.groupBy("id").agg(F.max_by("answer", "cached_at").alias("answer"))
 
 
+def route(text: Column, rules: dict[str, str], default: str = "default") -> Column:
+    """The target of the first rule whose pattern is part of the question or has it as a part; case doesn't count."""
+    lower = F.lower(F.trim(text))
+    out = F.lit(default)
+    for pattern, target in reversed(rules.items()):
+        out = F.when(F.contains(lower, F.lit(pattern.lower())) | F.contains(F.lit(pattern.lower()), lower), target).otherwise(out)
+    return out
+
+
 def answer_confidence(kind: str, confidence: Column, quality: Column, n: Column) -> Column:
     """The confidence of an answer from communities (global), entities or relations."""
     score = {"global": 0.4 * confidence + 0.3 * quality + F.least(n / 5, F.lit(0.3)), "entity": 0.5 * confidence + 0.3 * quality + F.least(n / 10, F.lit(0.2)), "relation": 0.6 * confidence + F.least(n / 10, F.lit(0.4))}[kind]
     return F.least(score, F.lit(1.0))
+
+
+def layered_confidence(levels: Column, communities: Column) -> Column:
+    """The confidence of an answer from several levels of communities; 0 without any."""
+    return F.when(levels == 0, 0.0).otherwise(F.least(0.6 + 0.1 * levels + 0.05 * communities, F.lit(1.0)))
+
+
+def hybrid_confidence(from_communities: Column, from_entities: Column) -> Column:
+    """.6 and .4 of two confidences, or the one that there is, or .1."""
+    return F.coalesce(0.6 * from_communities + 0.4 * from_entities, from_communities, from_entities, F.lit(0.1))

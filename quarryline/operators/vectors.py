@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +23,29 @@ def dense_search(vectors: DataFrame, query: list[float], k: int = 10, where: Col
     return rows.select("vec_id", far.alias("distance")).orderBy("distance", "vec_id").limit(k).withColumn("similarity", V.similarity(F.col("distance")))
 
 
+def semantic_search(vectors: DataFrame, embed: Callable[[Column], Column], query: str, k: int = 10, where: Column | None = None) -> DataFrame:
+    """The k vectors nearest to a text, which `embed` turns into a vector as a column function (a pandas UDF of a model,
+    or one of Spark's functions)."""
+    asked = vectors.sparkSession.range(1).select(V.doubles(embed(F.lit(query))).alias("q"))
+    rows = vectors if where is None else vectors.where(where)
+    far = V.squared_distance(V.doubles(F.col("embedding")), F.col("q"))
+    return rows.crossJoin(F.broadcast(asked)).select("vec_id", far.alias("distance")).orderBy("distance", "vec_id").limit(k).withColumn("similarity", V.similarity(F.col("distance")))  # one row
+
+
 def batch_search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """The k nearest vectors of each query (query_id, embedding): query_id, rank, vec_id, distance.
 
-    Queries go to the tasks in blocks of bounded size, each against all vectors; a task keeps its k best of each query.
+    Queries go to the tasks in blocks of bounded size, each against all vectors; there are as many tasks as cores, whatever
+    the table's size, and each keeps its k best of each query. Null vectors, those with nulls and those of another length
+    than most queries have are left out.
     """
     spark = vectors.sparkSession
+    whole = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull())
+    vectors, queries = vectors.where(whole), queries.where(whole)
+    wide = queries.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
+    if wide is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, distance double")
+    vectors, queries = vectors.where(F.size("embedding") == wide["d"]), queries.where(F.size("embedding") == wide["d"])
     n = queries.count()
     blocks = max(1, -(-n // QUERY_BLOCK))
     found = None
@@ -41,19 +58,33 @@ def batch_search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFra
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             ids, q = sent.value
             best_far, best_id = np.full((len(ids), 0), np.inf), np.zeros((len(ids), 0), np.int64)
+            square = (q * q).sum(axis=1)[:, None]
             for batch in batches:
                 for part in (batch.slice(at, 2048) for at in range(0, batch.num_rows, 2048)):
                     x = np.array(part.column(1).to_pylist(), np.float64)
-                    far = np.stack([((x - one) ** 2).sum(axis=1) for one in q])
-                    name = np.broadcast_to(part.column(0).to_numpy(), far.shape)
+                    # one matrix product tells which can be among the best; these are measured exactly
+                    rough = square - 2 * (q @ x.T) + (x * x).sum(axis=1)
+                    room = 1e-9 * (square + (x * x).sum(axis=1).max())
+                    most = np.partition(rough, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1, None] + room
+                    if best_far.shape[1] == k:
+                        most = np.minimum(most, best_far[:, -1:] + room)
+                    a, b = np.nonzero(rough <= most)
+                    if not len(a):
+                        continue
+                    place = np.arange(len(a)) - np.searchsorted(a, a)
+                    far = np.full((len(ids), place.max() + 1), np.inf)
+                    name = np.full(far.shape, np.iinfo(np.int64).max)
+                    far[a, place] = ((x[b] - q[a]) ** 2).sum(axis=1)
+                    name[a, place] = part.column(0).to_numpy()[b]
                     far, name = np.hstack([best_far, far]), np.hstack([best_id, name])
                     order = np.lexsort((name, far), axis=1)[:, :k]
                     best_far, best_id = np.take_along_axis(far, order, 1), np.take_along_axis(name, order, 1)
             wide = best_far.shape[1]
             if wide:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, wide)), pa.array(best_id.ravel()), pa.array(best_far.ravel())], ["query_id", "vec_id", "distance"])
+                told = np.isfinite(best_far.ravel())
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, wide)[told]), pa.array(best_id.ravel()[told]), pa.array(best_far.ravel()[told])], ["query_id", "vec_id", "distance"])
 
-        one = vectors.select("vec_id", "embedding").mapInArrow(run, "query_id long, vec_id long, distance double")
+        one = vectors.select("vec_id", "embedding").coalesce(spark.sparkContext.defaultParallelism).mapInArrow(run, "query_id long, vec_id long, distance double")
         found = one if found is None else found.unionByName(one)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, distance double")

@@ -100,6 +100,11 @@ QUERIES = {
     "merged_maps": lambda s, d: load(s, d, "part").select("p_partkey", F.to_json(C.merged_maps(F.create_map(F.lit("a"), "p_type", F.lit("b"), "p_brand"), F.create_map(F.lit("b"), "p_name", F.lit("c"), F.lit("x")))).alias("merged")),
     "processed_changes": lambda s, d: C.marked_processed(_changes(s, d), _ev(s, d).where(_FAILED()).select(F.col("event_id").alias("change_id"), F.when(F.col("event_id") % 2 == 0, "late").alias("error"))).groupBy("change", "processed", "error").agg(F.count("*").alias("n")),
     "purged_changes": lambda s, d: C.purged(_changes(s, d), 1705276800).groupBy("change", "processed").agg(F.count("*").alias("n")),
+    "question_routes": lambda s, d: load(s, d, "part").select("p_partkey", Q.route(F.col("p_name"), {"red": "a", "small widget and more": "b", "gear": "c"}).alias("route")),
+    "composite_keys": lambda s, d: load(s, d, "part").select("p_partkey", F.md5(Q.composite_key(F.concat(F.lit(" "), F.upper("p_name")), F.col("p_type"), F.lit("x"), F.array("p_brand", F.lit("A")), F.split("p_name", " "))).alias("key")),
+    "answer_confidences": lambda s, d: load(s, d, "part").select("p_partkey", F.round(Q.layered_confidence(F.col("p_size") % 4, F.col("p_partkey") % 9), 6).alias("layered"), F.round(Q.hybrid_confidence(F.when(F.col("p_size") % 3 > 0, F.col("p_size") / 100), F.when(F.col("p_size") % 2 > 0, F.lit(0.5))), 6).alias("hybrid")),
+    "admitted_answers": lambda s, d: Q.cached(load(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("key"), (F.col("o_orderkey") * 10).alias("at")), load(s, d, "orders").select(F.col("o_custkey").alias("key"), (F.col("o_orderkey") * 10 - 5).alias("cached_at"), F.col("o_orderkey").alias("answer"), (F.col("o_orderkey") % 10 / 10).alias("confidence")), 20000, 0.5),
+    "json_round_trip": lambda s, d: load(s, d, "nation").select(F.to_json(F.struct("n_nationkey", "n_name")).alias("j")).select(F.from_json("j", "n_nationkey int, n_name string").alias("x")).select("x.*"),
 }
 
 _X = "json_extract(props, '$.k')::int"
@@ -166,5 +171,10 @@ ORACLES = {
     "label_keys": """SELECT p_partkey, 'parts:{"brand":"' || p_brand || '","type":"' || p_type || '"}' AS key FROM part""",
     "merged_maps": """SELECT p_partkey, '{"a":"' || p_type || '","b":"' || p_name || '","c":"x"}' AS merged FROM part""",
     "processed_changes": f"SELECT change, processed OR event_type = 'error' AS processed, coalesce(CASE WHEN event_type = 'error' AND event_id % 2 = 0 THEN 'late' END, error) AS error, count(*) AS n FROM {_CH} JOIN events ON event_id = change_id GROUP BY 1, 2, 3",
+    "question_routes": "SELECT p_partkey, CASE WHEN contains(p_name, 'red') THEN 'a' WHEN contains('small widget and more', p_name) THEN 'b' WHEN contains(p_name, 'gear') THEN 'c' ELSE 'default' END AS route FROM part",
+    "composite_keys": "SELECT p_partkey, md5(p_name || '|' || p_type || '|x|' || array_to_string(list_sort([p_brand, 'A']), '_') || '|' || array_to_string(list_sort(string_split(p_name, ' ')), '_')) AS key FROM part",
+    "answer_confidences": "SELECT p_partkey, round(CASE WHEN p_size % 4 = 0 THEN 0 ELSE least(1, 0.6::double + 0.1::double * (p_size % 4) + 0.05::double * (p_partkey % 9)) END, 6)::double AS layered, round(CASE WHEN p_size % 3 > 0 AND p_size % 2 > 0 THEN 0.6::double * p_size / 100 + 0.2::double WHEN p_size % 3 > 0 THEN p_size / 100 WHEN p_size % 2 > 0 THEN 0.5::double ELSE 0.1::double END, 6) AS hybrid FROM part",
+    "admitted_answers": "SELECT a.o_orderkey AS id, max(b.o_orderkey) AS answer FROM orders a JOIN orders b ON b.o_custkey = a.o_custkey AND b.o_orderkey * 10 - 5 <= a.o_orderkey * 10 AND b.o_orderkey * 10 - 5 > a.o_orderkey * 10 - 20000 AND b.o_orderkey % 10 >= 5 GROUP BY 1",
+    "json_round_trip": "SELECT n_nationkey, n_name FROM nation",
     "purged_changes": f"SELECT change, processed, count(*) AS n FROM {_CH} WHERE NOT (processed AND stamp < 1705276800) GROUP BY 1, 2",
 }

@@ -33,6 +33,7 @@ def multi_vector(s, d, method):
 
 QUERIES = {
     "dense_topk": lambda s, d: _dense(s, d, 10).select("vec_id", F.round("distance", 6).alias("distance"), F.round("similarity", 6).alias("similarity")),
+    "semantic_topk": lambda s, d: O.semantic_search(_vec(s, d), lambda text: F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.ascii(F.substr(text, i % F.length(text) + 1, F.lit(1))) / 1000 - 0.1), "which vectors are near", 10).select("vec_id", F.round("distance", 6).alias("distance")),
     "dense_topk_filtered": lambda s, d: O.dense_search(_vec(s, d), _query(s, d), 10, F.col("label").isin(1, 2, 3)).select("vec_id", F.round("distance", 6).alias("distance")),
     "batch_topk": lambda s, d: O.batch_search(_vec(s, d), _vec(s, d).where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), 10).select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", F.round("distance", 6).alias("distance")),
     "keyword_topk": lambda s, d: O.keyword_search(_doc(s, d), "doc_id", "text", ["benchmark", "license", "gewbe", "password"], 20).select("doc_id", F.round("similarity", 6).alias("similarity")),
@@ -76,6 +77,7 @@ _dense_docs = f"(SELECT vec_id AS doc_id, similarity FROM {_near(0, 100)})"
 _multi = [(_near(0, 20), 1.0), (_near(1, 20), 0.5), (_near(2, 20), 0.25)]
 ORACLES = {
     "dense_topk": f"SELECT vec_id, round(distance, 6) AS distance, round(1 / (1 + distance), 6) AS similarity FROM {_L.format(d=_D, i=0)} ORDER BY 2, 1 LIMIT 10",
+    "semantic_topk": f"SELECT vec_id, round({_D}, 6) AS distance FROM embeddings e, (SELECT list_transform(range(1, 65), lambda i: ascii(substring('which vectors are near', (i % 22 + 1)::int, 1)) / 1000 - 0.1::double) AS v) q ORDER BY {_D}, vec_id LIMIT 10",
     "dense_topk_filtered": f"SELECT vec_id, round(distance, 6) AS distance FROM {_L.format(d=_D, i=0)} WHERE label IN (1, 2, 3) ORDER BY 2, 1 LIMIT 10",
     "batch_topk": f"SELECT query_id, rank, vec_id, round(distance, 6) AS distance FROM (SELECT query_id, vec_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, {_D} AS distance FROM embeddings e, (SELECT vec_id, embedding::double[] AS v FROM embeddings WHERE vec_id % 50 = 0) q)) WHERE rank <= 10",
     "keyword_topk": f"SELECT doc_id, round(similarity, 6) AS similarity FROM {_keyword(['benchmark', 'license', 'gewbe', 'password'], 20)}",

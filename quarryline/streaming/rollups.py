@@ -18,6 +18,24 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
     return rows.groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n")).select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "user_id", "n")
 
 
-def pending_changes(changes: DataFrame, apply, checkpoint: str):
-    """Micro-batches of change records given to `apply` one after the other; returns the running query."""
-    return changes.writeStream.foreachBatch(lambda df, n: apply(df.where("NOT processed"))).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def polled_changes(seen: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One step of a source that polls: the changes between the state seen (path, hash, size) and what was found, and the
+    state to start from next."""
+    from ..operators.consistency import snapshot_changes
+
+    return snapshot_changes(seen, found), found.select("path", "hash", "size")
+
+
+def pending_changes(changes: DataFrame, apply, checkpoint: str, failed: list | None = None):
+    """Micro-batches of change records given to `apply` one after the other; returns the running query. With a list
+    `failed`, a batch that raises is noted there as (batch, error) and the stream goes on."""
+
+    def one(df: DataFrame, n: int) -> None:
+        try:
+            apply(df.where("NOT processed"))
+        except Exception as error:
+            if failed is None:
+                raise
+            failed.append((n, str(error)))
+
+    return changes.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
