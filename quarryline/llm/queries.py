@@ -13,49 +13,67 @@ from .common import held_out, table
 
 
 def op1_quality_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by a ranker fitted on at most 20,000 labelled rows of the learnable fold. Null and empty texts
+    are scored like others; repeated rows stay; an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents")
     found = quality_pairs.score_quality(docs, quality_pairs.fit(docs, table(spark, sf_dir, "labels")))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced. Null texts stay null, with 0 entities; repeated rows get equal texts."""
     return pii_surrogates.replace_entities(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities")
 
 
 def op3_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate group of every document. Texts without words have fingerprint 0 and are one group; of a
+    group whose ids are all null the component is null."""
     found = simhash_gray.simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "fingerprint", "component_id")
 
 
 def op4_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of 40 shards whose counts are at most one apart (law `rows`). Rows of one id, nulls included,
+    start at one place of the ring; null texts have size 16 and no checksum."""
     found = ring_shards.shard_documents(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op9_mixture_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the mix takes every document. Null texts have size 0; a null source is a source, weighed last."""
     found = mixture_fit.mix(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 def op5_bm25_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents of all that are most like each document whose id is divisible by 50. A query is all distinct terms of
+    its whole text (rows that share an id are one query, with each term's largest count); a document without a term asks
+    nothing and is found by none. Ties go to the smaller doc_id, nulls last."""
     docs = table(spark, sf_dir, "documents")
     return bm25_wand.search_like(docs, docs.where(F.col("doc_id") % 50 == 0), most=None, least_df=1)
 
 
 def op6_vector_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of all vectors at cosine 0.9. Vectors that are null, zero, or hold null or non-finite components stay
+    alone; equal vectors are linked."""
     return vector_cells.near_vectors(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
 
 
 def op7_suffix_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 50-byte strings that a smaller doc_id has too. Null texts are empty; a null
+    id counts as the largest; rows of one id don't take from each other."""
     return suffix_spans.kept_digest(suffix_spans.remove_repeats(table(spark, sf_dir, "documents")))
 
 
 def op8_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of every document's token ids and of what they decode to. Null texts are empty."""
     docs = table(spark, sf_dir, "documents")
     return bpe_trie.digests(bpe_trie.bpe_encode(docs, public_tokenizers.path("byte_bpe_50k.json")))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from whole texts of the learnable fold (64 a language, 16 KiB). Null texts and
+    those without a letter are `und` with score 0."""
     docs = table(spark, sf_dir, "documents")
     found = lang_parse.identify(docs, lang_parse.fit_samples(docs))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
