@@ -126,3 +126,51 @@ def test_down_sampled_keys(spark):
     rows = [(i, start + dt.timedelta(seconds=s), k) for i, (k, s) in enumerate([("a", 0), ("a", 5), ("a", 10), ("b", 3), ("b", 4), ("a", 21), (None, 1), (None, 2)])]
     e = spark.createDataFrame(rows, "event_id long, ts timestamp, k string")
     assert sorted(r.event_id for r in M.down_sampled(e, "k", 10).collect()) == [0, 2, 3, 5, 6]
+
+
+def test_batch_search_as_brute_force(spark):
+    import random
+
+    from quarryline.operators import vectors as V
+
+    rng = random.Random(1)
+    rows = [(i, [float(rng.randint(-3, 3)) for _ in range(4)]) for i in range(300)] + [(900, None), (901, [1.0, None, 2.0, 0.0]), (902, [1.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    got = {}
+    for r in V.batch_search(v, v.where("vec_id % 30 = 0").withColumnRenamed("vec_id", "query_id"), 7).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.distance))
+    good = [(i, x) for i, x in rows if x and len(x) == 4 and None not in x]
+    assert set(got) == {i for i, _ in good if i % 30 == 0}
+    for q, found in got.items():
+        far = sorted((sum((a - b) ** 2 for a, b in zip(x, dict(good)[q], strict=True)), i) for i, x in good)[:7]
+        assert sorted(found) == [(k + 1, i, d) for k, (d, i) in enumerate(far)]
+
+
+def test_streamed_changes(spark, tmp_path):
+    from quarryline.streaming import rollups
+
+    schema = "change_id int, processed boolean"
+    spark.createDataFrame([(1, False), (2, True)], schema).write.parquet(str(tmp_path / "in"))
+    seen, failed = [], []
+    rollups.pending_changes(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), lambda df: seen.extend(r.change_id for r in df.collect()), str(tmp_path / "a")).awaitTermination()
+    assert seen == [1]
+
+    def broken(df):
+        raise ValueError("no")
+
+    rollups.pending_changes(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), broken, str(tmp_path / "b"), failed).awaitTermination()
+    assert failed == [(0, "no")]
+    old = spark.createDataFrame([("a", "1", 1)], "path string, hash string, size int")
+    changes, state = rollups.polled_changes(old, spark.createDataFrame([("b", "2", 1)], "path string, hash string, size int"))
+    assert {r.change for r in changes.collect()} == {"added", "deleted"} and state.count() == 1
+
+
+def test_questions_file_and_keys(spark, tmp_path):
+    from quarryline.operators import questions as Q
+
+    (tmp_path / "q.txt").write_text("what?\n\n  why? \n")
+    assert [r.question for r in files.read_questions(spark, str(tmp_path / "q.txt")).collect()] == ["what?", "why?"]
+    (tmp_path / "m.jsonl").write_text('{"a": 1}\nbroken\n{"a": 2}\n')
+    assert [r.a for r in files.read_records(spark, str(tmp_path / "m.jsonl"), "a int").collect()] == [1, 2]
+    key = one(spark, Q.composite_key(F.col("t"), F.lit("k"), F.lit("i"), F.array(F.lit("b"), F.lit("a")), F.array(F.lit("z"))), t=" Q ")
+    assert key == "q|k|i|a_b|z"
