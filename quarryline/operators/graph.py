@@ -225,3 +225,31 @@ def converted_entities(rows: DataFrame) -> DataFrame:
     has = lambda c: F.col(c) if c in rows.columns else F.lit(None)
     name = F.trim(F.coalesce(has("title").cast("string"), has("name").cast("string"), F.lit("")))
     return rows.select(F.coalesce(has("id").cast("string"), F.md5(name)).alias("id"), name.alias("name"), F.upper(F.coalesce(has("type").cast("string"), F.lit("unknown"))).alias("type"), F.coalesce(has("description").cast("string"), F.lit("")).alias("description"), F.coalesce(has("degree").cast("double"), F.lit(0.0)).alias("rank"))
+
+
+def directed_pairs(relationships: DataFrame) -> DataFrame:
+    """(src, dst) of relationships (src, dst, bidirectional), both ways round where they hold both ways."""
+    back = relationships.where("bidirectional").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return relationships.select("src", "dst").unionByName(back)
+
+
+def full_reports(communities: DataFrame, members: DataFrame, relations: DataFrame) -> DataFrame:
+    """One nested row for each community (community, title, rank): counts, types of entities and relationships as maps,
+    keywords, importance and the detailed summary."""
+    types = lambda df, name: df.groupBy("community", F.coalesce("type", F.lit("未知")).alias("type")).agg(F.count("*").alias("n")).groupBy("community").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias(name), F.sum("n").alias("n_" + name))
+    words = community_keywords(members, relations).groupBy("community").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "keyword"))), lambda x: x["keyword"]).alias("keywords"))
+    rows = communities.join(types(members, "entity_types"), "community", "left").join(types(relations, "relationship_types"), "community", "left").join(words, "community", "left")
+    rows = rows.join(detailed_summaries(communities.select("community", "title"), members, relations), "community", "left")
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    part = lambda x, most: F.least(x / most, F.lit(1.0))
+    importance = 0.3 * part(n("n_entity_types"), 20) + 0.3 * part(n("n_relationship_types"), 30) + 0.2 * part(F.coalesce(F.size("entity_types"), F.lit(0)), 5) + 0.2 * F.col("rank")
+    return rows.select("community", "title", n("n_entity_types").alias("entities"), n("n_relationship_types").alias("relationships"), "entity_types", "relationship_types", "keywords", F.round(importance, 3).alias("importance"), "summary")
+
+
+def extraction_prompts(units: DataFrame, size: int = 10) -> DataFrame:
+    """What a model is asked to extract entities from: the units (document_id, chunk_index, unit_id, text) of a document, ten
+    to a batch, each under its id: (document_id, batch, unit_ids, prompt)."""
+    batch = F.floor(F.col("chunk_index") / size).cast("int")
+    rows = units.groupBy("document_id", batch.alias("batch")).agg(F.array_sort(F.collect_list(F.struct("chunk_index", "unit_id", "text"))).alias("u"))
+    told = F.transform("u", lambda x: F.concat(F.lit("["), x["unit_id"], F.lit("]\n"), x["text"]))
+    return rows.select("document_id", "batch", F.transform("u", lambda x: x["unit_id"]).alias("unit_ids"), F.array_join(told, "\n\n").alias("prompt"))

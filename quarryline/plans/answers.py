@@ -135,11 +135,20 @@ QUERIES = {
     "community_units": lambda s, d: G.first_seen_units(_nations(s, d).select(_key("region", "n_regionkey").alias("community"), F.col("n_nationkey").alias("ord"), F.array(F.col("n_nationkey") % 7, F.col("n_nationkey") + 10, F.col("n_nationkey") * 1000).cast("array<bigint>").alias("units")), load(s, d, "documents").select(F.col("doc_id").alias("unit_id"))),
     "community_reported": lambda s, d: G.with_reports(members(s, d).select("community", "level").distinct(), communities(s, d).where("level = 2").select("community", "title", "summary", (F.col("size") / 10).alias("rank"))).withColumn("rank", F.round("rank", 6)),
     "community_flags": lambda s, d: _flags(s, d),
+    "community_reports": lambda s, d: G.full_reports(communities(s, d).select("community", "title", (F.col("size") / 100).alias("rank")), members(s, d).withColumn("rank", F.length("name")), relations(s, d)).select("community", "entities", "relationships", F.to_json("entity_types").alias("entity_types"), F.to_json("relationship_types").alias("relationship_types"), F.array_join("keywords", ",").alias("keywords"), "importance"),
+    "relationship_pairs": lambda s, d: G.directed_pairs(relationships(s, d).select("src", "dst", (F.length("src") % 2 == 0).alias("bidirectional"))),
+    "extraction_prompts": lambda s, d: G.extraction_prompts(_turns(s, d)).select("document_id", "batch", F.array_join("unit_ids", ",").alias("unit_ids"), F.md5("prompt").alias("prompt")),
     "community_sizes": lambda s, d: G.size_statistics(members(s, d).groupBy("community", "level").agg(F.count("*").alias("size"))),
     "converted_entities": lambda s, d: G.converted_entities(load(s, d, "part").select(F.col("p_name").alias("title"), F.col("p_type").alias("type"), F.col("p_size").alias("degree"), F.col("p_partkey").alias("id"))),
 }
 
 
+def _turns(s, d):
+    """Turns of conversations as units, three to a batch of the first ten."""
+    c = load(s, d, "conversations")
+    return c.select(F.col("conv_id").alias("document_id"), (F.col("turn") * 4).alias("chunk_index"), F.concat_ws("-", "conv_id", "turn").alias("unit_id"), "text")
+
+
 def _flags(s, d):
     """Regions as parents of nations; numbers of members and relationships."""
     m = members(s, d).groupBy("community", "level").agg(F.count("*").alias("n_entities"))
@@ -208,6 +217,9 @@ ORACLES = {
         "community_units": "SELECT community, unit_id, (row_number() OVER (PARTITION BY community ORDER BY k, unit_id))::int AS place FROM (SELECT community, unit_id, min(k) AS k FROM (SELECT 'region' || n_regionkey AS community, n_nationkey * 10 + p AS k, [n_nationkey % 7, n_nationkey + 10, n_nationkey * 1000][p]::bigint AS unit_id FROM nation, (SELECT unnest([1, 2, 3]) AS p)) WHERE unit_id IN (SELECT doc_id FROM documents) GROUP BY 1, 2)",
         "community_reported": "SELECT x.community, x.level, coalesce(title, '社群 ' || x.community) AS title, coalesce(summary, '') AS summary, round(coalesce(size / 10, 0), 6)::double AS rank FROM (SELECT DISTINCT community, level FROM mem) x LEFT JOIN (SELECT * FROM com WHERE level = 2) c ON c.community = x.community",
         "community_flags": "SELECT community, n + coalesce(m, 0) AS size, NOT contains(community, 'nation') AS is_root, contains(community, 'nation') AS is_leaf FROM (SELECT community, count(*) AS n FROM mem GROUP BY 1) LEFT JOIN (SELECT community, count(*) AS m FROM crel GROUP BY 1) USING (community)",
+        "community_reports": """SELECT community, coalesce(n, 0) AS entities, coalesce(m, 0) AS relationships, et AS entity_types, rt AS relationship_types, kw AS keywords, round(0.3::double * least(coalesce(n, 0) / 20, 1) + 0.3::double * least(coalesce(m, 0) / 30, 1) + 0.2::double * least(nt / 5, 1) + 0.2::double * size / 100, 3) AS importance FROM com JOIN (SELECT community, sum(n)::bigint AS n, count(*) AS nt, '{' || string_agg('"' || type || '":' || n, ',' ORDER BY type) || '}' AS et FROM (SELECT community, type, count(*) AS n FROM mem GROUP BY 1, 2) GROUP BY 1) USING (community) LEFT JOIN (SELECT community, sum(n)::bigint AS m, '{' || string_agg('"' || type || '":' || n, ',' ORDER BY type) || '}' AS rt FROM (SELECT community, coalesce(type, '未知') AS type, count(*) AS n FROM crel GROUP BY 1, 2) GROUP BY 1) USING (community) JOIN (SELECT community, string_agg(keyword, ',' ORDER BY keyword) AS kw FROM (SELECT community, keyword, row_number() OVER (PARTITION BY community ORDER BY keyword) AS p FROM (SELECT community, name AS keyword FROM mem UNION SELECT community, w FROM (SELECT community, unnest(string_split(description, ' ')) AS w FROM crel) WHERE length(w) > 2)) WHERE p <= 20 GROUP BY 1) USING (community)""",
+        "relationship_pairs": "SELECT src, dst FROM rel UNION ALL SELECT dst, src FROM rel WHERE length(src) % 2 = 0",
+        "extraction_prompts": "SELECT conv_id AS document_id, (turn * 4 // 10)::int AS batch, string_agg(conv_id || '-' || turn, ',' ORDER BY turn) AS unit_ids, md5(string_agg('[' || conv_id || '-' || turn || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY turn)) AS prompt FROM conversations GROUP BY 1, 2",
         "community_sizes": "SELECT level, count(*) AS n, round(avg(size), 6) AS mean, max(size) AS most, min(size) AS least FROM (SELECT community, level, count(*) AS size FROM mem GROUP BY 1, 2) GROUP BY GROUPING SETS ((), (level))",
         "converted_entities": "SELECT p_partkey::varchar AS id, trim(p_name) AS name, upper(p_type) AS type, '' AS description, p_size::double AS rank FROM part",
     }.items()

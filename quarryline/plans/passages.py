@@ -39,6 +39,8 @@ QUERIES = {
     "texts_of_length": lambda s, d: load(s, d, "part").select("p_partkey", P.of_length(F.col("p_name"), 25).alias("text")),
     "embeddable_texts": lambda s, d: P.embeddable(_doc(s, d), "text", 500).select("doc_id", F.md5("text").alias("digest")),
     "question_suggestions": lambda s, d: load(s, d, "part").select("p_partkey", F.array_join(P.suggestions(F.col("p_name"), 3), "|").alias("questions")),
+    "chinese_names": lambda s, d: load(s, d, "part").select("p_partkey", F.array_join(F.array_sort(P.chinese_names(F.when(F.col("p_size") % 2 == 0, "她叫阿寶").otherwise("張大同去"))), "|").alias("names")),
+    "question_names": lambda s, d: load(s, d, "part").select("p_partkey", F.array_join(P.question_entities(F.concat(F.lit("微軟公司 "), "p_name")), "|").alias("entities")),
     "chinese_dominance": lambda s, d: load(s, d, "part").select("p_partkey", P.is_mostly_chinese(F.concat(F.repeat(F.lit("中文"), 3), "p_name")).alias("dominant")),
 }
 
@@ -93,6 +95,8 @@ ORACLES = {
     "texts_of_length": "SELECT p_partkey, substring(repeat(p_name, 26), 1, 25) AS text FROM part",
     "embeddable_texts": f"SELECT doc_id, md5(substring(x, 1, 500)) AS digest FROM (SELECT doc_id, {_STRIP.format(t='text')} AS x FROM documents) WHERE x <> ''",
     "question_suggestions": "SELECT p_partkey, p_name || '是什麼？|' || p_name || '如何運作？|' || p_name || '有哪些特點？' AS questions FROM part",
+    "chinese_names": "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN '阿寶' ELSE '張大同' END AS names FROM part",
+    "question_names": "SELECT p_partkey, array_to_string(['微軟公司'] || list_sort(list_distinct(string_split(p_name, ' '))), '|') AS entities FROM part",
     "chinese_dominance": "SELECT p_partkey, 6 / (6 + length(p_name)) >= 0.3 AS dominant FROM part",
 }
 # the first chunker, without overlap
