@@ -33,7 +33,16 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._quarryline_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that `materialize` has written and nothing reads any more."""
+    for one in tables:
+        path = one.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(one._quarryline_path)
+        path.getFileSystem(one.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @contextmanager
