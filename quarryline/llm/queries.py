@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bm25_wand, bpe_trie, lang_parse, mixture_fit, pii_surrogates, quality_pairs, ring_shards, simhash_gray, suffix_spans, vector_cells
+from . import bm25_wand, bpe_trie, centroid_trees, lang_parse, mixture_fit, pii_surrogates, quality_pairs, ring_shards, role_repair, simhash_gray, suffix_spans, vector_cells
 from .common import held_out, table
 
 
@@ -79,5 +79,40 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_pairs, op2_pii_surrogates, op3_simhash_gray, op4_ring_shards, op5_bm25_wand, op6_vector_cells, op7_suffix_spans, op8_bpe_trie, op9_mixture_fit, op10_language_id)}
-ORACLES: dict[str, str] = {}
+def op12_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation after the damage that its rows' checksums choose: its faults, the cheapest repair's cost and edits,
+    and the hash of what it becomes. A null id is a conversation like others."""
+    return role_repair.repair_digest(table(spark, sf_dir, "conversations"))
+
+
+def op13_centroid_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every vector of 64 finite components after ten rounds from eight seeded centroids. Other vectors have no
+    row; of rows without an id none is a first centroid unless others are too few."""
+    return centroid_trees.with_inertia(*centroid_trees.cluster(table(spark, sf_dir, "embeddings")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_pairs, op2_pii_surrogates, op3_simhash_gray, op4_ring_shards, op5_bm25_wand, op6_vector_cells, op7_suffix_spans, op8_bpe_trie, op9_mixture_fit, op10_language_id, op12_role_repair, op13_centroid_trees)}
+_ROUND = """
+, apart{n} AS MATERIALIZED (SELECT i, v, c, list_sum(list_transform(list_zip(v, w), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM kept, centroid{n})
+, near{n} AS MATERIALIZED (SELECT i, any_value(v) AS v, min({{'d': d, 'c': c}}) AS m FROM apart{n} GROUP BY i)
+"""
+_MOVE = """
+, sums{m} AS (SELECT m.c AS c, k, sum(v[k])::BIGINT AS s, count(*) AS n FROM near{n}, range(1, 65) t(k) GROUP BY m.c, k)
+, mean{m} AS (SELECT c, list((s - (s % n + n) % n) // n ORDER BY k) AS w FROM sums{m} GROUP BY c)
+, centroid{m} AS MATERIALIZED (SELECT o.c, coalesce(mean{m}.w, o.w) AS w FROM centroid{n} o LEFT JOIN mean{m} USING (c))
+"""
+CLUSTERS_SQL = (
+    """
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)
+, centroid0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS c, v AS w FROM kept ORDER BY sha256('3:' || vec_id) NULLS LAST, v LIMIT 8)
+"""
+    + "".join(_ROUND.format(n=n) + _MOVE.format(n=n, m=n + 1) for n in range(10))
+    + _ROUND.format(n=10)
+    + """
+SELECT vec_id, m.c::INTEGER AS cluster, m.d AS distance, (sum(m.d) OVER (PARTITION BY m.c))::BIGINT AS cluster_inertia, (sum(m.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(w, ',')) AS centroid_sha256
+FROM kept JOIN near10 USING (i) JOIN centroid10 ON m.c = c
+"""
+)
+ORACLES: dict[str, str] = {"op13_centroid_trees": CLUSTERS_SQL}
