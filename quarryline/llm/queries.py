@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bm25_wand, bpe_trie, centroid_trees, lang_parse, mixture_fit, pii_surrogates, quality_pairs, ring_shards, role_repair, simhash_gray, suffix_spans, vector_cells
+from . import bm25_wand, bpe_trie, centroid_trees, lang_parse, mixture_fit, pii_surrogates, quality_pairs, ring_shards, role_repair, simhash_gray, suffix_spans, toxic_lengths, vector_cells
 from .common import held_out, table
 
 
@@ -79,6 +79,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op11_toxic_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by dictionaries and thresholds fitted on at most 20,000 labelled rows of the learnable fold. Null
+    and empty texts are scored like others; repeated rows stay; an empty table gives no rows."""
+    docs = table(spark, sf_dir, "documents")
+    found = toxic_lengths.score_toxicity(docs, toxic_lengths.fit(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", toxic_lengths.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op12_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation after the damage that its rows' checksums choose: its faults, the cheapest repair's cost and edits,
     and the hash of what it becomes. A null id is a conversation like others."""
@@ -91,7 +99,7 @@ def op13_centroid_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroid_trees.with_inertia(*centroid_trees.cluster(table(spark, sf_dir, "embeddings")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_pairs, op2_pii_surrogates, op3_simhash_gray, op4_ring_shards, op5_bm25_wand, op6_vector_cells, op7_suffix_spans, op8_bpe_trie, op9_mixture_fit, op10_language_id, op12_role_repair, op13_centroid_trees)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_pairs, op2_pii_surrogates, op3_simhash_gray, op4_ring_shards, op5_bm25_wand, op6_vector_cells, op7_suffix_spans, op8_bpe_trie, op9_mixture_fit, op10_language_id, op11_toxic_lengths, op12_role_repair, op13_centroid_trees)}
 _ROUND = """
 , apart{n} AS MATERIALIZED (SELECT i, v, c, list_sum(list_transform(list_zip(v, w), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM kept, centroid{n})
 , near{n} AS MATERIALIZED (SELECT i, any_value(v) AS v, min({{'d': d, 'c': c}}) AS m FROM apart{n} GROUP BY i)
