@@ -56,6 +56,9 @@ def suffix_automaton(text: bytes) -> list[dict[int, int]]:
     return moves
 
 
+_PARSERS: dict[tuple, Parser] = {}
+
+
 class Parser:
     """Counts the phrases of texts against each language's sample."""
 
@@ -69,6 +72,14 @@ class Parser:
         self.bits = np.array([np.log2(max(2, len(samples[x]))) for x in self.langs])
         self.tables = [self._table(suffix_automaton(samples[x]), known) for x in self.langs]
 
+    @classmethod
+    def of(cls, samples: dict[str, bytes]) -> Parser:
+        key = tuple(sorted(samples.items()))
+        if key not in _PARSERS:
+            _PARSERS.clear()
+            _PARSERS[key] = cls(samples)
+        return _PARSERS[key]
+
     def _table(self, moves: list[dict[int, int]], known: list[int]) -> np.ndarray:
         """For a state's row and a byte's class: the next row's start times four, plus the number of phrases that end: the
         open one where it can't go on, and that of a byte in no sample, which is a phrase by itself."""
@@ -170,11 +181,11 @@ def letters(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}]+", " ")
 
 
-def fit_samples(docs: DataFrame, sample_bytes: int = 16_384, sample_rows: int = 64) -> dict[str, bytes]:
-    """Whole lower-cased labelled texts of each language from the learnable fold, at most `sample_rows` different ones and
-    `sample_bytes` together: the bound that lets the driver hold them, whatever the corpus. They are drawn by a hash of
-    their id; one that is longer than what is left of the bytes is passed over (the shortest drawn one is taken if none is
-    short enough). An unlabelled language isn't learned; rows with a null id, label or text, or without a letter, are left
+def fit_samples(docs: DataFrame, sample_bytes: int = 16_384, sample_rows: int = 64, stretch: int = 1024, all_bytes: int = 131_072) -> dict[str, bytes]:
+    """Lower-cased labelled text of each language from the learnable fold: of at most `sample_rows` texts, drawn by a hash of
+    their id, a stretch of `stretch` characters at most from a place that the hash tells, `sample_bytes` a language and
+    `all_bytes` of all languages together at most. These bounds hold whatever the corpus, and long texts are drawn like
+    short ones. An unlabelled language isn't learned; rows with a null id, label or text, or without a letter, are left
     out."""
     usable = docs.where(learnable(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     usable = usable.select("lang", F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 30)).alias("draw"), "doc_id", "text")
@@ -183,20 +194,16 @@ def fit_samples(docs: DataFrame, sample_bytes: int = 16_384, sample_rows: int =
     if not counts:
         return {}
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, (4 * sample_rows << 30) // n + 1)])
-    few = usable.where(F.col("draw") < F.element_at(share, F.col("lang"))).select("lang", "draw", "doc_id", letters(F.col("text")).alias("text"))
+    text = letters(F.col("text"))
+    begin = F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.greatest(F.lit(1), F.length("text") - stretch + 1)).cast("int") + 1
+    few = usable.where(F.col("draw") < F.element_at(share, F.col("lang"))).select("lang", "draw", "doc_id", text.alias("text"))
+    few = few.select("lang", "draw", "doc_id", F.substr("text", begin, F.lit(stretch)).alias("text"))
     place = F.row_number().over(W.partitionBy("lang").orderBy("draw", "doc_id", "text"))
-    samples: dict[str, bytes] = {}
-    drawn: dict[str, list[bytes]] = {}
+    drawn: dict[str, list[str]] = {}
     for r in few.withColumn("place", place).where(F.col("place") <= sample_rows).orderBy("lang", "place").select("lang", "text").collect():
-        drawn.setdefault(r["lang"], []).append(r["text"].encode())
-    for lang, texts in drawn.items():
-        taken, left = [], sample_bytes
-        for t in dict.fromkeys(texts):
-            if len(t) < left:
-                taken.append(t)
-                left -= len(t) + 1
-        samples[lang] = b"\n".join(taken or [min(texts, key=len)])
-    return samples
+        drawn.setdefault(r["lang"], []).append(r["text"])
+    most = min(sample_bytes, all_bytes // len(counts))
+    return {lang: "\n".join(dict.fromkeys(texts)).encode()[:most].decode(errors="ignore").encode() for lang, texts in drawn.items()}
 
 
 def identify(docs: DataFrame, samples: dict[str, bytes]) -> DataFrame:
@@ -206,12 +213,12 @@ def identify(docs: DataFrame, samples: dict[str, bytes]) -> DataFrame:
     if nothing could be learned, is `und` with score 0. Ties go to the first language by name. Rows stay one for one,
     repeats included; other columns aren't returned.
     """
-    parser = docs.sparkSession.sparkContext.broadcast(Parser(samples)) if samples else None
+    parser = Parser.of if samples else None  # each Python worker lays the tables out once, from the samples
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch):
-                langs, scores, rates = parser.value.predict([t.encode() for t in block.column(1).to_pylist()])
+                langs, scores, rates = parser(samples).predict([t.encode() for t in block.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([block.column(0), pa.array(langs), pa.array(scores), pa.array(rates)], ["doc_id", "lang_pred", "score", "rate"])
 
     text = F.col("text")

@@ -18,6 +18,10 @@ from .common import WORD_PATTERN, materialize
 FITTED = 4096
 #: Documents that it can choose from at least, if there are so many.
 CHOICE = 64
+#: Sums that the programme tells apart at most; if more words are left to it, sums count in units of several words.
+SUMS = 1 << 22
+#: Steps of the programme between those whose sums are kept.
+KEPT_STEPS = 64
 #: Ranges of a seeded hash by which the documents of one length are dealt out.
 DEALS = 256
 
@@ -51,16 +55,17 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float
 def fit_lengths(lengths: list[int], counts: list[int], budget: int) -> list[int]:
     """How many documents of each length to take, at most `counts`, so that the words come as near to `budget` as they
     can: proportionally, then by the largest that fit, then exactly for what remains, which is a few documents'
-    lengths. Sums above the budget count as well as those below; of two as near, the one below."""
+    lengths (if that is more than half of SUMS words, in units of as many words as keep the programme to SUMS sums). Sums
+    above the budget count as well as those below; of two as near, the one below."""
     total = sum(n * c for n, c in zip(lengths, counts, strict=True))
     if total <= budget:
         return list(counts)
     order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
-    # what is left to the programme is enough for two of the CHOICE shortest documents
+    # what is left to the programme is enough for four of the CHOICE shortest documents, so that sums leave no gaps
     seen, kept = 0, FITTED
     for i in reversed(order):
         seen += counts[i] if lengths[i] > 0 else 0
-        kept = max(kept, 2 * lengths[i])
+        kept = max(kept, 4 * lengths[i])
         if seen >= CHOICE:
             break
     else:
@@ -73,27 +78,38 @@ def fit_lengths(lengths: list[int], counts: list[int], budget: int) -> list[int]
             more = min(counts[i] - take[i], max(0, rest - kept) // lengths[i])
             take[i] += more
             rest -= more * lengths[i]
-    # bounded knapsack: bit w of `sums` says that w words can be made; each bundle doubles, so few steps take many copies.
+    # bounded knapsack: bit w of `sums` says that w units can be made; each bundle doubles, so few steps take many copies.
     # Nothing beyond twice the rest is nearer to it than no document at all.
-    sums, steps, full = 1, [], (1 << (2 * rest + 1)) - 1
+    unit = -(-2 * rest // SUMS) or 1
+    goal = round(rest / unit)
+    full = (1 << (2 * goal + 1)) - 1
+    size = [round(n / unit) for n in lengths]
+    sums, steps, kept_sums = 1, [], []
     for i in reversed(order):
         spare, bundle = counts[i] - take[i], 1
-        while lengths[i] > 0 and spare > 0 and not sums >> rest & 1:
+        while lengths[i] > 0 and spare > 0 and not sums >> goal & 1:
             n = min(bundle, spare)
-            if lengths[i] * n > 2 * rest:
+            if size[i] * n > 2 * goal:
                 break
-            steps.append((i, n, sums))
-            sums |= sums << lengths[i] * n & full
+            if len(steps) % KEPT_STEPS == 0:
+                kept_sums.append(sums)
+            steps.append((i, n))
+            sums |= sums << size[i] * n & full
             spare -= n
             bundle *= 2
-    below = (sums & ((1 << (rest + 1)) - 1)).bit_length() - 1
-    above = sums >> (rest + 1)
+    below = (sums & ((1 << (goal + 1)) - 1)).bit_length() - 1
+    above = sums >> (goal + 1)
     over = (above & -above).bit_length()
-    made = rest + over if over and over < rest - below else below
-    for i, n, before in reversed(steps):
-        if not before >> made & 1:
-            take[i] += n
-            made -= n * lengths[i]
+    made = goal + over if over and over < goal - below else below
+    # back through the steps, the sums between two kept ones made again
+    for k in reversed(range(len(kept_sums))):
+        part, before = steps[k * KEPT_STEPS : (k + 1) * KEPT_STEPS], [kept_sums.pop()]
+        for i, n in part[:-1]:
+            before.append(before[-1] | before[-1] << size[i] * n & full)
+        for (i, n), held in zip(reversed(part), reversed(before), strict=True):
+            if not held >> made & 1:
+                take[i] += n
+                made -= n * size[i]
     return take
 
 

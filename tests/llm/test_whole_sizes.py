@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import tracemalloc
 
 import pytest
 
@@ -59,14 +60,32 @@ def test_parse_of_long_texts():
         assert counts.tolist() == [brute_parse(t, samples[g]) for g in parser.langs]
 
 
-def test_samples_are_whole_texts(spark):
-    texts = [(i, f"some words of text number {i} " * (1 + i % 40), "en") for i in range(300)] + [(1000, "kurz", "de"), (1001, "x" * 90_000, "fr"), (1003, "1", "es"), (None, "verloren", "it")]
-    docs = spark.createDataFrame([r for r in texts if r[0] != 1000], "doc_id long, text string, lang string").unionByName(spark.createDataFrame([(k, "kurz", "de") for k in range(2000, 2050)], "doc_id long, text string, lang string"))
+def test_bounded_samples(spark):
+    """A stretch of each text, however long all texts of a language are; the bounds hold for one language and for all."""
+    texts = [(i, f"some words of text number {chr(97 + i % 26)} " * (1 + i % 40), "en") for i in range(300)] + [(1001 + i, "langer text " * 150_000, "fr") for i in range(8)] + [(1100, "1", "es"), (None, "verloren", "it")]
+    docs = spark.createDataFrame(texts + [(k, "kurz", "de") for k in range(2000, 2050)], "doc_id long, text string, lang string")
     found = lang_parse.fit_samples(docs)
-    assert set(found) <= {"en", "de", "fr"} and found["de"] == b"kurz" and len(found["en"]) <= 16_384
-    whole = {lang_parse_letters(t) for _, t, _ in texts}
-    assert all(t in whole for t in found["en"].decode().split("\n"))
-
-
-def lang_parse_letters(text):
-    return "".join(c if c.isalpha() else " " for c in text.lower()).replace("  ", " ").replace("  ", " ")
+    assert set(found) == {"en", "de", "fr"} and found["de"] == b"kurz" and 8_000 < len(found["en"]) <= 16_384 and 900 <= len(found["fr"]) <= 8 * 1025
+    whole = {" ".join(t.lower().split()) + " " for _, t, _ in texts}
+    assert all(len(t) <= 1024 and any(t in w for w in whole) for t in found["en"].decode().split("\n")[:-1])
+    assert sum(map(len, lang_parse.fit_samples(docs, all_bytes=3_000).values())) <= 3_000
+
+
+def test_few_huge_documents():
+    """Sums of few documents of many words: near the budget, in little memory."""
+    rng = random.Random(3)
+    lengths = [20_000_000 + rng.randint(0, 999_999) for _ in range(40)]
+    budget = 307_234_567
+    tracemalloc.start()
+    taken = mixture_fit.fit_lengths(lengths, [1] * 40, budget)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(taken) <= {0, 1} and abs(words_of(lengths, taken) - budget) < 40_000 and peak < 200_000_000
+
+
+def test_many_steps():
+    """More steps of the programme than are kept between two sums."""
+    lengths = [2 * n for n in range(1000, 1400)]
+    for budget in (77_777, 123_457, 5):
+        taken = mixture_fit.fit_lengths(lengths, [1] * len(lengths), budget)
+        assert abs(words_of(lengths, taken) - budget) == (1 if budget > 5 else 5)
