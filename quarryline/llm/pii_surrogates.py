@@ -1,10 +1,12 @@
 """Surrogates for personal data, by DataFrame functions only.
 
 Entities are found by one pattern. Each has a canonical form, whatever way it is written: an address in lower case, a
-number's digits, a secret's value, a name's parts with the gender that its title tells. A keyed hash of type and canonical
-form gives the canonical form of its replacement, which is then written as the entity is, in its spelling, letter case and
-format. So the same entity always gets the same replacement (coreference), and distinctness needs checking once for each
-entity: replacements that two share, or that an entity of the corpus is itself, are drawn again until none are.
+number's digits, a secret's value, a name's parts, whatever title they come with. A keyed hash of type and canonical form
+gives the canonical form of its replacement, for a name in the gender that the titles of the whole corpus tell, and it is
+then written as the entity is, in its spelling, letter case and format. So the same entity always gets the same replacement
+(coreference), and distinctness needs checking once for each entity: replacements that two share, or that an entity of the
+corpus is itself, are drawn again until none are. Where a text names a person, parts of that name that stand alone in the
+same text are replaced too.
 """
 
 from __future__ import annotations
@@ -16,7 +18,11 @@ from .common import materialize
 
 _LABEL = r"(?i:password|passwd|secret|api[_-]?key|token)[\"']?\h*+[=:]\h*+[\"']?"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
-_FULL_NAME = r"\p{Lu}\p{L}++(?:[ -]\p{Lu}\p{L}++){1,2}"
+#: A part of a name: a capital and letters, an apostrophe before another capital; between parts an initial may stand.
+_PART = r"\p{Lu}(?:\p{L}*+['’](?=\p{Lu}))?+\p{L}++"
+_MORE = rf"(?:[ -](?:\p{{Lu}}\. )?{_PART})"
+_FULL_NAME = rf"{_PART}{_MORE}{{1,2}}"
+_HEX = "[0-9A-Fa-f]{1,4}"
 # What a full name without a title follows, in the languages of the titles.
 _INTRODUCED = "signed|Signed|sincerely|Sincerely|regards|Regards|my name is|My name is|mein Name ist|Mein Name ist|je m'appelle|Je m'appelle|me llamo|Me llamo|mi nombre es|Mi nombre es|меня зовут|Меня зовут|Name|name"
 #: Type and pattern, in order of preference where several match at one place. All start where a word does, and runs give
@@ -24,12 +30,13 @@ _INTRODUCED = "signed|Signed|sincerely|Sincerely|regards|Regards|my name is|My n
 TYPES = {
     "email": r"(?<![.%+-])[\w.%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z0-9-]++",
     "ip": rf"(?=\d)(?<!\.){_OCTET}(?:\.{_OCTET}){{3}}(?!\w|\.\d)",
+    "ipv6": rf"(?=[0-9A-Fa-f])(?<!:)(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}}|(?:{_HEX}:){{2,7}}:)(?![\w:])",
     "card": r"(?=\d)(?<!-)(?:\d{4}[ -]?){3}\d{1,7}(?![\w-])",
     "ssn": r"(?=\d)(?<!-)\d{3}-\d{2}-\d{4}(?![\w-])",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
-    "phone": r"(?=[\d+(])(?<![+(])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,4}\)[ .-]?|\d{2,4}[ .-])\d{2,4}[ .-]?\d{2,4}(?:[ .-]?\d{2,4})?|\+\d{7,15})(?!\w)",
+    "phone": r"(?=[\d+(])(?<![+(])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,4}\)[ .-]?|\d{2,4}[ .-])\d{2,4}[ .-]?\d{2,4}(?:[ .-]?\d{2,4})?|\+\d{7,15}|[2-9]\d{9})(?!\w)",
     "secret": rf"(?=[PpSsAaTt]){_LABEL}[^\s\"']{{6,}}|AKIA[A-Z0-9]{{16}}(?!\w)|[0-9A-Fa-f]{{32,64}}(?!\w)",
-    "name": r"(?=[MDHFSГ])(?:Mr|Mrs|Ms|Miss|Dr|Herr|Frau|Señora|Señor|Sra|Sr|Monsieur|Madame|Mme|Господин|Госпожа)\.? \p{Lu}\p{L}++(?:[ -]\p{Lu}\p{L}++){0,2}",
+    "name": r"(?=[MDHFSГ])(?:Mr|Mrs|Ms|Miss|Dr|Herr|Frau|Señora|Señor|Sra|Sr|Monsieur|Madame|Mme|Господин|Госпожа)\.? " + _PART + _MORE + "{0,2}",
     "person": rf"(?=\p{{Lu}})(?:(?<=(?:{_INTRODUCED})[,:]?[ \n]){_FULL_NAME}|{_FULL_NAME}(?= <[\w.+-]{{1,64}}@))",
 }
 PATTERN = r"(?<![\p{L}\w])(?:" + "|".join(TYPES.values()) + ")"
@@ -60,28 +67,32 @@ def value_of(found: Column) -> Column:
     return F.regexp_replace(found, f"^{_LABEL}", "")
 
 
-def gender_of(found: Column) -> Column:
-    return F.when(found.rlike(rf"^(?:{WOMEN})\b"), "f").when(found.rlike(rf"^(?:{MEN})\b"), "m").otherwise("n")
-
-
 def title_of(found: Column) -> Column:
     return F.regexp_extract(found, rf"^((?:{WOMEN}|{MEN}|Dr)\.? )", 1)
 
 
+def parts_of(found: Column) -> Column:
+    """The parts of a name without its title."""
+    return F.split(F.substr(found, F.length(title_of(found)) + 1), "[ -]")
+
+
 def entities_of(found: Column, kind: Column) -> Column:
-    """The canonical forms of a match, an array: of a name its parts, each with the gender of its title, else one. Case and
-    separators are aside where the type has none that matter; a hexadecimal secret counts in either case."""
+    """The canonical forms of a match, an array of (entity, gender): of a name its parts, else one. Case and separators are
+    aside where the type has none that matter; a hexadecimal secret counts in either case. A title tells the gender (f, m)
+    of all parts but a surname in Latin letters, which has none; other entities have none."""
     value = value_of(found)
     digits = F.regexp_replace(found, r"[^\p{L}\p{N}]", "")
     one = (
-        F.when(kind == "email", F.lower(found))
+        F.when(kind.isin("email", "ipv6"), F.lower(found))
         .when(kind.isin("card", "ssn", "iban"), digits)
         .when(kind == "phone", F.concat(F.when(F.startswith(found, F.lit("+")), "+").otherwise(""), digits))
         .when(kind == "secret", F.when(value.rlike("^[0-9A-Fa-f]{32,}$"), F.lower(value)).otherwise(value))
         .otherwise(found)
     )
-    parts = F.split(F.substr(found, F.length(title_of(found)) + 1), "[ -]")
-    return F.when(kind == "name", F.transform(parts, lambda p: F.concat(gender_of(found), F.lit("|"), F.initcap(F.lower(p))))).otherwise(F.array(one))
+    parts, none = parts_of(found), F.lit(None).cast("string")
+    told = F.when(found.rlike(rf"^(?:{WOMEN})\b"), "f").when(found.rlike(rf"^(?:{MEN})\b"), "m")
+    named = F.transform(parts, lambda p, i: F.struct(F.initcap(F.lower(p)).alias("entity"), F.when((i < F.size(parts) - 1) | p.rlike(r"\p{IsCyrillic}"), told).otherwise(none).alias("gender")))
+    return F.when(kind == "name", named).otherwise(F.array(F.struct(one.alias("entity"), none.alias("gender"))))
 
 
 def stream(key: str, kind: Column, entity: Column, attempt: Column) -> Column:
@@ -147,13 +158,13 @@ def name_part(part: Column, gender: Column, hexes: Column) -> Column:
     return F.when(part.rlike(r"\p{IsCyrillic}"), made("cyrillic")).when(part.rlike(r"^[\p{IsLatin}]+$"), made("latin")).otherwise(scrambled(part, hexes))
 
 
-def replacement(kind: Column, entity: Column, attempt: Column, key: str) -> Column:
+def replacement(kind: Column, entity: Column, gender: Column, attempt: Column, key: str) -> Column:
     """The canonical form of an entity's replacement."""
-    made = F.transform(F.array(stream(key, kind, entity, attempt)), lambda hexes: _replacement(kind, entity, hexes))
+    made = F.transform(F.array(stream(key, kind, entity, attempt)), lambda hexes: _replacement(kind, entity, gender, hexes))
     return F.element_at(made, 1)
 
 
-def _replacement(kind: Column, entity: Column, hexes: Column) -> Column:
+def _replacement(kind: Column, entity: Column, gender: Column, hexes: Column) -> Column:
     n = lambda place: number(hexes, F.lit(place))
     octets = F.concat_ws(".", (n(0) % 223 + 1).cast("string"), *[(n(k) % 256).cast("string") for k in (1, 2, 3)])
     ssn = F.concat(F.lpad((n(0) % 665 + 1).cast("string"), 3, "0"), F.lpad((n(1) % 99 + 1).cast("string"), 2, "0"), F.lpad((n(2) % 9999 + 1).cast("string"), 4, "0"))
@@ -162,16 +173,17 @@ def _replacement(kind: Column, entity: Column, hexes: Column) -> Column:
     kept = F.regexp_extract(entity, _KEPT, 1)
     phone = F.concat(kept, scrambled(F.substr(entity, F.length(kept) + 1), hexes))
     secret = F.when(entity.rlike("^[0-9a-f]{32,}$"), F.substr(hexes, F.lit(1), F.length(entity))).when(entity.rlike("^AKIA"), scrambled(entity, hexes, 4)).otherwise(scrambled(entity, hexes))
-    gender, part = F.substr(entity, F.lit(1), F.lit(1)), F.substr(entity, F.lit(3))
+    hexadecimal = F.array_join(F.transform(F.split(entity, ""), lambda c, i: F.when(c == ":", c).otherwise(F.substr(hexes, F.pmod(i * 3, F.lit(250)) + 1, F.lit(1)))), "")
     return (
         F.when(kind == "email", email)
+        .when(kind == "ipv6", hexadecimal)
         .when(kind == "ip", octets)
         .when(kind == "card", luhn_valid(scrambled(entity, hexes, 1)))
         .when(kind == "ssn", ssn)
         .when(kind == "iban", iban_valid(scrambled(entity, hexes, 2)))
         .when(kind == "phone", phone)
         .when(kind == "secret", secret)
-        .otherwise(F.concat(gender, F.lit("|"), name_part(part, gender, hexes)))
+        .otherwise(name_part(entity, gender, hexes))
     )
 
 
@@ -190,6 +202,10 @@ def cased(shape: Column, lower: Column) -> Column:
     return F.when(~shape.rlike(r"\p{Lu}"), lower).when(~shape.rlike(r"\p{Ll}"), F.upper(lower)).otherwise(each)
 
 
+def in_case(part: Column, new: Column) -> Column:
+    return F.when((F.length(part) > 1) & ~part.rlike(r"\p{Ll}"), F.upper(new)).otherwise(new)
+
+
 def written(found: Column, kind: Column, new: Column) -> Column:
     """Replacements in the way that the match is written; `new` are their canonical forms."""
     one = F.element_at(new, 1)
@@ -199,10 +215,10 @@ def written(found: Column, kind: Column, new: Column) -> Column:
     title = title_of(found)
     bare = F.substr(found, F.length(title) + 1)
     spaces = F.regexp_extract_all(bare, F.lit("[ -]"), F.lit(0))
-    parts = F.zip_with(F.split(bare, "[ -]"), new, lambda p, m: F.when((F.length(p) > 1) & ~p.rlike(r"\p{Ll}"), F.upper(F.substr(m, F.lit(3)))).otherwise(F.substr(m, F.lit(3))))
+    parts = F.zip_with(parts_of(found), new, in_case)
     name = F.array_join(F.flatten(F.zip_with(parts, F.concat(spaces, F.array(F.lit(""))), lambda p, s: F.array(p, s))), "")
     return (
-        F.when(kind == "email", cased(found, one))
+        F.when(kind.isin("email", "ipv6"), cased(found, one))
         .when(kind == "ip", one)
         .when(kind.isin("card", "ssn", "iban"), refilled(found, one))
         .when(kind == "phone", refilled(found, F.regexp_replace(one, r"^\+", "")))
@@ -211,19 +227,6 @@ def written(found: Column, kind: Column, new: Column) -> Column:
     )
 
 
-def surrogates(found: Column, key: str, attempts: Column | None = None) -> Column:
-    """The replacements of an array of matches; attempts maps "kind entity" to the attempt where it isn't the first. Each
-    step stands on the one before, so that nothing is evaluated twice."""
-    first = F.transform(found, lambda m: F.struct(m.alias("found"), kind_of(m).alias("kind")))
-    second = F.transform(first, lambda m: F.struct(m["found"].alias("found"), m["kind"].alias("kind"), entities_of(m["found"], m["kind"]).alias("entities")))
-
-    def attempt(kind: Column, entity: Column) -> Column:
-        return F.lit(0) if attempts is None else F.coalesce(F.element_at(attempts, F.concat_ws(" ", kind, entity)), F.lit(0))
-
-    third = F.transform(second, lambda m: F.struct(m["found"].alias("found"), m["kind"].alias("kind"), F.transform(m["entities"], lambda e: replacement(m["kind"], e, attempt(m["kind"], e), key)).alias("new")))
-    return F.transform(third, lambda m: written(m["found"], m["kind"], m["new"]))
-
-
 def matches(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
 
@@ -232,69 +235,88 @@ def matches(text: Column) -> Column:
 DEALT = 2_000
 
 
-def units(found: Column) -> Column:
-    """The kinds and canonical forms of an array of matches, flat."""
-    typed = F.transform(found, lambda m: F.struct(m.alias("found"), kind_of(m).alias("kind")))
-    return F.flatten(F.transform(typed, lambda m: F.transform(entities_of(m["found"], m["kind"]), lambda e: F.struct(m["kind"].alias("kind"), e.alias("entity")))))
+def found_in(docs: DataFrame) -> DataFrame:
+    """(row, text_md5, found): the rows whose text has matches, as a written table; `row` holds all columns, so none clashes."""
+    rows = docs.select(F.struct("*").alias("row"), F.md5("text").alias("text_md5"), matches(F.col("text")).alias("found"))
+    return materialize(rows.where(F.size("found") > 0))
+
 
+def mentions(hits: DataFrame) -> DataFrame:
+    """(text_md5, pos, found, kind, part, entity, gender): the entities of the matches of each different text, as a written table."""
+    once = hits.select("text_md5", "found").dropDuplicates(["text_md5"]).select("text_md5", F.posexplode("found").alias("pos", "found"))
+    typed = once.withColumn("kind", kind_of(F.col("found")))
+    return materialize(typed.select("*", F.posexplode(entities_of(F.col("found"), F.col("kind"))).alias("part", "u")).select("text_md5", "pos", "found", "kind", "part", "u.entity", "u.gender"))
 
-def holders(docs: DataFrame) -> DataFrame:
-    """(text_md5, units): the entities of each different text that has some."""
-    found = docs.select(F.md5("text").alias("text_md5"), matches(F.col("text")).alias("found")).where(F.size("found") > 0)
-    return found.dropDuplicates(["text_md5"]).select("text_md5", F.array_distinct(units(F.col("found"))).alias("units"))
+
+def known(each: DataFrame) -> DataFrame:
+    """The different entities with the gender that the titles of all mentions agree on: f, m, or n."""
+    said = lambda g: F.coalesce(F.max(F.col("gender") == g), F.lit(False))
+    return each.groupBy("kind", "entity").agg(said("f").alias("f"), said("m").alias("m")).select("kind", "entity", F.when(F.col("f") & ~F.col("m"), "f").when(F.col("m") & ~F.col("f"), "m").otherwise("n").alias("gender"))
 
 
 def redraws(docs: DataFrame, key: str) -> DataFrame:
-    """The attempts (see there) of the entities of all texts."""
-    return drawn_again(holders(docs).select(F.explode("units").alias("u")).select("u.kind", "u.entity"), key)
+    """The entities of all texts that were drawn again, with their attempts."""
+    return drawn(known(mentions(found_in(docs))), key).where("attempt > 0").select("kind", "entity", "attempt")
 
 
-def drawn_again(known: DataFrame, key: str, most_rounds: int = 20) -> DataFrame:
-    """The entities (kind, entity) whose first replacement is another's too, or is an entity itself, with the attempt that
-    has given each its own: (kind, entity, attempt)."""
-    known = materialize(known.select("kind", "entity").distinct().withColumn("attempt", F.lit(0)))
+def drawn(entities: DataFrame, key: str, most_rounds: int = 20) -> DataFrame:
+    """The replacement of each entity (kind, entity, gender): (kind, entity, gender, attempt, given). Those whose first one is
+    another's too, or is an entity itself, are drawn again until each has its own."""
+    now = materialize(entities.withColumn("attempt", F.lit(0)))
     # a row is small but its replacement takes long: dealt by number, after the reading, which would put all into few tasks
-    tasks = -(-known.count() // DEALT)
-    names = known.select(F.col("kind").alias("k"), F.col("entity").alias("e"))
-    now = known
+    tasks = -(-now.count() // DEALT)
+    names = now.select(F.col("kind").alias("k"), F.col("entity").alias("e"))
     for _ in range(most_rounds):
         dealt = now.repartition(max(1, tasks), "entity")
-        marked = materialize(dealt.withColumn("given", replacement(F.col("kind"), F.col("entity"), F.col("attempt"), key)))
+        marked = materialize(dealt.withColumn("given", replacement(F.col("kind"), F.col("entity"), F.col("gender"), F.col("attempt"), key)))
         # of those that share one the first keeps it, unless an entity is called so
         keeper = marked.groupBy("kind", "given").agg(F.min("entity").alias("keeper"), F.count("*").alias("n"))
         shared = marked.join(keeper.where("n > 1"), ["kind", "given"]).where(F.col("entity") != F.col("keeper")).select("kind", "entity")
         taken = marked.join(names, (marked["kind"] == names["k"]) & (marked["given"] == names["e"]), "left_semi").select("kind", "entity")
         again = materialize(shared.unionByName(taken).distinct().withColumn("again", F.lit(1)))
         if not again.take(1):
-            return marked.where("attempt > 0").select("kind", "entity", "attempt")
+            return marked
         now = materialize(marked.drop("given").join(again, ["kind", "entity"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("again", F.lit(0))).drop("again"))
     raise RuntimeError("too many entities share a surrogate")
 
 
+def _alone(part: Column) -> Column:
+    """Where a part of a name stands by itself."""
+    return F.concat(F.lit(r"(?<![\p{L}\w])\Q"), part, F.lit(r"\E(?![\p{L}\w])"))
+
+
 def replace_entities(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
     """Replace the personal data in `text`; adds n_entities, keeps the other columns and all rows.
 
     E-mail and IP addresses, card, social security, bank account and phone numbers, secrets, names after a title and full
-    names that are introduced or stand before an address get surrogates. Numbers keep their calling code, country or
-    first digit and hold their checksums; entities of one spelling or another, and the parts that names share, get the
-    same surrogates in all rows, different entities of a type (and titles' gender) different ones. Null texts stay null
-    and empty ones empty, with 0 entities. A column named n_entities in the input is replaced.
+    names that are introduced or stand before an address get surrogates, and so do the parts of these names (two letters or
+    more) elsewhere in the same text. Numbers keep their calling code, country or first digit and hold their checksums;
+    entities of one spelling or another, and the parts that names share whatever their titles, get the same surrogates in
+    all rows, different entities of a type different ones. A name's gender is what all titles that it has in the table agree
+    on. Null texts stay null and empty ones empty, with 0 entities. A column named n_entities in the input is replaced.
     """
-    held = materialize(holders(docs))
-    attempts = materialize(drawn_again(held.select(F.explode("units").alias("u")).select("u.kind", "u.entity"), key))
-    has = docs.withColumn("__found", matches(F.col("text")))
-    of = None
-    if attempts.take(1):
-        # the few entities that were drawn again, brought to the texts that hold them
-        occurs = held.select(F.col("text_md5").alias("__text"), F.explode("units").alias("u")).select("__text", "u.kind", "u.entity")
-        named = F.struct(F.concat_ws(" ", "kind", "entity"), "attempt")
-        drawn = materialize(occurs.join(attempts, ["kind", "entity"]).groupBy("__text").agg(F.map_from_entries(F.collect_list(named)).alias("__attempts")))
-        has = has.withColumn("__text", F.md5("text")).join(drawn, "__text", "left").drop("__text")
-        of = F.coalesce(F.col("__attempts"), F.create_map().cast("map<string,int>"))
-    new = surrogates(F.col("__found"), key, of)
-    between = F.split(F.col("text"), PATTERN, -1)
-    put = F.array_join(F.flatten(F.zip_with(between, new, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    some = F.size("__found") > 0
-    others = [c for c in docs.columns if c not in ("text", "n_entities")]
-    replaced = has.select(*others, F.when(some, put).otherwise(F.col("text")).alias("text"), F.coalesce(F.greatest(F.size("__found"), F.lit(0)), F.lit(0)).alias("n_entities"))
-    return replaced.select(*[c for c in docs.columns if c != "n_entities"], "n_entities")
+    hits = found_in(docs)
+    each = mentions(hits)
+    given = drawn(known(each), key).select("kind", "entity", "given")
+    of = each.join(given, ["kind", "entity"]).groupBy("text_md5", "pos", "found", "kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "given"))), lambda x: x["given"]).alias("new"))
+    spelled = F.flatten(F.zip_with(parts_of(F.col("found")), "new", lambda p, n: F.transform(F.array(p, F.initcap(F.lower(p)), F.upper(p)), lambda v: F.struct(v.alias("old"), in_case(v, n).alias("new")))))
+    named = F.when(F.col("kind") == "name", F.filter(spelled, lambda x: x["old"].rlike(r"^\p{L}['’\p{L}]+$"))).otherwise(F.filter(spelled, lambda x: F.lit(False)))
+    by_text = of.select("text_md5", F.struct("pos", written(F.col("found"), F.col("kind"), F.col("new")).alias("new")).alias("m"), named.alias("named"))
+    by_text = by_text.groupBy("text_md5").agg(F.transform(F.array_sort(F.collect_list("m")), lambda x: x["new"]).alias("new"), F.array_distinct(F.flatten(F.collect_list("named"))).alias("named"))
+
+    text = F.col("row.text")
+    has = hits.join(by_text, "text_md5").select("row", "found", "new", "named", F.split(text, PATTERN, -1).alias("between"))
+    # the parts of names that stand alone between the matches
+    there = F.array_distinct(F.flatten(F.transform("between", lambda b: F.regexp_extract_all(b, F.lit(_PART), F.lit(0)))))
+    has = has.withColumn("met", F.when(F.size("named") > 0, F.array_intersect(F.transform("named", lambda x: x["old"]), there)))
+    has = has.withColumn("alone", F.filter("named", lambda x: F.array_contains("met", x["old"])))
+    any_in = lambda b: F.exists("alone", lambda x: F.contains(b, x["old"]))
+    swapped = F.transform("between", lambda b: F.when(any_in(b), F.aggregate("alone", b, lambda t, x: F.regexp_replace(t, _alone(x["old"]), x["new"]))).otherwise(b))
+    more = F.aggregate("between", F.lit(0), lambda n, b: n + F.when(any_in(b), F.aggregate("alone", F.lit(0), lambda k, x: k + F.regexp_count(b, _alone(x["old"])))).otherwise(0))
+    some = F.coalesce(F.size("alone") > 0, F.lit(False))
+    pieces = F.when(some, swapped).otherwise(F.col("between"))
+    put = F.array_join(F.flatten(F.zip_with(pieces, "new", lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+    kept = [c for c in docs.columns if c != "n_entities"]
+    replaced = has.select(*[put.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in kept], (F.size("found") + F.when(some, more).otherwise(0)).alias("n_entities"))
+    rest = docs.where(F.coalesce(F.size(matches(F.col("text"))), F.lit(0)) <= 0).select(*[F.col(c) for c in kept], F.lit(0).alias("n_entities"))
+    return replaced.unionByName(rest)

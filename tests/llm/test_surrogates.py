@@ -54,13 +54,41 @@ def test_letter_case(spark):
 def test_names(spark):
     out = replaced(spark, ["Mr. Smith met Mrs. Smith and Dr. Smith and Mr John Smith.", "Yours, signed Anna Jones\nend", "My name is Anna Jones.", "write to Anna Jones <anna.jones@mail.org> today", "Mein Name ist Jürgen Groß", "The New York Times and Anna Jones went", "Меня зовут Анна Иванова"])
     men, women, other, full = re.fullmatch(r"Mr\. (\w+) met Mrs\. (\w+) and Dr\. (\w+) and Mr (\w+ \w+)\.", out[0]).groups()
-    assert len({men, women, other}) == 3 and full.split()[1] == men
+    assert men == women == other == full.split()[1]  # one surname, whoever bears it
     assert out[1].startswith("Yours, signed ") and "Anna" not in out[1] + out[2] + out[3] and "Jones" not in out[1] + out[2]
     name = out[1].removeprefix("Yours, signed ").removesuffix("\nend")
     assert out[2] == f"My name is {name}." and out[3].startswith(f"write to {name} <")
     assert "Jürgen" not in out[4] and "Иванова" not in out[6] and out[5] == "The New York Times and Anna Jones went"
 
 
+def test_one_person_with_any_title_or_none(spark):
+    texts = ["Mr John Smith wrote. Regards, John Smith", "Dr John Smith is here, and John too; ask JOHN or Smith's aide.", "Mr O'Brien and Mrs Anna D'Arcy; O'Brien left, Anna stayed", "John alone is nobody known here, Johnson neither", "Mr John F. Smith, Johnny and John"]
+    out = replaced(spark, texts)
+    given, last = re.fullmatch(r"Mr (\w+) (\w+) wrote\. Regards, (\w+) (\w+)", out[0]).groups()[:2]
+    assert out[0] == f"Mr {given} {last} wrote. Regards, {given} {last}"
+    assert out[1] == f"Dr {given} {last} is here, and {given} too; ask {given.upper()} or {last}'s aide."
+    assert not re.search("Brien|Anna|Arcy", out[2])
+    irish, anna = re.fullmatch(r"Mr (\S+) and Mrs (\w+) \S+; (\S+) left, (\w+) stayed", out[2]).group(1, 2)
+    assert out[2].endswith(f"; {irish} left, {anna} stayed") and anna.endswith(("lia", "na", "rina", "sia"))
+    assert out[3] == texts[3] and out[4].startswith(f"Mr {given} ") and out[4].endswith(f" {last}, Johnny and {given}")
+    assert given.endswith(("ldo", "n", "rik", "s"))  # Mr tells, for all rows
+
+
+def test_counts_and_clashes(spark):
+    docs = spark.createDataFrame([(1, "Mr John Smith and John, or SMITH", "x", 7, "f", "m"), (2, None, "x", 7, "f", "m")], "doc_id long, text string, __found string, n_entities int, found string, row string")
+    rows = sorted(P.replace_entities(docs, "k").collect(), key=lambda r: r.doc_id)
+    assert [r.n_entities for r in rows] == [3, 0] and rows[0].asDict()["__found"] == "x" and (rows[0].found, rows[0].row) == ("f", "m")
+
+
+def test_plain_numbers_and_addresses(spark):
+    texts = ["call 5551234567 or 555-123-4567 now", "at 2001:db8:85a3:0:0:8a2e:370:7334 and fe80::1ff:fe23:4567:890a", "AT FE80::1FF:FE23:4567:890A", "at 12:30:45, std::vector, 1234567890 and 55512345678"]
+    out = replaced(spark, texts)
+    a, b = re.fullmatch(r"call (\d{10}) or (\d{3}-\d{3}-\d{4}) now", out[0]).groups()
+    assert a == b.replace("-", "") != "5551234567"
+    assert "db8" not in out[1] and "fe80" not in out[1] and out[1].split()[-1].upper() == out[2].split()[-1] and out[1].count(":") == texts[1].count(":")
+    assert out[3] == texts[3]
+
+
 def test_parts_stay_shared_after_redraws(spark):
     """So many surnames that some are drawn again: a name's parts still agree with the same parts elsewhere."""
     rng = random.Random(5)
