@@ -12,34 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .containment import contains_pairs
 from .graph import written
 from .text import edit_matches
 
-#: Characters by which strings that contain others are looked up.
-GRAM = 4
-
-
-def contains_pairs(needles: DataFrame, hays: DataFrame) -> DataFrame:
-    """The pairs of strings (needle, hay) of which the hay contains the needle, each once; empty needles are in none.
-
-    A hay that contains a needle has its first characters: the join is on these, not over all pairs, and the rest is
-    checked after. Of the GRAM numbers of first characters only those that needles have are laid out for the hays.
-    """
-    n = F.least(F.length("needle"), F.lit(GRAM))
-    asked = needles.select("needle").distinct().where("needle <> ''").select("needle", n.alias("n"), F.substr("needle", F.lit(1), n).alias("gram"))
-    sizes = sorted(r["n"] for r in asked.select("n").distinct().collect())  # GRAM numbers at most
-    if not sizes:
-        return needles.select("needle", F.col("needle").alias("hay")).limit(0)
-    h = F.col("hay")
-
-    def grams_of(k: int) -> Column:
-        return F.when(F.length(h) >= k, F.transform(F.sequence(F.lit(1), F.length(h) - k + 1), lambda i: F.substr(h, i, F.lit(k))))
-
-    grams = [grams_of(k) for k in sizes]
-    laid = hays.select("hay").distinct().select("hay", F.explode(F.array_distinct(F.concat(*[F.coalesce(g, F.array().cast("array<string>")) for g in grams]))).alias("gram"))
-    return asked.join(laid, "gram").where(F.contains("hay", F.col("needle"))).select("needle", "hay").distinct()
-
-
 def matched_entities(questions: DataFrame, entities: DataFrame, most: int = 10, enough: int = 5, few: int = 3) -> DataFrame:
     """The entities that a question names: (query_id, id, stage, place), place from 1.
 
@@ -50,9 +26,10 @@ def matched_entities(questions: DataFrame, entities: DataFrame, most: int = 10,
     mentions = questions.select("query_id", F.posexplode("entities").alias("pos", "mention"))
     names = entities.select("id", "name")
     exact = mentions.join(names, F.col("mention") == F.col("name")).select("query_id", "id", F.lit(1).alias("stage"), F.lit(0).alias("pos"))
-    asked, known = mentions.select(F.col("mention").alias("needle")), names.select(F.col("name").alias("hay"))
-    inside = contains_pairs(asked, known).select(F.col("needle").alias("mention"), F.col("hay").alias("name"))
-    around = contains_pairs(known.select(F.col("hay").alias("needle")), asked.select(F.col("needle").alias("hay"))).select(F.col("hay").alias("mention"), F.col("needle").alias("name"))
+    asked, known = mentions.select(F.col("mention").alias("text")).distinct(), names.select(F.col("name").alias("text")).distinct()
+    within = lambda few, many: contains_pairs(few.select(F.col("text").alias("needle")), many.select(F.col("text").alias("hay_id"), F.col("text").alias("hay")))
+    inside = within(asked, known).select(F.col("needle").alias("mention"), F.col("hay_id").alias("name"))
+    around = within(known, asked).select(F.col("hay_id").alias("mention"), F.col("needle").alias("name"))
     part = mentions.join(inside.unionByName(around).distinct(), "mention").join(names, "name").select("query_id", "id", F.lit(2).alias("stage"), "pos")
     first = written(_once(exact.unionByName(part)))
     words = questions.select("query_id", F.explode("keywords").alias("word")).join(_with_few(questions, first, enough), "query_id", "left_semi")
@@ -127,20 +104,22 @@ def network(targets: DataFrame, related: DataFrame, relationships: DataFrame) ->
 
 def evidence_texts(primary: DataFrame, retrieved: DataFrame, units: DataFrame, most: int = 15) -> DataFrame:
     """A question's retrieved units that contain the name of an entity in focus, in their order."""
-    texts = retrieved.select("query_id", "unit_id", "place").join(units, "unit_id")
-    named = primary.select("query_id", F.lower("name").alias("name"))
-    hit = texts.join(named, (texts["query_id"] == named["query_id"]) & F.contains(F.lower(texts["text"]), named["name"])).select(texts["query_id"], "unit_id", "place", "text").distinct()
+    asked = retrieved.select("query_id", "unit_id", "place")
+    texts = units.join(asked.select("unit_id").distinct(), "unit_id", "left_semi")
+    named = primary.select("query_id", F.lower("name").alias("needle"))
+    inside = contains_pairs(named.select("needle"), texts.select(F.col("unit_id").alias("hay_id"), F.lower("text").alias("hay")))
+    hit = asked.join(inside.select("needle", F.col("hay_id").alias("unit_id")), "unit_id").join(named, ["query_id", "needle"]).select("query_id", "unit_id", "place").distinct()
     order = F.row_number().over(W.partitionBy("query_id").orderBy("place", "unit_id"))
-    return hit.withColumn("place", order).where(F.col("place") <= most)
+    best = hit.withColumn("place", order).where(F.col("place") <= most)
+    return best.join(units.select("unit_id", "text"), "unit_id").select("query_id", "unit_id", "place", "text")
 
 
 def relationship_evidence(relationships: DataFrame, units: DataFrame, most: int = 10) -> DataFrame:
     """For each relationship (query_id, src, dst, description, place) the first unit that contains a word of its
     description: (query_id, place, unit_id), the first `most` relationships of a question."""
     words = relationships.select("query_id", "place", F.explode(F.array_distinct(F.split(F.lower("description"), r"\s+"))).alias("word")).where("word <> ''")
-    texts = units.select("unit_id", F.lower("text").alias("hay"))
-    pairs = contains_pairs(words.select(F.col("word").alias("needle")), texts.select("hay"))
-    first = pairs.join(texts, "hay").groupBy(F.col("needle").alias("word")).agg(F.min("unit_id").alias("unit_id"))
+    pairs = contains_pairs(words.select(F.col("word").alias("needle")), units.select(F.col("unit_id").alias("hay_id"), F.lower("text").alias("hay")))
+    first = pairs.groupBy(F.col("needle").alias("word")).agg(F.min("hay_id").alias("unit_id"))
     found = words.join(first, "word").groupBy("query_id", "place").agg(F.min("unit_id").alias("unit_id"))
     order = F.row_number().over(W.partitionBy("query_id").orderBy("place"))
     return found.withColumn("n", order).where(F.col("n") <= most).select("query_id", "place", "unit_id")
@@ -187,8 +166,8 @@ def community_relevance(questions: DataFrame, communities: DataFrame, members: D
     questions by the level only, so of those the `most` largest of each level are enough.
     """
     words = questions.select("query_id", F.explode(F.array_distinct("keywords")).alias("keyword")).withColumn("needle", F.lower("keyword"))
-    texts = communities.select("community", F.lower("summary").alias("hay"))
-    hits = words.join(contains_pairs(words.select("needle"), texts.select("hay")), "needle").join(texts, "hay").groupBy("query_id", "community").agg(F.count("*").alias("hits"))
+    inside = contains_pairs(words.select("needle"), communities.select(F.col("community").alias("hay_id"), F.lower("summary").alias("hay")))
+    hits = words.join(inside.withColumnRenamed("hay_id", "community"), "needle").groupBy("query_id", "community").agg(F.count("*").alias("hits"))
     named = questions.select("query_id", F.explode(F.array_distinct("entities")).alias("name")).join(members.select("community", "name").distinct(), "name").groupBy("query_id", "community").agg(F.count("*").alias("overlap"))
     bonus = F.least(F.col("size") / 10, F.lit(0.2))
     largest = communities.withColumn("p", F.row_number().over(W.partitionBy("level").orderBy(bonus.desc(), "community"))).where(F.col("p") <= most)

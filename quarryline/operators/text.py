@@ -176,23 +176,32 @@ def chinese_weight(text: Column) -> Column:
     return F.when(n > 0, F.least(F.lit(1.3), 1 + 0.3 * F.regexp_count(text, F.lit(f"[{CJK}]")) / n)).otherwise(1.0)
 
 
-def edit_matches(names: DataFrame, queries: DataFrame) -> DataFrame:
-    """Names within min(2, half the query's length) edits of a query: (query, name, distance).
-
-    A name and a query so near share a piece: each is cut of one character in up to two ways (deletion neighbours), so
-    the join is on equal pieces, not over all pairs; the distance is checked after.
+def edit_matches(names: DataFrame, queries: DataFrame, most: int = 2) -> DataFrame:
+    """Names within min(`most`, half the query's length) edits of a query: (query, name, distance).
+
+    A query is cut into `most` + 1 pieces, as even as can be. So many edits leave one of them whole, and in a name, which is
+    at most `most` characters longer or shorter, it begins at most `most` characters earlier or later: the join is on the
+    query's length, the piece's number and the piece, `most` + 1 rows a query and (2 * `most` + 1) ^ 2 times as many a name,
+    each of a share of its characters. The distance is checked after. A query shorter than `most` + 1 characters has an
+    empty piece, which all names of about its length share.
     """
-
-    def pieces(df: DataFrame, c: str) -> DataFrame:
-        cut = lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(x))), lambda i: F.concat(F.substr(x, F.lit(1), i - 1), F.substr(x, i + 1)))
-        one = cut(F.col(c))
-        two = F.flatten(F.transform(one, cut))
-        return df.select(c).distinct().select(c, F.explode(F.array_distinct(F.concat(F.array(c), one, two))).alias("piece"))
-
-    limit = F.least(F.lit(2), F.floor(F.length("query") / 2))
-    pairs = pieces(names, "name").join(pieces(queries, "query"), "piece").select("query", "name").distinct()
-    far = F.levenshtein("query", "name")
-    return pairs.select("query", "name", far.alias("distance")).where(F.col("distance") <= limit)
+    shifts = F.sequence(F.lit(-most), F.lit(most))
+    bound = lambda n, i: F.floor(n * i / (most + 1)).cast("int")
+    size = lambda n, i: bound(n, i + 1) - bound(n, i)
+    n = F.length("query")
+    own = F.array(*[F.struct(F.lit(i).alias("i"), F.substr("query", bound(n, i) + 1, size(n, i)).alias("piece")) for i in range(most + 1)])
+    asked = queries.select("query").distinct().select("query", n.alias("n"), F.explode(own).alias("s")).select("query", "n", "s.*")
+    of = names.select("name").distinct().select("name", F.explode(F.transform(shifts, lambda d: F.length("name") + d)).alias("n")).where("n >= 0")
+    n = F.col("n")
+
+    def spans(i: int) -> Column:
+        return F.transform(shifts, lambda d: F.struct(F.lit(i).alias("i"), (bound(n, i) + d).alias("at"), F.substr("name", bound(n, i) + d + 1, size(n, i)).alias("piece")))
+
+    told = of.select("name", "n", F.explode(F.concat(*[spans(i) for i in range(most + 1)])).alias("s")).where("s.at >= 0").select("name", "n", "s.i", "s.piece").distinct()
+    pairs = asked.join(told, ["n", "i", "piece"]).select("query", "name").distinct()
+    limit = F.least(F.lit(most), F.floor(F.length("query") / 2))
+    far = F.levenshtein("query", "name", most)  # -1 beyond; in time that grows with the length
+    return pairs.select("query", "name", far.alias("distance"), limit.alias("limit")).where("distance BETWEEN 0 AND limit").drop("limit")
 
 
 def scores(docs: DataFrame, predicted: Column, actual: Column) -> DataFrame:
