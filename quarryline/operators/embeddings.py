@@ -83,6 +83,57 @@ def chinese_metrics(texts: DataFrame, vectors: DataFrame, least: float = 0.3) ->
     return whole.crossJoin(F.broadcast(mean))  # one row each
 
 
+def length_pairs(pairs: DataFrame, texts: DataFrame, times: float = 2.0) -> DataFrame:
+    """Of pairs (a, b) of ids those whose one text is at least `times` as long as the other: (a, b), the shorter first."""
+    n = texts.select("vec_id", F.length("text").alias("n"))
+    both = pairs.join(n.select(F.col("vec_id").alias("a"), F.col("n").alias("x")), "a").join(n.select(F.col("vec_id").alias("b"), F.col("n").alias("y")), "b")
+    turned = both.select(F.when(F.col("x") <= F.col("y"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("x") <= F.col("y"), F.col("b")).otherwise(F.col("a")).alias("b"), F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    return turned.where((F.col("x") > 0) & (F.col("y") >= F.col("x") * times)).select("a", "b")
+
+
+def model_metrics(rows: DataFrame, similar: DataFrame, lengths: DataFrame, least: float = 0.3) -> DataFrame:
+    """What the scores of a model read, by model, from rows (model, vec_id, embedding, text, domain, quality) and pairs (a, b) of
+    similar texts and of short and long ones: n, quality, ratio, norm_mean, norm_std, used, similarity, coherence,
+    semantic, length, separation.
+
+    Sums by model, domain and dimension are enough for all means over pairs: of unit vectors u of number n with sum s they
+    are (|s|^2 - n) / (n (n - 1)). Tasks add up their own rows first, so what is exchanged doesn't grow with the table.
+    Vectors that are null, zero or hold nulls are left out; a mean over no pair is 0.
+    """
+    from .graph import written
+    from .passages import is_mostly_chinese
+    from .text import CJK
+
+    known = usable(rows).where(F.exists("embedding", lambda x: x != 0))
+    t, x = F.coalesce(F.col("text"), F.lit("")), F.col("embedding")
+    scalars = known.select("model", "quality", F.coalesce(F.try_divide(F.regexp_count(t, F.lit(f"[{CJK}]")), F.length(t)), F.lit(0.0)).alias("share"), V.norm(x).alias("norm")).groupBy("model").agg(
+        F.count("*").alias("n"), F.coalesce(F.avg("quality"), F.lit(0.0)).alias("quality"), F.avg("share").alias("ratio"), F.avg("norm").alias("norm_mean"), F.stddev_pop("norm").alias("norm_std"))
+    long = known.select("model", "domain", is_mostly_chinese(t, least).alias("chinese"), F.posexplode(F.arrays_zip(x.alias("x"), V.unit(x).alias("u"))).alias("dim", "c")).select("model", "domain", "chinese", "dim", "c.x", "c.u")
+    cells = written(long.groupBy("model", "domain", "chinese", "dim").agg(F.sum("u").alias("s"), F.sum("x").alias("sx"), F.sum(F.col("x") * F.col("x")).alias("qx"), F.count("*").alias("n")))
+    square = lambda c: F.sum(F.col(c) * F.col(c))
+    added = [F.sum(c).alias(c) for c in ("s", "sx", "qx", "n")]
+    spread = F.col("qx") / F.col("n") - (F.col("sx") / F.col("n")) * (F.col("sx") / F.col("n"))
+    whole = cells.groupBy("model", "dim").agg(*added).groupBy("model").agg(F.avg((spread > 1e-4).cast("double")).alias("used"), square("s").alias("square"), F.max("n").alias("all"))
+    inner = cells.groupBy("model", "domain", "dim").agg(*added).groupBy("model", "domain").agg(square("s").alias("sq"), F.max("n").alias("k")).groupBy("model").agg(F.sum(F.col("sq") - F.col("k")).alias("inside"), F.sum(F.col("k") * (F.col("k") - 1)).alias("inside_pairs"))
+    told = cells.where("chinese").groupBy("model", "dim").agg(*added).groupBy("model").agg(square("sx").alias("csq"), F.sum("qx").alias("cown"), F.max("n").alias("cn"))
+    model_of = known.select(F.col("vec_id").alias("a"), "model")
+    mean = lambda pairs, name: pair_cosines(pairs, known).join(model_of, "a").groupBy("model").agg(F.avg("cosine").alias(name))
+    out = scalars.join(whole, "model").join(inner, "model").join(told, "model", "left").join(mean(similar, "semantic"), "model", "left").join(mean(lengths, "length"), "model", "left")
+    part = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    every, n, c = F.col("square") - F.col("all"), F.col("all"), F.col("cn")
+    apart = part(F.col("inside"), F.col("inside_pairs")) - part(every - F.col("inside"), n * (n - 1) - F.col("inside_pairs"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return out.select("model", "n", "quality", "ratio", "norm_mean", "norm_std", "used", part(every, n * (n - 1)).alias("similarity"), part(F.col("csq") - F.col("cown"), c * (c - 1)).alias("coherence"), zero(F.col("semantic")).alias("semantic"), zero(F.col("length")).alias("length"), apart.alias("separation"))
+
+
+def model_scores(metrics: DataFrame) -> DataFrame:
+    """The overall score and that for Chinese of each model, beside the metrics, rounded."""
+    c = F.col
+    overall = overall_quality(c("quality"), c("norm_std"), c("used"), c("similarity"), c("ratio"), c("coherence"))
+    chinese = chinese_score(c("ratio"), c("norm_mean"), c("norm_std"), c("semantic"), c("length"), c("separation"))
+    return metrics.select("model", "n", *[F.round(m, 6).alias(m) for m in metrics.columns[2:]], F.round(overall, 6).alias("overall"), chinese.alias("chinese"))
+
+
 def overall_quality(text: Column, norm_std: Column, used: Column, similarity: Column, ratio: Column, coherence: Column, least: float = 0.3) -> Column:
     """.3 of the texts' quality, .4 of the vectors' (steady norms, used dimensions, moderate similarity), .3 of Chinese
     share and coherence, each from 0 to 1."""

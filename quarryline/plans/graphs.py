@@ -97,7 +97,11 @@ ORACLES = {
     "graph_communities": f"{_TREE} SELECT component, size, rank FROM c",
     "graph_community_titles": f"{_TREE} SELECT component, title FROM b",
     "graph_type_counts": f"{_TREE} SELECT component, type, n FROM t",
-    "graph_inner_edges": f"WITH {_E}, up AS MATERIALIZED (SELECT node, coalesce(e3.dst, e2.dst, e1.dst, node) AS root FROM n LEFT JOIN e e1 ON e1.src = node LEFT JOIN e e2 ON e2.src = e1.dst LEFT JOIN e e3 ON e3.src = e2.dst), l AS MATERIALIZED (SELECT node, min(node) OVER (PARTITION BY root) AS component FROM up) SELECT a.component, src, dst FROM e JOIN l a ON a.node = src JOIN l z ON z.node = dst WHERE a.component = z.component",
+    # a node's tree is that of its region, and both ends of an edge are in one
+    "graph_inner_edges": """WITH l AS (SELECT 'region' || r_regionkey AS node, r_regionkey AS root FROM region UNION ALL SELECT 'nation' || n_nationkey, n_regionkey FROM nation UNION ALL SELECT 'customer' || c_custkey, n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_nationkey < 10 UNION ALL SELECT 'supplier' || s_suppkey, n_regionkey FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_nationkey < 5), c AS MATERIALIZED (SELECT root, min(node) AS component FROM l GROUP BY 1)
+SELECT component, 'nation' || n_nationkey AS src, 'region' || n_regionkey AS dst FROM nation JOIN c ON root = n_regionkey
+UNION ALL SELECT component, 'customer' || c_custkey, 'nation' || c_nationkey FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN c ON root = n_regionkey WHERE c_nationkey < 10
+UNION ALL SELECT component, 'supplier' || s_suppkey, 'nation' || s_nationkey FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN c ON root = n_regionkey WHERE s_nationkey < 5""",
     "graph_reports": f"{_TREE} SELECT * FROM r",
     "graph_k_hop": f"WITH {_E}, {_U}, h AS (SELECT 'region1' AS node, 0 AS hop UNION SELECT 'supplier3', 0), h1 AS (SELECT DISTINCT dst AS node, 1 AS hop FROM u JOIN h ON src = node), h2 AS (SELECT DISTINCT dst AS node, 2 AS hop FROM u JOIN h1 ON src = node) SELECT node, min(hop) AS hop FROM (SELECT * FROM h UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY 1",
     "graph_known_edges": f"WITH {_E}, {_K} SELECT src, dst FROM e WHERE src IN (SELECT node FROM k) AND dst IN (SELECT node FROM k)",

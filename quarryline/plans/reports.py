@@ -43,6 +43,14 @@ def _pairs(s, d):
     return _vec(s, d).select(F.col("vec_id").alias("a"), (F.col("vec_id") + 1).alias("b"))
 
 
+def _metrics(s, d):
+    """Vectors of the languages' documents as models, their labels as domains; a third of the texts begins in Chinese."""
+    rows = _vec(s, d).join(_doc(s, d), F.col("vec_id") == F.col("doc_id")).join(load(s, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    text = F.when(F.col("vec_id") % 3 == 0, F.concat(F.repeat(F.lit("中文文本"), F.length("text")), "text")).otherwise(F.col("text"))
+    rows = rows.select(F.col("lang").alias("model"), "vec_id", "embedding", text.alias("text"), F.col("label").alias("domain"), "quality")
+    return E.model_metrics(rows, _pairs(s, d), E.length_pairs(_pairs(s, d), rows))
+
+
 def _files(s, d):
     return _doc(s, d).select(F.concat("source", F.lit("/"), "doc_id").alias("path"), F.octet_length("text").alias("size"), F.md5("text").alias("hash"), "doc_id")
 
@@ -86,7 +94,7 @@ QUERIES = {
     "pair_consistency": lambda s, d: E.consistency(_pairs(s, d), _vec(s, d)),
     "similarity_matrix": lambda s, d: E.similarity_matrix(_vec(s, d), [0, 1, 2, 3, 4, 5]).withColumn("cosine", F.round("cosine", 6)),
     "chinese_metrics": lambda s, d: E.chinese_metrics(_vec(s, d).join(_doc(s, d), F.col("vec_id") == F.col("doc_id")).select("vec_id", F.when(F.col("vec_id") % 3 == 0, F.concat(F.lit("中文文本"), F.substring("text", 1, 5))).otherwise(F.col("text")).alias("text")), _vec(s, d)),
-    "quality_scores": lambda s, d: _ev(s, d).select("event_id", F.round(E.overall_quality(F.col("value") / 80, F.col("value") / 50, F.col("user_id") / 100, F.col("value") / 40 - 1, F.col("value") / 200, F.col("value") / 90), 6).alias("overall"), E.chinese_score(F.col("value") / 100, F.col("value") / 60, F.col("user_id") / 120, F.col("value") / 70 - 0.2, F.col("value") / 90, F.col("value") / 300 - 0.1).alias("chinese")),
+    "quality_scores": lambda s, d: E.model_scores(_metrics(s, d)),
     "field_scores": lambda s, d: _doc(s, d).select("doc_id", F.round(E.field_score([(F.col("text"), 1.0), (F.col("source"), 2.0)], ["license", "o", "web"], [2.0, 1.0, 1.0]), 6).alias("score")),
     "sparse_terms": lambda s, d: load(s, d, "part").select("p_partkey", F.array_join(E.sparse_terms(F.create_map("p_type", F.col("p_size") * 1.0, F.lit("zz"), F.lit(20.0), "p_brand", F.col("p_partkey") % 40 * 1.0), 2), ",").alias("terms")),
     "strict_entities": lambda s, d: C.strict_entities(load(s, d, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.when(F.col("s_suppkey") % 6 == 0, "  ").otherwise(F.concat(F.lit(" "), "s_name")).alias("name"), F.lit(" org ").alias("type"), (F.col("s_suppkey") % 13 / 10).alias("confidence"))).select("id", "name", "type", "broken"),
@@ -129,6 +137,23 @@ def _field(words, weights):
     return f"least(1, ({' + '.join(parts)}) / {sum(weights)}::double)"
 
 
+QUALITY_SQL = """
+WITH r AS MATERIALIZED (SELECT lang AS model, vec_id, CAST(embedding AS double[]) AS x, CASE WHEN vec_id % 3 = 0 THEN repeat('中文文本', length(text)) || text ELSE text END AS text, label AS domain, quality FROM embeddings JOIN documents ON vec_id = doc_id LEFT JOIN labels USING (doc_id) WHERE len(list_filter(embedding, lambda v: v <> 0)) > 0),
+v AS MATERIALIZED (SELECT *, sqrt(list_dot_product(x, x)) AS norm, coalesce(length(regexp_replace(text, '[^一-鿿]', '', 'g')) / nullif(length(text), 0), 0) AS share FROM r),
+l AS MATERIALIZED (SELECT model, domain, share >= 0.3 AS chinese, unnest(x) AS x, unnest(list_transform(x, lambda e: e / norm)) AS u, generate_subscripts(x, 1) AS dim FROM v),
+a AS (SELECT model, count(*) AS n, coalesce(avg(quality), 0) AS quality, avg(share) AS ratio, avg(norm) AS norm_mean, stddev_pop(norm) AS norm_std FROM v GROUP BY 1),
+w AS (SELECT model, avg(CASE WHEN qx / n - (sx / n) * (sx / n) > 1e-4 THEN 1.0::double ELSE 0 END) AS used, sum(s * s) - max(n) AS every, max(n) AS k FROM (SELECT model, dim, sum(u) AS s, sum(x) AS sx, sum(x * x) AS qx, count(*) AS n FROM l GROUP BY 1, 2) GROUP BY 1),
+i AS (SELECT model, sum(sq - k) AS inside, sum(k * (k - 1)) AS inside_pairs FROM (SELECT model, domain, sum(s * s) AS sq, max(n) AS k FROM (SELECT model, domain, dim, sum(u) AS s, count(*) AS n FROM l GROUP BY 1, 2, 3) GROUP BY 1, 2) GROUP BY 1),
+c AS (SELECT model, (sum(s * s) - sum(q)) / nullif(max(n) * (max(n) - 1), 0) AS coherence FROM (SELECT model, dim, sum(x) AS s, sum(x * x) AS q, count(*) AS n FROM l WHERE chinese GROUP BY 1, 2) GROUP BY 1),
+p AS MATERIALIZED (SELECT f.model, f.vec_id AS fid, g.vec_id AS gid, f.model AS fm, g.model AS gm, length(f.text) AS fl, length(g.text) AS gl, list_dot_product(f.x, g.x) / (f.norm * g.norm) AS cosine FROM v f JOIN v g ON g.vec_id = f.vec_id + 1),
+m AS (SELECT model, avg(cosine) AS semantic FROM p GROUP BY 1),
+h AS (SELECT CASE WHEN fl <= gl THEN fm ELSE gm END AS model, avg(cosine) AS length FROM p WHERE least(fl, gl) > 0 AND greatest(fl, gl) >= 2 * least(fl, gl) GROUP BY 1),
+t AS (SELECT model, n, quality, ratio, norm_mean, norm_std, used, coalesce(every / nullif(k * (k - 1), 0), 0) AS similarity, coalesce(coherence, 0) AS coherence, coalesce(semantic, 0) AS semantic, coalesce(length, 0) AS length, coalesce(inside / nullif(inside_pairs, 0), 0) - coalesce((every - inside) / nullif(k * (k - 1) - inside_pairs, 0), 0) AS separation FROM a JOIN w USING (model) JOIN i USING (model) LEFT JOIN c USING (model) LEFT JOIN m USING (model) LEFT JOIN h USING (model))
+SELECT model, n, round(quality, 6) AS quality, round(ratio, 6) AS ratio, round(norm_mean, 6) AS norm_mean, round(norm_std, 6) AS norm_std, round(used, 6) AS used, round(similarity, 6) AS similarity, round(coherence, 6) AS coherence, round(semantic, 6) AS semantic, round(length, 6) AS length, round(separation, 6) AS separation,
+ round(greatest(0, least(1, 0.3::double * greatest(0, least(1, quality)) + 0.4::double * greatest(0, least(1, ((1 - least(norm_std, 0.5::double)) + used + (1 - abs(greatest(-1, least(1, similarity))))) / 3)) + 0.3::double * greatest(0, least(1, (least(ratio / 0.3::double, 1) + (greatest(-1, least(1, coherence)) + 1) / 2) / 2)))), 6) AS overall,
+ round(0.2::double * least(ratio / 0.8::double, 1) + 0.25::double * greatest(0, 1 - abs(norm_mean - 1)) * greatest(0, 1 - norm_std) + 0.25::double * least(greatest(semantic, 0), 1) + 0.15::double * least(greatest(length, 0), 1) + 0.15::double * least(greatest(separation, 0) / 0.2::double, 1), 3) AS chinese
+FROM t
+"""
 ORACLES = {
     "benchmark_summary": "WITH s AS (SELECT event_type, list_sort(list(value)) AS x, count(*) AS n, avg(value) AS m, sum(value) AS t FROM events GROUP BY 1), q AS (SELECT *, greatest(1, least(floor((n + 1) * 0.5), n - 1))::int AS c, greatest(1, least(floor((n + 1) * 0.95), n - 1))::int AS a, greatest(1, least(floor((n + 1) * 0.99), n - 1))::int AS b FROM s) SELECT event_type, n AS runs, round(m, 6) AS mean, x[1] AS fastest, x[-1] AS slowest, round(n / t, 6) AS throughput, round(x[c] * (1 - ((n + 1) * 0.5 - c)) + x[c + 1] * ((n + 1) * 0.5 - c), 6) AS median, round(x[a] * (1 - ((n + 1) * 0.95 - a)) + x[a + 1] * ((n + 1) * 0.95 - a), 6) AS p95, round(x[b] * (1 - ((n + 1) * 0.99 - b)) + x[b + 1] * ((n + 1) * 0.99 - b), 6) AS p99 FROM q",
     "error_rollup": f"SELECT category, severity, sum(n)::bigint AS errors, count(*) AS unique_errors FROM (SELECT *, error_hash[1:1] AS category, CASE WHEN n % 2 = 0 THEN 'high' ELSE 'low' END AS severity FROM {_G}) GROUP BY GROUPING SETS ((category), (severity))",
@@ -158,7 +183,7 @@ ORACLES = {
     "pair_consistency": f"WITH u AS MATERIALIZED {_U} SELECT count(*) AS n, round(avg(c), 6) AS mean, round(stddev_pop(c), 6) AS std FROM (SELECT list_dot_product(a.u, b.u) AS c FROM u a JOIN u b ON b.vec_id = a.vec_id + 1)",
     "similarity_matrix": f"WITH u AS MATERIALIZED (SELECT * FROM {_U} WHERE vec_id < 6) SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.u, b.u), 6) AS cosine FROM u a, u b",
     "chinese_metrics": "WITH t AS MATERIALIZED (SELECT vec_id, embedding::double[] AS v, CASE WHEN vec_id % 3 = 0 THEN '中文文本' || substring(text, 1, 5) ELSE text END AS text FROM embeddings JOIN documents ON doc_id = vec_id), r AS (SELECT *, len(regexp_extract_all(text, '[一-鿿]')) / length(text) AS share FROM t WHERE text <> ''), c AS MATERIALIZED (SELECT * FROM r WHERE share >= 0.3) SELECT count(*) AS texts, count(*) FILTER (share >= 0.3) AS chinese, round(avg(share), 6) AS ratio_mean, round(stddev_pop(share), 6) AS ratio_std, round(avg(length(text)), 6) AS mean_length, round(avg(len(regexp_extract_all(text, '[a-zA-Z0-9]+|[一-鿿]'))), 6) AS mean_words, (SELECT round(coalesce(avg(list_dot_product(a.v, b.v)), 0), 6) FROM c a JOIN c b ON a.vec_id <> b.vec_id) AS coherence FROM r",
-    "quality_scores": "SELECT event_id, round(greatest(0, least(1, 0.3::double * greatest(0, least(1, value / 80)) + 0.4::double * greatest(0, least(1, ((1 - least(value / 50, 0.5::double)) + user_id / 100 + (1 - abs(greatest(-1, least(1, value / 40 - 1))))) / 3)) + 0.3::double * greatest(0, least(1, (least(value / 200 / 0.3::double, 1) + (greatest(-1, least(1, value / 90)) + 1) / 2) / 2)))), 6) AS overall, round(0.2::double * least(value / 100 / 0.8::double, 1) + 0.25::double * (greatest(0, 1 - abs(value / 60 - 1)) * greatest(0, 1 - user_id / 120)) + 0.25::double * least(greatest(value / 70 - 0.2::double, 0), 1) + 0.15::double * least(greatest(value / 90, 0), 1) + 0.15::double * least(greatest(value / 300 - 0.1::double, 0) / 0.2::double, 1), 3) AS chinese FROM events",
+    "quality_scores": QUALITY_SQL,
     "field_scores": f"SELECT doc_id, round({_field(['license', 'o', 'web'], [2.0, 1.0, 1.0])}, 6) AS score FROM documents",
     "sparse_terms": "SELECT p_partkey, array_to_string(list_transform(list_sort([{'w': -p_size * 1.0::double, 't': p_type}, {'w': -20.0::double, 't': 'zz'}, {'w': -(p_partkey % 40) * 1.0::double, 't': p_brand}])[1:2], lambda x: x.t), ',') AS terms FROM part",
     "strict_entities": "SELECT id, name, 'ORG' AS type, concat_ws(',', CASE WHEN name = '' THEN 'name' END, CASE WHEN c > 1 THEN 'confidence' END) AS broken FROM (SELECT s_suppkey::varchar AS id, CASE WHEN s_suppkey % 6 = 0 THEN '' ELSE s_name END AS name, s_suppkey % 13 / 10 AS c FROM supplier)",
