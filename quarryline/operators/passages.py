@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -9,7 +10,14 @@ from pyspark.sql import Window as W
 from .text import CJK, PATTERNS, STOP_WORDS, clean, sentences, words
 
 # Family names and patterns that results depend on.
-SURNAMES = "王李張劉陳楊趙黃周吳徐孫胡朱高林何郭馬羅梁宋鄭謝韓唐馮于董蕭程柴袁鄧許傅沈曾彭呂"
+SURNAMES = [
+    "王", "李", "張", "劉", "陳", "楊", "趙", "黃", "周", "吳", "徐", "孫", "胡", "朱", "高", "林", "何", "郭", "馬", "羅", "梁", "宋", "鄭", "謝", "韓", "唐", "馮", "于", "董", "蕭",
+    "程", "柴", "袁", "鄧", "許", "傅", "沈", "曾", "彭", "呂",
+]
+NOT_ENTITIES = [
+    "可以", "應該", "需要", "必須", "能夠", "想要", "希望", "建議", "重要", "必要", "有效", "成功",
+    "失敗", "困難", "簡單", "複雜", "進行", "實施", "執行", "完成", "開始", "結束", "繼續", "停止",
+]
 NAME_PATTERNS = ["[一-龯]{2,3}(?=姓|的|是|在|有|和|與)", "[一-龯]{2}(?=先生|女士|老師|經理|主任)"]
 CALLED_PATTERNS = ["([一-龯]{2,3})姓(?:什麼|甚麼|\\?)", "叫([一-龯]{2,3})", "名叫([一-龯]{2,3})", "稱為([一-龯]{2,3})"]
 COPYRIGHT_WORDS = ["copyright", "©", "版權", "著作權", "confidential", "機密"]
@@ -18,6 +26,8 @@ PAGE_MARKS = [r"(?i)第\s*\d+\s*頁", r"(?i)Page\s*\d+", r"\d+\s*/\s*\d+", r"-\s
 CLOSING_MARKS = [r"(?i)copyright\s*©?\s*\d{4}.*", r"(?i)©\s*\d{4}.*", r"(?i)版權所有.*", r"(?i)著作權.*", r"(?i)confidential.*", r"(?i)機密.*"]
 
 _SPACE = r"(?U)\s+"
+#: The same characters, for what is cut in Python.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def stripped(text: Column) -> Column:
@@ -29,27 +39,29 @@ def normalized_punctuation(text: Column) -> Column:
     return F.regexp_replace(F.translate(text, "“”‘’－", "\"\"''—"), r"\.{3,}", "…")
 
 
+def cut_windows(text: str | None, size: int, overlap: int) -> list[str]:
+    """See `window_chunks`: one pass forward, each character read a few times whatever the text's length."""
+    chunks, start, n = [], 0, len(text or "")
+    while start < n:
+        stop = text.rfind("。", start, start + size) - start
+        end = start + stop + 1 if start + size < n and stop > size // 2 else start + size
+        chunk = text[start:end].strip(WHITE_SPACE)
+        if chunk:
+            chunks.append(chunk)
+        start = max(start + 1, end - overlap)
+    return chunks
+
+
 def window_chunks(text: Column, size: int = 1000, overlap: int = 200) -> Column:
     """Chunks of `size` characters, each cut after its last Chinese full stop if that is beyond its half, the next one
     beginning `overlap` characters before its end; the last chunk may lie within the one before. Blank chunks are left out,
     a null or empty text has none."""
-    n = F.length(text)
-    least_step = max(1, min(size, size // 2 + 1) - overlap)
-
-    def add(state: Column, _: Column) -> Column:
-        start = state["start"]
-        piece = F.substr(text, start + 1, F.lit(size))
-        back = F.instr(F.reverse(piece), "。")
-        stop = F.when(back > 0, F.length(piece) - back).otherwise(-1)
-        cut = (start + size < n) & (stop > size // 2)
-        end = F.when(cut, start + stop + 1).otherwise(start + size)
-        chunk = stripped(F.when(cut, F.substr(piece, F.lit(1), stop + 1)).otherwise(piece))
-        more = (start < n) & (chunk != "")
-        return F.struct(F.when(start < n, F.greatest(start + 1, end - overlap)).otherwise(start).alias("start"), F.when(more, F.array_append(state["done"], chunk)).otherwise(state["done"]).alias("done"))
-
-    empty = F.struct(F.lit(0).alias("start"), F.array().cast("array<string>").alias("done"))
-    steps = F.sequence(F.lit(0), F.floor(n / least_step).cast("int"))
-    return F.when(n > 0, F.aggregate(steps, empty, add, lambda s: s["done"])).otherwise(F.array().cast("array<string>"))
+
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: cut_windows(t, size, overlap))
+
+    return cut(text)
 
 
 def sentence_chunks(text: Column, size: int = 1000, overlap: int = 200) -> Column:

@@ -25,20 +25,19 @@ INTENTS = {
     "problem_solving": ["解決|處理|應對|克服", "問題|困難|挑戰|障礙", "方法|辦法|措施|對策"],
     "planning": ["計劃|規劃|安排|組織", "如何實施|怎麼執行|步驟", "流程|程序|順序|階段"],
 }
-# The suffixes of names, and how many characters stand before them at most.
-SUFFIXES = {
-    "person": "先生|女士|教授|博士|主任|經理|總監|董事|局長|部長",
-    "organization": "公司|企業|機構|組織|部門|學校|大學|研究所|協會|基金會",
-    "location": "市|縣|區|省|國|地區|城市|鄉|鎮|村|街道",
-    "product": "系統|平台|軟體|應用|工具|服務|產品|技術",
-    "concept": "概念|理論|方法|模型|框架|標準|規範|原則",
+# What names of persons, organizations, places, products and concepts look like.
+NAMES = {
+    "person": "[一-鿿]{2,4}(?:先生|女士|教授|博士|主任|經理|總監|董事|局長|部長)",
+    "organization": "[一-鿿]{2,15}(?:公司|企業|機構|組織|部門|學校|大學|研究所|協會|基金會)",
+    "location": "[一-鿿]{2,10}(?:市|縣|區|省|國|地區|城市|鄉|鎮|村|街道)",
+    "product": "[一-鿿]{2,10}(?:系統|平台|軟體|應用|工具|服務|產品|技術)",
+    "concept": "[一-鿿]{2,8}(?:概念|理論|方法|模型|框架|標準|規範|原則)",
 }
-LONGEST = {"person": 4, "organization": 15, "location": 10, "product": 10, "concept": 8}
 
 
 def entities(text: Column) -> Column:
     """Names that end like persons, organizations, places, products or concepts, each once."""
-    found = [F.regexp_extract_all(text, F.lit(rf"[一-鿿]{{2,{LONGEST[k]}}}(?:{s})"), F.lit(0)) for k, s in SUFFIXES.items()]
+    found = [F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in NAMES.values()]
     return F.array_distinct(F.concat(*found))
 
 

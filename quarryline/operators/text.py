@@ -13,8 +13,13 @@ from pyspark.sql import Window as W
 CJK = r"一-鿿"
 KEPT = r"一-鿿㐀-䶿豈-﫿a-zA-Z0-9\s，。！？；：「」『』（）【】《》〈〉、…—－·‧"
 CHINESE_PUNCTUATION = r"[，。！？；：「」『』（）【】《》〈〉、…—－·‧]"
-STOP_WORDS = "the a an and or but in on at to for of with by is are was were be been being have has had do does did will would could should may might must can this that these those".split()
-COHERENCE_WORDS = "但是 然而 因此 所以 而且 並且 另外 此外 首先 其次 最後 總之".split()
+STOP_WORDS = [
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "is", "are", "was", "were", "be", "been", "being", "have",
+    "has", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might", "must", "can", "this", "that", "these", "those",
+]
+COHERENCE_WORDS = [
+    "但是", "然而", "因此", "所以", "而且", "並且", "另外", "此外", "首先", "其次", "最後", "總之",
+]
 PATTERNS = {
     "date": [r"\d{4}年\d{1,2}月\d{1,2}日", r"\d{4}-\d{1,2}-\d{1,2}", r"\d{4}/\d{1,2}/\d{1,2}", r"\d{1,2}月\d{1,2}日"],
     "time": [r"\d{1,2}:\d{2}:\d{2}", r"\d{1,2}:\d{2}", r"\d{1,2}點\d{1,2}分", r"上午|下午|中午|凌晨"],

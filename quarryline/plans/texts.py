@@ -78,7 +78,7 @@ def _types(table, bonus, default):
     return f"CASE WHEN list_max([{', '.join(rows)}]).score < 0.1 THEN {default} ELSE {{'kind': list_max([{', '.join(rows)}]).kind, 'confidence': least(list_max([{', '.join(rows)}]).score, 1.0::double)}} END"
 
 
-_ENT = " || ".join(f"regexp_extract_all(q, '[一-鿿]{{2,{Q.LONGEST[k]}}}(?:{v})')" for k, v in Q.SUFFIXES.items())
+_ENT = " || ".join(f"regexp_extract_all(q, '{p}')" for p in Q.NAMES.values())
 _told = lambda k, c: f"{{'kind': '{k}', 'confidence': {c}::double}}"
 ORACLES = {
     "text_clean": rf"SELECT doc_id, md5(regexp_replace(regexp_replace(translate(regexp_replace(regexp_replace(text, '{_SPACE}', ' ', 'g'), '[^{_KEPT}]', '', 'g'), '－', '—'), '，+', '，', 'g'), '^[ ，。！？；：]+|[ ，。！？；：]+$', '', 'g')) AS cleaned FROM documents",

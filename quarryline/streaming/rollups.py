@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -26,16 +26,77 @@ def polled_changes(seen: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFr
     return snapshot_changes(seen, found), found.select("path", "hash", "size")
 
 
-def pending_changes(changes: DataFrame, apply, checkpoint: str, failed: list | None = None):
-    """Micro-batches of change records given to `apply` one after the other; returns the running query. With a list
-    `failed`, a batch that raises is noted there as (batch, error) and the stream goes on."""
+class ChangeLog:
+    """What has become of each batch of changes, in storage: a ledger of (batch, attempt, state, error) and the rows of the
+    batches that failed. States are applied, failed and, after `most` attempts, dead; the last one of a batch holds."""
 
-    def one(df: DataFrame, n: int) -> None:
+    def __init__(self, spark: SparkSession, path: str, most: int = 3):
+        self.spark, self.path, self.most = spark, path.rstrip("/"), most
+
+    def _append(self, batch: int, attempt: int, state: str, error: str = "") -> None:
+        row = self.spark.createDataFrame([(batch, attempt, state, error)], "batch long, attempt int, state string, error string")
+        row.coalesce(1).write.mode("append").parquet(f"{self.path}/ledger")
+
+    def ledger(self) -> DataFrame:
+        """The last state of each batch."""
+        schema = "batch long, attempt int, state string, error string"
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/ledger")
+        if not where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+            return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(schema).parquet(f"{self.path}/ledger")
+        order = F.struct("attempt", (F.col("state") != "failed").alias("last"))
+        return rows.groupBy("batch").agg(F.max_by(F.struct("attempt", "state", "error"), order).alias("s")).select("batch", "s.*")
+
+    def failed_rows(self, batch: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/failed/batch={batch}")
+
+    def dead(self) -> DataFrame:
+        """Batches that are given up, with their errors; their rows stay readable by `failed_rows`."""
+        return self.ledger().where("state = 'dead'").select("batch", "attempt", "error")
+
+    def tried(self, apply, rows: DataFrame, batch: int, attempt: int) -> None:
+        """Apply a batch and note what came of it. The rows of one that fails are written before that is noted."""
         try:
-            apply(df.where("NOT processed"))
-        except Exception as error:
-            if failed is None:
-                raise
-            failed.append((n, str(error)))
+            apply(rows, batch)
+        except Exception as error:  # whatever it is, the batch is kept and comes again
+            if attempt == 1:
+                rows.write.mode("overwrite").parquet(f"{self.path}/failed/batch={batch}")
+            self._append(batch, attempt, "failed" if attempt < self.most else "dead", str(error)[:2000])
+        else:
+            self._append(batch, attempt, "applied")
+
+    def retried(self, apply) -> None:
+        """Try the batches that have failed again, the oldest first."""
+        for r in self.ledger().where("state = 'failed'").orderBy("batch").collect():  # open batches
+            self.tried(apply, self.failed_rows(r["batch"]), r["batch"], r["attempt"] + 1)
+
+
+def pending_changes(changes: DataFrame, apply, checkpoint: str, log: str | None = None, most: int = 3):
+    """Micro-batches of change records that aren't processed given to `apply(rows, batch)`, one after the other; returns the
+    running query.
+
+    A change is never lost: a batch that fails is kept with its rows in the change log (folder `log`, by default beside the
+    checkpoint) and tried again before each later batch and at each start, `most` times in all, after which it is listed as
+    dead. It is applied once: the log, which the batch's number is the key of, tells a restarted query what is done. If the
+    driver is lost after `apply` and before its note, the batch comes again with its number, by which `apply` can write
+    idempotently (`into_batches` does).
+    """
+    kept = ChangeLog(changes.sparkSession, log or f"{checkpoint.rstrip('/')}-log", most)
+    kept.retried(apply)
+
+    def one(rows: DataFrame, batch: int) -> None:
+        if kept.ledger().where(F.col("batch") == batch).take(1):
+            return
+        kept.retried(apply)
+        kept.tried(apply, rows.where("NOT coalesce(processed, false)"), batch, 1)
 
     return changes.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def into_batches(path: str):
+    """An `apply` that writes each batch to a folder of its number, over what an interrupted attempt has left there."""
+
+    def apply(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch}")
+
+    return apply

@@ -146,20 +146,9 @@ def test_batch_search_as_brute_force(spark):
         assert sorted(found) == [(k + 1, i, d) for k, (d, i) in enumerate(far)]
 
 
-def test_streamed_changes(spark, tmp_path):
+def test_polled_changes(spark):
     from quarryline.streaming import rollups
 
-    schema = "change_id int, processed boolean"
-    spark.createDataFrame([(1, False), (2, True)], schema).write.parquet(str(tmp_path / "in"))
-    seen, failed = [], []
-    rollups.pending_changes(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), lambda df: seen.extend(r.change_id for r in df.collect()), str(tmp_path / "a")).awaitTermination()
-    assert seen == [1]
-
-    def broken(df):
-        raise ValueError("no")
-
-    rollups.pending_changes(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), broken, str(tmp_path / "b"), failed).awaitTermination()
-    assert failed == [(0, "no")]
     old = spark.createDataFrame([("a", "1", 1)], "path string, hash string, size int")
     changes, state = rollups.polled_changes(old, spark.createDataFrame([("b", "2", 1)], "path string, hash string, size int"))
     assert {r.change for r in changes.collect()} == {"added", "deleted"} and state.count() == 1
