@@ -8,10 +8,12 @@ from pyspark.sql import Window as W
 
 
 def snapshot_changes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Added, modified (by hash or by size) and deleted paths of two snapshots (path, hash, size): (change_id, path, change)."""
-    a, b = old.select("path", F.col("hash").alias("old_hash"), F.col("size").alias("old_size")), new.select("path", "hash", "size")
+    """Added, modified (by hash or by size) and deleted paths of two snapshots (path, hash, size): (change_id, path, change). A
+    hash or size that is unknown in one of them only counts as modified."""
+    a = old.select("path", F.struct("hash", "size").alias("before"))
+    b = new.select("path", F.struct("hash", "size").alias("after"))
     both = a.join(b, "path", "full_outer")
-    change = F.when(F.col("old_hash").isNull(), "added").when(F.col("hash").isNull(), "deleted").when((F.col("hash") != F.col("old_hash")) | (F.col("size") != F.col("old_size")), "modified")
+    change = F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "deleted").when(~F.col("before").eqNullSafe(F.col("after")), "modified")
     rows = both.select("path", change.alias("change")).where(F.col("change").isNotNull())
     return rows.select(F.concat(F.substring("change", 1, 3), F.lit("_"), F.substring(F.md5("path"), 1, 8)).alias("change_id"), "path", "change")
 
@@ -30,8 +32,11 @@ def issue_counts(issues: DataFrame) -> DataFrame:
 
 
 def upserted(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """The table with the changes put in: rows of equal key are replaced, of several changes the last by `ord` counts."""
-    last = changes.withColumn("__place", F.row_number().over(W.partitionBy(key).orderBy(F.desc("ord")))).where("__place = 1").drop("__place", "ord")
+    """The table with the changes put in: rows of equal key are replaced, of several changes the last by `ord` counts, and of
+    those with one `ord` the largest by the other columns in order."""
+    others = [c for c in changes.columns if c not in (key, "ord")]
+    best = changes.groupBy(key).agg(F.max(F.struct("ord", *others)).alias("c"))
+    last = best.select(key, *[F.col("c")[c].alias(c) for c in others])
     return table.join(last, key, "left_anti").unionByName(last.select(*table.columns))
 
 

@@ -60,10 +60,22 @@ def tiered_alerts(records: DataFrame, value: str, tiers: dict[str, float]) -> Da
     return records.select("event_id", F.col(value), level.alias("severity")).where(F.col("severity").isNotNull())
 
 
-def running_counter(records: DataFrame, *labels: str) -> DataFrame:
-    """The cumulative sum of each counter."""
-    frame = W.partitionBy(*labels).orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
-    return records.select("event_id", *labels, F.round(F.sum("value").over(frame), 3).alias("counter"))
+def running_counter(records: DataFrame, *labels: str, width: float = 86_400.0) -> DataFrame:
+    """The cumulative sum of each counter, in the order of time and id.
+
+    The records of a counter are summed up by stretches of `width` seconds, a scan over the stretches says what each begins
+    with, and within a stretch the records are added to that: no task holds more of a counter than one stretch of it and
+    one row for each stretch. Records without a time come first.
+    """
+    keys = [*labels, "__stretch"]
+    rows = records.withColumn("__stretch", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (width * 1e6)))
+    sums = rows.groupBy(*keys).agg(F.sum("value").alias("__sum"))
+    so_far = W.partitionBy(*labels).orderBy("__stretch").rowsBetween(W.unboundedPreceding, -1)
+    begun = sums.select(*[F.col(k).alias(f"b_{k}") for k in keys], F.coalesce(F.sum("__sum").over(so_far), F.lit(0.0)).alias("__before"))
+    own = F.sum("value").over(W.partitionBy(*keys).orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0))
+    within = rows.select("event_id", *keys, F.coalesce(own, F.lit(0.0)).alias("__own"))
+    same = [F.col(k).eqNullSafe(F.col(f"b_{k}")) for k in keys]
+    return within.join(begun, same).select("event_id", *labels, F.round(F.col("__before") + F.col("__own"), 3).alias("counter"))
 
 
 def gauge(records: DataFrame, *labels: str) -> DataFrame:

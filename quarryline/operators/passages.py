@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -96,9 +98,10 @@ def first_segment(text: Column, size: int = 512) -> Column:
     return F.when(F.coalesce(F.trim(text), F.lit("")) == "", "").when(F.length(whole) <= size, whole).when(packed != "", packed).otherwise(F.substring(whole, 1, size))
 
 
-def segments(text: Column, stop_words: list[str] = STOP_WORDS) -> Column:
-    """Words of the cleaned text without stop words and single letters that aren't Chinese; the tokenizer is `words`."""
-    return F.filter(words(clean(text)), lambda w: ~F.lower(w).isin(stop_words) & ((F.length(w) > 1) | w.rlike(f"[{CJK}]")))
+def segments(text: Column, stop_words: list[str] = STOP_WORDS, tokenizer: Callable[[Column], Column] = words) -> Column:
+    """Words of the cleaned text without stop words and single letters that aren't Chinese, by `words` or a tokenizer that
+    knows the corpus's words (`segmentation.segmenter`)."""
+    return F.filter(tokenizer(clean(text)), lambda w: ~F.lower(w).isin(stop_words) & ((F.length(w) > 1) | w.rlike(f"[{CJK}]")))
 
 
 def question_keywords(text: Column, most: int = 10) -> Column:
@@ -139,11 +142,12 @@ def chinese_names(text: Column) -> Column:
     return F.filter(F.array_distinct(F.concat(*by_family, *called, *[all_(p) for p in NAME_PATTERNS])), lambda n: F.length(n).between(2, 4))
 
 
-def question_entities(text: Column, most: int = 15) -> Column:
-    """Entities of a question: by suffix, names of persons, then other words of two characters or more; `most` at most."""
+def question_entities(text: Column, most: int = 15, tokenizer: Callable[[Column], Column] = words) -> Column:
+    """Entities of a question: by suffix, names of persons, then other words of two characters or more that aren't numbers or
+    NOT_ENTITIES; `most` at most. Chinese words come from the tokenizer (see `segments`)."""
     from .questions import entities
 
-    tokens = F.array_sort(F.filter(words(text), lambda w: (F.length(w) >= 2) & ~w.rlike(r"^[\d.,]+$")))
+    tokens = F.array_sort(F.filter(tokenizer(text), lambda w: (F.length(w) >= 2) & ~w.isin(NOT_ENTITIES) & ~w.rlike(r"^[\d.,]+$")))
     surnames = F.regexp_extract_all(text, F.lit("([一-龯]{2,3})姓"), F.lit(1))
     return F.slice(F.array_distinct(F.concat(entities(text), chinese_names(text), tokens, surnames)), 1, most)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import passages as P
+from ..operators import segmentation as S
 from ..operators import text as T
 from ..session import load
 from .texts import _SPACE
@@ -21,6 +22,20 @@ def _lines(s, d):
     return _doc(s, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
 
 
+#: A Chinese character for each Latin letter, as the tables hold no Chinese.
+HAN = "天地人你我他大小上下左右日月水火木金土山川風雨雪花鳥"
+
+
+def _han(s, d):
+    """The names of all parts, letter by letter in Chinese and without blanks."""
+    return load(s, d, "part").select("p_partkey", F.translate(F.replace(F.lower("p_name"), F.lit(" "), F.lit("")), "abcdefghijklmnopqrstuvwxyz", HAN).alias("text"))
+
+
+def _segmented(s, d):
+    rows = _han(s, d)
+    return rows.select("p_partkey", F.array_join(P.segments(F.col("text"), tokenizer=S.segmenter(S.counted_words(rows, "text"))), " ").alias("words"))
+
+
 QUERIES = {
     "passage_windows": lambda s, d: _chunks(_stops(s, d), P.window_chunks(F.col("text"))),
     "passage_sentences": lambda s, d: _chunks(_stops(s, d), P.sentence_chunks(F.col("text"), 300, 60)),
@@ -41,6 +56,9 @@ QUERIES = {
     "question_suggestions": lambda s, d: load(s, d, "part").select("p_partkey", F.array_join(P.suggestions(F.col("p_name"), 3), "|").alias("questions")),
     "chinese_names": lambda s, d: load(s, d, "part").select("p_partkey", F.array_join(F.array_sort(P.chinese_names(F.when(F.col("p_size") % 2 == 0, "她叫阿寶").otherwise("張大同去"))), "|").alias("names")),
     "question_names": lambda s, d: load(s, d, "part").select("p_partkey", F.array_join(P.question_entities(F.concat(F.lit("微軟公司 "), "p_name")), "|").alias("entities")),
+    "word_dictionary": lambda s, d: S.counted_words(_han(s, d), "text"),
+    "segmented_names": lambda s, d: _segmented(s, d),
+    "segmented_questions": lambda s, d: _han(s, d).select("p_partkey", F.array_join(P.question_entities(F.concat(F.lit("可以進行"), "text"), tokenizer=S.segmenter(S.counted_words(_han(s, d), "text"))), "|").alias("entities")),
     "chinese_dominance": lambda s, d: load(s, d, "part").select("p_partkey", P.is_mostly_chinese(F.concat(F.repeat(F.lit("中文"), 3), "p_name")).alias("dominant")),
 }
 
@@ -97,6 +115,10 @@ ORACLES = {
     "question_suggestions": "SELECT p_partkey, p_name || '是什麼？|' || p_name || '如何運作？|' || p_name || '有哪些特點？' AS questions FROM part",
     "chinese_names": "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN '阿寶' ELSE '張大同' END AS names FROM part",
     "question_names": "SELECT p_partkey, array_to_string(['微軟公司'] || list_sort(list_distinct(string_split(p_name, ' '))), '|') AS entities FROM part",
+    "word_dictionary": f"""WITH t AS (SELECT translate(replace(lower(p_name), ' ', ''), 'abcdefghijklmnopqrstuvwxyz', '{HAN}') AS x FROM part), r AS (SELECT unnest(regexp_extract_all(x, '[一-鿿]+')) AS x FROM t),
+g AS MATERIALIZED (SELECT substring(x, i, k) AS word, count(*) AS n FROM (SELECT x, k, unnest(range(1, length(x) - k + 2)) AS i FROM r, range(1, 5) q(k)) GROUP BY 1), m AS (SELECT sum(n) AS total FROM g WHERE length(word) = 1),
+c AS (SELECT w.word, w.n, a.n AS na, b.n AS nb FROM (SELECT word, n, unnest(range(1, length(word))) AS k FROM g WHERE length(word) > 1 AND n >= 2) w JOIN g a ON a.word = substring(w.word, 1, k) JOIN g b ON b.word = substring(w.word, k + 1))
+SELECT word, n FROM g WHERE length(word) = 1 UNION ALL SELECT word, any_value(n) FROM c, m GROUP BY word HAVING bool_and(n * total >= 2 * na * nb)""",
     "chinese_dominance": "SELECT p_partkey, 6 / (6 + length(p_name)) >= 0.3 AS dominant FROM part",
 }
 # the first chunker, without overlap

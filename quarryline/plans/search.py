@@ -14,7 +14,10 @@ WORDS = ["the", "que", "und", "tion"]
 
 
 def _query(s, d, id_=0):
-    return list(_vec(s, d).where(F.col("vec_id") == id_).first()["embedding"])
+    found = _vec(s, d).where(F.col("vec_id") == id_).first()
+    if found is None:
+        raise ValueError(f"no vector has the id {id_}")
+    return list(found["embedding"])
 
 
 def _dense(s, d, k, id_=0, name="vec_id"):
