@@ -97,18 +97,33 @@ def timer_stats(records: DataFrame, key: str, last: int = 1000) -> DataFrame:
     return whole.join(recent.select(key, at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99")), key)
 
 
-def exclusive_quantiles(records: DataFrame, key: str, cuts: dict[str, float]) -> DataFrame:
-    """Quantiles at position p * (n + 1), interpolated, by rank: the two neighbours are picked from a window, so no group
-    is collected."""
-    up = W.partitionBy(key).orderBy("value", "event_id")
-    ranked = records.select(key, "value", F.row_number().over(up).alias("place"), F.count("*").over(W.partitionBy(key)).alias("n"))
-    out = []
-    for name, p in cuts.items():
-        place = F.col("n") + 1
-        low = F.greatest(F.lit(1), F.least(F.floor(place * p), F.col("n") - 1))
-        share = place * p - low
-        out.append(F.round(F.sum(F.when(F.col("place") == low, F.col("value") * (1 - share)).when(F.col("place") == low + 1, F.col("value") * share)), 6).alias(name))
-    return ranked.groupBy(key).agg(*out)
+def exclusive_quantiles(records: DataFrame, key: str, cuts: dict[str, float], bins: int = 1024) -> DataFrame:
+    """Quantiles at position p * (n + 1) of each key's values, interpolated; null values don't count.
+
+    They are selected by histogram: values are counted in `bins` ranges between a key's extremes, and only the ranges that
+    hold a place asked for are looked into, value by value with its count. So no group is sorted or held by one task, a key
+    of all rows included.
+    """
+    rows = records.select(F.col(key).alias("key"), F.col("value").cast("double").alias("value")).where("value IS NOT NULL")
+    ends = rows.groupBy("key").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count("*").alias("n"))
+    e = ends.select(F.col("key").alias("k"), "low", "high", "n")
+    share = F.coalesce(F.try_divide(F.col("value") - F.col("low"), F.col("high") - F.col("low")), F.lit(0.0))
+    dealt = rows.join(e, F.col("key").eqNullSafe(F.col("k"))).select("key", "value", "n", F.least(F.lit(bins - 1), F.floor(share * bins)).cast("int").alias("bin"))
+    counts = dealt.groupBy("key", "n", "bin").agg(F.count("*").alias("held"))
+    before = F.coalesce(F.sum("held").over(W.partitionBy("key").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    place = F.col("n") + 1
+    low = lambda p: F.greatest(F.lit(1), F.least(F.floor(place * p), F.col("n") - 1))
+    # a place has the value with at most place - 1 smaller ones
+    asked = F.array(*[F.struct(F.lit(name).alias("cut"), at.cast("long").alias("place"), part.alias("part")) for name, p in cuts.items() for at, part in ((low(p), 1 - (place * p - low(p))), (low(p) + 1, place * p - low(p)))])
+    bounds = counts.withColumn("before", before)
+    wanted = bounds.select("key", "bin", "before", "held", F.explode(asked).alias("a")).where((F.col("a.place") > F.col("before")) & (F.col("a.place") <= F.col("before") + F.col("held")))
+    spots = wanted.select(F.col("key").alias("k"), F.col("bin").alias("b"), "before", "a.cut", "a.place", "a.part")
+    ranges = spots.select("k", "b", "before").distinct()
+    near = dealt.join(ranges, F.col("key").eqNullSafe(F.col("k")) & (F.col("bin") == F.col("b"))).groupBy("key", "bin", "before", "value").agg(F.count("*").alias("same"))
+    upto = F.sum("same").over(W.partitionBy("key", "bin").orderBy("value").rowsBetween(W.unboundedPreceding, 0))
+    ranked = near.withColumn("last", F.col("before") + upto).select("key", "bin", "value", "last", (F.col("last") - F.col("same")).alias("first"))
+    found = ranked.join(spots, F.col("key").eqNullSafe(F.col("k")) & (F.col("bin") == F.col("b")) & (F.col("place") > F.col("first")) & (F.col("place") <= F.col("last")))
+    return found.groupBy(F.col("key").alias(key)).agg(*[F.round(F.sum(F.when(F.col("cut") == name, F.col("value") * F.col("part"))), 6).alias(name) for name in cuts])
 
 
 def trend(records: DataFrame, key: str, frame: int = 5, tolerance: float = 0.1) -> DataFrame:
@@ -224,3 +239,19 @@ def request_spikes(records: DataFrame, width: int = 300, times: float = 3.0) ->
     buckets = records.groupBy((F.floor(seconds("ts") / width) * width).cast("long").alias("start")).agg(F.count("*").alias("n"))
     mean = buckets.agg(F.avg("n").alias("mean"))
     return buckets.join(F.broadcast(mean), F.col("n") > times * F.col("mean")).select("start", "n")
+
+
+def monthly_costs(records: DataFrame, model: str, cost: str) -> DataFrame:
+    """Requests and cost of each calendar month and model, with the month's total and the model's share of it."""
+    by = records.groupBy(F.date_format("ts", "yyyy-MM").alias("month"), F.col(model).alias("model")).agg(F.count("*").alias("requests"), F.sum(cost).alias("cost"))
+    whole = by.groupBy("month").agg(F.sum("cost").alias("total"))  # a row for each month
+    m = F.col("month")
+    both = by.join(whole.withColumnRenamed("month", "of"), m.eqNullSafe(F.col("of")))
+    return both.select("month", "model", "requests", F.round("cost", 4).alias("cost"), F.round("total", 4).alias("total"), F.round(F.coalesce(F.try_divide(F.col("cost"), F.col("total")), F.lit(0.0)), 6).alias("share"))
+
+
+def counts_by_each(rows: DataFrame, *by: str) -> DataFrame:
+    """How many rows have each value of each of `by`, in one pass: (kind, value, n, place), the most frequent first."""
+    each = F.explode(F.array(*[F.struct(F.lit(b).alias("kind"), F.col(b).cast("string").alias("value")) for b in by]))
+    counts = rows.select(each.alias("e")).groupBy("e.kind", "e.value").agg(F.count("*").alias("n"))
+    return counts.withColumn("place", F.row_number().over(W.partitionBy("kind").orderBy(F.desc("n"), F.asc_nulls_first("value"))))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .text import CJK, PATTERNS, STOP_WORDS, clean, sentences, words
 
@@ -27,6 +28,8 @@ COMPANY_WORDS = ["公司", "Co.", "Ltd", "Inc"]
 PAGE_MARKS = [r"(?i)第\s*\d+\s*頁", r"(?i)Page\s*\d+", r"\d+\s*/\s*\d+", r"-\s*\d+\s*-", r"\[\s*\d+\s*\]", r"\d{4}[-/年]\d{1,2}[-/月]\d{1,2}[日]?", r"\d{1,2}[-/]\d{1,2}[-/]\d{4}"]
 CLOSING_MARKS = [r"(?i)copyright\s*©?\s*\d{4}.*", r"(?i)©\s*\d{4}.*", r"(?i)版權所有.*", r"(?i)著作權.*", r"(?i)confidential.*", r"(?i)機密.*"]
 
+#: Spans that a task emits at once.
+SPANS = 50_000
 _SPACE = r"(?U)\s+"
 #: The same characters, for what is cut in Python.
 WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -110,19 +113,28 @@ def question_keywords(text: Column, most: int = 10) -> Column:
 
 
 def pattern_spans(docs: DataFrame, id_: str, text: str, patterns: dict[str, list[str]] = PATTERNS) -> DataFrame:
-    """Matches of all patterns with their places: (id, kind, match, start, end), ends excluded. Every pattern of a kind
-    counts by itself. A match begins after all pieces and matches before it, which a running sum in each text tells."""
-    rows = docs.select(F.monotonically_increasing_id().alias("__row"), id_, F.col(text).alias("__text"))
+    """Matches of all patterns with their places: (id, kind, match, start, end), ends excluded. Every pattern of a kind counts
+    by itself. The table is read once, and each text is searched for all patterns where it is read; a null text has none."""
     listed = [(kind, p) for kind, ps in patterns.items() for p in ps]
-    parts = None
-    for n, (kind, p) in enumerate(listed):
-        found = F.regexp_extract_all("__text", F.lit(p), F.lit(0))
-        pairs = F.zip_with(found, F.slice(F.split("__text", p, -1), 1, F.size(found)), lambda m, b: F.struct(m.alias("match"), F.length(b).alias("gap")))
-        one = rows.select("__row", id_, F.lit(n).alias("__n"), F.lit(kind).alias("kind"), F.posexplode(pairs).alias("__pos", "m")).select("__row", id_, "__n", "kind", "__pos", "m.match", F.col("m.gap").alias("__gap"))
-        parts = one if parts is None else parts.unionByName(one)
-    frame = W.partitionBy("__row", "__n").orderBy("__pos").rowsBetween(W.unboundedPreceding, 0)
-    end = F.sum(F.length("match") + F.col("__gap")).over(frame).cast("int")
-    return parts.withColumn("end", end).select(id_, "kind", "match", (F.col("end") - F.length("match")).alias("start"), "end")
+    kind_of_id = docs.schema[id_].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        searched = [(kind, re.compile(p, re.ASCII)) for kind, p in listed]  # classes are of ASCII, as in the JVM
+        for batch in batches:
+            at, kinds, found, starts, ends = [], [], [], [], []
+            for n, value in enumerate(batch.column(1)):
+                for kind, pattern in searched if value.is_valid else ():
+                    for m in pattern.finditer(value.as_py()):
+                        at.append(n)
+                        kinds.append(kind)
+                        found.append(m[0])
+                        starts.append(m.start())
+                        ends.append(m.end())
+                if len(at) >= SPANS or n + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(kinds, pa.string()), pa.array(found, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], [id_, "kind", "match", "start", "end"])
+                    at, kinds, found, starts, ends = [], [], [], [], []
+
+    return docs.select(id_, F.col(text).alias("__text")).mapInArrow(run, f"`{id_}` {kind_of_id}, kind string, match string, start int, end int")
 
 
 def entity_candidates(docs: DataFrame, id_: str, text: str, least: float = 0.6) -> DataFrame:

@@ -23,6 +23,8 @@ QUERIES = {
     "histogram_bins": lambda s, d: M.histogram(_ev(s, d), 10.0, "event_type"),
     "timer_stats": lambda s, d: M.timer_stats(_ev(s, d), "event_type"),
     "exclusive_quantiles": lambda s, d: M.exclusive_quantiles(_ev(s, d), "event_type", {"p95": 0.95, "p99": 0.99, "median": 0.5}),
+    "monthly_costs": lambda s, d: M.monthly_costs(_ev(s, d), "event_type", "value"),
+    "counts_by_each": lambda s, d: M.counts_by_each(load(s, d, "documents"), "source", "lang"),
     "trend_classes": lambda s, d: M.trend(_ev(s, d), "user_id"),
     "batch_trend_classes": lambda s, d: M.trend(_ev(s, d), "event_type", 5, 0.05),
     "error_groups": lambda s, d: M.error_groups(_ev(s, d).where("event_type = 'error'"), "event_type", "user_id"),
@@ -57,6 +59,8 @@ ORACLES = {
     "histogram_bins": "SELECT event_type, floor(value / 10)::bigint AS bin, count(*) AS n FROM events GROUP BY 1, 2",
     "timer_stats": "WITH r AS (SELECT event_type, list_sort(list(value)) AS x FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS place FROM events) WHERE place <= 1000 GROUP BY 1) SELECT event_type, n, least, most, mean, x[floor(len(x) * 0.5)::int + 1] AS p50, x[floor(len(x) * 0.95)::int + 1] AS p95, x[floor(len(x) * 0.99)::int + 1] AS p99 FROM (SELECT event_type, count(*) AS n, min(value) AS least, max(value) AS most, round(avg(value), 6) AS mean FROM events GROUP BY 1) JOIN r USING (event_type)",
     "exclusive_quantiles": "WITH s AS (SELECT event_type, list_sort(list(value)) AS x, count(*) AS n FROM events GROUP BY 1), p AS (SELECT *, greatest(1, least(floor((n + 1) * 0.95), n - 1)) AS a, greatest(1, least(floor((n + 1) * 0.99), n - 1)) AS b, greatest(1, least(floor((n + 1) * 0.5), n - 1)) AS c FROM s) SELECT event_type, round(x[a::int] * (1 - ((n + 1) * 0.95 - a)) + x[a::int + 1] * ((n + 1) * 0.95 - a), 6) AS p95, round(x[b::int] * (1 - ((n + 1) * 0.99 - b)) + x[b::int + 1] * ((n + 1) * 0.99 - b), 6) AS p99, round(x[c::int] * (1 - ((n + 1) * 0.5 - c)) + x[c::int + 1] * ((n + 1) * 0.5 - c), 6) AS median FROM p",
+    "monthly_costs": "SELECT month, event_type AS model, requests, round(cost, 4) AS cost, round(total, 4) AS total, round(cost / total, 6) AS share FROM (SELECT strftime(ts, '%Y-%m') AS month, event_type, count(*) AS requests, sum(value) AS cost, sum(sum(value)) OVER (PARTITION BY strftime(ts, '%Y-%m')) AS total FROM events GROUP BY 1, 2)",
+    "counts_by_each": "SELECT kind, value, n, (row_number() OVER (PARTITION BY kind ORDER BY n DESC, value NULLS FIRST))::int AS place FROM (SELECT 'source' AS kind, source AS value, count(*) AS n FROM documents GROUP BY 2 UNION ALL SELECT 'lang', lang, count(*) FROM documents GROUP BY 2)",
     "error_groups": f"SELECT {_GROUP} AS error_hash, count(*) AS n, floor(epoch(max(ts)))::bigint AS last_seen FROM events WHERE event_type = 'error' GROUP BY 1",
     "error_threshold_alerts": f"SELECT * FROM (SELECT *, CASE WHEN n % 2 = 0 THEN 'high' ELSE 'low' END AS severity FROM (SELECT {_GROUP} AS error_hash, count(*) AS n, floor(epoch(max(ts)))::bigint AS last_seen FROM events GROUP BY 1)) WHERE n >= CASE severity WHEN 'high' THEN 5 ELSE 50 END",
     "error_retention": f"SELECT {_GROUP} AS error_hash, count(*) AS n, floor(epoch(max(ts)))::bigint AS last_seen FROM events GROUP BY 1 HAVING last_seen >= 1704067200 + 86400 * 14 ORDER BY last_seen DESC, error_hash LIMIT 100",

@@ -62,3 +62,18 @@ def test_counter_of_one_key(spark):
         total += v or 0.0
         want[i] = round(total, 3)
     assert got == want
+
+
+def test_quantiles_of_one_key(spark):
+    """By histogram as by sorting: one key of all rows, equal values, few rows, nulls, extremes far apart."""
+    rng = random.Random(4)
+    groups = {"hot": [rng.choice([1.0, 2.0, 2.0, 1e9, -5.0, rng.random()]) for _ in range(500)], "same": [3.0] * 40, "two": [1.0, 2.0], None: [4.0, 1.0, 9.0]}
+    rows = [(k, v) for k, vs in groups.items() for v in vs] + [("hot", None), ("none", None)]
+    cuts = {"p50": 0.5, "p95": 0.95, "p01": 0.01}
+    got = {r["kind"]: [r[c] for c in cuts] for r in metrics.exclusive_quantiles(spark.createDataFrame(rows, "kind string, value double").repartition(3), "kind", cuts).collect()}
+    want = {}
+    for k, vs in groups.items():
+        x, n = sorted(vs), len(vs)
+        low = [max(1, min(int((n + 1) * p), n - 1)) for p in cuts.values()]
+        want[k] = [round(x[a - 1] * (1 - ((n + 1) * p - a)) + x[a] * ((n + 1) * p - a), 6) for a, p in zip(low, cuts.values(), strict=True)]
+    assert {k: [round(x, 4) for x in v] for k, v in got.items()} == {k: [round(x, 4) for x in v] for k, v in want.items()}
