@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..operators import quantized as Z
 from ..operators import vectors as O
 from ..session import load
 
@@ -34,11 +35,22 @@ def multi_vector(s, d, method):
     return O.fused(lists, "vec_id", 10, method).select("vec_id", F.round("score", 6).alias("score"), F.round("similarity", 6).alias("similarity"), "lists")
 
 
+def _quantized(s, d, exact):
+    """The ten nearest of every vector whose id is divisible by 50, by the index of all vectors. These vectors lie about
+    evenly in their space, so the approximate search looks into nine cells of ten."""
+    v = _vec(s, d)
+    q = Z.fitted(v)
+    asked = v.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    return Z.search(v, Z.index(v, q), q, asked, 10, probes=-(-9 * len(q.centres) // 10), refine=20, exact=exact).select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", F.round("distance", 6).alias("distance"))
+
+
 QUERIES = {
     "dense_topk": lambda s, d: _dense(s, d, 10).select("vec_id", F.round("distance", 6).alias("distance"), F.round("similarity", 6).alias("similarity")),
     "semantic_topk": lambda s, d: O.semantic_search(_vec(s, d), lambda text: F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.ascii(F.substr(text, i % F.length(text) + 1, F.lit(1))) / 1000 - 0.1), "which vectors are near", 10).select("vec_id", F.round("distance", 6).alias("distance")),
     "dense_topk_filtered": lambda s, d: O.dense_search(_vec(s, d), _query(s, d), 10, F.col("label").isin(1, 2, 3)).select("vec_id", F.round("distance", 6).alias("distance")),
     "batch_topk": lambda s, d: O.batch_search(_vec(s, d), _vec(s, d).where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), 10).select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", F.round("distance", 6).alias("distance")),
+    "quantized_topk": lambda s, d: _quantized(s, d, False),
+    "quantized_exact_topk": lambda s, d: _quantized(s, d, True),
     "keyword_topk": lambda s, d: O.keyword_search(_doc(s, d), "doc_id", "text", ["benchmark", "license", "gewbe", "password"], 20).select("doc_id", F.round("similarity", 6).alias("similarity")),
     "keyword_scores": lambda s, d: _doc(s, d).select("doc_id", F.round(O.keyword_score(F.col("text"), ["license", "rights"], [2.0, 1.0]), 6).alias("score")),
     "hybrid_rrf": lambda s, d: hybrid(s, d),
@@ -96,3 +108,5 @@ ORACLES = {
     "vector_validation": "SELECT vec_id, CASE WHEN vec_id % 40 = 0 THEN 'no vector' ELSE 'dimension' END AS reason FROM embeddings WHERE vec_id % 40 = 0 OR vec_id % 41 = 0",
     "unit_vectors": "SELECT vec_id, round(sqrt(list_dot_product(u, u)), 6) AS norm, round(u[1], 6) AS first FROM (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM (SELECT vec_id, embedding::double[] AS v FROM embeddings))",
 }
+# the exact search has the result of measuring all; the other one is tested by its recall
+ORACLES["quantized_exact_topk"] = ORACLES["batch_topk"]
