@@ -18,6 +18,8 @@ def written(df: DataFrame) -> DataFrame:
     sc = spark.sparkContext
     top = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not top:  # a session that names no folder gets one beside its tables
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         sc.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints")
         top = sc.getCheckpointDir()
     path = f"{top}/graph-{uuid.uuid4().hex}"

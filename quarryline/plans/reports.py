@@ -10,6 +10,7 @@ from ..operators import metrics as M
 from ..operators import questions as Q
 from ..operators import reports as R
 from ..session import load
+from ..sources.files import parsed_graph
 
 _ev = lambda s, d: load(s, d, "events")
 _vec = lambda s, d: load(s, d, "embeddings")
@@ -51,6 +52,17 @@ def _metrics(s, d):
     return E.model_metrics(rows, _pairs(s, d), E.length_pairs(_pairs(s, d), rows))
 
 
+def _responses(s, d):
+    """An answer in JSON about each supplier, fenced for half of them, broken for every seventh."""
+    rows = load(s, d, "supplier").join(load(s, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    text = lambda c, name: c.cast("string").alias(name)
+    entities = F.array(F.struct(text(F.col("s_name"), "name"), F.lit("company").alias("type"), text(F.col("n_name"), "description")), F.struct(F.concat(F.lit(" "), "n_name").alias("name"), F.when(F.col("s_suppkey") % 3 > 0, "place").alias("type"), F.lit("").alias("description")))
+    relations = F.array(F.struct(text(F.col("s_name"), "source"), text(F.col("n_name"), "target"), F.lit("trades in").alias("description")), F.struct(text(F.col("n_name"), "source"), text(F.col("n_name"), "target"), F.lit("itself").alias("description")))
+    told = F.to_json(F.struct(entities.alias("entities"), relations.alias("relationships")))
+    fenced = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("```json\n"), told, F.lit("\n```"))).otherwise(told)
+    return rows.select("s_suppkey", F.when(F.col("s_suppkey") % 7 == 0, F.substring(fenced, 1, 40)).otherwise(fenced).alias("answer"))
+
+
 def _files(s, d):
     return _doc(s, d).select(F.concat("source", F.lit("/"), "doc_id").alias("path"), F.octet_length("text").alias("size"), F.md5("text").alias("hash"), "doc_id")
 
@@ -94,6 +106,8 @@ QUERIES = {
     "pair_consistency": lambda s, d: E.consistency(_pairs(s, d), _vec(s, d)),
     "similarity_matrix": lambda s, d: E.similarity_matrix(_vec(s, d), [0, 1, 2, 3, 4, 5]).withColumn("cosine", F.round("cosine", 6)),
     "chinese_metrics": lambda s, d: E.chinese_metrics(_vec(s, d).join(_doc(s, d), F.col("vec_id") == F.col("doc_id")).select("vec_id", F.when(F.col("vec_id") % 3 == 0, F.concat(F.lit("中文文本"), F.substring("text", 1, 5))).otherwise(F.col("text")).alias("text")), _vec(s, d)),
+    "parsed_entities": lambda s, d: parsed_graph(_responses(s, d), "s_suppkey", "answer")[0],
+    "parsed_relations": lambda s, d: parsed_graph(_responses(s, d), "s_suppkey", "answer")[1],
     "quality_scores": lambda s, d: E.model_scores(_metrics(s, d)),
     "field_scores": lambda s, d: _doc(s, d).select("doc_id", F.round(E.field_score([(F.col("text"), 1.0), (F.col("source"), 2.0)], ["license", "o", "web"], [2.0, 1.0, 1.0]), 6).alias("score")),
     "sparse_terms": lambda s, d: load(s, d, "part").select("p_partkey", F.array_join(E.sparse_terms(F.create_map("p_type", F.col("p_size") * 1.0, F.lit("zz"), F.lit(20.0), "p_brand", F.col("p_partkey") % 40 * 1.0), 2), ",").alias("terms")),
@@ -183,6 +197,8 @@ ORACLES = {
     "pair_consistency": f"WITH u AS MATERIALIZED {_U} SELECT count(*) AS n, round(avg(c), 6) AS mean, round(stddev_pop(c), 6) AS std FROM (SELECT list_dot_product(a.u, b.u) AS c FROM u a JOIN u b ON b.vec_id = a.vec_id + 1)",
     "similarity_matrix": f"WITH u AS MATERIALIZED (SELECT * FROM {_U} WHERE vec_id < 6) SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.u, b.u), 6) AS cosine FROM u a, u b",
     "chinese_metrics": "WITH t AS MATERIALIZED (SELECT vec_id, embedding::double[] AS v, CASE WHEN vec_id % 3 = 0 THEN '中文文本' || substring(text, 1, 5) ELSE text END AS text FROM embeddings JOIN documents ON doc_id = vec_id), r AS (SELECT *, len(regexp_extract_all(text, '[一-鿿]')) / length(text) AS share FROM t WHERE text <> ''), c AS MATERIALIZED (SELECT * FROM r WHERE share >= 0.3) SELECT count(*) AS texts, count(*) FILTER (share >= 0.3) AS chinese, round(avg(share), 6) AS ratio_mean, round(stddev_pop(share), 6) AS ratio_std, round(avg(length(text)), 6) AS mean_length, round(avg(len(regexp_extract_all(text, '[a-zA-Z0-9]+|[一-鿿]'))), 6) AS mean_words, (SELECT round(coalesce(avg(list_dot_product(a.v, b.v)), 0), 6) FROM c a JOIN c b ON a.vec_id <> b.vec_id) AS coherence FROM r",
+    "parsed_entities": "SELECT s_suppkey, s_name AS name, 'COMPANY' AS type, n_name AS description, 1.0::double AS rank FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey % 7 <> 0 UNION ALL SELECT s_suppkey, n_name, CASE WHEN s_suppkey % 3 > 0 THEN 'PLACE' ELSE 'UNKNOWN' END, '', 1 FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey % 7 <> 0",
+    "parsed_relations": "SELECT s_suppkey, s_name AS source, n_name AS target, 'trades in' AS description, 0.8::double AS weight, 'related_to' AS type FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey % 7 <> 0",
     "quality_scores": QUALITY_SQL,
     "field_scores": f"SELECT doc_id, round({_field(['license', 'o', 'web'], [2.0, 1.0, 1.0])}, 6) AS score FROM documents",
     "sparse_terms": "SELECT p_partkey, array_to_string(list_transform(list_sort([{'w': -p_size * 1.0::double, 't': p_type}, {'w': -20.0::double, 't': 'zz'}, {'w': -(p_partkey % 40) * 1.0::double, 't': p_brand}])[1:2], lambda x: x.t), ',') AS terms FROM part",
