@@ -165,11 +165,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, ordinary_
     ordinary = trained(plain, ORDINARY_BYTES)
     # words in turn, as neighbours that are the same would be trained as one long string
     toxic = trained([f" {w} ".encode() for k in range(50) for w, n in found if n > k], TOXIC_BYTES)
-    rows = measured(texts.where("part = 0").select(F.col("toxic").alias("doc_id"), "text"), ordinary, toxic).orderBy("doc_id", "x").collect()
+    rows = measured(texts.where("part = 0").select(F.col("toxic").alias("doc_id"), "text"), ordinary, toxic).collect()
     discard(texts, for_words)
     if not rows:
         return None
-    return calibrated(ordinary, toxic, np.array([r["x"] for r in rows]), np.array([float(r["doc_id"]) for r in rows]))
+    found = sorted((r["x"], float(r["doc_id"])) for r in rows)  # sums of floats in one order, however the rows came
+    return calibrated(ordinary, toxic, np.array([x for x, _ in found]), np.array([label for _, label in found]))
 
 
 def measured(docs: DataFrame, ordinary: bytes, toxic: bytes) -> DataFrame:
