@@ -87,7 +87,9 @@ class Model:
     spread: np.ndarray
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(_design((x - self.middle) / self.spread) @ self.weights, -30, 30)))
+        # term by term, as a matrix product rounds by the number of rows that come together
+        terms = _design((x - self.middle) / self.spread)
+        return 1 / (1 + np.exp(-np.clip(sum(terms[:, n] * w for n, w in enumerate(self.weights)), -30, 30)))
 
 
 def _design(x: np.ndarray) -> np.ndarray:
