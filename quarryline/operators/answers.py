@@ -23,26 +23,37 @@ def matched_entities(questions: DataFrame, entities: DataFrame, most: int = 10,
     character of the name or a word of the description; 4, if still fewer than `few`: names within min(2, half the
     mention's length) edits. Each entity counts at its first stage; within a stage the order is by mention, then by id.
     """
+    # of the entities that one text or word leads to at one stage, those after the first `cap` by id are behind them for every question
+    cap = max(most, enough, few)
     mentions = questions.select("query_id", F.posexplode("entities").alias("pos", "mention"))
-    names = entities.select("id", "name")
+    names = written(_first_ids(entities.select("name", "id"), "name", cap))
     exact = mentions.join(names, F.col("mention") == F.col("name")).select("query_id", "id", F.lit(1).alias("stage"), F.lit(0).alias("pos"))
     asked, known = mentions.select(F.col("mention").alias("text")).distinct(), names.select(F.col("name").alias("text")).distinct()
     within = lambda few, many: contains_pairs(few.select(F.col("text").alias("needle")), many.select(F.col("text").alias("hay_id"), F.col("text").alias("hay")))
     inside = within(asked, known).select(F.col("needle").alias("mention"), F.col("hay_id").alias("name"))
     around = within(known, asked).select(F.col("hay_id").alias("mention"), F.col("needle").alias("name"))
-    part = mentions.join(inside.unionByName(around).distinct(), "mention").join(names, "name").select("query_id", "id", F.lit(2).alias("stage"), "pos")
+    led = _first_ids(inside.unionByName(around).distinct().join(names, "name").select("mention", "id"), "mention", cap)
+    part = mentions.join(led, "mention").select("query_id", "id", F.lit(2).alias("stage"), "pos")
     first = written(_once(exact.unionByName(part)))
     words = questions.select("query_id", F.explode("keywords").alias("word")).join(_with_few(questions, first, enough), "query_id", "left_semi")
     parts = entities.select("id", F.explode(F.array_distinct(F.concat(F.split("name", ""), F.coalesce(F.split("description", r"\s+"), F.array().cast("array<string>"))))).alias("word")).where("word <> ''")
-    told = words.join(parts, "word").select("query_id", "id", F.lit(3).alias("stage"), F.lit(0).alias("pos"))
+    said = _first_ids(parts.join(words.select("word").distinct(), "word", "left_semi").select("word", "id"), "word", cap)
+    told = words.join(said, "word").select("query_id", "id", F.lit(3).alias("stage"), F.lit(0).alias("pos"))
     second = written(_once(first.unionByName(told)))
-    rest = mentions.join(_with_few(questions, second, few), "query_id", "left_semi")
+    rest = written(mentions.join(_with_few(questions, second, few), "query_id", "left_semi"))
     near = edit_matches(names.select("name"), rest.select(F.col("mention").alias("query"))).select(F.col("query").alias("mention"), "name")
-    typed = rest.join(near, "mention").join(names, "name").select("query_id", "id", F.lit(4).alias("stage"), "pos")
+    close = _first_ids(near.join(names, "name").select("mention", "id"), "mention", cap)
+    typed = rest.join(close, "mention").select("query_id", "id", F.lit(4).alias("stage"), "pos")
     place = F.row_number().over(W.partitionBy("query_id").orderBy("stage", "pos", "id"))
     return _once(second.unionByName(typed)).withColumn("place", place).where(F.col("place") <= most).select("query_id", "id", "stage", "place")
 
 
+def _first_ids(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """The first `n` different ids of each key."""
+    place = F.row_number().over(W.partitionBy(key).orderBy("id"))
+    return rows.select(key, "id").distinct().withColumn("p", place).where(F.col("p") <= n).select(key, "id")
+
+
 def _once(found: DataFrame) -> DataFrame:
     best = F.min(F.struct("stage", "pos"))
     return found.groupBy("query_id", "id").agg(best.alias("b")).select("query_id", "id", "b.stage", "b.pos")
@@ -58,11 +69,21 @@ def related_entities(targets: DataFrame, relationships: DataFrame, hops: int = 2
     links = relationships.where("src <> dst").select(F.col("src").alias("id"), F.col("dst").alias("other"))
     links = links.unionByName(links.select(F.col("other").alias("id"), F.col("id").alias("other"))).distinct()
     seen = targets.select("query_id", "id", F.lit(0).alias("hop"))
+    largest = seen.groupBy("query_id").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0  # one row
+    # a question goes on while it has fewer than `most`, so that it has seen fewer than `largest` + `most` entities: of an
+    # entity's links the first `most` beyond so many hold the first `most` new ones
+    order = F.row_number().over(W.partitionBy("id").orderBy("other"))
+    links = written(links.withColumn("link", order).where(F.col("link") <= largest + (2 * most if hops > 1 else most)))
     frontier = seen
     for hop in range(1, hops + 1):
-        near = frontier.join(links, "id").select("query_id", F.col("other").alias("id")).distinct()
-        frontier = near.join(seen, ["query_id", "id"], "left_anti").withColumn("hop", F.lit(hop))
-        seen = seen.unionByName(frontier)
+        reach = links.where(F.col("link") <= largest + (most if hop == 1 else 2 * most))
+        near = frontier.join(reach, "id").select("query_id", F.col("other").alias("id")).distinct()
+        place = F.row_number().over(W.partitionBy("query_id").orderBy("id"))
+        found = near.join(seen, ["query_id", "id"], "left_anti").withColumn("p", place).where(F.col("p") <= most)
+        found = written(found.select("query_id", "id", F.lit(hop).alias("hop")))
+        seen = seen.unionByName(found)
+        full = seen.where("hop > 0").groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= most)
+        frontier = found.join(full, "query_id", "left_anti")
     place = F.row_number().over(W.partitionBy("query_id").orderBy("hop", "id"))
     return seen.where("hop > 0").withColumn("place", place).where(F.col("place") <= most).select("query_id", "id", "hop")
 
@@ -86,8 +107,11 @@ def primary_entities(targets: DataFrame, entities: DataFrame, most: int = 3) ->
 
 def key_relationships(targets: DataFrame, relationships: DataFrame, most: int = 15) -> DataFrame:
     """Relationships that touch a question's target: (query_id, src, dst, description), `most` at most, by their ends."""
-    a = targets.select("query_id", F.col("id").alias("src")).join(relationships, "src")
-    b = targets.select("query_id", F.col("id").alias("dst")).join(relationships, "dst")
+    rows = relationships.select("src", "dst", "description").distinct()
+    # what comes after the first `most` of an end is behind them for every question
+    first = lambda end: rows.withColumn("p", F.row_number().over(W.partitionBy(end).orderBy("src", "dst", "description"))).where(F.col("p") <= most).drop("p")
+    a = targets.select("query_id", F.col("id").alias("src")).join(first("src"), "src")
+    b = targets.select("query_id", F.col("id").alias("dst")).join(first("dst"), "dst").select(*a.columns)
     found = a.unionByName(b).distinct()
     place = F.row_number().over(W.partitionBy("query_id").orderBy("src", "dst", "description"))
     return found.withColumn("place", place).where(F.col("place") <= most).select("query_id", "src", "dst", "description", "place")

@@ -70,25 +70,36 @@ def communities(s, d):
 
 
 def _targets(s, d):
-    return A.matched_entities(questions(s, d), entities(s, d))
+    return G.written(A.matched_entities(questions(s, d), entities(s, d)))
 
 
 def _related(s, d):
     return A.related_entities(_targets(s, d), relationships(s, d))
 
 
-def _retrieved(s, d):
-    t = _targets(s, d)
+def _retrieved(s, d, t=None):
+    t = t or _targets(s, d)
     ids = t.select("query_id", "id").unionByName(A.related_entities(t, relationships(s, d)).select("query_id", "id"))
     return A.relevant_units(ids, entities(s, d))
 
 
 def _network(s, d):
-    nodes, edges = A.network(_targets(s, d), _related(s, d), relationships(s, d))
+    t = _targets(s, d)
+    nodes, edges = A.network(t, G.written(A.related_entities(t, relationships(s, d))), relationships(s, d))
     a = nodes.groupBy("query_id").agg(F.count("*").alias("nodes"), F.count_if("is_target").alias("targets"))
     return a.join(edges.groupBy("query_id").agg(F.count("*").alias("edges")), "query_id", "left").select("query_id", "nodes", "targets", F.coalesce("edges", F.lit(0)).alias("edges"))
 
 
+def _evidence(s, d):
+    t = _targets(s, d)
+    return A.evidence_texts(A.primary_entities(t, entities(s, d)), _retrieved(s, d, t), units(s, d))
+
+
+def _contexts(s, d):
+    t = _targets(s, d)
+    return A.entity_context(A.primary_entities(t, entities(s, d)), A.key_relationships(t, relationships(s, d)))
+
+
 def _local(s, d):
     return A.local_search(questions(s, d), entities(s, d), relationships(s, d), units(s, d))
 
@@ -118,9 +129,9 @@ QUERIES = {
     "entity_focus": lambda s, d: A.primary_entities(_targets(s, d), entities(s, d)).select("query_id", "name", "place"),
     "relationship_keys": lambda s, d: A.key_relationships(_targets(s, d), relationships(s, d)).select("query_id", "src", "dst", "place"),
     "relationship_network": _network,
-    "evidence_texts": lambda s, d: A.evidence_texts(A.primary_entities(_targets(s, d), entities(s, d)), _retrieved(s, d), units(s, d)).select("query_id", "unit_id", "place"),
+    "evidence_texts": lambda s, d: _evidence(s, d).select("query_id", "unit_id", "place"),
     "relationship_evidence": lambda s, d: A.relationship_evidence(A.key_relationships(_targets(s, d), relationships(s, d)), units(s, d)),
-    "entity_contexts": lambda s, d: A.entity_context(A.primary_entities(_targets(s, d), entities(s, d)), A.key_relationships(_targets(s, d), relationships(s, d))),
+    "entity_contexts": _contexts,
     "local_answers": lambda s, d: _flat(_local(s, d)),
     "community_ranks": lambda s, d: A.community_relevance(questions(s, d), communities(s, d), members(s, d)).withColumn("p", F.row_number().over(A.W.partitionBy("query_id").orderBy(F.desc("score"), "community"))).where("p <= 5").select("query_id", "community", F.round("score", 6).alias("score"), F.col("p").alias("place")),
     "global_answers": lambda s, d: _flat(_global(s, d)),
