@@ -104,13 +104,14 @@ def composite_key(text: Column, kind: Column, aim: Column, names: Column, words:
     return F.concat_ws("|", F.lower(F.trim(text)), kind, aim, joined(names), joined(words))
 
 
-def cached(queries: DataFrame, cache: DataFrame, ttl: int, least: float | None = None) -> DataFrame:
-    """Questions with the latest answer to the same text within `ttl` seconds before them: (id, at, answer). Answers of less
-    confidence than `least` were never admitted."""
+def cached(queries: DataFrame, cache: DataFrame, ttl: int, least: float | None = None, then: tuple[str, ...] = ()) -> DataFrame:
+    """Questions with the latest answer to the same text within `ttl` seconds before them: (id, answer). Of answers of one time
+    that with the largest columns `then` counts, of equals the largest. Answers of less confidence than `least` were never
+    admitted."""
     if least is not None:
         cache = cache.where(F.col("confidence") >= least)
     hit = queries.join(cache, "key").where((F.col("cached_at") <= F.col("at")) & (F.col("cached_at") > F.col("at") - ttl))
-    return hit.groupBy("id").agg(F.max_by("answer", "cached_at").alias("answer"))
+    return hit.groupBy("id").agg(F.max_by("answer", F.struct("cached_at", *then, "answer")).alias("answer"))
 
 
 def route(text: Column, rules: dict[str, str], default: str = "default") -> Column:

@@ -43,8 +43,8 @@ QUERIES = {
     "question_analysis": lambda s, d: Q.analyzed(_asked(s, d), "id", "text").select("id", "n_entities", "type", "intent", "confidence", "search"),
     "question_patterns": lambda s, d: _asked(s, d).groupBy(Q.pattern_key(F.col("text")).alias("pattern")).agg(F.count("*").alias("n")),
     "question_top": lambda s, d: _asked(s, d).groupBy(F.substring(F.trim(F.lower("text")), 1, 100).alias("query")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "query").limit(10),
-    "question_cache": lambda s, d: Q.cached(_asked(s, d).select("id", F.md5(F.substring("text", 1, 8)).alias("key"), (F.col("conv_id") * 10).alias("at")), load(s, d, "conversations").where("role = 'user'").select(F.md5(F.substring("text", 1, 8)).alias("key"), (F.col("conv_id") * 10 - 5).alias("cached_at"), F.md5("text").alias("answer")), 300),
-    "question_cache_whole": lambda s, d: Q.cached(_asked(s, d).select("id", _whole_key().alias("key"), (F.col("conv_id") * 10).alias("at")), load(s, d, "conversations").where("role = 'user'").select(_whole_key().alias("key"), (F.col("conv_id") * 10 - 5).alias("cached_at"), F.md5("text").alias("answer")), 300),
+    "question_cache": lambda s, d: Q.cached(_asked(s, d).select("id", F.md5(F.substring("text", 1, 8)).alias("key"), (F.col("conv_id") * 10).alias("at")), load(s, d, "conversations").where("role = 'user'").select(F.md5(F.substring("text", 1, 8)).alias("key"), (F.col("conv_id") * 10 - 5).alias("cached_at"), "turn", F.md5("text").alias("answer")), 300, then=("turn",)),
+    "question_cache_whole": lambda s, d: Q.cached(_asked(s, d).select("id", _whole_key().alias("key"), (F.col("conv_id") * 10).alias("at")), load(s, d, "conversations").where("role = 'user'").select(_whole_key().alias("key"), (F.col("conv_id") * 10 - 5).alias("cached_at"), "turn", F.md5("text").alias("answer")), 300, then=("turn",)),
     "answer_confidence": lambda s, d: _asked(s, d).select("id", *[F.round(Q.answer_confidence(k, F.lit(0.6), F.least(F.length("text") / 500, F.lit(1.0)), F.col("turn")), 6).alias(k) for k in ("global", "entity", "relation")]),
     "response_quality": lambda s, d: _pairs(s, d),
 }
