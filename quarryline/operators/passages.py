@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import CJK, PATTERNS, STOP_WORDS, clean, sentences, words
+from .text import CJK, PATTERNS, STOP_WORDS, clean, once, sentences, words
 
 # Family names and patterns that results depend on.
 SURNAMES = [
@@ -96,9 +96,13 @@ def first_segment(text: Column, size: int = 512) -> Column:
         first = state["text"] == ""
         return F.struct(F.when(fits | first, F.concat(state["text"], sentence, F.lit(" "))).otherwise(state["text"]).alias("text"), F.when(fits | first, state["open"]).otherwise(F.lit(False)).alias("open"))
 
-    whole = clean(text)
-    packed = F.aggregate(sentences(whole), F.struct(F.lit("").alias("text"), F.lit(True).alias("open")), add, lambda s: F.trim(s["text"]))
-    return F.when(F.coalesce(F.trim(text), F.lit("")) == "", "").when(F.length(whole) <= size, whole).when(packed != "", packed).otherwise(F.substring(whole, 1, size))
+    def cut(whole: Column) -> Column:
+        # each takes three characters at least, so that no more of them can fit
+        some = F.slice(sentences(whole), 1, size // 3 + 2)
+        packed = F.aggregate(some, F.struct(F.lit("").alias("text"), F.lit(True).alias("open")), add, lambda s: F.trim(s["text"]))
+        return F.when(F.length(whole) <= size, whole).otherwise(F.coalesce(F.nullif(packed, F.lit("")), F.substring(whole, 1, size)))
+
+    return F.when(F.coalesce(F.trim(text), F.lit("")) == "", "").otherwise(once(clean(text), cut))
 
 
 def segments(text: Column, stop_words: list[str] = STOP_WORDS, tokenizer: Callable[[Column], Column] = words) -> Column:

@@ -5,6 +5,8 @@ Java's white space class is ASCII only; where Unicode white space counts, the pa
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -13,6 +15,10 @@ from pyspark.sql import Window as W
 CJK = r"一-鿿"
 KEPT = r"一-鿿㐀-䶿豈-﫿a-zA-Z0-9\s，。！？；：「」『』（）【】《》〈〉、…—－·‧"
 CHINESE_PUNCTUATION = r"[，。！？；：「」『』（）【】《》〈〉、…—－·‧]"
+#: The ASCII characters that KEPT hasn't, one by one: most characters are ASCII, and the long class is slow to say no.
+ASCII_DROPPED = "".join(f"\\x{c:02x}" for c in range(128) if not chr(c).isalnum() and chr(c) not in " \t\n\x0b\x0c\r")
+#: Unicode white space but the space.
+OTHER_SPACE = r"\t-\r\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 STOP_WORDS = [
     "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "is", "are", "was", "were", "be", "been", "being", "have",
     "has", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might", "must", "can", "this", "that", "these", "those",
@@ -36,15 +42,25 @@ QUALITY_WEIGHTS = {"length": 0.15, "chinese_ratio": 0.15, "sentence_structure":
 def clean(text: Column) -> Column:
     """White space to single spaces, characters beyond letters, digits and usual punctuation dropped, repeated marks
     collapsed, ends trimmed; null is empty."""
-    out = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " ")
-    out = F.regexp_replace(out, f"[^{KEPT}]", "")
+    out = single_spaces(F.coalesce(text, F.lit("")))
+    out = F.regexp_replace(out, f"[{ASCII_DROPPED}]+|(?![\\x00-\\x7f])[^{KEPT}]+", "")
     out = F.translate(out, "－", "—")
     out = F.regexp_replace(out, r"([，。！？；：])\1+", "$1")
-    return F.regexp_replace(out, r"^[ \t\n\r，。！？；：]+|[ \t\n\r，。！？；：]+$", "")
+    return F.btrim(out, F.lit(" \t\n\r，。！？；："))
+
+
+def single_spaces(text: Column) -> Column:
+    """Runs of Unicode white space as one space each. A space that stands alone isn't matched, as it is one."""
+    return F.regexp_replace(text, f"[{OTHER_SPACE}][ {OTHER_SPACE}]*| [ {OTHER_SPACE}]+", " ")
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is worked out once for each row, however often it is named there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def normalized_query(text: Column) -> Column:
-    out = F.btrim(F.regexp_replace(text, r"(?U)\s+", " "))
+    out = F.btrim(single_spaces(text))
     return F.translate(out, "?!,", "？！，")
 
 
