@@ -57,3 +57,13 @@ def recall_of(spark, data):
     got, exact = lists(search.QUERIES["quantized_topk"](spark, data)), lists(search.QUERIES["batch_topk"](spark, data))
     assert got.keys() == exact.keys()
     assert sum(len(set(got[n]) & set(exact[n])) for n in exact) >= 0.95 * sum(map(len, exact.values()))
+
+
+def test_few_rows_leave_a_block(spark, monkeypatch):
+    """k rows a query and block at most go to the last ranking, in the approximate and in the exact step."""
+    counts, plain = [], Z.top
+    monkeypatch.setattr(Z, "top", lambda pairs, by, k: counts.append(pairs.count()) or plain(pairs, by, k))
+    rows, queries, frame, asked = tables(spark)
+    q = Z.fitted(frame, parts=4)
+    assert lists(Z.search(frame, Z.index(frame, q), q, asked, 10, exact=True)) == brute(rows, queries, 10)
+    assert counts and max(counts) <= 10 * len(queries)
