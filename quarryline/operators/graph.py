@@ -46,22 +46,35 @@ def dangling_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """The smallest node that each node reaches: (node, component). Labels spread over edges and then along themselves
-    (a label takes on its own label), so the rounds grow with the logarithm of the longest path."""
-    links = written(both_ways(known_edges(edges, nodes)))
-    now = written(nodes.select("node", F.col("node").alias("component")).distinct())
+    """The smallest node that each node reaches: (node, component). In a round each node that is left hangs on the smallest
+    of itself and its neighbours, each tree becomes its root, and the edges become those between roots: those within a tree
+    go. Of two neighbours one is no root, so at least half the nodes that have edges go, and the smallest always stays."""
+    left = written(known_edges(edges, nodes).select("src", "dst").where("src <> dst"))
+    labels = nodes.select("node", F.col("node").alias("component")).distinct()
     for _ in range(most_rounds):
-        near = links.join(now, links.dst == now.node).groupBy("src").agg(F.min("component").alias("offer"))
-        spread = now.join(near, now.node == near.src, "left").select("node", "component", F.least("component", F.coalesce("offer", "component")).alias("better"))
-        up = spread.select(F.col("node").alias("label"), F.col("better").alias("of_label"))
-        jumped = written(spread.join(up, spread.better == up.label, "left").select("node", "component", F.least("better", F.coalesce("of_label", "better")).alias("better")))
-        changed = jumped.where("component <> better").limit(1).count()
-        now = jumped.select("node", F.col("better").alias("component"))
-        if not changed:
-            return now
+        both = left.unionByName(left.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        roots = written(both.groupBy(F.col("src").alias("at")).agg(F.min("dst").alias("near")).select("at", F.least("at", "near").alias("root")))
+        if roots.isEmpty():
+            return written(labels)
+        roots = _to_the_top(roots, most_rounds)
+        labels = written(labels.join(roots, F.col("component") == F.col("at"), "left").select("node", F.coalesce("root", "component").alias("component")))
+        a, b = roots.select(F.col("at").alias("src"), F.col("root").alias("a")), roots.select(F.col("at").alias("dst"), F.col("root").alias("b"))
+        left = written(left.join(a, "src").join(b, "dst").where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct())
     raise RuntimeError("the components did not settle")
 
 
+def _to_the_top(roots: DataFrame, most_rounds: int) -> DataFrame:
+    """(at, root) with the root of each root taken on until none changes: the rounds grow with the logarithm of the depth."""
+    for _ in range(most_rounds):
+        up = roots.select(F.col("at").alias("root"), F.col("root").alias("above"))
+        jumped = written(roots.join(up, "root").select("at", "root", "above"))
+        settled = jumped.where("root <> above").isEmpty()
+        roots = jumped.select("at", F.col("above").alias("root"))
+        if settled:
+            return roots
+    raise RuntimeError("the trees did not settle")
+
+
 def communities(labels: DataFrame, least: int = 3, most: int = 1 << 40) -> DataFrame:
     """Components of an admissible size with their rank, the share of all nodes."""
     total = labels.agg(F.count("*").alias("total"))

@@ -28,8 +28,9 @@ def whole_edges(s, d):
     out = load(s, d, "nation").select(key("nation", "n_nationkey").alias("src"), key("region", "n_regionkey").alias("dst"))
     out = out.unionByName(load(s, d, "customer").select(key("customer", "c_custkey").alias("src"), key("nation", "c_nationkey").alias("dst")))
     out = out.unionByName(load(s, d, "supplier").select(key("supplier", "s_suppkey").alias("src"), key("nation", "s_nationkey").alias("dst")))
-    lines = load(s, d, "lineitem").select(key("supplier", "l_suppkey").alias("src"), key("part", "l_partkey").alias("dst"))
-    return out.unionByName(lines.where("src IS NOT NULL AND dst IS NOT NULL").distinct()).where("src IS NOT NULL AND dst IS NOT NULL")
+    # pairs of numbers are told apart before they are written out as names
+    pairs = load(s, d, "lineitem").select("l_suppkey", "l_partkey").where("l_suppkey IS NOT NULL AND l_partkey IS NOT NULL").distinct()
+    return out.unionByName(pairs.select(key("supplier", "l_suppkey").alias("src"), key("part", "l_partkey").alias("dst"))).where("src IS NOT NULL AND dst IS NOT NULL")
 
 
 def whole_nodes(s, d):
@@ -37,8 +38,18 @@ def whole_nodes(s, d):
     return nodes(s, d).unionByName(part)
 
 
-def whole_labels(s, d):
-    return G.components(whole_nodes(s, d), whole_edges(s, d))
+def whole_labels(s, d, edges=None):
+    return G.components(whole_nodes(s, d), edges or whole_edges(s, d))
+
+
+def _whole_inner(s, d):
+    e = G.written(whole_edges(s, d))
+    return G.inner_edges(whole_labels(s, d, e), e)
+
+
+def _whole_reports(s, d):
+    e = G.written(whole_edges(s, d))
+    return G.reports(whole_labels(s, d, e), whole_nodes(s, d), e)
 
 
 def labels(s, d):
@@ -80,8 +91,8 @@ QUERIES |= {
     "graph_whole_components": whole_labels,
     "graph_whole_communities": lambda s, d: G.communities(whole_labels(s, d)),
     "graph_whole_type_counts": lambda s, d: G.type_counts(whole_labels(s, d), whole_nodes(s, d)),
-    "graph_whole_inner_edges": lambda s, d: G.inner_edges(whole_labels(s, d), whole_edges(s, d)),
-    "graph_whole_reports": lambda s, d: G.reports(whole_labels(s, d), whole_nodes(s, d), whole_edges(s, d)),
+    "graph_whole_inner_edges": _whole_inner,
+    "graph_whole_reports": _whole_reports,
     "graph_whole_k_hop": lambda s, d: G.k_hop(_start(s, d), whole_edges(s, d)),
     "graph_whole_incident_edges": lambda s, d: G.incident_edges(whole_edges(s, d), _start(s, d)).select("src", "dst"),
     "graph_whole_degree": lambda s, d: G.degree(whole_edges(s, d)),

@@ -55,3 +55,24 @@ def test_components_and_reports(spark, graph):
     inner = [of[a] for a, b in edges if a in of and b in of]
     got = {r.component: (r["size"], r.edges) for r in entry.queries()["graph_whole_reports"](spark, DATA).collect()}
     assert got == {c: (n, inner.count(c)) for c, n in sizes.items() if n >= 3}
+
+
+def test_rounds_leave_edges_between_roots_only(spark, monkeypatch):
+    """A hub with a thousand leaves and a long path: labels as by brute force, and after the first round no more than a few edges."""
+    from quarryline.operators import graph as G
+
+    sizes, plain = [], G.written
+
+    def counted(df):
+        out = plain(df)
+        if set(out.columns) == {"src", "dst"}:
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(G, "written", counted)
+    pairs = [(f"leaf{k:04}", "a") for k in range(1000)] + [(f"p{k:03}", f"p{k + 1:03}") for k in range(200)] + [("x", "x"), ("y", "unknown")]
+    names = {n for p in pairs for n in p} - {"unknown"}
+    nodes = spark.createDataFrame([(n,) for n in sorted(names)], "node string")
+    got = {r["node"]: r["component"] for r in G.components(nodes, spark.createDataFrame(pairs, "src string, dst string")).collect()}
+    assert got == {n: "a" if n[0] in "al" else "p000" if n[0] == "p" else n for n in names}
+    assert sizes == [1200, 0]
