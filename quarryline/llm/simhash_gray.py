@@ -290,7 +290,7 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, row: str
 
     With `exact` what that misses is made up: of the shingles in one order, rare ones first, two texts of that similarity
     have one in common among the first n - ceil(least * n) + 1 of each, and the pairs of different groups that share such a
-    one are verified, too. In a large group of texts somewhat below `least` these pairs grow with its square.
+    one are verified, too, those of a large group of texts somewhat below `least` in blocks, without being written out.
 
     Texts of the same words count as one, so do null texts and those without words. Rows stay one for one. `row` names a
     column of distinct longs, if a table has one; other columns aren't returned.
@@ -383,42 +383,126 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, row: str
     return out
 
 
+#: Texts of a list of one shingle up to which their pairs are written out; the sets of longer lists' texts are compared where
+#: they meet, in blocks of at most so many texts and shingles.
+LISTED, CROWD, CROWD_SHINGLES = 24, 1000, 1_000_000
+
+
 def _completed(distinct: DataFrame, names: list[str], links_: DataFrame, parts: DataFrame, tried: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
-    """The components with the links between different ones of `parts` that a prefix filter finds."""
-    shared = distinct.where("n > 0").select("uid", "n", F.explode("prefix").alias("h"))
-    rooted = shared.join(parts, shared.uid == parts.node, "left").select("h", F.coalesce("component", "uid").alias("root"), "uid", "n")
+    """The components with the links between different ones of `parts` that a prefix filter finds.
+
+    Of a list of few texts that share a shingle the pairs are written out and verified one by one. In a list of many, the
+    texts' whole sets meet and only links that join parts leave, so what is written grows with the list, not its square.
+    """
+    shared = distinct.where("n > 0").select("uid", "n", F.posexplode("prefix").alias("at", "h"))
+    rooted = shared.join(parts, shared.uid == parts.node, "left").select("h", F.coalesce("component", "uid").alias("root"), "uid", "n", "at")
 
-    def across(h: np.ndarray, root: np.ndarray, uid: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def across(h: np.ndarray, root: np.ndarray, uid: np.ndarray, n: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
         ends = np.r_[starts[1:], len(h)]
         several = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts) if len(h) else starts > 0
         for a, b in zip(starts[several], ends[several], strict=True):
-            for i in range(a + 1, b):
-                j = a + np.flatnonzero((root[a:i] != root[i]) & (np.minimum(n[a:i], n[i]) >= least * np.maximum(n[a:i], n[i]) - 1e-9))
-                if len(j):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(uid[j], uid[i])), pa.array(np.maximum(uid[j], uid[i]))], ["src", "dst"])
+            if b - a > LISTED:
+                yield pa.RecordBatch.from_arrays([pa.array(h[a:b]), pa.array(uid[a:b]), pa.array(root[a:b]), pa.array(n[a:b])], ["grp", "uid", "root", "n"])
+                continue
+            i, j = np.triu_indices(b - a, 1)
+            i, j = i + a, j + a
+            # what may be shared from the common shingle on and before it must suffice
+            most = np.minimum(at[i], at[j]) + np.minimum(n[i] - at[i], n[j] - at[j])
+            keep = (root[i] != root[j]) & (np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]) - 1e-9) & (most >= least * (n[i] + n[j] - most) - 1e-9)
+            if keep.any():
+                i, j = i[keep], j[keep]
+                none = pa.nulls(len(i), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, pa.array(np.minimum(uid[i], uid[j])), pa.array(np.maximum(uid[i], uid[j])), none], ["grp", "uid", "root", "n"])
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found in whole_groups(batches, across):
             yield from found
 
+    met = materialize(rooted.repartition("h").sortWithinPartitions("h", "uid").mapInArrow(rest, "grp long, uid long, root long, n long"))
     # a pair that has been looked at isn't linked, or it would be in one part; most others have a passage in common only,
     # which their fingerprints tell
-    pairs = rooted.repartition("h").sortWithinPartitions("h", "uid").mapInArrow(rest, "src long, dst long").distinct().join(tried, ["src", "dst"], "left_anti")
+    pairs = met.where("grp IS NULL").select(F.col("uid").alias("src"), F.col("root").alias("dst")).distinct().join(tried, ["src", "dst"], "left_anti")
     a, b = (distinct.select(F.col("uid").alias(end), F.array(*names).alias(f)) for end, f in (("src", "a"), ("dst", "b")))
     bits = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
     pairs = materialize(pairs.join(a, "src").join(b, "dst").where(bits <= FAR).select("src", "dst"))
-    return connected_components(links_.unionByName(verified(pairs, texts, words, least)))
+    found = links_.unionByName(verified(pairs, texts, words, least)).unionByName(_crowd_links(met.where("grp IS NOT NULL"), texts, words, least))
+    out = connected_components(found)
+    discard(met, pairs)
+    return out
+
+
+def _crowd_links(members: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    """Links (src, dst) that join what links between texts of one grp join, of members (grp, uid, root, n: number of
+    shingles); texts of one root are joined already. A grp of more than CROWD texts or CROWD_SHINGLES shingles is cut into
+    blocks by a hash, and each pair of blocks is compared in one place."""
+    load = F.greatest(F.lit(1.0) / CROWD, F.col("n") / CROWD_SHINGLES)
+    blocks = members.groupBy("grp").agg(F.ceil(F.sum(load)).cast("int").alias("blocks"))
+    dealt = members.join(blocks, "grp").withColumn("own", F.pmod(F.xxhash64(F.lit(1), "uid"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select(F.xxhash64("grp", F.least("own", "other"), F.greatest("own", "other")).alias("grp"), "uid", "root")
+    sets = shingle_sets(texts, materialize(members.select("uid").distinct()), words)
+
+    def compare(grp: np.ndarray, uid: np.ndarray, root: np.ndarray, sets: np.ndarray) -> pa.RecordBatch:
+        pairs = [(np.zeros(0, np.int64),) * 2]
+        starts = np.flatnonzero(np.r_[True, grp[1:] != grp[:-1]]) if len(grp) else np.zeros(0, np.int64)
+        for a, b in zip(starts, [*starts[1:], len(grp)], strict=False):  # no group in an empty part
+            i, j = alike([np.frombuffer(x, np.int64) for x in sets[a:b]], least)
+            part = np.unique(root[a:b], return_inverse=True)[1]
+            tree = np.arange(part.max() + 1)
+            joins: list[tuple[np.ndarray, np.ndarray]] = []
+            x, y = part[i], part[j]
+            # one link for each two parts, and of these a tree
+            _, one = np.unique(np.minimum(x, y) * len(tree) + np.maximum(x, y), return_index=True)
+            one = one[x[one] != y[one]]
+            for p in one.tolist():
+                u, v = x[p], y[p]
+                while tree[u] != u:
+                    tree[u] = tree[tree[u]]
+                    u = tree[u]
+                while tree[v] != v:
+                    tree[v] = tree[tree[v]]
+                    v = tree[v]
+                if u != v:
+                    tree[max(u, v)] = min(u, v)
+                    joins.append((uid[a + i[p : p + 1]], uid[a + j[p : p + 1]]))
+            pairs += joins
+        src, dst = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(src, dst)), pa.array(np.maximum(src, dst))], ["src", "dst"])
+
+    with small_batches(members.sparkSession):  # a row holds a whole text's set
+        met = dealt.join(sets, "uid").select("grp", "uid", "root", F.col("h").alias("shingles"))
+        found = materialize(met.repartition("grp").sortWithinPartitions("grp", "uid").mapInArrow(lambda batches: whole_groups(batches, compare), "src long, dst long"))
+    discard(sets)
+    return found
+
+
+def alike(sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all pairs of sets whose similarity is `least` or more, counted by products of 0/1 matrices of a
+    bounded number of shingles at a time."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    shingle, of, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    who = np.repeat(np.arange(len(sets)), sizes)
+    # a shingle that one set has is in no intersection
+    place = np.cumsum(times > 1) - 1
+    who, of = who[times[of] > 1], place[of[times[of] > 1]]
+    order = np.argsort(of, kind="stable")
+    who, of = who[order], of[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)  # counts are below 2 ** 24
+    for k in range(0, int((times > 1).sum()), 1024):
+        a, b = np.searchsorted(of, (k, k + 1024))
+        has = np.zeros((len(sets), 1024), np.float32)
+        has[who[a:b], of[a:b] - k] = 1
+        both += has @ has.T
+    i, j = np.triu_indices(len(sets), 1)
+    n = both[i, j].astype(np.int64)
+    keep = n >= least * (sizes[i] + sizes[j] - n) - 1e-9
+    return i[keep], j[keep]
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
     """The pairs (src, dst) of uids whose texts' sets of shingles are alike by `least` or more."""
 
-    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block in in_blocks(batch, 1_000_000):
-                yield pa.RecordBatch.from_arrays([block.column(0), pa.array([shingle_set(t, words).tobytes() for t in block.column(1).to_pylist()], pa.binary())], ["uid", "h"])
-
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -431,10 +515,24 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> Da
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["src", "dst"]).filter(pa.array(keep, pa.bool_()))
 
     named = materialize(pairs.select(F.col("src").alias("uid")).unionByName(pairs.select(F.col("dst").alias("uid"))).distinct())
-    few = named.count() <= PICKED
-    sets = materialize(texts.join(F.broadcast(named) if few else named, "uid", "left_semi").mapInArrow(shingled, "uid long, h binary"))
+    sets = shingle_sets(texts, named, words)
     a, b = sets.select(F.col("uid").alias("src"), F.col("h").alias("a")), sets.select(F.col("uid").alias("dst"), F.col("h").alias("b"))
     with small_batches(pairs.sparkSession):  # a row holds two whole texts' sets
         found = materialize(pairs.join(a, "src").join(b, "dst").select("src", "dst", "a", "b").mapInArrow(check, "src long, dst long"))
-    discard(named, sets)
+    discard(sets)
     return found
+
+
+def shingle_sets(texts: DataFrame, named: DataFrame, words: int) -> DataFrame:
+    """(uid, h): the sets of the texts that the table `named` names, written; `named` is discarded."""
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in in_blocks(batch, 1_000_000):
+                yield pa.RecordBatch.from_arrays([block.column(0), pa.array([shingle_set(t, words).tobytes() for t in block.column(1).to_pylist()], pa.binary())], ["uid", "h"])
+
+    few = named.count() <= PICKED
+    with small_batches(texts.sparkSession, 500):
+        sets = materialize(texts.join(F.broadcast(named) if few else named, "uid", "left_semi").mapInArrow(shingled, "uid long, h binary"))
+    discard(named)
+    return sets
