@@ -101,14 +101,16 @@ def model_metrics(rows: DataFrame, similar: DataFrame, lengths: DataFrame, least
     Vectors that are null, zero or hold nulls are left out; a mean over no pair is 0.
     """
     from .graph import written
-    from .passages import is_mostly_chinese
     from .text import CJK
 
-    known = usable(rows).where(F.exists("embedding", lambda x: x != 0))
     t, x = F.coalesce(F.col("text"), F.lit("")), F.col("embedding")
-    scalars = known.select("model", "quality", F.coalesce(F.try_divide(F.regexp_count(t, F.lit(f"[{CJK}]")), F.length(t)), F.lit(0.0)).alias("share"), V.norm(x).alias("norm")).groupBy("model").agg(
+    share = F.coalesce(F.try_divide(F.length(t) - F.length(F.regexp_replace(t, f"[{CJK}]+", "")), F.length(t)), F.lit(0.0))
+    # each text is read once, before its vector is taken apart, and goes no further
+    known = usable(rows).where(F.exists("embedding", lambda x: x != 0)).select("model", "vec_id", "embedding", "domain", "quality", share.alias("share"), (F.length(t) > 0).alias("told"))
+    known = written(known.withColumn("chinese", F.col("told") & (F.col("share") >= least)).drop("told"))
+    scalars = known.select("model", "quality", "share", V.norm(x).alias("norm")).groupBy("model").agg(
         F.count("*").alias("n"), F.coalesce(F.avg("quality"), F.lit(0.0)).alias("quality"), F.avg("share").alias("ratio"), F.avg("norm").alias("norm_mean"), F.stddev_pop("norm").alias("norm_std"))
-    long = known.select("model", "domain", is_mostly_chinese(t, least).alias("chinese"), F.posexplode(F.arrays_zip(x.alias("x"), V.unit(x).alias("u"))).alias("dim", "c")).select("model", "domain", "chinese", "dim", "c.x", "c.u")
+    long = known.select("model", "domain", "chinese", F.posexplode(F.arrays_zip(x.alias("x"), V.unit(x).alias("u"))).alias("dim", "c")).select("model", "domain", "chinese", "dim", "c.x", "c.u")
     cells = written(long.groupBy("model", "domain", "chinese", "dim").agg(F.sum("u").alias("s"), F.sum("x").alias("sx"), F.sum(F.col("x") * F.col("x")).alias("qx"), F.count("*").alias("n")))
     square = lambda c: F.sum(F.col(c) * F.col(c))
     added = [F.sum(c).alias(c) for c in ("s", "sx", "qx", "n")]
