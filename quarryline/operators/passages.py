@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import CJK, PATTERNS, STOP_WORDS, clean, once, sentences, words
+from .text import _WORD, CJK, PATTERNS, STOP_WORDS, clean, cleaned, cut_sentences, once, sentences, words
 
 # Family names and patterns that results depend on.
 SURNAMES = [
@@ -69,23 +69,30 @@ def window_chunks(text: Column, size: int = 1000, overlap: int = 200) -> Column:
     return cut(text)
 
 
+def packed_sentences(text: str | None, size: int, overlap: int) -> list[str]:
+    """See `sentence_chunks`."""
+    chunks, open_, held = [], "", 0
+    for sentence in cut_sentences(cleaned(text)):
+        if open_ == "" or held + len(sentence) <= size:
+            open_ = f"{open_} {sentence}" if open_ else sentence
+            held += len(sentence)
+            continue
+        if open_.strip(" "):
+            chunks.append(open_.strip(" "))
+        open_ = f"{open_[-overlap:]} {sentence}" if 0 < overlap < len(open_) else sentence
+        held = len(open_)
+    return [*chunks, open_.strip(" ")] if open_.strip(" ") else chunks
+
+
 def sentence_chunks(text: Column, size: int = 1000, overlap: int = 200) -> Column:
     """Sentences of the cleaned text packed in order. A chunk is closed before a sentence that would bring the characters
     of its sentences above `size`; the next one begins with its last `overlap` characters if it is longer than these."""
 
-    def add(state: Column, sentence: Column) -> Column:
-        open_, held = state["open"], state["held"]
-        full = (held + F.length(sentence) > size) & (open_ != "")
-        kept = full & (F.lit(overlap > 0) & (F.length(open_) > overlap))
-        tail = F.concat(F.substr(open_, F.length(open_) - overlap + 1), F.lit(" "), sentence)
-        joined = F.when(open_ == "", sentence).otherwise(F.concat(open_, F.lit(" "), sentence))
-        return F.struct(
-            F.when(full & (F.trim(open_) != ""), F.array_append(state["done"], F.trim(open_))).otherwise(state["done"]).alias("done"),
-            F.when(kept, tail).when(full, sentence).otherwise(joined).alias("open"),
-            F.when(kept, F.length(tail)).when(full, F.length(sentence)).otherwise(held + F.length(sentence)).alias("held"))
-
-    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit(0).alias("held"))
-    return F.aggregate(sentences(clean(text)), empty, add, lambda s: F.when(F.trim(s["open"]) != "", F.array_append(s["done"], F.trim(s["open"]))).otherwise(s["done"]))
+    @F.pandas_udf("array<string>")
+    def pack(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: packed_sentences(t, size, overlap))
+
+    return pack(text)
 
 
 def first_segment(text: Column, size: int = 512) -> Column:
