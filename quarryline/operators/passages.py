@@ -115,7 +115,15 @@ def first_segment(text: Column, size: int = 512) -> Column:
 def segments(text: Column, stop_words: list[str] = STOP_WORDS, tokenizer: Callable[[Column], Column] = words) -> Column:
     """Words of the cleaned text without stop words and single letters that aren't Chinese, by `words` or a tokenizer that
     knows the corpus's words (`segmentation.segmenter`)."""
-    return F.filter(tokenizer(clean(text)), lambda w: ~F.lower(w).isin(stop_words) & ((F.length(w) > 1) | w.rlike(f"[{CJK}]")))
+    if tokenizer is not words:
+        return F.filter(tokenizer(clean(text)), lambda w: ~F.lower(w).isin(stop_words) & ((F.length(w) > 1) | w.rlike(f"[{CJK}]")))
+    stops = set(stop_words)
+
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [w for w in _WORD.findall(cleaned(t)) if w.lower() not in stops and (len(w) > 1 or w > "\x7f")])
+
+    return cut(text)
 
 
 def question_keywords(text: Column, most: int = 10) -> Column:
