@@ -28,6 +28,9 @@ COMPANY_WORDS = ["公司", "Co.", "Ltd", "Inc"]
 PAGE_MARKS = [r"(?i)第\s*\d+\s*頁", r"(?i)Page\s*\d+", r"\d+\s*/\s*\d+", r"-\s*\d+\s*-", r"\[\s*\d+\s*\]", r"\d{4}[-/年]\d{1,2}[-/月]\d{1,2}[日]?", r"\d{1,2}[-/]\d{1,2}[-/]\d{4}"]
 CLOSING_MARKS = [r"(?i)copyright\s*©?\s*\d{4}.*", r"(?i)©\s*\d{4}.*", r"(?i)版權所有.*", r"(?i)著作權.*", r"(?i)confidential.*", r"(?i)機密.*"]
 
+#: What a text must have for a pattern to match: a sign, or for those with Chinese in them anything beyond ASCII.
+SIGNS = {PATTERNS["email"][0]: "@", PATTERNS["date"][1]: "-", PATTERNS["date"][2]: "/", PATTERNS["time"][0]: ":", PATTERNS["time"][1]: ":", PATTERNS["phone"][1]: "-", PATTERNS["percent"][0]: "%"}
+BEYOND_ASCII = {p for ps in PATTERNS.values() for p in ps if not p.isascii()}
 #: Spans that a task emits at once.
 SPANS = 50_000
 _SPACE = r"(?U)\s+"
@@ -131,6 +134,16 @@ def question_keywords(text: Column, most: int = 10) -> Column:
     return F.slice(F.array_distinct(F.filter(words(text), lambda w: (F.length(w) > 1) & ~F.lower(w).isin(STOP_WORDS) & ~w.rlike(r"^\d+$"))), 1, most)
 
 
+def quick(pattern: str) -> str:
+    """The same pattern with its first repeated digit written out, as `re` looks for a first character fast only if it stands alone."""
+    return re.sub(r"^\\d(\+|\{(\d),(\d)\}|\{(\d)\})", lambda m: "[0-9]" + (r"\d*" if m[1] == "+" else rf"\d{{{int(m[2]) - 1},{int(m[3]) - 1}}}" if m[2] else rf"\d{{{int(m[4]) - 1}}}"), pattern)
+
+
+def searchable(patterns: list[str], text: str) -> list[str]:
+    """Those of the patterns that can match the text by their SIGNS."""
+    return [p for p in patterns if SIGNS.get(p, "") in text and not (p in BEYOND_ASCII and text.isascii())]
+
+
 def pattern_spans(docs: DataFrame, id_: str, text: str, patterns: dict[str, list[str]] = PATTERNS) -> DataFrame:
     """Matches of all patterns with their places: (id, kind, match, start, end), ends excluded. Every pattern of a kind counts
     by itself. The table is read once, and each text is searched for all patterns where it is read; a null text has none."""
@@ -138,12 +151,14 @@ def pattern_spans(docs: DataFrame, id_: str, text: str, patterns: dict[str, list
     kind_of_id = docs.schema[id_].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        searched = [(kind, re.compile(p, re.ASCII)) for kind, p in listed]  # classes are of ASCII, as in the JVM
+        searched = {p: re.compile(quick(p), re.ASCII) for _, p in listed}  # classes are of ASCII, as in the JVM
         for batch in batches:
             at, kinds, found, starts, ends = [], [], [], [], []
             for n, value in enumerate(batch.column(1)):
-                for kind, pattern in searched if value.is_valid else ():
-                    for m in pattern.finditer(value.as_py()):
+                t = value.as_py()
+                can = set(searchable(list(searched), t)) if t is not None else ()
+                for kind, p in listed if t is not None else ():
+                    for m in searched[p].finditer(t) if p in can else ():
                         at.append(n)
                         kinds.append(kind)
                         found.append(m[0])
@@ -159,10 +174,37 @@ def pattern_spans(docs: DataFrame, id_: str, text: str, patterns: dict[str, list
 def entity_candidates(docs: DataFrame, id_: str, text: str, least: float = 0.6) -> DataFrame:
     """Candidates for entities: (id, match, start, end, type, confidence). Words of Latin letters are candidates of .8, if
     `least` admits that, matches of patterns of .9; of several at one place the surest stays, then the first by type."""
-    patterns = PATTERNS | ({"eng": ["[A-Za-z]{2,}"]} if least <= 0.8 else {})
-    rows = pattern_spans(docs, id_, text, patterns).withColumn("confidence", F.when(F.col("kind") == "eng", 0.8).otherwise(0.9))
-    best = F.min(F.struct((-F.col("confidence")).alias("o"), "kind"))
-    return rows.groupBy(id_, "match", "start", "end").agg(best.alias("b")).select(id_, "match", "start", "end", F.col("b.kind").alias("type"), (-F.col("b.o")).alias("confidence"))
+    listed = [(kind, p) for kind, ps in sorted(PATTERNS.items()) for p in ps] + ([("eng", "[A-Za-z]{2,}")] if least <= 0.8 else [])
+    kind_of_id = docs.schema[id_].dataType.simpleString()
+    made = f"`{id_}` {kind_of_id}, match string, start int, end int, type string, confidence double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        searched = {p: re.compile(quick(p), re.ASCII) for _, p in listed if p != "[A-Za-z]{2,}"} | {"[A-Za-z]{2,}": re.compile("[A-Za-z][A-Za-z]+")}
+        for batch in batches:
+            at, spans = [], []
+            for n, t in enumerate(batch.column(1).to_pylist()):
+                if t is not None:
+                    can, best = set(searchable(list(searched), t)), {}
+                    for kind, p in listed:  # the surest first, then by type
+                        if p in can:
+                            for m in searched[p].finditer(t):
+                                best.setdefault(m.span(), kind)
+                    at += [n] * len(best)
+                    spans += [(t[a:b], a, b, kind, 0.8 if kind == "eng" else 0.9) for (a, b), kind in best.items()]
+                if len(at) >= SPANS or n + 1 == batch.num_rows:
+                    columns = zip(*spans, strict=True) if spans else ([],) * 5
+                    kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.float64())
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], [id_, "match", "start", "end", "type", "confidence"])
+                    at, spans = [], []
+
+    rows = docs.select(id_, F.col(text).alias("__text"))
+    # what a place is counts once a row; only rows that share an id have to meet
+    shared = rows.groupBy(id_).agg(F.count("*").alias("n")).where("n > 1").select(F.col(id_).alias("__shared"))
+    same = F.col(id_).eqNullSafe(F.col("__shared"))
+    alone = rows.join(shared, same, "left_anti").mapInArrow(run, made)
+    best = F.min(F.struct((-F.col("confidence")).alias("o"), "type"))
+    several = rows.join(shared, same, "left_semi").mapInArrow(run, made).groupBy(id_, "match", "start", "end").agg(best.alias("b"))
+    return alone.unionByName(several.select(id_, "match", "start", "end", F.col("b.type").alias("type"), (-F.col("b.o")).alias("confidence")))
 
 
 def chinese_names(text: Column) -> Column:
