@@ -37,6 +37,8 @@ _SPACE = r"(?U)\s+"
 #: The same characters, for what is cut in Python.
 WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
+_GAPS = re.compile(f"[{WHITE_SPACE}]+")
+
 
 def stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
@@ -238,13 +240,29 @@ def cleaned_docx(text: Column) -> Column:
     return stripped(out)
 
 
+#: The steps of `cleaned_pdf`: pattern, replacement, and what a text in lower case must have for it ("": nothing; None: a
+#: character beyond ASCII). Gaps are single spaces by then.
+PDF_STEPS = [(f"([{CJK}])\\s+(?=[{CJK}])", r"\1", None), (r"\s+([，。！？；：])", r"\1", None), (r"([「『（【《〈])\s+", r"\1", None), (f"(\\d)\\s+([{CJK}])", r"\1\2", None), (f"([{CJK}])\\s+(\\d)", r"\1\2", None)]
+PDF_STEPS += [(p, "", sign) for p, sign in zip(PAGE_MARKS, (None, "page", "/", "-", "[", "", ""), strict=True)]
+PDF_STEPS += [(p, "", sign) for p, sign in zip(CLOSING_MARKS, ("copyright", None, None, None, "confidential", None), strict=True)]
+
+
+def without_page_marks(text: str, steps: list[tuple[re.Pattern, str, str | None]]) -> str:
+    for pattern, new, sign in steps:
+        if not text.isascii() if sign is None else sign in text.lower():
+            text = pattern.sub(new, text)
+    return text
+
+
 def cleaned_pdf(text: Column) -> Column:
     """Page text as one line: gaps within Chinese closed, page numbers, dates and what follows a copyright mark dropped."""
-    out = F.regexp_replace(text, _SPACE, " ")
-    steps = [(f"([{CJK}])\\s+(?=[{CJK}])", "$1"), (r"\s+([，。！？；：])", "$1"), (r"([「『（【《〈])\s+", "$1"), (f"(\\d)\\s+([{CJK}])", "$1$2"), (f"([{CJK}])\\s+(\\d)", "$1$2"), (" +", " ")]
-    for pattern, new in steps + [(p, "") for p in PAGE_MARKS + CLOSING_MARKS] + [(r"[^\p{L}\p{N}_\s，。！？；：「」『』（）【】《》〈〉—–…－(),.!?;:\"']", "")]:
-        out = F.regexp_replace(out, pattern, new)
-    return stripped(out)
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series) -> pd.Series:
+        steps = [(re.compile(quick(p), re.ASCII), new, sign) for p, new, sign in PDF_STEPS]  # classes are of ASCII, as in the JVM
+        return texts.map(lambda t: None if t is None else without_page_marks(_GAPS.sub(" ", t), steps))
+
+    return stripped(F.regexp_replace(cut(text), r"[^\p{L}\p{N}_\s，。！？；：「」『』（）【】《》〈〉—–…－(),.!?;:\"']", ""))
 
 
 def flattened_table(rows: Column) -> Column:
