@@ -26,7 +26,7 @@ from .common import materialize
 
 K1, B = 1.2, 0.75
 #: Most documents and bytes of a shard.
-SHARD_DOCS, SHARD_BYTES = 8192, 32_000_000
+SHARD_DOCS, SHARD_BYTES = 4096, 16_000_000
 #: Documents of a block, queries that are searched side by side, and most terms that are laid out as rows.
 BLOCK_DOCS, SIDE, ROWS = 64, 256, 1024
 #: Room for the error of sums in single precision.
