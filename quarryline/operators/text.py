@@ -221,8 +221,9 @@ def edit_matches(names: DataFrame, queries: DataFrame, most: int = 2) -> DataFra
     A query is cut into `most` + 1 pieces, as even as can be. So many edits leave one of them whole, and in a name, which is
     at most `most` characters longer or shorter, it begins at most `most` characters earlier or later: the join is on the
     query's length, the piece's number and the piece, `most` + 1 rows a query and (2 * `most` + 1) ^ 2 times as many a name,
-    each of a share of its characters. The distance is checked after. A query shorter than `most` + 1 characters has an
-    empty piece, which all names of about its length share.
+    each of a share of its characters. Only names of about the length of some query are taken apart, each within its row, so
+    that no task holds the pieces. The distance is checked after. A query shorter than `most` + 1 characters has an empty
+    piece, which all names of about its length share.
     """
     shifts = F.sequence(F.lit(-most), F.lit(most))
     bound = lambda n, i: F.floor(n * i / (most + 1)).cast("int")
@@ -230,13 +231,15 @@ def edit_matches(names: DataFrame, queries: DataFrame, most: int = 2) -> DataFra
     n = F.length("query")
     own = F.array(*[F.struct(F.lit(i).alias("i"), F.substr("query", bound(n, i) + 1, size(n, i)).alias("piece")) for i in range(most + 1)])
     asked = queries.select("query").distinct().select("query", n.alias("n"), F.explode(own).alias("s")).select("query", "n", "s.*")
-    of = names.select("name").distinct().select("name", F.explode(F.transform(shifts, lambda d: F.length("name") + d)).alias("n")).where("n >= 0")
+    lengths = F.broadcast(queries.select(n.alias("n")).distinct())  # a row a length
+    of = names.select("name").distinct().select("name", F.explode(F.transform(shifts, lambda d: F.length("name") + d)).alias("n")).where("n >= 0").join(lengths, "n", "left_semi")
     n = F.col("n")
 
     def spans(i: int) -> Column:
-        return F.transform(shifts, lambda d: F.struct(F.lit(i).alias("i"), (bound(n, i) + d).alias("at"), F.substr("name", bound(n, i) + d + 1, size(n, i)).alias("piece")))
+        starts = F.filter(F.transform(shifts, lambda d: bound(n, i) + d), lambda at: at >= 0)
+        return F.transform(starts, lambda at: F.struct(F.lit(i).alias("i"), F.substr("name", at + 1, size(n, i)).alias("piece")))
 
-    told = of.select("name", "n", F.explode(F.concat(*[spans(i) for i in range(most + 1)])).alias("s")).where("s.at >= 0").select("name", "n", "s.i", "s.piece").distinct()
+    told = of.select("name", "n", F.explode(F.array_distinct(F.concat(*[spans(i) for i in range(most + 1)]))).alias("s")).select("name", "n", "s.*")
     pairs = asked.join(told, ["n", "i", "piece"]).select("query", "name").distinct()
     limit = F.least(F.lit(most), F.floor(F.length("query") / 2))
     far = F.levenshtein("query", "name", most)  # -1 beyond; in time that grows with the length

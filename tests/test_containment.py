@@ -68,3 +68,21 @@ def test_long_names(spark):
     queries = spark.createDataFrame([(long[:-1],), (long[:2_500] + "x" + long[2_500:],), ("shirt",)], "query string")
     got = {(len(q), len(n), d) for q, n, d in edit_matches(names, queries).collect()}
     assert got == {(4_999, 5_000, 1), (4_999, 5_001, 2), (5_001, 5_000, 1), (5_001, 5_001, 2), (5, 5, 1)}
+
+
+def test_matches_among_many_names(spark):
+    """Names of another length than any query, and names that share their pieces: no task holds the pieces of all."""
+    sc = spark.sparkContext
+    gateway = sc._gateway
+
+    def peak():
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return {(s.stageId(), s.attemptId()): s.peakExecutionMemory() for s in (stages.apply(k) for k in range(stages.size()))}
+
+    names = spark.range(30_000).selectExpr("concat('supplier#', lpad(id, 9, '0')) AS name")
+    names = names.unionByName(spark.createDataFrame([("nation_1",), ("aaaaaaaa",), ("nation_12",)], "name string"))
+    queries = spark.createDataFrame([("naton_1",), ("aaaaaaab",)], "query string")
+    before = peak()
+    got = {tuple(r) for r in edit_matches(names, queries).collect()}
+    assert got == {("naton_1", "nation_1", 1), ("naton_1", "nation_12", 2), ("aaaaaaab", "aaaaaaaa", 1)}
+    assert 0 < max(m for k, m in peak().items() if k not in before) < 250_000_000
