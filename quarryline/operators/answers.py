@@ -64,8 +64,32 @@ def _with_few(questions: DataFrame, found: DataFrame, n: int) -> DataFrame:
     return questions.select("query_id").join(counts, "query_id", "left").where(F.coalesce("n", F.lit(0)) < n).select("query_id")
 
 
+def asked_once(targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The targets (query_id, id) of the first of those questions that have just the same ones, and each question with that
+    first one: (query_id, first). What depends on the targets alone is worked out once for all of them (`for_each`)."""
+    sets = targets.groupBy("query_id").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    sets = sets.select("query_id", "ids", F.sha2(F.to_json("ids"), 256).alias("key"))  # to join by; the ids decide
+    firsts = sets.groupBy("key", "ids").agg(F.min("query_id").alias("first"))
+    like = written(sets.join(firsts, ["key", "ids"]).select("query_id", "first"))
+    own = like.where("query_id = first").select("query_id")
+    return written(targets.select("query_id", "id").join(own, "query_id", "left_semi")), like
+
+
+def for_each(like: DataFrame, found: DataFrame) -> DataFrame:
+    """What was found for the first of like questions, for each of them."""
+    rest = [c for c in found.columns if c != "query_id"]
+    return like.join(found.withColumnRenamed("query_id", "first"), "first").select("query_id", *rest)
+
+
 def related_entities(targets: DataFrame, relationships: DataFrame, hops: int = 2, most: int = 20) -> DataFrame:
-    """Entities within so many steps of a question's targets, the nearest first: (query_id, id, hop), `most` at most."""
+    """Entities within so many steps of a question's targets, the nearest first: (query_id, id, hop), `most` at most.
+    Questions with the same targets are followed once."""
+    targets, like = asked_once(targets)
+    return for_each(like, reached(targets, relationships, hops, most))
+
+
+def reached(targets: DataFrame, relationships: DataFrame, hops: int = 2, most: int = 20) -> DataFrame:
+    """`related_entities` followed for each question by itself."""
     links = relationships.where("src <> dst").select(F.col("src").alias("id"), F.col("dst").alias("other"))
     links = links.unionByName(links.select(F.col("other").alias("id"), F.col("id").alias("other"))).distinct()
     seen = targets.select("query_id", "id", F.lit(0).alias("hop"))
@@ -88,6 +112,14 @@ def related_entities(targets: DataFrame, relationships: DataFrame, hops: int = 2
     return seen.where("hop > 0").withColumn("place", place).where(F.col("place") <= most).select("query_id", "id", "hop")
 
 
+def retrieved_units(targets: DataFrame, relationships: DataFrame, entities: DataFrame) -> DataFrame:
+    """The units (`relevant_units`) of each question's targets and what is related to them, found once for questions with
+    the same targets."""
+    targets, like = asked_once(targets)
+    related = written(reached(targets, relationships)).select("query_id", "id")
+    return for_each(like, written(relevant_units(targets.unionByName(related), entities)))
+
+
 def relevant_units(ids: DataFrame, entities: DataFrame, most: int = 20) -> DataFrame:
     """Text units by the share of a question's entities (query_id, id) that name them: (query_id, unit_id, score, place)."""
     total = ids.groupBy("query_id").agg(F.count("*").alias("total"))
@@ -161,9 +193,10 @@ def local_search(questions: DataFrame, entities: DataFrame, relationships: DataF
     """An answer's material and confidence for each question that names an entity: query_id, strategy, targets (names in
     focus), related, relationships, evidence (counts), sources, confidence."""
     targets = written(matched_entities(questions, entities))
-    related = written(related_entities(targets, relationships))
-    ids = targets.select("query_id", "id").unionByName(related.select("query_id", "id"))
-    retrieved = relevant_units(ids, entities)
+    firsts, like = asked_once(targets)
+    near = written(reached(firsts, relationships))
+    related = for_each(like, near)
+    retrieved = for_each(like, relevant_units(firsts.unionByName(near.select("query_id", "id")), entities))
     primary = primary_entities(targets, entities)
     evidence = written(evidence_texts(primary, retrieved, units))
     keys = key_relationships(targets, relationships)

@@ -78,9 +78,7 @@ def _related(s, d):
 
 
 def _retrieved(s, d, t=None):
-    t = t or _targets(s, d)
-    ids = t.select("query_id", "id").unionByName(A.related_entities(t, relationships(s, d)).select("query_id", "id"))
-    return A.relevant_units(ids, entities(s, d))
+    return A.retrieved_units(t or _targets(s, d), relationships(s, d), entities(s, d))
 
 
 def _network(s, d):

@@ -60,3 +60,36 @@ def test_matches_of_shared_names(spark, sizes):
     assert got[2] == [(x, 4) for x in first] and got[3] == [(x, 3) for x in first]
     assert got[4] == [("b123", 1)] + [(x, 2) for x in first[:9]]
     assert max(sizes[1:]) <= 10 * 8
+
+
+def test_like_questions_are_followed_once(spark, sizes):
+    """Of 300 questions with two sets of targets, what is related and the units are written out for two."""
+    rels = spark.createDataFrame([(f"s{k:03}", f"n{k % 2}", "trades") for k in range(100)] + [("n0", "top", "lies"), ("n1", "top", "lies")], "src string, dst string, description string")
+    entities = spark.createDataFrame([(f"s{k:03}", [k]) for k in range(100)] + [("n0", [500, 501, 500]), ("n1", [502, 3]), ("top", None)], "id string, units array<long>")
+    sets = [["s005", "n0"], ["n0", "s005"], ["n1"]]
+    targets = spark.createDataFrame([(q, x) for q in range(300) for x in sets[q % 3]], "query_id int, id string")
+    got, related = {}, {}
+    for r in A.retrieved_units(targets, rels, entities).collect():
+        got.setdefault(r["query_id"], []).append((r["place"], r["unit_id"], r["score"]))
+    for r in A.related_entities(targets, rels).collect():
+        related.setdefault(r["query_id"], []).append((r["hop"], r["id"]))
+    assert max(x for x in sizes if x != 300) <= 204  # the links, both ways; 300 are the questions with their first
+    units = {f"s{k:03}": {k} for k in range(100)} | {"n0": {500, 501}, "n1": {502, 3}, "top": set()}
+    links = {}
+    for k in range(100):
+        links.setdefault(f"s{k:03}", set()).add(f"n{k % 2}")
+        links.setdefault(f"n{k % 2}", set()).add(f"s{k:03}")
+    for n in ("n0", "n1"):
+        links[n].add("top")
+        links.setdefault("top", set()).add(n)
+    for q in range(300):
+        seen, frontier, order = set(sets[q % 3]), set(sets[q % 3]), []
+        for hop in (1, 2):
+            frontier = {y for x in frontier for y in links[x]} - seen
+            seen |= frontier
+            order += [(hop, y) for y in sorted(frontier)]
+        assert sorted(related[q]) == order[:20]
+        ids = sets[q % 3] + [x for _, x in order[:20]]
+        counts = {u: sum(u in units[x] for x in ids) for x in ids for u in units[x]}
+        best = sorted(counts, key=lambda u: (-counts[u], u))[:20]
+        assert sorted(got[q]) == [(k + 1, u, counts[u] / len(ids)) for k, u in enumerate(best)]
