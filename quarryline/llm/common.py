@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,12 +29,17 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Spark's switch for removing an action's shuffle files when it ends; else they stay until the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write `df` as a table in the shared folder and read it back: cuts the lineage, survives lost executors, and
-    gives the planner true sizes."""
+    gives the planner true sizes. What was shuffled for it is removed."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with setting(spark, CLEANUP, True):
+        df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._quarryline_path = path
     return table
@@ -48,17 +53,20 @@ def discard(*tables: DataFrame) -> None:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 200) -> Iterator[None]:
-    """Batches of few rows for what is run within, where a row can be large."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def setting(spark: SparkSession, name: str, value: object) -> Iterator[None]:
     before = spark.conf.get(name)
-    spark.conf.set(name, rows)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         spark.conf.set(name, before)
 
 
+def small_batches(spark: SparkSession, rows: int = 200) -> AbstractContextManager[None]:
+    """Batches of few rows for what is run within, where a row can be large."""
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fold that no model learns from (a null id is not held out, and isn't learned from either)."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))

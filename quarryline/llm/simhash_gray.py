@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_trie import in_blocks
-from .common import discard, materialize, small_batches
+from .common import CLEANUP, discard, materialize, setting, small_batches
 from .components import connected_components
 
 PARTS = 4
@@ -311,7 +311,8 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, row: str
                     yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, words))], ["h"])
 
         sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(8)) == 0).select("text").mapInArrow(explode, "h long")
-        often = sample.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
+        with setting(spark, CLEANUP, True):
+            often = sample.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
         known = np.array(sorted((r["h"], r["n"]) for r in often), np.int64).reshape(-1, 2)
     sent = spark.sparkContext.broadcast(known)
 
@@ -338,6 +339,8 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, row: str
     with small_batches(spark, 2000):
         marked = materialize(rows.mapInArrow(mark, f"row long, doc_id {kind}, key binary, n long, {made}, prefix array<bigint>"))
     distinct = materialize(marked.groupBy("key").agg(F.min("doc_id").alias("least"), F.min("row").alias("uid"), *[F.first(c).alias(c) for c in ("n", *names, "prefix")]))
+    wide, marked = marked, materialize(marked.select("doc_id", "key"))
+    discard(wide)
     texts = rows.select(F.col("row").alias("uid"), "text")
     draw = np.random.default_rng(17)
     picks = [draw.choice(64 * WIDE, KEY_BITS, replace=False) for _ in range(TABLES // 4 if exact else TABLES)]
@@ -378,21 +381,23 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, row: str
         parts = _completed(distinct, names, links_, parts, first.unionByName(second), texts, words, least)
     roots = distinct.select("key", "least", "uid").join(parts, distinct.uid == parts.node, "left").select("key", "least", F.coalesce("component", "uid").alias("root"))
     smallest = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    out = materialize(marked.select("doc_id", "key").join(roots.join(smallest, "root").select("key", "component_id"), "key").select("doc_id", "component_id"))
+    out = materialize(marked.join(roots.join(smallest, "root").select("key", "component_id"), "key").select("doc_id", "component_id"))
     discard(marked, distinct, near, first, second)
     return out
 
 
 #: Texts of a list of one shingle up to which their pairs are written out; the sets of longer lists' texts are compared where
-#: they meet, in blocks of at most so many texts and shingles.
-LISTED, CROWD, CROWD_SHINGLES = 24, 1000, 1_000_000
+#: they meet, in blocks of at most so many texts and shingles, but first their fingerprints, in blocks of more texts.
+LISTED, CROWD, CROWD_SHINGLES, CROWD_CODES = 24, 1000, 1_000_000, 4096
 
 
 def _completed(distinct: DataFrame, names: list[str], links_: DataFrame, parts: DataFrame, tried: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
     """The components with the links between different ones of `parts` that a prefix filter finds.
 
     Of a list of few texts that share a shingle the pairs are written out and verified one by one. In a list of many, the
-    texts' whole sets meet and only links that join parts leave, so what is written grows with the list, not its square.
+    texts' fingerprints meet, which tell the texts that none of the list can be linked with; of the others the whole sets
+    meet, in one list for each two texts, and only links that join parts leave, so what is written grows with the list, not
+    its square.
     """
     shared = distinct.where("n > 0").select("uid", "n", F.posexplode("prefix").alias("at", "h"))
     rooted = shared.join(parts, shared.uid == parts.node, "left").select("h", F.coalesce("component", "uid").alias("root"), "uid", "n", "at")
@@ -403,7 +408,7 @@ def _completed(distinct: DataFrame, names: list[str], links_: DataFrame, parts:
         several = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts) if len(h) else starts > 0
         for a, b in zip(starts[several], ends[several], strict=True):
             if b - a > LISTED:
-                yield pa.RecordBatch.from_arrays([pa.array(h[a:b]), pa.array(uid[a:b]), pa.array(root[a:b]), pa.array(n[a:b])], ["grp", "uid", "root", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[a:b]), pa.array(uid[a:b]), pa.array(root[a:b]), pa.array(n[a:b]), pa.array(at[a:b].astype(np.int64))], ["grp", "uid", "root", "n", "at"])
                 continue
             i, j = np.triu_indices(b - a, 1)
             i, j = i + a, j + a
@@ -413,22 +418,86 @@ def _completed(distinct: DataFrame, names: list[str], links_: DataFrame, parts:
             if keep.any():
                 i, j = i[keep], j[keep]
                 none = pa.nulls(len(i), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, pa.array(np.minimum(uid[i], uid[j])), pa.array(np.maximum(uid[i], uid[j])), none], ["grp", "uid", "root", "n"])
+                yield pa.RecordBatch.from_arrays([none, pa.array(np.minimum(uid[i], uid[j])), pa.array(np.maximum(uid[i], uid[j])), none, none], ["grp", "uid", "root", "n", "at"])
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found in whole_groups(batches, across):
             yield from found
 
-    met = materialize(rooted.repartition("h").sortWithinPartitions("h", "uid").mapInArrow(rest, "grp long, uid long, root long, n long"))
+    met = materialize(rooted.repartition("h").sortWithinPartitions("h", "uid").mapInArrow(rest, "grp long, uid long, root long, n long, at long"))
     # a pair that has been looked at isn't linked, or it would be in one part; most others have a passage in common only,
     # which their fingerprints tell
     pairs = met.where("grp IS NULL").select(F.col("uid").alias("src"), F.col("root").alias("dst")).distinct().join(tried, ["src", "dst"], "left_anti")
     a, b = (distinct.select(F.col("uid").alias(end), F.array(*names).alias(f)) for end, f in (("src", "a"), ("dst", "b")))
     bits = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
     pairs = materialize(pairs.join(a, "src").join(b, "dst").where(bits <= FAR).select("src", "dst"))
-    found = links_.unionByName(verified(pairs, texts, words, least)).unionByName(_crowd_links(met.where("grp IS NOT NULL"), texts, words, least))
+    crowds = _crowds(met.where("grp IS NOT NULL"), distinct.select("uid", *names), names, least)
+    found = links_.unionByName(verified(pairs, texts, words, least)).unionByName(_crowd_links(crowds, texts, words, least))
     out = connected_components(found)
-    discard(met, pairs)
+    discard(met, pairs, crowds)
+    return out
+
+
+def in_crowd_blocks(members: DataFrame, load: Column) -> DataFrame:
+    """Members (grp, uid, ...) whose loads in a grp sum up to more than 1 cut into blocks by a hash: each member is dealt to
+    each pair of blocks that its own is in, of which the new grp is the name."""
+    blocks = members.groupBy("grp").agg(F.ceil(F.sum(load)).cast("int").alias("blocks"))
+    dealt = members.join(blocks, "grp").withColumn("own", F.pmod(F.xxhash64(F.lit(1), "uid"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.withColumn("pair", F.xxhash64("grp", F.least("own", "other"), F.greatest("own", "other"))).drop("blocks", "own", "other")
+
+
+def _crowds(members: DataFrame, codes: DataFrame, names: list[str], least: float) -> DataFrame:
+    """The members (grp, uid, root, n; at: the place of the list's shingle) that may be linked with one of another root in
+    their grp, as sizes, places and fingerprints go, and that share no grp of a smaller number with that one: each pair is
+    compared once, in however many lists it is, so a text's set goes to few of its lists."""
+
+    def keep(pair: np.ndarray, grp: np.ndarray, uid: np.ndarray, root: np.ndarray, n: np.ndarray, at: np.ndarray, *rest: np.ndarray) -> pa.RecordBatch:
+        words, live = [w.view(np.uint64) for w in rest[:WIDE]], np.zeros(len(pair), bool)
+        starts = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]]) if len(pair) else np.zeros(0, np.int64)
+        for a, b in zip(starts, [*starts[1:], len(pair)], strict=False):  # in order of n
+            others = memberships(rest[WIDE][a:b]) if len(rest) > WIDE else []
+            for x in range(a, b, 256):
+                y = min(b, x + 256)
+                end = a + int(np.searchsorted(n[a:b], n[y - 1] / least + 1e-6, "right"))
+                one, other = (slice(x, y), None), slice(x, end)
+                most = np.minimum(at[one], at[other]) + np.minimum(n[one] - at[one], n[other] - at[other])
+                may = (root[one] != root[other]) & (n[one] >= least * n[other] - 1e-9) & (most >= least * (n[one] + n[other] - most) - 1e-9)
+                for has in others:
+                    may &= has[x - a : y - a] @ has[x - a : end - a].T == 0
+                i, j = np.nonzero(may)
+                i, j = i + x, j + x
+                for k in range(0, len(i), PAIRS):
+                    p, q = i[k : k + PAIRS], j[k : k + PAIRS]
+                    off = sum(np.bitwise_count(w[p] ^ w[q]).astype(np.int16) for w in words)
+                    live[p[off <= FAR]] = live[q[off <= FAR]] = True
+        return pa.RecordBatch.from_arrays([pa.array(x[live]) for x in (grp, uid, root, n, at)], ["grp", "uid", "root", "n", "at"])
+
+    def kept(members: DataFrame, most: int, *more: str) -> DataFrame:
+        dealt = in_crowd_blocks(members, F.lit(1.0) / most).join(codes, "uid").select("pair", "grp", "uid", "root", "n", "at", *names, *more)
+        met = dealt.repartition("pair").sortWithinPartitions("pair", "n")
+        return materialize(met.mapInArrow(lambda batches: whole_groups(batches, keep), "grp long, uid long, root long, n long, at long").distinct())
+
+    first = kept(members, CROWD_CODES)
+    lists = first.groupBy("uid").agg(F.array_sort(F.collect_list("grp")).alias("lists"))
+    lower = first.join(lists, "uid").withColumn("lower", F.filter("lists", lambda x: x < F.col("grp"))).drop("lists")
+    with small_batches(members.sparkSession, 2000):
+        found = kept(lower, CROWD, "lower")
+    discard(first)
+    return found
+
+
+def memberships(lists: np.ndarray) -> list[np.ndarray]:
+    """0/1 matrices, of a bounded number of columns each: which of the numbers that several lists have each list has."""
+    _, of, times = np.unique(np.concatenate([np.zeros(0, np.int64), *lists]), return_inverse=True, return_counts=True)
+    who, place = np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.cumsum(times > 1) - 1
+    who, of = who[times[of] > 1], place[of[times[of] > 1]]
+    out = []
+    for k in range(0, int((times > 1).sum()), 1024):
+        some = (of >= k) & (of < k + 1024)
+        has = np.zeros((len(lists), 1024), np.float32)
+        has[who[some], of[some] - k] = 1
+        out.append(has)
     return out
 
 
@@ -437,10 +506,7 @@ def _crowd_links(members: DataFrame, texts: DataFrame, words: int, least: float)
     shingles); texts of one root are joined already. A grp of more than CROWD texts or CROWD_SHINGLES shingles is cut into
     blocks by a hash, and each pair of blocks is compared in one place."""
     load = F.greatest(F.lit(1.0) / CROWD, F.col("n") / CROWD_SHINGLES)
-    blocks = members.groupBy("grp").agg(F.ceil(F.sum(load)).cast("int").alias("blocks"))
-    dealt = members.join(blocks, "grp").withColumn("own", F.pmod(F.xxhash64(F.lit(1), "uid"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select(F.xxhash64("grp", F.least("own", "other"), F.greatest("own", "other")).alias("grp"), "uid", "root")
+    dealt = in_crowd_blocks(members, load).select(F.col("pair").alias("grp"), "uid", "root")
     sets = shingle_sets(texts, materialize(members.select("uid").distinct()), words)
 
     def compare(grp: np.ndarray, uid: np.ndarray, root: np.ndarray, sets: np.ndarray) -> pa.RecordBatch:

@@ -1,6 +1,7 @@
 """The pipeline's near-copy stage loses no link, and large groups of texts somewhat below the limit are compared in blocks."""
 
 import random
+import time
 
 import corpus_pipeline
 import numpy as np
@@ -73,3 +74,47 @@ def test_alike():
     sets += [s[: max(1, int(len(s) * 0.85))] for s in sets[:30]]
     want = {(i, j) for j in range(90) for i in range(j) if 10 * len(both := np.intersect1d(sets[i], sets[j])) >= 8 * (len(sets[i]) + len(sets[j]) - len(both))}
     assert set(zip(*(x.tolist() for x in simhash_gray.alike(sets, 0.8)), strict=True)) == want and len(want) >= 25
+
+
+def test_a_pair_meets_in_one_list(spark, monkeypatch):
+    """Texts somewhat below the limit share many shingles, but their sets go to few of the lists; no shuffle file stays."""
+    monkeypatch.setattr(simhash_gray, "LISTED", 4)
+    sent, plain = [], simhash_gray._crowd_links
+
+    def counted(members, *rest):
+        sent.append((members.count(), members.select("uid").distinct().count()))
+        return plain(members, *rest)
+
+    monkeypatch.setattr(simhash_gray, "_crowd_links", counted)
+    monkeypatch.setattr(simhash_gray, "NEAR", -1)
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(3000)]
+    base = rng.choices(words, k=200)
+    texts = []
+    for _ in range(60):
+        some = list(base)
+        for at in rng.sample(range(len(base)), rng.choice([2, 3, 5, 6])):
+            some[at] = rng.choice(words)
+        texts.append(" ".join(some))
+    # a line that all have in common, which tells nothing
+    texts += [" ".join(base[:6] + rng.choices(words, k=30)) for _ in range(40)]
+    got = {r.doc_id: r.component_id for r in simhash_gray.similar_groups(frame(spark, texts)).collect()}
+    assert got == dict(enumerate(brute(texts)))
+    rows, distinct = sent[0]
+    assert 40 <= distinct <= 60 and rows <= 12 * distinct
+
+
+def test_shuffle_files_go_with_the_table(spark, tmp_path):
+    from quarryline.llm.common import CLEANUP, materialize
+
+    before = spark.conf.get(CLEANUP)
+    tracker = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    spark.sparkContext._jvm.System.gc()
+    had = tracker.shuffleStatuses().size()
+    one = materialize(spark.range(1000).repartition(7, "id"))
+    assert one.count() == 1000 and spark.conf.get(CLEANUP) == before
+    for _ in range(50):
+        if tracker.shuffleStatuses().size() <= had + 1:  # that of the count
+            break
+        time.sleep(0.1)
+    assert tracker.shuffleStatuses().size() <= had + 1
