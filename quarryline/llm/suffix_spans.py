@@ -26,9 +26,10 @@ from .common import materialize
 
 WINDOW, GRAM = 50, 26
 #: Bytes of text in a block of documents, and of those that are hashed at once.
-BLOCK_BYTES, HASHED_BYTES = 2_000_000, 250_000
-#: Anchors of a group in an exchange, on average.
-GROUP = 250_000
+BLOCK_BYTES, HASHED_BYTES = 8_000_000, 250_000
+#: Anchors of a group in an exchange, on average; a quarter, if that makes no more than FEW groups. Each block sends a row to
+#: each group, so the rows are fewer by the square as blocks and groups are larger.
+GROUP, FEW = 1_000_000, 48
 #: Anchors whose windows are sorted at once (those of one anchor string together).
 SORTED = 16_384
 #: Anchor strings of more places than this are hot: their windows are dealt by their own bytes, one by one.
@@ -143,6 +144,12 @@ def opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data, ends, ids
 
 
+def groups_of(n_blocks: int) -> int:
+    """The number of groups that the anchors of so many blocks are dealt to."""
+    n = n_blocks * BLOCK_BYTES // 12
+    return max(1, -(-n // GROUP), min(FEW, -(-4 * n // GROUP)))
+
+
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for i in range(batch.num_rows):
@@ -273,20 +280,23 @@ def contexts(packed_docs: DataFrame, masks: DataFrame, groups: int) -> DataFrame
             sent_grp = group_of(value[lead], groups)
             by = np.argsort(sent_grp, kind="stable")
             leader_place = np.empty(len(lead), np.int64)
+            to, starts = np.unique(sent_grp[by], return_index=True)
+            its = np.argsort(sent_grp[fate], kind="stable")
+            mine_at = np.searchsorted(sent_grp[fate][its], np.r_[to, groups])
             out = []
-            for g in np.unique(sent_grp):
-                part = by[sent_grp[by] == g]
+            for k, (g, a, b) in enumerate(zip(to.tolist(), starts, np.r_[starts, len(by)][1:], strict=True)):
+                part, mine = by[a:b], its[mine_at[k] : mine_at[k + 1]]
                 i = lead[part]
                 leader_place[part] = np.arange(len(part))
-                mine = np.flatnonzero(sent_grp[fate] == g) if len(fate) else np.zeros(0, np.int64)
                 size = length[i]
                 flat = np.repeat(low[i] - np.cumsum(size) + size, size) + np.arange(size.sum())
                 table = packed(hashes[i].view(np.int64), doc[i], low[i], place[i] - low[i], size - WINDOW + 1, low[followers[mine]], leader_place[fate[mine]])
-                out.append((int(g), row["block"], table, zstandard.ZstdCompressor(level=3).compress(data[flat].tobytes()), None))
+                out.append((g, row["block"], table, zstandard.ZstdCompressor(level=3).compress(data[flat].tobytes()), None))
             if len(local):
                 out.append((int(row["block"] % groups), row["block"], None, None, packed(low[local], (np.int64(1) << (high[local] - low[local] + 1)) - 1)))
-            for r in out:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0]], pa.int32()), pa.array([r[1]], pa.int64()), *[pa.array([x], pa.binary()) for x in r[2:]]], ["grp", "block", "anchors", "bytes", "local"])
+            for k in range(0, len(out), 64):
+                columns = zip(*out[k : k + 64], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.int64(), *[pa.binary()] * 3), strict=True)], ["grp", "block", "anchors", "bytes", "local"])
 
     joined = packed_docs.join(told, "block").select("block", "docs", "texts", "copies", "masks")
     return joined.mapInArrow(send, "grp int, block long, anchors binary, bytes binary, local binary")
@@ -500,7 +510,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         raise ValueError("doc_id must be an integer")
     spark, name = docs.sparkSession, f"blocks_{uuid.uuid4().hex}"
     packed_docs = blocks(docs, name)
-    groups = max(1, -(-packed_docs.count() * BLOCK_BYTES // 12 // GROUP))
+    groups = groups_of(packed_docs.count())
     packed_docs = packed_docs.join(materialize(copies(packed_docs)), "block", "left")
     masks = materialize(shared_anchors(packed_docs, groups))
     found = repeated_windows(contexts(packed_docs, masks, groups)).groupBy("block").agg(F.collect_list("found").alias("found"))
@@ -509,8 +519,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         for row in rows_of(batches):
             data, ends, _ = opened(row)
             starts = np.zeros(len(data) + WINDOW + 1, np.int32)
-            for blob in row["found"] or []:
-                low, bits = unpacked(blob, 2)
+            if row["found"]:
+                low, bits = (np.concatenate(x) for x in zip(*[unpacked(blob, 2) for blob in row["found"]], strict=True))
                 for k in range(WINDOW - GRAM + 1):
                     starts[low[(bits >> k) & 1 == 1] + k] = 1
             cover = starts.copy()

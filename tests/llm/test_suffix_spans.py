@@ -92,3 +92,18 @@ def test_ids_that_are_no_integers(spark):
         suffix_spans.remove_repeats(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
     empty = spark.createDataFrame([], "doc_id int, text string, kept string, block long")
     assert suffix_spans.remove_repeats(empty.withColumn("n", F.lit(1))).count() == 0
+
+
+def test_rows_of_the_exchanges_at_size(spark, monkeypatch):
+    """Each block sends a row to each group: over the 10 GB of text of 6 GB of documents that stays below two million rows. With many groups
+    the rows equal brute force, and a block's rows leave in few batches."""
+    n = 10_200_000_000 // suffix_spans.BLOCK_BYTES
+    assert n * suffix_spans.groups_of(n) < 2_000_000
+    monkeypatch.setattr(suffix_spans, "BLOCK_BYTES", 6000)
+    monkeypatch.setattr(suffix_spans, "GROUP", 40)
+    rng = random.Random(9)
+    words = [f"word{i}" for i in range(300)]
+    passages = [" ".join(rng.choices(words, k=12)) for _ in range(20)]
+    rows = [(i, " ".join([*rng.choices(words, k=20), rng.choice(passages), *rng.choices(words, k=rng.randint(0, 9)), rng.choice(passages)])) for i in range(150)]
+    assert suffix_spans.groups_of(6) > 48
+    assert found(spark, rows) == brute(rows)
