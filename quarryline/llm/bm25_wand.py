@@ -4,10 +4,11 @@ A shard is a bounded run of documents. Its inverted index holds, for the terms t
 and by document; terms that many of its documents have are laid out as rows, with their largest contribution in each block
 of documents. A query adds up the postings of its rare terms: what a document has so far bounds its score from below, so
 the k-th best of that is a floor, as is the k-th best score of the shards before; with the block's largest contributions of
-the frequent terms it is bounded from above. Blocks that can't reach the floor are skipped, the others get the frequent
-terms' rows, for many queries at once. Those bounds are in single precision with room for its error; what may be among the
+the frequent terms, or with all frequent terms of the document itself, it is bounded from above. What can't reach the floor is
+skipped; queries for which much is left get the frequent terms' rows, many queries at once. Those bounds are in single precision with room for its error; what may be among the
 best is then added up in double precision. Document counts and lengths are those of the whole table, so the scores of all
-shards compare and their best are merged exactly.
+shards compare and their best are merged exactly. Documents are taken apart into terms once; terms are told by hashes of 64
+bits, of which two of ten million terms share one by a chance of 3e-6.
 """
 
 from __future__ import annotations
@@ -17,22 +18,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .bpe_trie import in_blocks
-from .common import materialize
+from .common import discard, materialize, setting
 
 K1, B = 1.2, 0.75
-#: Most documents and bytes of a shard.
-SHARD_DOCS, SHARD_BYTES = 4096, 16_000_000
+#: Most documents and distinct terms of documents of a shard.
+SHARD_DOCS, SHARD_TERMS = 6144, 2_000_000
 #: Documents of a block, queries that are searched side by side, and most terms that are laid out as rows.
 BLOCK_DOCS, SIDE, ROWS = 64, 256, 1024
 #: Room for the error of sums in single precision.
 ERROR = 1e-4
 #: Queries, and terms of queries, that are sent to the tasks at once.
-QUERY_BLOCK, QUERY_TERMS = 8192, 2_000_000
+QUERY_BLOCK, QUERY_TERMS = 24_576, 6_000_000
+#: Documents of a shard left to a query up to which they are scored one by one.
+FEW = 24
+#: Postings from which on a list of a shard is copied by itself.
+LONG = 64
 #: ASCII letters in lower case, digits and all bytes beyond ASCII are parts of terms; the rest separates them.
 _TERMS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
 
@@ -92,29 +98,36 @@ def characteristic_terms(asking: DataFrame, n: int, df: DataFrame, most: int | N
 
 
 class Shard:
-    """The inverted index of a run of documents over the terms of a block of queries."""
+    """The inverted index of a run of documents over the terms of a block of queries. term_of and doc_of are the terms of the
+    documents, with repeats; or sorted and without them, with tf."""
 
-    def __init__(self, ids: list, lengths: list[int], term_of: np.ndarray, doc_of: np.ndarray, idf: np.ndarray, mean: float):
+    def __init__(self, ids: list, lengths: list[int], term_of: np.ndarray, doc_of: np.ndarray, idf: np.ndarray, mean: float, tf: np.ndarray | None = None):
         self.ids, n = ids, len(ids)
-        pair, tf = np.unique(term_of.astype(np.int64) * n + doc_of, return_counts=True)
-        term, self.doc = np.divmod(pair, n)
-        norm = K1 * (1 - B + B * np.array(lengths)[self.doc] / mean)
-        self.impact = idf[term] * tf * (K1 + 1) / (tf + norm)
-        self.at = np.searchsorted(term, np.arange(len(idf) + 1))
-        by_doc = np.argsort(self.doc, kind="stable")
-        self.doc_term, self.doc_impact = term[by_doc], self.impact[by_doc]
-        self.doc_at = np.searchsorted(self.doc[by_doc], np.arange(n + 1))
+        if tf is None:
+            pair, tf = np.unique(term_of.astype(np.int64) * n + doc_of, return_counts=True)
+            term_of, doc_of = np.divmod(pair, n)
+            del pair
+        term, doc = term_of.astype(np.int32), doc_of.astype(np.int32)
+        impact = tf * (K1 + 1) / (tf + (K1 * (1 - B + B * np.array(lengths) / mean))[doc])
+        impact *= idf[term]
+        self.at = np.searchsorted(term, np.arange(len(idf) + 1, dtype=np.int32))
+        by_doc = np.argsort(doc, kind="stable")
+        self.doc_term, self.doc_impact = term[by_doc], impact[by_doc]
+        self.doc_at = np.searchsorted(doc[by_doc], np.arange(n + 1, dtype=np.int32))
+        # a posting is one number: the document and the impact in single precision, side by side
+        self.post = np.column_stack([doc, impact.astype(np.float32).view(np.int32)]).view(np.int64).ravel()
         self.asked = np.zeros(len(idf), bool)
         self.n, self.wide = n, -(-n // BLOCK_DOCS) * BLOCK_DOCS
-        size = np.diff(self.at)
-        frequent = np.argsort(-size, kind="stable")[:ROWS]
-        frequent = frequent[size[frequent] >= max(BLOCK_DOCS, n // 16)]
-        self.row = np.full(len(idf), -1)
+        self.size = np.diff(self.at)
+        frequent = np.argsort(-self.size, kind="stable")[:ROWS]
+        frequent = frequent[self.size[frequent] >= max(BLOCK_DOCS, n // 16)]
+        self.row = np.full(len(idf), -1, np.int32)
         self.row[frequent] = np.arange(len(frequent))
         self.rows = np.zeros((len(frequent), self.wide), np.float32)
-        post = spans(self.at[frequent], size[frequent])
-        self.rows[np.repeat(np.arange(len(frequent)), size[frequent]), self.doc[post]] = self.impact[post]
+        for row, t in zip(self.rows, frequent.tolist(), strict=True):
+            row[doc[self.at[t] : self.at[t + 1]]] = impact[self.at[t] : self.at[t + 1]]
         self.most = self.rows.reshape(len(frequent), self.wide // BLOCK_DOCS, BLOCK_DOCS).max(axis=2)
+        self.own = self.rows.sum(axis=0).reshape(-1, BLOCK_DOCS)
 
     def search(self, queries: list[np.ndarray], k: int, floors: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query the places and scores of the documents that may be among the best k, of those that score its
@@ -126,27 +139,43 @@ class Shard:
 
     def _side_by_side(self, queries: list[np.ndarray], k: int, floors: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         m = len(queries)
+        score, named = np.zeros((m, self.wide), np.float32), np.zeros((m, len(self.rows)), np.float32)
+        floor = floors * (1 - ERROR)
         terms_, of = np.concatenate(queries), np.repeat(np.arange(m), [len(q) for q in queries])
-        row = self.row[terms_]
-        rare = row < 0
-        first, size = self.at[terms_[rare]], self.at[terms_[rare] + 1] - self.at[terms_[rare]]
-        post = spans(first, size)
-        score = np.bincount(np.repeat(of[rare], size) * self.wide + self.doc[post], self.impact[post], m * self.wide).astype(np.float32).reshape(m, self.wide)
-        named = np.zeros((m, len(self.rows)), np.float32)
-        named[of[~rare], row[~rare]] = 1
-        bound = score.reshape(m, -1, BLOCK_DOCS).max(axis=2) + named @ self.most
-        floor = floors.copy()
-        if self.n > k:
-            floor = np.maximum(floor, np.partition(score, -k, axis=1)[:, -k])
-        live = (bound >= floor[:, None] * (1 - ERROR)) & (bound > 0)
-        for b in np.flatnonzero(live.any(axis=0)).tolist():
-            who = np.flatnonzero(live[:, b])
-            docs = slice(b * BLOCK_DOCS, (b + 1) * BLOCK_DOCS)
-            score[who, docs] += named[who] @ self.rows[:, docs]
-        score.reshape(m, -1, BLOCK_DOCS)[~live] = 0
-        if self.n > k:
-            floor = np.maximum(floor, np.partition(score, -k, axis=1)[:, -k] * (1 - ERROR))
-        return [self._exact(q, np.flatnonzero((s >= f * (1 - ERROR)) & (s > 0)), k, g) for q, s, f, g in zip(queries, score, floor, floors, strict=True)]
+        row, size = self.row[terms_], self.size[terms_]
+        named[of[row >= 0], row[row >= 0]] = 1
+        # short lists are gathered for all queries at once, long ones are copied as a whole
+        short, long_ = ((row < 0) & (size > 0) & x for x in (size < LONG, size >= LONG))
+        gathered = self.post[spans(self.at[terms_[short]], size[short])]
+        cuts = np.cumsum(np.bincount(of[short], size[short], m)).astype(np.int64).tolist()
+        first, last = (self.at[terms_[long_] + x].tolist() for x in (0, 1))
+        turns = np.cumsum(np.bincount(of[long_], minlength=m)).tolist()
+        for q, (a, b, x, y) in enumerate(zip([0, *cuts], cuts, [0, *turns], turns, strict=False)):
+            pairs = np.concatenate([gathered[a:b], *[self.post[i:j] for i, j in zip(first[x:y], last[x:y], strict=True)]])
+            if len(pairs):
+                score[q] = np.bincount(pairs.view(np.int32)[::2], pairs.view(np.float32)[1::2], self.wide)
+            if floor[q] <= 0 and self.n > k:
+                floor[q] = np.partition(score[q], -k)[-k] * (1 - ERROR)
+        blocks = score.reshape(m, -1, BLOCK_DOCS)
+        bound = np.minimum((named @ self.most)[:, :, None], self.own)
+        bound += blocks
+        floor = floor.astype(np.float32)[:, None, None] * np.float32(1 - ERROR)
+        live = (bound >= floor) & (bound > 0)
+        left = live.sum(axis=(1, 2))
+        many = np.flatnonzero(left > FEW)
+        if len(many):
+            full = score[many] + named[many] @ self.rows
+            full[~live[many].reshape(len(many), -1)] = 0
+            for s, q in zip(full, many.tolist(), strict=True):
+                g = floor[q, 0, 0]
+                found = np.flatnonzero((s >= g) & (s > 0))
+                if len(found) > 4 * k:
+                    found = found[s[found] >= max(g, np.partition(s[found], -k)[-k] * (1 - ERROR) ** 2)]
+                live[q] = False
+                live[q].reshape(-1)[found] = True
+                left[q] = len(found)
+        none = np.zeros(0, np.int64), np.zeros(0)
+        return [self._exact(query, np.flatnonzero(live[q].reshape(-1)[: self.n]), k, floors[q]) if left[q] else none for q, query in enumerate(queries)]
 
     def _exact(self, query: np.ndarray, found: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
         """Scores in full, each in the order of terms, so that equal documents of all shards score the same."""
@@ -167,11 +196,31 @@ def spans(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
 
 
+SEED = 42
+
+
+def term_vectors(docs: DataFrame) -> DataFrame:
+    """(doc_id, length, hashes, counts) of each document, written: its number of terms, and the hashes and numbers of its
+    distinct ones as bytes of 64 and 32 bits each."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh64_intdigest
+        for batch in batches:
+            for block in in_blocks(batch, 1_000_000):
+                found = [Counter(terms(t)) for t in block.column(1).to_pylist()]
+                hashes = [np.fromiter((digest(w, SEED) for w in tf), np.uint64, len(tf)).tobytes() for tf in found]
+                counts = [np.fromiter(tf.values(), np.int32, len(tf)).tobytes() for tf in found]
+                yield pa.RecordBatch.from_arrays([block.column(0), pa.array([tf.total() for tf in found], pa.int64()), pa.array(hashes, pa.binary()), pa.array(counts, pa.binary())], ["doc_id", "length", "hashes", "counts"])
+
+    return materialize(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, length long, hashes binary, counts binary"))
+
+
 def search(docs: DataFrame, queries: DataFrame, n: int, mean: float, k: int = 10) -> DataFrame:
     """The `k` best documents of each query: query_id, rank (from 1), doc_id, score; ties go to the smaller doc_id.
 
     queries are (query_id, terms array<struct<term, idf>>); they are sent to the tasks in blocks of about QUERY_BLOCK,
-    each against all documents. There are as many tasks as cores, whatever the table's size, each of which goes through its
+    each against all documents. There are about as many tasks as cores, whatever the table's size, each of which goes through its
     shards one after the other with the floors so far and gives the best of each query once. Documents without a query's terms aren't found by it; null texts have no terms; rows
     that repeat are found as often; other columns aren't returned. Scores are those of BM25 with k1 1.2 and b 0.75.
     """
@@ -182,56 +231,65 @@ def search(docs: DataFrame, queries: DataFrame, n: int, mean: float, k: int = 10
     kind = docs.schema["doc_id"].dataType.simpleString()
     query_kind = queries.schema["query_id"].dataType.simpleString()
     found = None
+    vectors = term_vectors(docs)
     for block in range(blocks):
         rows = queries.where(F.col("draw") % blocks == block).select("query_id", "terms.term", "terms.idf").toArrow().combine_chunks()
         ids, lists, idfs = (rows.column(c).combine_chunks() for c in range(3))
         lists, idfs = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (lists, idfs))
         coded = lists.flatten().dictionary_encode()
-        index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        idf = np.zeros(len(coded.dictionary))
+        hashes = np.fromiter((xxhash.xxh64_intdigest(t, SEED) for t in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+        known, place = np.unique(hashes, return_inverse=True)
+        index = place[coded.indices.to_numpy(zero_copy_only=False)].astype(np.int32)
+        idf = np.zeros(len(known))
         idf[index] = idfs.flatten().to_numpy(zero_copy_only=False)
-        place = {t.encode(): i for i, t in enumerate(coded.dictionary.to_pylist())}
         ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
-        of = np.split(index, ends[:-1]) if len(ends) else []
-        sent = spark.sparkContext.broadcast((ids.to_pylist(), of, place, idf))
+        sent = spark.sparkContext.broadcast((ids.to_pylist(), index, ends, known, idf))
+        del rows, lists, idfs, coded
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            names, of, place, idf = sent.value
+            names, index, ends, known, idf = sent.value
+            of = np.split(index, ends[:-1]) if len(ends) else []
             best: list[list[tuple[float, object]]] = [[] for _ in names]
 
-            def settle(ids, lengths, term_of, doc_of):
-                shard = Shard(ids, lengths, np.concatenate(term_of), np.concatenate(doc_of), idf, mean)
+            def settle(ids, lengths, hashes, counts):
+                value, size = np.concatenate(hashes), [len(h) for h in hashes]
+                order = np.argsort(value, kind="stable")
+                value = value[order]
+                term = np.minimum(np.searchsorted(known, value), max(0, len(known) - 1))
+                hit = known[term] == value if len(known) else np.zeros(len(value), bool)
+                order, term = order[hit], term[hit]
+                shard = Shard(ids, lengths, term, np.repeat(np.arange(len(ids), dtype=np.int32), size)[order], idf, mean, np.concatenate(counts)[order])
                 floors = np.array([b[-1][0] if len(b) == k else 0.0 for b in best])
                 for q, (places, scores) in enumerate(shard.search(of, k, floors)):
                     if len(places):
                         new = [(s, ids[p]) for s, p in zip(scores.tolist(), places.tolist(), strict=True)]
                         best[q] = sorted([*best[q], *new], key=lambda x: (-x[0], x[1] is None, 0 if x[1] is None else x[1]))[:k]
 
-            ids, lengths, term_of, doc_of, held = [], [], [], [], 0
+            ids, lengths, hashes, counts, held = [], [], [], [], 0
             id_type = None
             for batch in batches:
                 id_type = batch.schema.field(0).type
-                for part in in_blocks(batch, 1_000_000):
-                    for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                        words = terms(t)
-                        hits = np.array([x for x in map(place.get, words) if x is not None], np.int64)
-                        term_of.append(hits)
-                        doc_of.append(np.full(len(hits), len(ids), np.int64))
-                        ids.append(i)
-                        lengths.append(len(words))
-                        held += len(t or "")
-                        if len(ids) >= SHARD_DOCS or held >= SHARD_BYTES:
-                            settle(ids, lengths, term_of, doc_of)
-                            ids, lengths, term_of, doc_of, held = [], [], [], [], 0
+                for i, n_terms, h, c in zip(*(batch.column(x).to_pylist() for x in range(4)), strict=True):
+                    ids.append(i)
+                    lengths.append(n_terms)
+                    hashes.append(np.frombuffer(h, np.uint64))
+                    counts.append(np.frombuffer(c, np.int32))
+                    held += len(counts[-1])
+                    if len(ids) >= SHARD_DOCS or held >= SHARD_TERMS:
+                        settle(ids, lengths, hashes, counts)
+                        ids, lengths, hashes, counts, held = [], [], [], [], 0
             if ids:
-                settle(ids, lengths, term_of, doc_of)
+                settle(ids, lengths, hashes, counts)
             flat = [(names[q], i, s) for q, b in enumerate(best) for s, i in b]
             for at in range(0, len(flat), 50_000):
                 q, i, s = zip(*flat[at : at + 50_000], strict=True)
                 yield pa.RecordBatch.from_pydict({"query_id": pa.array(q), "doc_id": pa.array(i, id_type), "score": pa.array(s, pa.float64())})
 
-        one = docs.select("doc_id", "text").coalesce(spark.sparkContext.defaultParallelism).mapInArrow(run, f"query_id {query_kind}, doc_id {kind}, score double")
+        # whole files, in about as many parts of one size as there are cores
+        with setting(spark, "spark.sql.files.maxPartitionBytes", 1 << 40):
+            one = materialize(vectors.coalesce(2 * spark.sparkContext.defaultParallelism).mapInArrow(run, f"query_id {query_kind}, doc_id {kind}, score double"))
         found = one if found is None else found.unionByName(one)
+    discard(vectors)
     best = W.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
