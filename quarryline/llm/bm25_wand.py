@@ -1,12 +1,12 @@
 """Exact BM25 top-k search with block-max pruning, shard by shard.
 
-A shard is a bounded run of documents. Its inverted index holds, for the terms that the queries name, the postings by term
-and by document; terms that many of its documents have are laid out as rows, with their largest contribution in each block
-of documents. A query adds up the postings of its rare terms: what a document has so far bounds its score from below, so
-the k-th best of that is a floor, as is the k-th best score of the shards before; with the block's largest contributions of
-the frequent terms, or with all frequent terms of the document itself, it is bounded from above. What can't reach the floor is
-skipped; queries for which much is left get the frequent terms' rows, many queries at once. Those bounds are in single precision with room for its error; what may be among the
-best is then added up in double precision. Document counts and lengths are those of the whole table, so the scores of all
+Queries lie in the tasks as lists by term, once for all shards. A shard is a bounded run of documents of a group (groups
+are those of alike queries, told by frequent terms), blocks of like lengths after one another. Each document adds its
+contributions along the lists of its rare terms: what a query has so far, with the block's largest contributions of the
+frequent terms or with all of the document's own, bounds the score from above. Queries that no document of the block
+can bring to their floors, the k-th best scores of the shards before, are skipped; for the others the frequent terms are
+added by products of matrices, many queries and documents at once. Those sums are in single precision with room for its
+error; what may be among the best is then added up in double precision. Document counts and lengths are those of the whole table, so the scores of all
 shards compare and their best are merged exactly. Documents are taken apart into terms once; terms are told by hashes of 64
 bits, of which two of ten million terms share one by a chance of 3e-6.
 """
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,15 +30,17 @@ from .common import discard, materialize, setting
 K1, B = 1.2, 0.75
 #: Most documents and distinct terms of documents of a shard.
 SHARD_DOCS, SHARD_TERMS = 6144, 2_000_000
-#: Documents of a block, queries that are searched side by side, and most terms that are laid out as rows.
-BLOCK_DOCS, SIDE, ROWS = 64, 256, 1024
+#: Documents of a block, and that are searched side by side; queries of a product; most terms of a group that are laid out as rows.
+BLOCK_DOCS, SLAB, SIDE, ROWS = 64, 128, 2048, 1024
+#: Groups of alike queries at first, the frequent terms that tell them, and the cosine of centres from which on two are one.
+GROUPS, FEATURES, ALIKE = 8, 512, 0.4
+#: The work of a cell of a product against that of a place of a list.
+CELL = 0.006
 #: Room for the error of sums in single precision.
 ERROR = 1e-4
 #: Queries, and terms of queries, that are sent to the tasks at once.
 QUERY_BLOCK, QUERY_TERMS = 24_576, 6_000_000
-#: Documents of a shard left to a query up to which they are scored one by one.
-FEW = 24
-#: Postings from which on a list of a shard is copied by itself.
+#: Queries from which on a term's list is copied by itself.
 LONG = 64
 #: ASCII letters in lower case, digits and all bytes beyond ASCII are parts of terms; the rest separates them.
 _TERMS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
@@ -52,11 +55,11 @@ def corpus_statistics(docs: DataFrame) -> tuple[int, float, DataFrame]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def told() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array([*df, None], pa.string()), pa.array([*df.values(), n], pa.int64()), pa.array([0] * len(df) + [length], pa.int64())], ["term", "df", "length"])
+            out = pa.RecordBatch.from_arrays([pa.array([*df, None], pa.binary()).cast(pa.string()), pa.array([*df.values(), n], pa.int64()), pa.array([0] * len(df) + [length], pa.int64())], ["term", "df", "length"])
             df.clear()
             return out
 
-        df: Counter[str] = Counter()
+        df: Counter[bytes] = Counter()
         n = length = 0
         for batch in batches:
             for block in in_blocks(batch, 1_000_000):
@@ -64,7 +67,7 @@ def corpus_statistics(docs: DataFrame) -> tuple[int, float, DataFrame]:
                     found = terms(t)
                     n += 1
                     length += len(found)
-                    df.update({w.decode("utf-8", "replace") for w in found})
+                    df.update(set(found))
                 if len(df) > 400_000:
                     yield told()
                     n = length = 0
@@ -97,85 +100,147 @@ def characteristic_terms(asking: DataFrame, n: int, df: DataFrame, most: int | N
     return top.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("idf")).alias("order"), "term", "idf"))).alias("terms")).select("query_id", F.transform("terms", lambda t: F.struct(t["term"].alias("term"), t["idf"].alias("idf"))).alias("terms"))
 
 
+class Asked:
+    """Queries and the lists of those that name each term. bounds part them into groups of alike queries; the terms that many
+    of a group name are laid out as rows, one byte a query."""
+
+    def __init__(self, queries: list[np.ndarray], known: int, bounds: list[int] | None = None):
+        self.queries, self.m = queries, len(queries)
+        size = np.array([len(q) for q in queries], np.int64)
+        terms_ = np.concatenate(queries) if queries else np.zeros(0, np.int32)
+        ends = np.concatenate([[0], np.cumsum(size)])
+        self.size = np.bincount(terms_, minlength=known)
+        self.at = np.concatenate([[0], np.cumsum(self.size)])
+        self.of = np.repeat(np.arange(self.m, dtype=np.int32), size)[np.argsort(terms_, kind="stable")]
+        bounds = bounds or [0, self.m]
+        of = np.repeat(np.arange(self.m, dtype=np.int32), size)
+        self.common, self.groups = self._rows(terms_, of, self.m, ROWS // 2), []
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            part = slice(ends[a], ends[b])
+            frequent, row, bits = self._rows(terms_[part], of[part] - a, b - a, ROWS)
+            # where the group's part of each row's list begins and ends
+            inside = np.array([np.searchsorted(self.of[x:y], (a, b)) + x for x, y in zip(self.at[frequent].tolist(), self.at[frequent + 1].tolist(), strict=True)], np.int64).reshape(-1, 2)
+            self.groups.append((a, b, frequent, row, bits, inside))
+
+    def _rows(self, term: np.ndarray, of: np.ndarray, m: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The terms that most of m queries name, each term's row (-1: none), and the rows."""
+        count = np.bincount(term, minlength=len(self.size))
+        frequent = np.argsort(-count, kind="stable")[:most]
+        frequent = frequent[count[frequent] > max(1, m // 64)]
+        row = np.full(len(count), -1, np.int16)
+        row[frequent] = np.arange(len(frequent))
+        bits = np.zeros((len(frequent), m), np.uint8)
+        place = row[term]
+        bits[place[place >= 0], of[place >= 0]] = 1
+        return frequent, row, bits
+
+
 class Shard:
-    """The inverted index of a run of documents over the terms of a block of queries. term_of and doc_of are the terms of the
-    documents, with repeats; or sorted and without them, with tf."""
+    """A run of documents over the terms of a block of queries. term_of and doc_of are the terms of the documents, with
+    repeats; or by document, each with its terms sorted and once, with tf."""
 
     def __init__(self, ids: list, lengths: list[int], term_of: np.ndarray, doc_of: np.ndarray, idf: np.ndarray, mean: float, tf: np.ndarray | None = None):
-        self.ids, n = ids, len(ids)
+        self.ids, self.n, self.known = ids, len(ids), len(idf)
         if tf is None:
-            pair, tf = np.unique(term_of.astype(np.int64) * n + doc_of, return_counts=True)
-            term_of, doc_of = np.divmod(pair, n)
+            pair, tf = np.unique(doc_of.astype(np.int64) * self.known + term_of, return_counts=True)
+            doc_of, term_of = np.divmod(pair, self.known)
             del pair
-        term, doc = term_of.astype(np.int32), doc_of.astype(np.int32)
-        impact = tf * (K1 + 1) / (tf + (K1 * (1 - B + B * np.array(lengths) / mean))[doc])
-        impact *= idf[term]
-        self.at = np.searchsorted(term, np.arange(len(idf) + 1, dtype=np.int32))
-        by_doc = np.argsort(doc, kind="stable")
-        self.doc_term, self.doc_impact = term[by_doc], impact[by_doc]
-        self.doc_at = np.searchsorted(doc[by_doc], np.arange(n + 1, dtype=np.int32))
-        # a posting is one number: the document and the impact in single precision, side by side
-        self.post = np.column_stack([doc, impact.astype(np.float32).view(np.int32)]).view(np.int64).ravel()
-        self.asked = np.zeros(len(idf), bool)
-        self.n, self.wide = n, -(-n // BLOCK_DOCS) * BLOCK_DOCS
-        self.size = np.diff(self.at)
-        frequent = np.argsort(-self.size, kind="stable")[:ROWS]
-        frequent = frequent[self.size[frequent] >= max(BLOCK_DOCS, n // 16)]
-        self.row = np.full(len(idf), -1, np.int32)
-        self.row[frequent] = np.arange(len(frequent))
-        self.rows = np.zeros((len(frequent), self.wide), np.float32)
-        for row, t in zip(self.rows, frequent.tolist(), strict=True):
-            row[doc[self.at[t] : self.at[t + 1]]] = impact[self.at[t] : self.at[t + 1]]
-        self.most = self.rows.reshape(len(frequent), self.wide // BLOCK_DOCS, BLOCK_DOCS).max(axis=2)
-        self.own = self.rows.sum(axis=0).reshape(-1, BLOCK_DOCS)
-
-    def search(self, queries: list[np.ndarray], k: int, floors: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        self.doc_term = term_of.astype(np.int32)
+        self.doc_at = np.searchsorted(doc_of, np.arange(self.n + 1))
+        self.doc_impact = tf * (K1 + 1) / (tf + (K1 * (1 - B + B * np.array(lengths) / mean))[doc_of])
+        self.doc_impact *= idf[self.doc_term]
+        self.asked = np.zeros(self.known, bool)
+
+    def search(self, queries: list[np.ndarray] | Asked, k: int, floors: np.ndarray, group: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query the places and scores of the documents that may be among the best k, of those that score its
-        floor at least."""
-        out = []
-        for a in range(0, len(queries), SIDE):
-            out += self._side_by_side(queries[a : a + SIDE], k, floors[a : a + SIDE])
+        floor at least. group is that of the queries that are most like the documents."""
+        asked = queries if isinstance(queries, Asked) else Asked(queries, self.known)
+        out = [(np.zeros(0, np.int64), np.zeros(0))] * asked.m
+        low = np.maximum(floors * (1 - ERROR) ** 2, np.finfo(np.float32).tiny).astype(np.float32)
+        held, n_held = [], 0
+        for a in range(0, self.n, SLAB):
+            new = self._slab(asked, group, a, min(a + SLAB, self.n), k, low)
+            held.append(new)
+            n_held += len(new[0])
+            if n_held > 3 * k * asked.m:
+                held = [best_so_far(held, k, low)]
+                n_held = len(held[0][0])
+        of, doc, _ = best_so_far(held, k, low)
+        turn = np.flatnonzero(np.diff(of, prepend=-1))
+        for x, y in zip(turn.tolist(), [*turn[1:].tolist(), len(of)], strict=False):
+            q = int(of[x])
+            out[q] = self._exact(asked.queries[q], np.sort(doc[x:y]), k, floors[q])
         return out
 
-    def _side_by_side(self, queries: list[np.ndarray], k: int, floors: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        m = len(queries)
-        score, named = np.zeros((m, self.wide), np.float32), np.zeros((m, len(self.rows)), np.float32)
-        floor = floors * (1 - ERROR)
-        terms_, of = np.concatenate(queries), np.repeat(np.arange(m), [len(q) for q in queries])
-        row, size = self.row[terms_], self.size[terms_]
-        named[of[row >= 0], row[row >= 0]] = 1
-        # short lists are gathered for all queries at once, long ones are copied as a whole
-        short, long_ = ((row < 0) & (size > 0) & x for x in (size < LONG, size >= LONG))
-        gathered = self.post[spans(self.at[terms_[short]], size[short])]
-        cuts = np.cumsum(np.bincount(of[short], size[short], m)).astype(np.int64).tolist()
-        first, last = (self.at[terms_[long_] + x].tolist() for x in (0, 1))
-        turns = np.cumsum(np.bincount(of[long_], minlength=m)).tolist()
-        for q, (a, b, x, y) in enumerate(zip([0, *cuts], cuts, [0, *turns], turns, strict=False)):
-            pairs = np.concatenate([gathered[a:b], *[self.post[i:j] for i, j in zip(first[x:y], last[x:y], strict=True)]])
+    def _slab(self, asked: Asked, group: int, lo: int, hi: int, k: int, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Queries, documents and scores in single precision, where these reach `low`; queries without a floor get one."""
+        n, m = hi - lo, asked.m
+        a, b, frequent, row, bits, inside = asked.groups[group]
+        term, impact = (x[self.doc_at[lo] : self.doc_at[hi]] for x in (self.doc_term, self.doc_impact))
+        doc = np.repeat(np.arange(n), np.diff(self.doc_at[lo : hi + 1]))
+        # as many of the group's rows as pay are added up by a product, those of them that pay for the other queries, too; all else by lists
+        place, count = row[term], inside[:, 1] - inside[:, 0]
+        named = np.bincount(place[place >= 0], minlength=len(bits))
+        lists = np.concatenate([np.cumsum((named * count)[::-1])[::-1], [0]])
+        used = int(np.argmin(lists + CELL * n * (b - a) * np.arange(len(bits) + 1)))
+        laid = (place >= 0) & (place < used)
+        _, common, common_bits = asked.common
+        wide = (common[frequent] >= 0) & (named * (asked.size[frequent] - count) > CELL * n * (m - b + a))
+        doc_, impact_, place_ = doc[laid], impact[laid], place[laid]
+        part = ~wide[place_]
+        other = term[laid][part]
+        score = self._by_lists(asked, n, [(doc[~laid], impact[~laid], asked.at[term[~laid]], asked.at[term[~laid] + 1]), (doc_[part], impact_[part], asked.at[other], inside[place_[part], 0]), (doc_[part], impact_[part], inside[place_[part], 1], asked.at[other + 1])])
+        if used:
+            own = np.zeros((-(-n // BLOCK_DOCS) * BLOCK_DOCS, used), np.float32)
+            own[doc_, place_] = impact_
+            most, total = own.reshape(-1, BLOCK_DOCS, used).max(axis=1), own.sum(axis=1)[:n, None]
+            own = own[:n]
+            for c in range(a, b, SIDE):
+                d = min(c + SIDE, b)
+                side = bits[:used, c - a : d - a].astype(np.float32)
+                bound = np.minimum(np.repeat(most @ side, BLOCK_DOCS, axis=0)[:n], total)
+                bound += score[:, c:d]
+                live = np.flatnonzero((bound.max(axis=0) >= low[c:d] * (1 - ERROR)))
+                if 4 * len(live) > 3 * (d - c):
+                    score[:, c:d] += own @ side
+                elif len(live):
+                    score[:, c + live] += own @ side[:, live]
+            wide = np.flatnonzero(wide[:used])
+            if len(wide):
+                some, own = common[frequent[wide]], own[:, wide]
+                for x, y in ((0, a), (b, m)):
+                    for c in range(x, y, SIDE):
+                        d = min(c + SIDE, y)
+                        score[:, c:d] += own @ common_bits[some, c:d].astype(np.float32)
+        top = score.max(axis=0)
+        fresh = np.flatnonzero((low <= np.finfo(np.float32).tiny) & (top > 0)) if n > k else []
+        if len(fresh):
+            low[fresh] = np.maximum(low[fresh], np.partition(score[:, fresh], n - k, axis=0)[n - k] * (1 - ERROR) ** 2)
+        some = np.flatnonzero(top >= low)
+        near = score[:, some]
+        doc, at = np.nonzero(near >= low[some])
+        return some[at], doc + lo, near[doc, at]
+
+    def _by_lists(self, asked: Asked, n: int, parts: list[tuple[np.ndarray, ...]]) -> np.ndarray:
+        """Sums of impacts by document and query. parts: documents, impacts, and first and last places of lists."""
+        doc, impact, first, last = (np.concatenate(x) for x in zip(*parts, strict=True))
+        some = np.flatnonzero(last > first)
+        some = some[np.argsort(doc[some], kind="stable")]
+        doc, impact, first, size = doc[some], impact[some], first[some], (last - first)[some]
+        # short lists are gathered for all documents at once, long ones are copied as a whole
+        short = size < LONG
+        gathered = asked.of[spans(first[short], size[short])]
+        weights = np.repeat(impact[short], size[short])
+        cuts = np.cumsum(np.bincount(doc[short], size[short], n)).astype(np.int64).tolist()
+        turns = np.cumsum(np.bincount(doc[~short], minlength=n)).tolist()
+        impact, first, size = impact[~short], first[~short], size[~short]
+        starts, ends, of = first.tolist(), (first + size).tolist(), asked.of
+        score = np.zeros((n, asked.m), np.float32)
+        for i, (a, b, x, y) in enumerate(zip([0, *cuts], cuts, [0, *turns], turns, strict=False)):
+            pairs = np.concatenate([gathered[a:b], *[of[s:e] for s, e in zip(starts[x:y], ends[x:y], strict=True)]], dtype=np.int64)
             if len(pairs):
-                score[q] = np.bincount(pairs.view(np.int32)[::2], pairs.view(np.float32)[1::2], self.wide)
-            if floor[q] <= 0 and self.n > k:
-                floor[q] = np.partition(score[q], -k)[-k] * (1 - ERROR)
-        blocks = score.reshape(m, -1, BLOCK_DOCS)
-        bound = np.minimum((named @ self.most)[:, :, None], self.own)
-        bound += blocks
-        floor = floor.astype(np.float32)[:, None, None] * np.float32(1 - ERROR)
-        live = (bound >= floor) & (bound > 0)
-        left = live.sum(axis=(1, 2))
-        many = np.flatnonzero(left > FEW)
-        if len(many):
-            full = score[many] + named[many] @ self.rows
-            full[~live[many].reshape(len(many), -1)] = 0
-            for s, q in zip(full, many.tolist(), strict=True):
-                g = floor[q, 0, 0]
-                found = np.flatnonzero((s >= g) & (s > 0))
-                if len(found) > 4 * k:
-                    found = found[s[found] >= max(g, np.partition(s[found], -k)[-k] * (1 - ERROR) ** 2)]
-                live[q] = False
-                live[q].reshape(-1)[found] = True
-                left[q] = len(found)
-        none = np.zeros(0, np.int64), np.zeros(0)
-        return [self._exact(query, np.flatnonzero(live[q].reshape(-1)[: self.n]), k, floors[q]) if left[q] else none for q, query in enumerate(queries)]
+                score[i] = np.bincount(pairs, np.concatenate([weights[a:b], np.repeat(impact[x:y], size[x:y])]), asked.m)
+        return score
 
     def _exact(self, query: np.ndarray, found: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
         """Scores in full, each in the order of terms, so that equal documents of all shards score the same."""
@@ -191,17 +256,74 @@ class Shard:
         return found[keep], scores[keep]
 
 
+def best_so_far(held: list[tuple[np.ndarray, ...]], k: int, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of (queries, documents, scores), by query, what may be among the best k; raises `low` to what these reach."""
+    of, doc, score = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
+    order = np.lexsort((-score, of))
+    of, doc, score = of[order], doc[order], score[order]
+    turn = np.flatnonzero(np.diff(of, prepend=-1))
+    full = turn[np.diff(turn, append=len(of)) >= k]
+    low[of[full]] = np.maximum(low[of[full]], score[full + k - 1] * np.float32((1 - ERROR) ** 2))
+    keep = score >= low[of]
+    return of[keep], doc[keep], score[keep]
+
+
 def spans(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The numbers from each first on, `size` of them, side by side."""
     return np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
 
 
+def alike(queries: list[np.ndarray], known: int) -> tuple[np.ndarray, np.ndarray]:
+    """Groups of documents by the frequent terms that they hold, found by spherical k-means of the queries: the column of
+    each such term (-1: none), and the centres. Which group a document is put in changes the time, not the result."""
+    column = np.full(known, -1, np.int16)
+    if len(queries) < 64 * GROUPS:
+        return column, np.zeros((1, 0), np.float32)
+    size = np.bincount(np.concatenate(queries), minlength=known)
+    frequent = np.argsort(-size, kind="stable")[:FEATURES]
+    column[frequent] = np.arange(len(frequent))
+    points = held_columns([column[q] for q in queries], len(frequent))
+    points /= np.maximum(np.sqrt(points.sum(axis=1, keepdims=True)), 1)
+    centres = points[[int(points.sum(axis=1).argmax())]]
+    while len(centres) < GROUPS:  # the point that is the least like all centres so far, of those that hold much
+        least = np.where(points.sum(axis=1) >= np.median(points.sum(axis=1)), (points @ centres.T).max(axis=1), 9)
+        centres = np.concatenate([centres, points[[int(least.argmin())]]])
+    for _ in range(8):
+        own = (points @ centres.T).argmax(axis=1)
+        sums = np.array([points[own == c].sum(axis=0) for c in range(GROUPS)])
+        centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+    while len(sums) > 1:  # groups that name much the same are one
+        like = np.tril(centres @ centres.T, -1)
+        a, b = np.unravel_index(like.argmax(), like.shape)
+        if like[a, b] < ALIKE:
+            break
+        sums[b] += sums[a]
+        sums = np.delete(sums, a, axis=0)
+        centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+    return column, centres.astype(np.float32)
+
+
+def held_columns(columns: list[np.ndarray], n: int) -> np.ndarray:
+    """A row for each array of columns, with 1 in those that it holds (-1: none)."""
+    out = np.zeros((len(columns), n), np.float32)
+    column, of = np.concatenate(columns), np.repeat(np.arange(len(columns)), [len(c) for c in columns])
+    out[of[column >= 0], column[column >= 0]] = 1
+    return out
+
+
+def label(terms_: list[np.ndarray], column: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The group of each document."""
+    if len(centres) == 1 or not terms_:
+        return np.zeros(len(terms_), np.int64)
+    return (held_columns([column[t] for t in terms_], centres.shape[1]) @ centres.T).argmax(axis=1)
+
+
 SEED = 42
 
 
 def term_vectors(docs: DataFrame) -> DataFrame:
     """(doc_id, length, hashes, counts) of each document, written: its number of terms, and the hashes and numbers of its
-    distinct ones as bytes of 64 and 32 bits each."""
+    distinct ones as bytes of 64 and 32 bits each, by hash."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,8 +331,12 @@ def term_vectors(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for block in in_blocks(batch, 1_000_000):
                 found = [Counter(terms(t)) for t in block.column(1).to_pylist()]
-                hashes = [np.fromiter((digest(w, SEED) for w in tf), np.uint64, len(tf)).tobytes() for tf in found]
-                counts = [np.fromiter(tf.values(), np.int32, len(tf)).tobytes() for tf in found]
+                hashes, counts = [], []
+                for tf in found:
+                    value, count = np.fromiter(map(digest, tf, repeat(SEED)), np.uint64, len(tf)), np.fromiter(tf.values(), np.int32, len(tf))
+                    order = np.argsort(value)
+                    hashes.append(value[order].tobytes())
+                    counts.append(count[order].tobytes())
                 yield pa.RecordBatch.from_arrays([block.column(0), pa.array([tf.total() for tf in found], pa.int64()), pa.array(hashes, pa.binary()), pa.array(counts, pa.binary())], ["doc_id", "length", "hashes", "counts"])
 
     return materialize(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, length long, hashes binary, counts binary"))
@@ -242,44 +368,60 @@ def search(docs: DataFrame, queries: DataFrame, n: int, mean: float, k: int = 10
         index = place[coded.indices.to_numpy(zero_copy_only=False)].astype(np.int32)
         idf = np.zeros(len(known))
         idf[index] = idfs.flatten().to_numpy(zero_copy_only=False)
-        ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
-        sent = spark.sparkContext.broadcast((ids.to_pylist(), index, ends, known, idf))
-        del rows, lists, idfs, coded
+        each = lists.value_lengths().to_numpy(zero_copy_only=False)
+        of = [np.sort(q) for q in np.split(index, np.cumsum(each)[:-1])] if len(each) else []
+        column, centres = alike(of, len(known))
+        own = label(of, column, centres)
+        order = np.lexsort((each, own))
+        index = np.concatenate([of[q] for q in order]) if len(order) else index
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(own, minlength=len(centres)))]).tolist()
+        names = ids.take(pa.array(order)).to_pylist()
+        sent = spark.sparkContext.broadcast((names, index, np.cumsum(each[order]), known, idf, column, centres, bounds))
+        del rows, lists, idfs, coded, of, names
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            names, index, ends, known, idf = sent.value
-            of = np.split(index, ends[:-1]) if len(ends) else []
+            names, index, ends, known, idf, column, centres, bounds = sent.value
+            asked = Asked(np.split(index, ends[:-1]) if len(ends) else [], len(known), bounds)
             best: list[list[tuple[float, object]]] = [[] for _ in names]
-
-            def settle(ids, lengths, hashes, counts):
-                value, size = np.concatenate(hashes), [len(h) for h in hashes]
-                order = np.argsort(value, kind="stable")
-                value = value[order]
-                term = np.minimum(np.searchsorted(known, value), max(0, len(known) - 1))
-                hit = known[term] == value if len(known) else np.zeros(len(value), bool)
-                order, term = order[hit], term[hit]
-                shard = Shard(ids, lengths, term, np.repeat(np.arange(len(ids), dtype=np.int32), size)[order], idf, mean, np.concatenate(counts)[order])
+            # documents by group, until there are enough of one: (id, length, terms, counts)
+            held: list[list[tuple]] = [[] for _ in centres]
+            size = [0] * len(held)
+
+            def settle(group):
+                rows = sorted(held[group], key=lambda x: -x[1])  # blocks of like lengths
+                held[group], size[group] = [], 0
+                ids, lengths, term, counts = zip(*rows, strict=True)
+                of = np.repeat(np.arange(len(ids), dtype=np.int32), [len(t) for t in term])
+                shard = Shard(list(ids), list(lengths), np.concatenate(term), of, idf, mean, np.concatenate(counts))
                 floors = np.array([b[-1][0] if len(b) == k else 0.0 for b in best])
-                for q, (places, scores) in enumerate(shard.search(of, k, floors)):
+                for q, (places, scores) in enumerate(shard.search(asked, k, floors, group)):
                     if len(places):
                         new = [(s, ids[p]) for s, p in zip(scores.tolist(), places.tolist(), strict=True)]
                         best[q] = sorted([*best[q], *new], key=lambda x: (-x[0], x[1] is None, 0 if x[1] is None else x[1]))[:k]
 
-            ids, lengths, hashes, counts, held = [], [], [], [], 0
             id_type = None
-            for batch in batches:
-                id_type = batch.schema.field(0).type
-                for i, n_terms, h, c in zip(*(batch.column(x).to_pylist() for x in range(4)), strict=True):
-                    ids.append(i)
-                    lengths.append(n_terms)
-                    hashes.append(np.frombuffer(h, np.uint64))
-                    counts.append(np.frombuffer(c, np.int32))
-                    held += len(counts[-1])
-                    if len(ids) >= SHARD_DOCS or held >= SHARD_TERMS:
-                        settle(ids, lengths, hashes, counts)
-                        ids, lengths, hashes, counts, held = [], [], [], [], 0
-            if ids:
-                settle(ids, lengths, hashes, counts)
+            for whole in batches:
+                id_type = whole.schema.field(0).type
+                for at in range(0, whole.num_rows if len(known) else 0, SLAB):
+                    ids, lengths, hashes, counts = (x.to_pylist() for x in whole.slice(at, SLAB).columns)
+                    value, count = np.frombuffer(b"".join(hashes), np.uint64), np.frombuffer(b"".join(counts), np.int32)
+                    term = np.minimum(np.searchsorted(known, value), len(known) - 1).astype(np.int32)
+                    hit = known[term] == value
+                    ends_ = np.cumsum([len(h) // 8 for h in hashes])
+                    cuts = np.concatenate([[0], np.cumsum(hit)])[ends_]
+                    terms_, counts_ = (np.split(x[hit], cuts[:-1]) for x in (term, count))
+                    for group, *row in zip(label(terms_, column, centres).tolist(), ids, lengths, terms_, counts_, strict=True):
+                        if not len(row[2]):  # none of the queries' terms
+                            continue
+                        held[group].append(tuple(row))
+                        size[group] += len(row[2])
+                        if len(held[group]) >= SHARD_DOCS or size[group] >= SHARD_TERMS:
+                            settle(group)
+                    while sum(size) > 3 * SHARD_TERMS // 2:
+                        settle(int(np.argmax(size)))
+            for group in range(len(held)):
+                if held[group]:
+                    settle(group)
             flat = [(names[q], i, s) for q, b in enumerate(best) for s, i in b]
             for at in range(0, len(flat), 50_000):
                 q, i, s = zip(*flat[at : at + 50_000], strict=True)
